@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash, token_output
-from .common import table
+from . import chat_format, decontam, exact_dedup, language_id, mixing, simhash, token_output, url_filter
+from .common import fold, table
 
 
 def tokenizer_file() -> str:
@@ -17,10 +18,24 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    found = language_id.classify(docs, language_id.fit(docs, ~held_out), "language")
+    return found.select("doc_id", held_out.alias("held_out"), "language.*")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat_format.digests(rows)
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.document_index(token_output.write(table(spark, sf_dir, "documents"), tokenizer_file()))
 
@@ -29,10 +44,27 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_chat_format": op3_chat_format,
     "op4_token_output": op4_token_output,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op7_decontamination": op7_decontamination,
+    "op8_url_filter": op8_url_filter,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLES: dict[str, str] = {
@@ -48,4 +80,64 @@ ORACLES: dict[str, str] = {
             FROM t)
         SELECT doc_id, keep_id, group_size, rn = 1 AS kept, sha256(norm) AS text_sha256 FROM r
     """,
+    "op3_chat_format": """
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+               CAST(sum(length(role || text) + length(regexp_replace(role || text, '[^<\\[\\\\]', '', 'g')) + 24) AS BIGINT) AS formatted_chars
+        FROM t GROUP BY conv_id
+    """,
+    "op8_url_filter": """
+        WITH u AS (
+            SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (
+            SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+        p AS (
+            SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+        r(rule_host, rule_path, verdict) AS (VALUES
+            ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+            ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        m AS (
+            SELECT page_id, max_by(struct_pack(rule := rule_host || rule_path, verdict := verdict), length(rule_host || rule_path)) AS best
+            FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+            GROUP BY page_id)
+        SELECT p.page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
+        FROM p LEFT JOIN m USING (page_id)
+    """,
+    "op9_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS hash
+            FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (
+            SELECT *, [3.0::DOUBLE, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INT)] AS weight,
+                   source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM s),
+        l AS (
+            SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                   / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+        f AS (SELECT arg_min(level, cap / weight) FILTER (level * weight <= cap) AS level FROM l),
+        t AS (
+            SELECT source, source_size, coalesce(least(cap, f.level * weight), cap) AS target,
+                   CAST(CASE WHEN source_size > 0 THEN floor(coalesce(least(cap, f.level * weight), cap) / source_size) ELSE 0 END AS BIGINT) AS passes
+            FROM l, f),
+        k AS (
+            SELECT source, hash, sum(sum(size)) OVER (PARTITION BY source ORDER BY hash) AS upto, sum(size) AS n FROM d GROUP BY source, hash),
+        x AS (
+            SELECT k.*, target - passes * source_size AS need FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+        e AS (
+            SELECT source, need, arg_min(struct_pack(h := hash, upto := upto, n := n), hash) FILTER (upto >= need) AS hit,
+                   arg_max(struct_pack(h := hash, upto := upto, n := n), hash) AS fin FROM x GROUP BY source, need),
+        c AS (
+            SELECT source, CASE WHEN coalesce(hit, fin).upto - need < need - (coalesce(hit, fin).upto - coalesce(hit, fin).n)
+                                THEN coalesce(hit, fin).h + 1 ELSE coalesce(hit, fin).h END AS threshold FROM e)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (passes + CASE WHEN hash < threshold THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN c ON d.source IS NOT DISTINCT FROM c.source
+    """,
 }

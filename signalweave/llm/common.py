@@ -75,3 +75,11 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker, over all its tasks."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("signalweave_worker_cache", types.ModuleType("signalweave_worker_cache")).__dict__

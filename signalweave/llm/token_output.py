@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize, partitions, worker_cache
 
 MAGIC, CHUNK_BITS, RANK_BLOCK = b"DAC1", 8, 512
 #: Ids after which a segment is closed (at the end of a document).
 SEGMENT_IDS = 1 << 18
-#: Pieces of text whose ids a worker remembers; beyond it the memory starts anew.
+#: Pieces of text whose ids a worker remembers, twice: the latest and those before.
 MEMO_PIECES = 400_000
 
 #: Cut before white space only where a word-level split of the tokenizer always cuts.
@@ -132,29 +133,67 @@ class PieceEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # only byte-level pre-tokenizers cut before white space whatever follows
+        self.by_pieces = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, ByteLevel)
+        # their tokens are written with one character for each byte
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.limit = memo
 
+    @classmethod
+    def of_worker(cls, path: str) -> "PieceEncoder":
+        """The encoder of this worker process, with what it remembers from earlier tasks."""
+        cache = worker_cache()
+        if path not in cache:
+            cache[path] = cls(path)
+        return cache[path]
+
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def pieces(self, pieces: list[str]) -> list[tuple[str, bytes]]:
+        """Each piece with its ids. Pieces that start with white space and end without are
+        encoded in a row, as in a text, and the ids are dealt out by the bytes they stand for."""
+        inner = [x for x in pieces if x[0] in " \t\r\n" and x[-1] not in " \t\r\n"]
+        out = []
+        for at in range(0, len(inner), 512):
+            part = inner[at : at + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            sizes = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in part])
+            ends = np.cumsum(self.bytes_of[ids])
+            cuts = np.searchsorted(ends, sizes)
+            if not np.array_equal(ends[np.minimum(cuts, ends.size - 1)], sizes):
+                out += zip(part, self.whole(part), strict=True)
+                continue
+            data, start = ids.tobytes(), 0
+            for piece, end in zip(part, (4 * (cuts + 1)).tolist(), strict=True):
+                out.append((piece, data[start:end]))
+                start = end
+        rest = [x for x in pieces if x[0] not in " \t\r\n" or x[-1] in " \t\r\n"]
+        return out + list(zip(rest, self.whole(rest), strict=True))
 
     def __call__(self, text: str) -> bytes:
         """Little-endian uint32 ids of ``text``."""
-        if ODD_SPACE.search(text):
+        if not self.by_pieces or ODD_SPACE.search(text):
             return self.whole([text])[0]
         pieces, memo = PIECE.findall(text), self.memo
         new = [x for x in set(pieces) if x not in memo]
         if new:
-            if len(memo) + len(new) > self.limit:
-                memo.clear()
-                new = list(set(pieces))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                memo.update(zip(part, self.whole(part), strict=True))
+            if len(memo) + len(new) > self.limit:  # what was of use lately stays in reach
+                self.old, self.memo = memo, {}
+                memo, new = self.memo, list(set(pieces))
+            old = self.old
+            fresh = [x for x in new if x not in old]
+            memo.update([(x, old[x]) for x in new if x in old])
+            memo.update(self.pieces(fresh))
         return b"".join([memo[x] for x in pieces])
 
 
@@ -170,7 +209,7 @@ def segments(docs: DataFrame, tokenizer_path: str, end_id: int = 0, segment_ids:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = PieceEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encode, end = PieceEncoder.of_worker(tokenizer_path), np.array([end_id], "<u4").tobytes()
         shard, number, before = TaskContext.get().partitionId(), 0, 0
         names, counts, held, total = [], [], [], 0
 

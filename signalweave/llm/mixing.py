@@ -80,7 +80,8 @@ def _thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
         buckets = rows.groupBy("source", F.shiftrightunsigned("hash", shift).alias("bucket")).agg(F.sum("size").alias("n"), F.count_distinct("hash").alias("kinds") if shift else F.lit(1).cast("long").alias("kinds"))
         along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         buckets = buckets.withColumn("upto", F.sum("n").over(along)).withColumnRenamed("source", "s")
-        joined = state.join(buckets, F.col("source").eqNullSafe(F.col("s")), "left")
+        known = state.select("source", "source_size", "target", "passes", "need", "low", "done")
+        joined = known.join(buckets, F.col("source").eqNullSafe(F.col("s")), "left")
         # the bucket in which the need is reached, or the end
         reach = F.when(F.col("done") + F.col("upto") >= F.col("need"), F.struct("bucket", "n", "upto", "kinds"))
         found = joined.groupBy("source", "source_size", "target", "passes", "need", "low", "done").agg(F.min(reach).alias("at"), F.max(F.struct("bucket", "n", "upto", "kinds")).alias("end"))

@@ -259,6 +259,8 @@ def fit(docs: DataFrame, train_on: Column, sample_rows: int = SAMPLE_ROWS) -> di
     """
     rows = docs.filter(train_on & F.col("lang").isNotNull())
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.count("*")).alias("share"))
+    # otherwise all texts would be shuffled by language; far fewer languages than this exist
+    share = F.broadcast(share) if share.count() <= 10_000 else share
     unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.select("lang", "text", unit.alias("unit")).join(share, "lang").filter("unit < share AND text IS NOT NULL").select("lang", "text")
 

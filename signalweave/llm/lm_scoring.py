@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Longest context, in bytes.
-DEPTH = 6
+DEPTH = 5
 #: A context is retained when its occurrences times their divergence from the shorter
 #: context (in nats) come to ``LEAST_NATS`` and to this share of all bytes. The share
 #: bounds the tree whatever the input: the occurrences at one depth sum to all bytes, so
@@ -36,7 +36,7 @@ SMOOTHING = 0.5
 #: Words whose counts are sent to all tasks; the rest are joined.
 BROADCAST_WORDS = 200_000
 #: Distinct words or n-grams a task holds before it passes them on.
-HELD = 400_000
+HELD = 3_000_000
 #: Bytes that are scored at a time.
 SLICE = 1 << 20
 #: The end of a text; UTF-8 has no such byte.
@@ -119,7 +119,7 @@ def _train_rows(docs: DataFrame, train_on: Column) -> DataFrame:
                     add_grams()
                     if keys.size > HELD:
                         yield from out_grams()
-                if len(words) > HELD:
+                if len(words) > HELD // 4:
                     yield from out_words()
         if held:
             add_grams()

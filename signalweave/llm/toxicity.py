@@ -162,6 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, sample_rows: int =
     shares = {k: min(1.0, sample_rows / n) for k, n in counts.items()}
     unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
     kept = marks.filter(unit < F.when(F.col("y") == 1, shares.get(1, 1.0)).otherwise(shares.get(0, 1.0)))
+    # the sample's labels are few, so the texts need no shuffle
+    kept = F.broadcast(kept) if kept.count() <= 10 * sample_rows else kept
     sample = docs.select("doc_id", "text").join(kept, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

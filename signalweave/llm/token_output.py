@@ -32,7 +32,7 @@ MAGIC, CHUNK_BITS, RANK_BLOCK = b"DAC1", 8, 512
 #: Ids after which a segment is closed (at the end of a document).
 SEGMENT_IDS = 1 << 18
 #: Pieces of text whose ids a worker remembers, twice: the latest and those before.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 700_000
 
 #: Cut before white space only where a word-level split of the tokenizer always cuts.
 PIECE = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")

@@ -271,7 +271,8 @@ def fit(docs: DataFrame, train_on: Column, sample_rows: int = SAMPLE_ROWS) -> di
                 texts.setdefault(lang, []).append(text)
         yield pd.DataFrame({"model": [pickle.dumps(train({k: sorted(v) for k, v in texts.items()}))]})
 
-    return pickle.loads(sample.repartition(1).mapInPandas(run, "model binary").first()[0])
+    made = sample.repartition(1).mapInPandas(run, "model binary").first()  # no row where the sample is empty
+    return pickle.loads(made[0]) if made else train({})
 
 
 def classify(docs: DataFrame, model: dict, name: str) -> DataFrame:

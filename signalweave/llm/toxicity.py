@@ -170,7 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, sample_rows: int =
         rows = sorted({(int(i), t, int(y)) for b in batches for i, t, y in zip(b["doc_id"], b["text"], b["y"], strict=True)})
         yield pd.DataFrame({"model": [pickle.dumps(train([t for _, t, _ in rows], [y for _, _, y in rows]))]})
 
-    model = pickle.loads(sample.repartition(1).mapInPandas(run, "model binary").first()[0])
+    made = sample.repartition(1).mapInPandas(run, "model binary").first()  # no row where the sample is empty
+    model = pickle.loads(made[0]) if made else train([], [])
     if shares.get(1) and shares.get(0):
         model["bias"] += float(np.log(shares[0] / shares[1]))
     return model

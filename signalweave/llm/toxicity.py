@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, DIMENSIONS = 1 << 17, 4
-SHORTEST, LONGEST = 3, 5
+SHORTEST, LONGEST = 3, 6
 #: Labelled rows of each class that are trained on, in expectation; drawn by a hash of the id.
-SAMPLE_ROWS = 2000
-ROUNDS, BATCH, RATE, DECAY = 6, 64, 0.02, 1e-6
+SAMPLE_ROWS = 2500
+ROUNDS, BATCH, RATE, DECAY = 6, 64, 0.05, 1e-6
 #: Words a worker remembers the scores of; beyond it the memory starts anew.
 MEMO_WORDS = 1_000_000
 THRESHOLD = 0.3
@@ -64,12 +64,18 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS) -> dict:
         rate = float(np.clip(y.mean() if y.size else 0.0, 1e-6, 1 - 1e-6))
         return {"scores": np.zeros(BUCKETS, np.float32), "bias": float(np.log(rate / (1 - rate)))}
     # word -> buckets and text -> words, as rows of sparse matrices of means
-    rows, buckets = features(list(vocabulary))
-    order = np.argsort(rows, kind="stable")
-    rows, buckets = rows[order], buckets[order]
-    sizes = np.bincount(rows, minlength=len(vocabulary))
-    columns, used = np.unique(buckets, return_inverse=True)
-    share = 1.0 / sizes[rows]
+    names, parts = list(vocabulary), []
+    for at in range(0, len(names), 50_000):
+        owner, bucket = features(names[at : at + 50_000])
+        order = np.argsort(owner, kind="stable")
+        parts.append(((owner[order] + at).astype(np.int32), bucket[order].astype(np.int32)))
+    rows, buckets = (np.concatenate(x) for x in zip(*parts, strict=True))
+    sizes = np.bincount(rows, minlength=len(names))
+    columns = np.flatnonzero(np.bincount(buckets, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, np.int32)
+    place[columns] = np.arange(columns.size)
+    used = place[buckets]
+    share = (1.0 / sizes)[rows]
     doc_rows = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     doc_words = np.fromiter((vocabulary[w] for b in bags for w in b), np.int64, doc_rows.size)
     totals = np.array([max(1, b.total()) for b in bags])

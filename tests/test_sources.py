@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from signalweave.model import Recording
 from signalweave.operators import events, select
-from signalweave.sources import binary, catalog, tables
+from signalweave.sources import binary, catalog, matlab, tables
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +58,17 @@ def test_gdf(spark, recording, tmp_path):
     assert [round(r["onset"], 3) for r in back.events.collect()] == [0.1, 0.5, 0.8]
 
 
+@pytest.mark.parametrize("eeg", [False, True])
+def test_matlab(spark, recording, tmp_path, eeg):
+    matlab.write_mat(recording, f"{tmp_path}/x.mat", eeg)
+    back = matlab.read_mat(spark, f"{tmp_path}/x.mat")
+    same(recording, back, 0.0)
+    if eeg:
+        assert [round(r["onset"], 3) for r in back.events.collect()] == [0.1, 0.5, 0.8]
+    packed = open(f"{tmp_path}/x.mat", "rb").read()
+    assert set(matlab.parse(packed)) == ({"EEG"} if eeg else {"data", "srate", "labels"})
+
+
 def test_bids(spark, recording, tmp_path):
     root = str(tmp_path / "set")
     tables.write_bids(recording, root, "01", "rest")

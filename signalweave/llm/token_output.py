@@ -201,7 +201,7 @@ def segments(docs: DataFrame, tokenizer_path: str, end_id: int = 0, segment_ids:
     """Encode ``docs`` (doc_id, text) and return DAC segments in document order.
 
     Rows: shard int, segment int, first_id long (ids of the shard before this
-    segment), data binary. Null text is empty and a null doc_id reads -1; every
+    segment), n_ids long, data binary. Null text is empty and a null doc_id reads -1; every
     document ends with ``end_id``. Documents are range-partitioned by doc_id; rows of
     one doc_id stay together in an order fixed by their text.
     """
@@ -216,7 +216,7 @@ def segments(docs: DataFrame, tokenizer_path: str, end_id: int = 0, segment_ids:
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), "<u4")
             data = encode_segment(np.array(names, np.int64), np.array(counts, np.uint32), ids)
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([data], pa.binary())], names=["shard", "segment", "first_id", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], names=["shard", "segment", "first_id", "n_ids", "data"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -234,7 +234,7 @@ def segments(docs: DataFrame, tokenizer_path: str, end_id: int = 0, segment_ids:
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     dealt = plain.repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(run, "shard int, segment int, first_id long, data binary")
+    return dealt.mapInArrow(run, "shard int, segment int, first_id long, n_ids long, data binary")
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
@@ -269,7 +269,7 @@ def document_index(written: DataFrame) -> DataFrame:
     shard, so the running sum over them is as small as the number of tasks.
     """
     rows = read_documents(written)
-    totals = materialize(rows.groupBy("shard").agg(F.sum("n_tokens").alias("ids_in_shard")), "dac-shards")
+    totals = written.groupBy("shard").agg(F.sum("n_ids").alias("ids_in_shard"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("shard", F.coalesce(F.sum("ids_in_shard").over(before), F.lit(0)).alias("base"))
     # at most one row for each task of the writing job

@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ GAIN, LEAST_NATS = 1e-6, 4.0
 #: Occurrences that the shorter context's distribution counts for, per distinct next byte.
 SMOOTHING = 0.5
 #: Words whose counts are sent to all tasks; the rest are joined.
-BROADCAST_WORDS = 200_000
+BROADCAST_WORDS = 100_000
 #: Distinct words or n-grams a task holds before it passes them on.
 HELD = 3_000_000
 #: Bytes that are scored at a time.
@@ -164,10 +165,20 @@ def tree(counts: DataFrame, gain: float = GAIN) -> DataFrame:
     return kept.select("state", "next", "n")
 
 
+def fit_bytes(counts: DataFrame, gain: float = GAIN) -> bytes:
+    """The pickled tree. Its size is bounded by ``gain`` whatever the input, so one task builds it and the driver only passes it on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches) or [pd.DataFrame({"state": [], "next": [], "n": []}, dtype="int64")])
+        yield pd.DataFrame({"model": [pickle.dumps(build(*[rows[c].to_numpy(np.int64) for c in ("state", "next", "n")]), protocol=5)]})
+
+    made = tree(counts, gain).repartition(1).mapInPandas(run, "model binary").first()  # no row where nothing was counted
+    empty = np.zeros(0, np.int64)
+    return bytes(made[0]) if made else pickle.dumps(build(empty, empty, empty))
+
+
 def fit(counts: DataFrame, gain: float = GAIN) -> dict:
-    """The tree as arrays; its size is bounded by ``gain``, whatever the input."""
-    rows = tree(counts, gain).toPandas()
-    return build(rows["state"].to_numpy(np.int64), rows["next"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
+    return pickle.loads(fit_bytes(counts, gain))
 
 
 def build(state: np.ndarray, following: np.ndarray, n: np.ndarray) -> dict:
@@ -230,8 +241,8 @@ class Scorer:
         return np.add.reduceat(each, starts, dtype=np.float64)
 
 
-def _frequent(vocabulary: DataFrame, most: int) -> dict[bytes, int]:
-    """Counts of the words at or above a count that ``most`` words have at most, and that of the end."""
+def _frequent(vocabulary: DataFrame, most: int) -> dict[bytes, float]:
+    """log10(count + 1) of the words at or above a count that ``most`` words have at most, and that of the end."""
     level = F.floor(F.log2(F.col("c").cast("double")) * 8)
     steps = {r[0]: r[1] for r in vocabulary.groupBy(level.alias("level")).count().collect()}  # 8 for each doubling
     taken, least = 0, None
@@ -240,7 +251,8 @@ def _frequent(vocabulary: DataFrame, most: int) -> dict[bytes, int]:
             break
         taken, least = taken + steps[step], step
     wanted = F.col("word") == F.lit(b"")
-    return {bytes(r[0]): r[1] for r in vocabulary.filter(wanted | (level >= least) if least is not None else wanted).collect()}
+    rows = vocabulary.filter(wanted | (level >= least) if least is not None else wanted).select("word", "c").toPandas()
+    return dict(zip(map(bytes, rows["word"]), np.log10(rows["c"].to_numpy(float) + 1).tolist(), strict=True))
 
 
 def scores(docs: DataFrame, train_on: Column, gain: float = GAIN) -> DataFrame:
@@ -257,15 +269,13 @@ def scores(docs: DataFrame, train_on: Column, gain: float = GAIN) -> DataFrame:
     rows = materialize(_train_rows(docs, train_on), "lm-counts")
     vocabulary = materialize(rows.filter(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
     n_all, n_distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = _frequent(vocabulary, BROADCAST_WORDS)
-    model = fit(rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.sum("n").alias("n")), gain)
-    logs = {w: float(np.log10(c + 1)) for w, c in frequent.items()}
-    sent = spark.sparkContext.broadcast(pickle.dumps((model, logs), protocol=5))
+    model = fit_bytes(rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.sum("n").alias("n")), gain)
+    sent = spark.sparkContext.broadcast((model, pickle.dumps(_frequent(vocabulary, BROADCAST_WORDS), protocol=5)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model, known = pickle.loads(sent.value)
+        model, known = map(pickle.loads, sent.value)
         scorer, row = Scorer(model), TaskContext.get().partitionId() << 36
         names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare"]
         for batch in batches:

@@ -25,7 +25,7 @@ SHORTEST, LONGEST = 3, 6
 SAMPLE_ROWS = 2500
 ROUNDS, BATCH, RATE, DECAY = 6, 64, 0.05, 1e-6
 #: Words a worker remembers the scores of; beyond it the memory starts anew.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 THRESHOLD = 0.3
 #: Texts that a bucket must occur in to count.
 LEAST_TEXTS = 3

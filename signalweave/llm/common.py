@@ -29,26 +29,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, in folders by column ``by`` if given, and read it back.
 
     Cuts the lineage, so that the loss of an executor costs no more than a
     reread, and fixes what later passes see.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._signalweave_path = path
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete a table made by :func:`materialize` that nothing reads any more."""
+def release(df: DataFrame, folder: str = "") -> None:
+    """Delete a table made by :func:`materialize`, or a folder of it, that nothing reads any more.
+
+    Spark removes shuffle files once the driver has collected what refers to them; with a folder, this asks it to.
+    """
     path = getattr(df, "_signalweave_path", None)
     if path:
         spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}" if folder else path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if folder:
+            spark._jvm.System.gc()
 
 
 def fold(doc_id: Column, parts: int) -> Column:

@@ -7,6 +7,11 @@ enough from what follows the context shorter by a byte. Next-byte distributions
 smoothed towards those of the shorter context. To score, each byte is predicted from
 the longest suffix of the bytes before it that is a state of the tree.
 
+The tree grows with the input, so no task holds all of it. Texts are cut into chunks; a chunk
+sends its distinct n-grams to shards, dealt by the last ``SHARD`` bytes of the context.
+All longer contexts of an n-gram are in its shard, which returns the n-grams'
+probabilities to the chunk. Shorter contexts are few and are sent to every task.
+
 Word counts, for the base score, come from all training texts too. Frequent words are sent to
 every task; the others are looked up by a join.
 """
@@ -18,32 +23,34 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, partitions, release
 
 #: Longest context, in bytes.
 DEPTH = 5
 #: A context is retained when its occurrences times their divergence from the shorter
-#: context (in nats) come to ``LEAST_NATS`` and to this share of all bytes. The share
-#: bounds the tree whatever the input: the occurrences at one depth sum to all bytes, so
-#: at most ``DEPTH * d / GAIN`` contexts qualify with mean divergence d; real text has d below 1.
-GAIN, LEAST_NATS = 1e-6, 4.0
+#: context (in nats) come to ``LEAST_NATS`` and to this share of all bytes. It is 0, so that a
+#: context with the same evidence is retained at every size of the input.
+GAIN, LEAST_NATS = 0.0, 4.0
 #: Occurrences that the shorter context's distribution counts for, per distinct next byte.
 SMOOTHING = 0.5
 #: Words whose counts are sent to all tasks; the rest are joined.
 BROADCAST_WORDS = 100_000
-#: Distinct words or n-grams a task holds before it passes them on.
-HELD = 3_000_000
-#: Bytes that are scored at a time.
-SLICE = 1 << 20
+#: Distinct words a task holds before it passes them on.
+HELD = 750_000
+#: Bytes that are counted at a time, and bytes of a chunk.
+SLICE, CHUNK = 1 << 20, 1 << 23
+#: Bytes at the end of a context that choose its shard.
+SHARD = 3
 #: The end of a text; UTF-8 has no such byte.
 END = 255
 #: Keys: one leading 1 bit, then 8 bits for each symbol, the latest lowest.
 BITS = 8
+#: Kinds of rows that a chunk makes: counts of words, counts of short n-grams, n-grams for a shard, texts.
+WORD, LOW, GRAMS, TEXT = range(4)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,189 +65,272 @@ def symbols_of(words: list[bytes]) -> np.ndarray:
     return out
 
 
-def grams(sequences: list[np.ndarray], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of the last ``depth`` symbols and the next one, and their counts.
+def keys_of(sequence: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """At each place, the key of the last ``depth`` symbols and the one there.
 
     Near the start of a text the context is as long as there are symbols before.
     """
-    parts = []
-    for s in sequences:
-        s = s.astype(np.uint64)
-        key = np.ones(s.size, np.uint64)
-        for back in range(depth, -1, -1):
-            if back == 0:
-                key = (key << np.uint64(BITS)) | s
-            elif s.size > back:
-                key[back:] = (key[back:] << np.uint64(BITS)) | s[:-back]
-        parts.append(key)
+    s = sequence.astype(np.uint64)
+    key = np.ones(s.size, np.uint64)
+    for back in range(DEPTH if depth is None else depth, -1, -1):
+        if back == 0:
+            key = (key << np.uint64(BITS)) | s
+        elif s.size > back:
+            key[back:] = (key[back:] << np.uint64(BITS)) | s[:-back]
+    return key
+
+
+def grams(sequences: list[np.ndarray], depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of the last ``depth`` symbols and the next one, and their counts."""
+    parts = [keys_of(s, depth) for s in sequences]
     return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-# ---------------------------------------------------------------- training
-def _train_rows(docs: DataFrame, train_on: Column) -> DataFrame:
-    """Partial counts over training texts: words (word, n; the end is the empty word) and n-grams (key, n)."""
+def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all parts and their summed counts."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(where, np.concatenate([n for _, n in parts]), keys.size).astype(np.int64)
+
+
+def _start(symbols: int) -> np.uint64:
+    """The least key of so many symbols."""
+    return np.uint64(1 << (BITS * symbols))
+
+
+def _suffix(key: np.ndarray, symbols: int) -> np.ndarray:
+    """The last ``symbols`` symbols of keys that have as many or more, as keys."""
+    return (key & (_start(symbols) - np.uint64(1))) | _start(symbols)
+
+
+# ---------------------------------------------------------------- the tree
+def smooth(keys: np.ndarray, n: np.ndarray, below: np.ndarray, share: np.ndarray, first: int = 0, last: int | None = None, least: float = LEAST_NATS, forced: np.ndarray | None = None, every: bool = False) -> dict:
+    """Probabilities of the last symbol of distinct n-grams after their longest retained context.
+
+    Handles contexts of ``first`` to ``last`` symbols; ``n`` are training counts (0 where an
+    n-gram only occurs in texts to score), ``below`` and ``share`` the smoothed and the plain
+    probability after the context of ``first - 1`` symbols. All n-grams with a context
+    of ``first`` symbols must be given together. Retained are contexts that pass the divergence
+    test or are in ``forced`` (of ``last`` symbols), with all their suffixes, or all contexts if ``every``.
+    Returns value, share (after the longest context handled), deep (a context of ``first`` symbols
+    is retained) and roots (the retained contexts of ``first`` symbols).
+    """
+    last = DEPTH if last is None else last
+    levels, share = [], share.copy()
+    for d in range(first, last + 1):
+        at = np.flatnonzero(keys >= _start(d + 1))
+        pair, at_one, pair_of = np.unique(_suffix(keys[at], d + 1), return_index=True, return_inverse=True)
+        count = np.bincount(pair_of, n[at], pair.size)
+        state, state_of = np.unique(pair >> np.uint64(BITS), return_inverse=True)
+        total = np.bincount(state_of, count, state.size)
+        weight = SMOOTHING * np.maximum(1, np.bincount(state_of, count > 0, state.size))
+        plain = count / np.maximum(total, 1)[state_of]
+        passed = np.full(state.size, every or d == 0)
+        if d and not every:
+            seen = np.flatnonzero(count)
+            gains = count[seen] * np.log(plain[seen] / share[at[at_one[seen]]])
+            passed |= np.bincount(state_of[seen], gains, state.size) >= least
+        share[at] = plain[pair_of]
+        levels.append((d, at, pair_of, count, state, state_of, total, weight, passed))
+    held = forced
+    for d, _, _, _, state, _, _, _, passed in reversed(levels):
+        if held is not None and held.size:
+            passed |= np.isin(state, held)
+        held = _suffix(state[passed], d - 1) if d else None
+    value, deep = below.astype(float), np.zeros(keys.size, bool)
+    for d, at, pair_of, count, _, state_of, total, weight, passed in levels:
+        on = passed[state_of][pair_of]
+        if d == first:
+            deep[at] = on
+        of, at = pair_of[on], at[on]
+        group = state_of[of]
+        value[at] = (count[of] + weight[group] * value[at]) / (total[group] + weight[group])
+    return {"value": value, "share": share, "deep": deep, "roots": levels[0][4][levels[0][8]]}
+
+
+def fit(counts: DataFrame, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray, float]:
+    """n-gram counts (key, n) and the least gain of a context, for :class:`Scorer`; they have to fit the driver."""
+    rows = counts.select("key", "n").toPandas()
+    keys, n = merge([(rows["key"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))])
+    return keys, n, max(LEAST_NATS, gain * float(n.sum()))
+
+
+class Scorer:
+    """Scores a few texts by counts held in memory, without shards."""
+
+    def __init__(self, model: tuple[np.ndarray, np.ndarray, float]):
+        self.keys, self.n, self.least = model
+
+    def __call__(self, sequences: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of each sequence of symbols."""
+        places = [keys_of(s) for s in sequences]
+        keys, n = merge([(self.keys, self.n), *[(k, np.zeros(k.size, np.int64)) for k in places]])
+        value = smooth(keys, n, np.full(keys.size, 1 / 256), np.ones(keys.size), least=self.least)["value"]
+        return np.array([np.log10(value[np.searchsorted(keys, k)]).sum() for k in places])
+
+
+# ---------------------------------------------------------------- chunks and shards
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of equal length, byte planes apart, compressed."""
+    return pa.compress(b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(a.size, a.itemsize).T).tobytes() for a in arrays), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int, *kinds: type) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    planes = np.frombuffer(pa.decompress(data, n * sum(sizes), "zstd", asbytes=True), np.uint8).reshape(-1, n)
+    cuts = np.cumsum([0, *sizes])
+    return [np.ascontiguousarray(planes[a:b].T).view(k).ravel() for a, b, k in zip(cuts[:-1], cuts[1:], kinds, strict=True)]
+
+
+def _dealt(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """Shard and places in ``keys`` of the n-grams that have a context of ``SHARD`` symbols or more."""
+    at = np.flatnonzero(keys >= _start(SHARD + 1))
+    mixed = _suffix(keys[at] >> np.uint64(BITS), SHARD) * np.uint64(0x9E3779B97F4A7C15)
+    shard = ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    return [(int(shard[part[0]]), at[part]) for part in np.split(order, cuts) if part.size]
+
+
+def _low(keys: np.ndarray) -> np.ndarray:
+    """The n-gram with a context shorter than ``SHARD``."""
+    return np.where(keys >= _start(SHARD), _suffix(keys, SHARD), keys)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[tuple]]:
+    """Rows with the same value in column ``by``, which are next to each other."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held and row[by] != held[0][by]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _count_rows(docs: DataFrame, train_on: Column, shards: int) -> DataFrame:
+    """Rows of every kind (kind, chunk, shard, n, data); a ``LOW`` row has its key as chunk. The end is the empty word."""
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        keys, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        from pyspark import TaskContext
 
-        def batch_of(word: list, key: list, n: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["word", "key", "n"])
+        words: Counter = Counter()
+        chunk = TaskContext.get().partitionId() << 16
+        ids, texts, parts, size = [], [], [], 0
+        held: dict[bool, list] = {True: [], False: []}
+        waiting = 0
 
-        def add_grams() -> None:
-            nonlocal keys, counts, held, size
-            k, c = grams(held)
-            both = np.concatenate((keys, k))
-            keys, where = np.unique(both, return_inverse=True)
-            counts = np.bincount(where, np.concatenate((counts, c)), keys.size).astype(np.int64)
-            held, size = [], 0
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "chunk", "shard", "n", "data"])
 
         def out_words() -> Iterator[pa.RecordBatch]:
             items = list(words.items())
-            for at in range(0, len(items), 50_000):
-                part = items[at : at + 50_000]
-                yield batch_of([w for w, _ in part], [None] * len(part), [n for _, n in part])
+            for at in range(0, len(items), 10_000):
+                yield batch_of([(WORD, None, None, n, w) for w, n in items[at : at + 10_000]])
             words.clear()
 
-        def out_grams() -> Iterator[pa.RecordBatch]:
-            nonlocal keys, counts
-            for at in range(0, keys.size, 50_000):
-                part = keys[at : at + 50_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.nulls(part.size, pa.binary()), pa.array(part), pa.array(counts[at : at + 50_000])], names=["word", "key", "n"])
-            keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        def add_grams() -> None:
+            nonlocal waiting
+            for train, sequences in held.items():
+                if sequences:
+                    keys, n = grams(sequences)
+                    parts.append((keys, n if train else np.zeros(keys.size, np.int64)))
+            held[True], held[False], waiting = [], [], 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal ids, texts, parts, size, chunk
+            add_grams()
+            keys, n = merge(parts)
+            raw = pickle.dumps((ids, np.concatenate(texts).tobytes()), protocol=5)
+            yield batch_of([(TEXT, chunk, -1, len(raw), pa.compress(raw, "zstd", asbytes=True))])
+            low, n_low = merge([(_low(keys), n)])
+            low, n_low = low.view(np.int64).tolist(), n_low.tolist()
+            for at in range(0, len(low), 10_000):
+                yield batch_of([(LOW, k, None, c, None) for k, c in zip(low[at : at + 10_000], n_low[at : at + 10_000], strict=True)])
+            for shard, at in _dealt(keys, shards):
+                yield batch_of([(GRAMS, chunk, shard, at.size, _pack(keys[at], n[at].astype(np.uint32)))])
+            ids, texts, parts, size, chunk = [], [], [], 0, chunk + 1
 
         for batch in batches:
-            for text in batch.column(0):
+            for doc_id, text, train in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 mine = words_of(text.as_py())
-                words.update(mine)
-                words[b""] += 1
-                held.append(symbols_of(mine))
-                size += held[-1].size
-                if size >= SLICE:
+                if train:
+                    words.update(mine)
+                    words[b""] += 1
+                symbols = symbols_of(mine)
+                ids.append(doc_id)
+                texts.append(symbols)
+                held[bool(train)].append(symbols)
+                waiting += symbols.size
+                size += symbols.size
+                if waiting >= SLICE:
                     add_grams()
-                    if keys.size > HELD:
-                        yield from out_grams()
-                if len(words) > HELD // 4:
+                if size >= CHUNK:
+                    yield from close()
+                if len(words) > HELD:
                     yield from out_words()
-        if held:
-            add_grams()
+        if ids:
+            yield from close()
         yield from out_words()
-        yield from out_grams()
-
-    return docs.filter(train_on).select("text").mapInArrow(run, "word binary, key long, n long")
-
-
-def _shift(key: Column, symbols: int) -> Column:
-    return F.shiftrightunsigned(key, BITS * symbols)
-
 
-def _suffix(key: Column, symbols: int) -> Column:
-    """The last ``symbols`` symbols of a key that has as many or more, as a key."""
-    return key.bitwiseAND(F.lit((1 << (BITS * symbols)) - 1)).bitwiseOR(F.lit(1 << (BITS * symbols)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train_on.alias("train")).mapInArrow(run, "kind int, chunk long, shard int, n long, data binary")
 
 
-def tree(counts: DataFrame, gain: float = GAIN) -> DataFrame:
-    """States of the tree from n-gram counts (key, n): (state, next, n), state 1 being the empty context.
+def _shard_values(rows: DataFrame, shards: int, low: object, least: float) -> DataFrame:
+    """chunk, shard, n, data: log10 probabilities of a chunk's n-grams in a shard, NaN where no context of ``SHARD`` symbols is retained.
 
-    Retained are contexts that pass the divergence test, and all their suffixes.
+    The row without a chunk has the suffixes, shorter by one, of the retained contexts of ``SHARD`` symbols.
     """
-    levels = [F.when(F.col("key") >= (1 << (BITS * (d + 1))), F.struct(F.lit(d).alias("depth"), _suffix(F.col("key"), d + 1).alias("key"))) for d in range(DEPTH + 1)]
-    every = counts.select(F.explode(F.array(*levels)).alias("k"), "n").filter(F.col("k").isNotNull()).select("k.depth", "k.key", "n")
-    every = every.groupBy("depth", "key").agg(F.sum("n").alias("n"))
-    every = materialize(every.select("depth", _shift(F.col("key"), 1).alias("state"), F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("next"), "n"), "contexts")
-    totals = every.groupBy("depth", "state").agg(F.sum("n").alias("total"))
-    bytes_seen = totals.filter("depth = 0").agg(F.max("total")).first()[0] or 0
-    rows = every.join(totals, ["depth", "state"])
-    shorter = F.lit(None).cast("long")
-    for d in range(1, DEPTH + 1):
-        shorter = F.when(F.col("depth") == d, _suffix(F.col("state"), d - 1)).otherwise(shorter)
-    rows = rows.withColumn("shorter", shorter)
-    above = rows.select((F.col("depth") + 1).alias("depth"), F.col("state").alias("shorter"), "next", (F.col("n") / F.col("total")).alias("q"))
-    tested = rows.filter("depth > 0").join(above, ["depth", "shorter", "next"])
-    passed = tested.groupBy("depth", "state").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain")).filter(F.col("gain") >= max(LEAST_NATS, gain * float(bytes_seen)))
-    # the suffixes of a retained context are retained
-    states = passed.select("state", F.col("depth").alias("d"))
-    suffixes = states.select(F.explode(F.array(*[F.when(F.col("d") >= d, _suffix(F.col("state"), d)) for d in range(DEPTH + 1)])).alias("state")).filter(F.col("state").isNotNull()).distinct()
-    kept = every.join(suffixes.filter("state <> 1"), "state").unionByName(every.filter("depth = 0"))
-    return kept.select("state", "next", "n")
-
-
-def fit_bytes(counts: DataFrame, gain: float = GAIN) -> bytes:
-    """The pickled tree. Its size is bounded by ``gain`` whatever the input, so one task builds it and the driver only passes it on."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches) or [pd.DataFrame({"state": [], "next": [], "n": []}, dtype="int64")])
-        yield pd.DataFrame({"model": [pickle.dumps(build(*[rows[c].to_numpy(np.int64) for c in ("state", "next", "n")]), protocol=5)]})
-
-    made = tree(counts, gain).repartition(1).mapInPandas(run, "model binary").first()  # no row where nothing was counted
-    empty = np.zeros(0, np.int64)
-    return bytes(made[0]) if made else pickle.dumps(build(empty, empty, empty))
-
-
-def fit(counts: DataFrame, gain: float = GAIN) -> dict:
-    return pickle.loads(fit_bytes(counts, gain))
-
-
-def build(state: np.ndarray, following: np.ndarray, n: np.ndarray) -> dict:
-    """child[node, symbol] leads from a context to that with one more symbol before it; logp[node, symbol]."""
-    states = np.unique(np.append(state, 1))
-    depth = np.array([(int(s).bit_length() - 1) // BITS for s in states])
-    order = np.lexsort((states, depth))
-    states, depth = states[order], depth[order]
-    node_of = {int(s): i for i, s in enumerate(states)}
-    used = np.unique(np.concatenate((following, [END])))
-    column = np.full(256, used.size, np.int64)  # bytes never seen share the last column
-    column[used] = np.arange(used.size)
-    child = np.full((states.size, used.size + 1), -1, np.int32)
-    up = np.zeros(states.size, np.int64)
-    for i, (s, d) in enumerate(zip(states.tolist(), depth.tolist(), strict=True)):
-        if d:
-            up[i] = node_of[(s & ((1 << (BITS * (d - 1))) - 1)) | (1 << (BITS * (d - 1)))]
-            child[up[i], column[(s >> (BITS * (d - 1))) & 255]] = i
-    counts = np.zeros((states.size, used.size + 1))
-    np.add.at(counts, (np.array([node_of[int(s)] for s in state], np.int64), column[following]), n)
-    unseen = 256 - used.size
-    base = np.full(used.size + 1, 1 / 256)
-    base[-1] = unseen / 256
-    probs = np.zeros_like(counts)
-    for i in range(states.size):
-        below = probs[up[i]] if i else base
-        weight = SMOOTHING * max(1, np.count_nonzero(counts[i]))
-        probs[i] = (counts[i] + weight * below) / (counts[i].sum() + weight)
-    if unseen:
-        probs[:, -1] /= unseen  # for one of them
-    with np.errstate(divide="ignore"):
-        logp = np.log10(probs).astype(np.float32)
-    return {"child": child, "logp": logp, "column": column}
 
-
-# ---------------------------------------------------------------- scoring
-class Scorer:
-    def __init__(self, model: dict):
-        self.child, self.logp, self.column = model["child"], model["logp"], model["column"].astype(np.int32)
-
-    def __call__(self, sequences: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each sequence of symbols."""
-        sizes = np.array([s.size for s in sequences])
-        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        symbols = self.column[np.concatenate(sequences)]
-        # symbols before each place in its own text
-        room = np.arange(symbols.size) - np.repeat(starts, sizes)
-        node = np.zeros(symbols.size, np.int32)
-        live = np.flatnonzero(room >= 1)
-        flat, width = self.child.ravel(), self.child.shape[1]
-        for back in range(1, DEPTH + 1):
-            deeper = np.take(flat, np.take(node, live).astype(np.int64) * width + np.take(symbols, live - back))
-            on = deeper >= 0
-            live, deeper = live[on], deeper[on]
-            node[live] = deeper
-            live = live[np.take(room, live) > back]
-            if not live.size:
-                break
-        each = np.take(self.logp.ravel(), node.astype(np.int64) * width + symbols)
-        return np.add.reduceat(each, starts, dtype=np.float64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["chunk", "shard", "n", "data"], (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        known, value, share = low.value
+        for group in _rows(batches, 1):
+            parts = [_unpack(data, n, np.uint64, np.uint32) for _, _, n, data in group]
+            keys, n = merge(parts)
+            at = np.searchsorted(known, _low(keys))
+            made = smooth(keys, n, value[at], share[at], SHARD, None, least)
+            logs = np.where(made["deep"], np.log10(made["value"]), np.nan).astype(np.float32)
+            roots = np.unique(_suffix(made["roots"], SHARD - 1))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, group[0][1], roots.size, _pack(roots)), kinds, strict=True)], names=names)
+            for (chunk, shard, size, _), (k, _) in zip(group, parts, strict=True):
+                row = (chunk, shard, size, _pack(logs[np.searchsorted(keys, k)]))
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
+
+    dealt = rows.filter(F.col("kind") == GRAMS).select("chunk", "shard", "n", "data").repartition(shards, "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, "chunk long, shard int, n long, data binary")
+
+
+def _chunk_scores(sequences: list[np.ndarray], values: list[tuple], shards: int, low: tuple) -> np.ndarray:
+    """log10 probability of each sequence of a chunk, from what the shards returned (shard, n, data)."""
+    found, slices, waiting, size = [], [], [], 0
+    for k, s in enumerate(sequences):
+        waiting.append(keys_of(s))
+        size += s.size
+        if size >= SLICE or k + 1 == len(sequences):
+            keys, where = np.unique(np.concatenate(waiting), return_inverse=True)
+            slices.append((keys, where.astype(np.int32), np.cumsum([0, *[w.size for w in waiting[:-1]]])))
+            waiting, size = [], 0
+    every = np.sort(np.concatenate([x[0] for x in slices]))  # np.unique would build a hash table here, slower and larger
+    every = every[np.append(True, every[1:] != every[:-1])]
+    known, value = low
+    logs = value[np.searchsorted(known, _low(every))]
+    of = {shard: (n, data) for shard, n, data in values}
+    for shard, at in _dealt(every, shards):
+        (mine,) = _unpack(of[shard][1], of[shard][0], np.float32)
+        deep = ~np.isnan(mine)
+        logs[at[deep]] = mine[deep]
+    for keys, where, starts in slices:
+        each = logs[np.searchsorted(every, keys)][where]
+        found.append(np.add.reduceat(each, starts, dtype=np.float64))
+    return np.concatenate(found)
 
 
+# ---------------------------------------------------------------- scoring
 def _frequent(vocabulary: DataFrame, most: int) -> dict[bytes, float]:
     """log10(count + 1) of the words at or above a count that ``most`` words have at most, and that of the end."""
     level = F.floor(F.log2(F.col("c").cast("double")) * 8)
@@ -265,52 +355,56 @@ def scores(docs: DataFrame, train_on: Column, gain: float = GAIN) -> DataFrame:
     the tree's log10 probability of the text. Without training rows all bytes are
     equally likely. Repeated rows are repeated in the result.
     """
-    spark = docs.sparkSession
-    rows = materialize(_train_rows(docs, train_on), "lm-counts")
-    vocabulary = materialize(rows.filter(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
+    spark, shards = docs.sparkSession, partitions(docs)
+    rows = materialize(_count_rows(docs, train_on, shards), "lm-counts", by="kind")
+    vocabulary = materialize(rows.filter(F.col("kind") == WORD).groupBy(F.col("data").alias("word")).agg(F.sum("n").alias("c")), "lm-words")
+    release(rows, f"kind={WORD}")
     n_all, n_distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    model = fit_bytes(rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.sum("n").alias("n")), gain)
-    sent = spark.sparkContext.broadcast((model, pickle.dumps(_frequent(vocabulary, BROADCAST_WORDS), protocol=5)))
+    # contexts of fewer than SHARD bytes, and what follows them: as many as the bytes in use allow, whatever the input
+    short = rows.filter(F.col("kind") == LOW).groupBy(F.col("chunk").alias("key")).agg(F.sum("n").alias("n")).toPandas()
+    low, n_low = merge([(short["key"].to_numpy(np.int64).view(np.uint64), short["n"].to_numpy(np.int64))])
+    least, ones = max(LEAST_NATS, gain * float(n_low.sum())), np.ones(low.size)
+    full = smooth(low, n_low, ones / 256, ones, 0, SHARD - 1, every=True)
+    values = materialize(_shard_values(rows, shards, spark.sparkContext.broadcast((low, full["value"], full["share"])), least), "lm-values")
+    release(rows, f"kind={GRAMS}")
+    roots = [_unpack(bytes(r["data"]), r["n"], np.uint64)[0] for r in values.filter(F.col("chunk").isNull()).select("n", "data").collect() if r["n"]]
+    forced = np.unique(np.concatenate(roots)) if roots else np.zeros(0, np.uint64)
+    exact = smooth(low, n_low, ones / 256, ones, 0, SHARD - 1, least, forced)
+    sent = spark.sparkContext.broadcast((low, np.log10(exact["value"]), pickle.dumps(_frequent(vocabulary, BROADCAST_WORDS), protocol=5)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        model, known = map(pickle.loads, sent.value)
-        scorer, row = Scorer(model), TaskContext.get().partitionId() << 36
+        low, value, known = sent.value
+        known = pickle.loads(known)
         names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare"]
-        for batch in batches:
-            columns: list[list] = [[], [], [], [], []]
-            rare_words, rare_counts, bounds, sequences, size = [], [], [0], [], 0
-
-            def close() -> pa.RecordBatch:
+        for (chunk, _, size, data), *returned in _rows(batches, 0):
+            ids, symbols = pickle.loads(pa.decompress(data, size, "zstd", asbytes=True))
+            texts = symbols.split(bytes([END]))[:-1]
+            logs = _chunk_scores([np.frombuffer(t + bytes([END]), np.uint8) for t in texts], [r[1:] for r in returned], shards, (low, value))
+            for begin in range(0, len(ids), 10_000):
+                columns: list[list] = [[], [], [], [], []]
+                rare_words, rare_counts, bounds = [], [], [0]
+                for k in range(begin, min(begin + 10_000, len(ids))):
+                    words = texts[k].split()
+                    found = [known.get(w) for w in words]
+                    missing = Counter([w for w, x in zip(words, found, strict=True) if x is None])
+                    seen = len(words) - missing.total() + (b"" in known)
+                    base = known.get(b"", 0.0) + sum([x for x in found if x is not None])
+                    for column, x in zip(columns, ((chunk << 24) + k, ids[k], len(words) + 1, seen, base), strict=True):
+                        column.append(x)
+                    rare_words += missing.keys()
+                    rare_counts += missing.values()
+                    bounds.append(len(rare_words))
                 pairs = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int32())], names=["word", "n"])
                 rare = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs)
                 plain = [pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 4 + (pa.float64(),), strict=True)]
-                return pa.RecordBatch.from_arrays([*plain, pa.array(scorer(sequences)), rare], names=names)
-
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(text.as_py())
-                found = [known.get(w) for w in words]
-                missing = Counter([w for w, x in zip(words, found, strict=True) if x is None])
-                seen = len(words) - missing.total() + (b"" in known)
-                base = known.get(b"", 0.0) + sum([x for x in found if x is not None])
-                for column, value in zip(columns, (row, doc_id, len(words) + 1, seen, base), strict=True):
-                    column.append(value)
-                rare_words += missing.keys()
-                rare_counts += missing.values()
-                bounds.append(len(rare_words))
-                sequences.append(symbols_of(words))
-                size += sequences[-1].size
-                row += 1
-                if size >= SLICE:
-                    yield close()
-                    columns = [[], [], [], [], []]
-                    rare_words, rare_counts, bounds, sequences, size = [], [], [0], [], 0
-            if sequences:
-                yield close()
-
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, n: int>>")
+                yield pa.RecordBatch.from_arrays([*plain, pa.array(logs[begin : begin + 10_000]), rare], names=names)
+
+    texts = rows.filter(F.col("kind") == TEXT).select("chunk", "shard", "n", "data").union(values.filter(F.col("chunk").isNotNull()))
+    gathered = texts.repartition(shards, "chunk").sortWithinPartitions("chunk", "shard")
+    found = gathered.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, n: int>>")
     found = materialize(found, "lm-scored")
+    release(rows)
+    release(values)
     rare = found.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     looked = rare.join(vocabulary, "word").groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"))
     out = found.drop("rare").join(looked, "row", "left")

@@ -281,6 +281,25 @@ def test_suffix_tree_equals_brute_force(spark):
     assert all(np.isclose(sum(prob(ctx, x) for x in range(256)), 1) for ctx in list(kept)[:20])
 
 
+def test_lm_shards_equal_one_tree(spark, monkeypatch):
+    """Chunks and shards give the scores of a single tree; a byte's evidence does not count for less in a larger corpus."""
+    monkeypatch.setattr(lm_scoring, "CHUNK", 600)
+    monkeypatch.setattr(lm_scoring, "SLICE", 200)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice((EN + " " + DE).split(), 30)) for _ in range(60)] + [None, "", "é unseen"]
+    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
+    seqs = [lm_scoring.symbols_of(lm_scoring.words_of(t)) for t in texts]
+    keys, n = lm_scoring.grams([s for s, t in zip(seqs, train, strict=True) if t])
+    expected = lm_scoring.Scorer((keys, n, lm_scoring.LEAST_NATS))(seqs)
+    rows = {r["doc_id"]: r["score"] for r in lm_scoring.scores(docs_of(spark, texts).repartition(3), fold(F.col("doc_id"), 7) != 2).collect()}
+    assert np.allclose([rows[i] for i in range(len(texts))], expected, atol=1e-3)
+    # 26 other bytes, 200 million times each: the evidence that a context needs is as before
+    other = 32 + 64 + np.arange(26, dtype=np.uint64)
+    many = np.uint64(1 << 8) | other
+    model = lm_scoring.fit(spark.createDataFrame([(int(k), int(c)) for k, c in zip(np.append(keys, many), np.append(n, np.full(26, 200_000_000)), strict=True)], "key long, n long"))
+    assert model[2] == lm_scoring.LEAST_NATS
+
+
 # ---------------------------------------------------------------- decontamination
 def test_decontamination(spark):
     rng = np.random.default_rng(6)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions, release
 
 #: Longest context, in bytes.
-DEPTH = 5
+DEPTH = 6
 #: A context is retained when its occurrences times their divergence from the shorter
 #: context (in nats) come to ``LEAST_NATS`` and to this share of all bytes. It is 0, so that a
 #: context with the same evidence is retained at every size of the input.

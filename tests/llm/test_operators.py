@@ -300,6 +300,14 @@ def test_lm_shards_equal_one_tree(spark, monkeypatch):
     assert model[2] == lm_scoring.LEAST_NATS
 
 
+def test_lm_contexts_of_six_bytes():
+    """What follows "abcdef" and "xbcdef" differs in the sixth byte before it only."""
+    seqs = [np.frombuffer(s * 40, np.uint8) for s in (b"abcdef1 ", b"xbcdef2 ")]
+    model = (*lm_scoring.grams(seqs), lm_scoring.LEAST_NATS)
+    good, bad = lm_scoring.Scorer(model)([np.frombuffer(s, np.uint8) for s in (b"abcdef1", b"abcdef2")])
+    assert good > bad + 0.5
+
+
 # ---------------------------------------------------------------- decontamination
 def test_decontamination(spark):
     rng = np.random.default_rng(6)

@@ -28,6 +28,10 @@ from .common import materialize, partitions, release
 MOST_BITS = 4
 #: Members of a posting that are compared directly; longer ones are indexed again.
 BLOCK = 2048
+#: Least Jaccard similarity of the shingle sets of near copies that the pipeline's stage drops.
+SIMILAR = 0.8
+#: Bands of MinHash values, and values of a band: a pair of similarity 0.8 shares no band with probability 3e-6.
+BANDS, BAND = 24, 4
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -224,12 +228,121 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most_bits: int = MOST_BIT
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ---------------------------------------------------------------- similar shingle sets
+def _signature(text: str | None, shingle: int, factors: np.ndarray) -> tuple[int, np.ndarray, bytes] | None:
+    """Hash of the set of word shingles, one key for each band of its MinHash values, and the set (32-bit hashes, sorted)."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return None
+    k = min(shingle, len(words))
+    parts = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
+    hashes = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts)))
+    least = np.full(factors.size, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, hashes.size, 4096):
+        least = np.minimum(least, (factors[:, None] * hashes[at : at + 4096]).min(axis=1))
+    bands = [xxhash.xxh64_intdigest(least[b * BAND : (b + 1) * BAND].tobytes(), b) for b in range(BANDS)]
+    return xxhash.xxh64_intdigest(hashes.tobytes()), np.array(bands, np.uint64).view(np.int64), np.unique(hashes.astype(np.uint32)).tobytes()
+
+
+def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """node, fp, bands, shingles of every row that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = np.random.default_rng(7).integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                rows = [(x, made) for x in batch.column(0).slice(at, 1000).to_pylist() if (made := _signature(x, shingle, factors))]
+                fps = np.array([fingerprint(x, shingle) for x, _ in rows], np.uint64).view(np.int64)
+                nodes = np.array([m[0] for _, m in rows], np.uint64).view(np.int64)
+                arrays = [pa.array(nodes), pa.array(fps), pa.array([m[1] for _, m in rows], pa.list_(pa.int64())), pa.array([m[2] for _, m in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "fp", "bands", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "node long, fp long, bands array<long>, shingles binary")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows with the same first value, which are next to each other."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held and row[0] != held[0][0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _link_similar(nodes: list[int], sets: list[np.ndarray], forest: Forest) -> None:
+    """Link members whose sets have ``SIMILAR`` in common, by a search that leaves out those already reached."""
+    sizes = np.array([s.size for s in sets])
+    flat, owner, rest = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), np.arange(len(sets))
+    while rest.size > 1:
+        waiting, rest = [rest[0]], rest[1:]
+        held = np.isin(owner, rest)
+        flat, owner = flat[held], owner[held]
+        while waiting and rest.size:
+            x = waiting.pop()
+            common = np.bincount(owner[np.isin(flat, sets[x])], minlength=len(sets))[rest]
+            near = common >= SIMILAR * (sizes[x] + sizes[rest] - common)
+            if near.any():
+                found, rest = rest[near], rest[~near]
+                held = np.isin(owner, rest)
+                flat, owner = flat[held], owner[held]
+                waiting.extend(found)
+                for y in found.tolist():
+                    forest.link(nodes[x], nodes[y])
+
+
+def similar_links(signatures: DataFrame) -> DataFrame:
+    """Links (a, b) among nodes, enough to connect all that share a band and have a Jaccard similarity of ``SIMILAR`` or more."""
+    import xxhash
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            if len(rows) > 1:  # bands of the same members make one group
+                members = np.sort(np.array([r[1] for r in rows], np.int64))
+                name = np.full(members.size, xxhash.xxh64_intdigest(members.tobytes()), np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(members)], names=["name", "node"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for rows in _groups(batches):
+            _link_similar([r[1] for r in rows], [np.frombuffer(r[2], np.uint32) for r in rows], forest)
+        found = np.array(forest.links, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    n = partitions(signatures)
+    one = signatures.groupBy("node").agg(F.first("bands").alias("bands"))
+    postings = one.select(F.explode("bands").alias("key"), "node").repartition(n, "key").sortWithinPartitions("key")
+    groups = materialize(postings.mapInArrow(candidates, "name long, node long").distinct(), "groups")
+    wanted = groups.select("node").distinct()
+    sets = signatures.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    dealt = groups.join(sets, "node").select("name", "node", "shingles").repartition(n, "name").sortWithinPartitions("name")
+    return dealt.mapInArrow(verify, "a long, b long")
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, most_bits: int = MOST_BITS) -> DataFrame:
     """The rows of ``docs`` that have the smallest doc_id of their component, with all their columns.
 
+    Components are linked by fingerprints, as in :func:`near_duplicates`, and by sets of shingles with a
+    Jaccard similarity of ``SIMILAR`` or more. MinHash bands find the candidates for these, as
+    fingerprints of such pairs differ in more bits than positional bytes can guarantee.
     Rows that repeat one doc_id are one document and share its fate.
     """
-    found = near_duplicates(docs, shingle, most_bits)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    found = materialize(near_duplicates(docs, shingle, most_bits), "near")
+    signatures = materialize(_signatures(docs, shingle), "signatures")
+    named = found.select(F.col("fingerprint"), F.col("component_id").alias("c")).distinct()
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    places = materialize(signatures.select("node", hexed).distinct().join(named, "fingerprint").select("node", "c").distinct(), "places")
+    pairs = similar_links(signatures)
+    across = pairs.join(places.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(places.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
+    same = places.join(places.groupBy("node").agg(F.min("c").alias("ca")), "node").select("ca", F.col("c").alias("cb"))
+    edges = across.select("ca", "cb").union(same).filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    merged = components(edges)
+    release(signatures)
+    last = found.join(merged, found["component_id"] == merged["node"], "left").select("doc_id", F.coalesce("component", "component_id").alias("component_id"))
+    gone = last.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
-

@@ -223,6 +223,33 @@ def test_components_of_a_chain(spark):
     assert all(of[i] == 0 for i in range(61)) and of[101] == 100
 
 
+def test_drop_near_duplicates_finds_similar_sets(spark):
+    """Against brute-force Jaccard similarity: no two rows left are similar, and no row is dropped without a cause."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            copy = list(base)
+            for at in rng.choice(120, int(rng.integers(1, 5)), replace=False):
+                copy[at] = f"x{rng.integers(0, 5000)}"
+            texts.append(" ".join(copy))
+    texts += [None, "", "a b", "a b"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in [(t or "").split() for t in texts]]
+    similar = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    label = brute_components([brute_fingerprint(t, 5) for t in texts])
+    missed = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if similar(sets[i], sets[j]) and label[i] != label[j]:
+                missed += 1
+                a, b = min(label[i], label[j]), max(label[i], label[j])
+                label = [a if x == b else x for x in label]
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs_of(spark, texts)).collect()}
+    assert missed > 20 and kept == {i for i in range(len(texts)) if label[i] == i}
+
+
 # ---------------------------------------------------------------- LM scoring
 def test_lm_scoring(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "BROADCAST_WORDS", 5)

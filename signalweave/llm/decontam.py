@@ -61,26 +61,28 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
         hashed = hashed.union(items.filter(F.size("item") == n).select("item_id", "item", F.lit(0), _run(F.col("item"), F.lit(0), n)))
     hashed = materialize(hashed, "benchmark")
     n_hashed = hashed.count()
-    rows = docs.select(F.col("doc_id"), tokens(F.col("text")).alias("words"))
+    # a row is known by its id and its words, so that null and repeated ids are kept apart
+    rows = docs.select(F.col("doc_id"), tokens(F.col("text")).alias("words")).withColumn("row", F.struct("doc_id", F.xxhash64("words").alias("x"), F.hash("words").alias("h"), F.size("words").alias("n")))
     least = min(short + [SPAN])
     ats = F.when(F.size("words") >= least, F.sequence(F.lit(0), F.size("words") - least))
-    spots = rows.select("doc_id", "words", F.explode(ats).alias("at"))
+    spots = rows.select("row", "words", F.explode(ats).alias("at"))
     probe = _windows(F.col("words"), F.col("at"), masks)
     if short:
         probe = F.concat(probe, F.array(*[_run(F.col("words"), F.col("at"), n) for n in sorted(short)]))
-    spots = spots.select("doc_id", "words", "at", F.explode(probe).alias("hash"))
+    spots = spots.select("row", "words", "at", F.explode(probe).alias("hash"))
     if n_hashed <= BROADCAST_HASHES:
         hits = spots.join(F.broadcast(hashed), "hash")
     else:
         # the words stay out of the shuffle and come back for the few hits
-        narrow = spots.select("doc_id", "at", "hash").join(hashed, "hash").drop("hash").distinct()
-        hits = narrow.join(rows, "doc_id")
+        narrow = spots.select("row", "at", "hash").join(hashed, "hash").drop("hash").distinct()
+        words = rows.groupBy(F.col("row").alias("same")).agg(F.first("words").alias("words"))
+        hits = narrow.join(words, F.col("row").eqNullSafe(F.col("same")))
     start = F.col("at") - F.col("item_at")
     cut = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("item"))
     # one row per alignment, with the item's tokens and those of the document beside them
-    aligned = hits.select("doc_id", "item_id", start.alias("start"), "item", cut.alias("part")).groupBy("doc_id", "item_id", "start").agg(F.first("item").alias("item"), F.first("part").alias("part"))
+    aligned = hits.select("row", "item_id", start.alias("start"), "item", cut.alias("part")).groupBy("row", "item_id", "start").agg(F.first("item").alias("item"), F.first("part").alias("part"))
     agrees = F.transform("item", lambda w, k: F.coalesce(F.get("part", k + F.least(F.col("start"), F.lit(0))) == w, F.lit(False)).cast("int"))
-    aligned = aligned.select("doc_id", "item_id", F.size("item").alias("n"), agrees.alias("agrees"))
+    aligned = aligned.select(F.col("row.doc_id").alias("doc_id"), "item_id", F.size("item").alias("n"), agrees.alias("agrees"))
     total = lambda bits: F.aggregate(bits, F.lit(0), lambda a, x: a + x)
     stretches = F.transform(F.sequence(F.lit(1), F.col("n") - STRETCH + 1), lambda k: total(F.slice("agrees", k, F.lit(STRETCH))))
     judged = aligned.select("doc_id", "item_id", "n", total("agrees").alias("agreeing"), F.when(F.col("n") >= STRETCH, F.array_max(stretches)).otherwise(0).alias("stretch"))

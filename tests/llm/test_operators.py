@@ -384,13 +384,13 @@ def brute_url(url, rules):
     return host, path, best and best[3], best[2] if best else "allow"
 
 
-@pytest.mark.parametrize("cut", [4096, 2])
-def test_url_filter(spark, cut, monkeypatch):
-    monkeypatch.setattr(url_filter, "RANGE_BOUNDS", cut)
-    rules = url_filter.RULES + [("net", "/es/a/", "allow"), ("net", "/es/a/b", "block"), ("x.y", "", "block"), ("com", "/", "allow")]
+@pytest.mark.parametrize("ranges", [4, 23, 1])
+def test_url_filter(spark, ranges, monkeypatch):
+    monkeypatch.setattr(url_filter, "partitions", lambda df: ranges)
+    rules = url_filter.RULES + [("net", "/es/a/", "allow"), ("net", "/es/a/b", "block"), ("x.y", "", "block"), ("com", "/", "allow"), ("com", "/", "block"), ("a,b", "/", "block"), ("com", "/e\U0010ffff", "block")]
     rng = np.random.default_rng(8)
-    hosts = ["com", "example.com", "www.example.com", "a.www.EXAMPLE.com", "badexample.com", "net", "q.net", "x.y", "z.x.y", "y", "", "a..com", "com:80"]
-    paths = ["", "/", "/en", "/en/", "/en/x", "/es/", "/es/a/", "/es/a/bc", "/fr/1?x#y", "#/en/", "?/en/", "/é"]
+    hosts = ["com", "example.com", "www.example.com", "a.www.EXAMPLE.com", "badexample.com", "net", "q.net", "x.y", "z.x.y", "y", "", "a..com", "com:80", "com,example", "example,com", "a,b", "c.a,b", "com."]
+    paths = ["", "/", "/en", "/en/", "/en/x", "/es/", "/es/a/", "/es/a/bc", "/fr/1?x#y", "#/en/", "?/en/", "/é", "/es/\U0010ffff", "/e\U0010ffff\U0010ffff", "/e\U0010fffe"]
     urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "nothing", "a://b://com/en/", "http://com/" + "x" * 50000]
     urls += list(rng.choice(urls[:100], 30))
     pages = spark.createDataFrame([(i, None if u is None else str(u), "k", 1) for i, u in enumerate(urls)], "page_id long, url string, key string, salt int")
@@ -401,6 +401,37 @@ def test_url_filter(spark, cut, monkeypatch):
     assert none.filter("verdict <> 'allow' OR rule IS NOT NULL").isEmpty() and none.count() == len(urls)
 
 
+def test_url_filter_keeps_whole_pages(spark):
+    rows = [(1, "http://net/es/", "a"), (None, "http://net/es/", "b"), (None, "http://com/", "c"), (2, "http://com/", "d"), (3, None, "e"), (2, "http://com/", "d")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, blocked string")
+    kept = url_filter.keep_allowed(pages, url_filter.rules_table(spark))
+    assert kept.columns == pages.columns and sorted(r["blocked"] for r in kept.collect()) == ["d", "d", "e"]
+
+
+def test_url_filter_with_many_rules(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abc"), rng.integers(1, 3)))
+    name = lambda: ".".join(word() for _ in range(rng.integers(1, 4)))
+    place = lambda: "/" + "/".join(word() for _ in range(rng.integers(0, 5)))
+    rules = [(name(), place(), str(rng.choice(["allow", "block"]))) for _ in range(60_000)]
+    urls = [f"http://{name()}{place()}" for _ in range(3000)] + ["http://a.a/a"] * 1000
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    known = {}
+    for h, p, v in rules:
+        known[h, p] = max(v, known.get((h, p), ""))
+
+    def brute(url):
+        host, path = re.match("http://([^/]*)(.*)", url).groups()
+        labels = host.split(".")
+        suffixes = [".".join(labels[i:]) for i in range(len(labels))]
+        fits = [(len(h) + k, len(h), known[h, path[:k]], h + path[:k]) for h in suffixes for k in range(len(path) + 1) if (h, path[:k]) in known]
+        best = max(fits, default=None)
+        return host, path, best and best[3], best[2] if best else "allow"
+
+    found = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert found == {i: brute(u) for i, u in enumerate(urls)}
+
+
 # ---------------------------------------------------------------- mixing
 @pytest.mark.parametrize("bits", [12, 2])
 def test_mixing(spark, bits, monkeypatch):

@@ -73,8 +73,8 @@ def pair_events(events: DataFrame, start: list[str] | str, end: str, by: list[st
     """Each start event with the onset of the next strictly later end event (end_onset).
 
     Starts without a later end, or nearer to it than ``min_length`` seconds, are dropped.
-    ``by`` names the keys of a recording. A running minimum from behind finds the ends, with
-    no join.
+    ``by`` names the keys of a recording. Onsets are walked from behind with the least end
+    seen so far, and the result joins back by onset.
     """
     starts = [start] if isinstance(start, str) else start
     # the next end at or after; those at the very onset don't count
@@ -82,7 +82,7 @@ def pair_events(events: DataFrame, start: list[str] | str, end: str, by: list[st
     ends = F.when(F.col("type") == end, F.col("onset"))
     table = events.withColumn("group_onset", F.dense_rank().over(order)).withColumn("end_here", ends)
     per = table.groupBy(*(by or []), "group_onset").agg(F.max("end_here").alias("end_at"))
-    behind = Window.partitionBy(*(by or [])).orderBy("group_onset").rowsBetween(1, Window.unboundedFollowing)
+    behind = Window.partitionBy(*(by or [])).orderBy(F.desc("group_onset")).rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("end_onset", F.min("end_at").over(behind)).drop("end_at")
     found = table.join(per, [*(by or []), "group_onset"]).filter(F.col("type").isin(*starts) & F.col("end_onset").isNotNull()).drop("group_onset", "end_here")
     if min_length is not None:

@@ -20,8 +20,12 @@ def has_missing(signals: DataFrame) -> bool:
 
 
 def _around(signals: DataFrame):
+    """Running frames up to each sample, and from behind down to it: the last value of each is the nearest.
+
+    A frame that starts at the current row would be evaluated anew for every row.
+    """
     before = along(signals).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = along(signals).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys_of(signals)).orderBy(F.desc("sample")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return before, after
 
 
@@ -36,14 +40,14 @@ def fill_mean(signals: DataFrame) -> DataFrame:
 def fill_last(signals: DataFrame) -> DataFrame:
     """Last value carried forward; leading gaps take the first value."""
     before, after = _around(signals)
-    return signals.withColumn("value", F.coalesce(F.last("value", ignorenulls=True).over(before), F.first("value", ignorenulls=True).over(after)))
+    return signals.withColumn("value", F.coalesce(F.last("value", ignorenulls=True).over(before), F.last("value", ignorenulls=True).over(after)))
 
 
 def interpolate(signals: DataFrame) -> DataFrame:
     """Linear over the sample index, ends extended; series with fewer than two values stay as they are."""
     before, after = _around(signals)
     known = F.when(F.col("value").isNotNull(), F.struct("sample", "value"))
-    low, high = F.last(known, ignorenulls=True).over(before), F.first(known, ignorenulls=True).over(after)
+    low, high = F.last(known, ignorenulls=True).over(before), F.last(known, ignorenulls=True).over(after)
     rows = signals.withColumn("low", low).withColumn("high", high).withColumn("n_known", F.count("value").over(whole(signals)))
     slope = (F.col("high.value") - F.col("low.value")) / F.nullif(F.col("high.sample") - F.col("low.sample"), F.lit(0))
     line = F.col("low.value") + slope * (F.col("sample") - F.col("low.sample"))
@@ -77,7 +81,7 @@ def fill_edges(signals: DataFrame, method: str = "extend") -> DataFrame:
     if method not in ("extend", "zero"):
         raise ValueError("method must be extend or zero")
     before, after = _around(signals)
-    previous, following = F.last("value", ignorenulls=True).over(before), F.first("value", ignorenulls=True).over(after)
+    previous, following = F.last("value", ignorenulls=True).over(before), F.last("value", ignorenulls=True).over(after)
     edge = previous.isNull() | following.isNull()
     value = F.lit(0.0) if method == "zero" else F.coalesce(previous, following)
     some = F.count("value").over(whole(signals)) > 0

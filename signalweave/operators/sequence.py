@@ -155,7 +155,7 @@ def adjust_p(rows: DataFrame, p: str = "p", method: str = "BH", by: list[str] |
     if method == "bonferroni":
         found = F.least(F.lit(1.0), F.col(p) * F.col("n_"))
     elif method == "BH":
-        found = F.least(F.lit(1.0), F.min(F.col(p) * F.col("n_") / F.col("rank_")).over(Window.partitionBy(*keys, known).orderBy("rank_").rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+        found = F.least(F.lit(1.0), F.min(F.col(p) * F.col("n_") / F.col("rank_")).over(Window.partitionBy(*keys, known).orderBy(F.desc("rank_")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     elif method == "holm":
         found = F.least(F.lit(1.0), F.max(F.col(p) * (F.col("n_") - F.col("rank_") + 1)).over(Window.partitionBy(*keys, known).orderBy("rank_").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     else:

@@ -136,7 +136,6 @@ class PieceEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # only byte-level pre-tokenizers cut before white space whatever follows
         self.by_pieces = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, ByteLevel)
         # their tokens are written with one character for each byte

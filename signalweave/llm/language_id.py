@@ -5,7 +5,7 @@ into interpolated Kneser-Ney probabilities. All languages share one sorted array
 n-gram hashes per order, with a row of log probabilities beside it (one for each
 language, smoothing resolved), and one per context with the back-off weights. A text
 gets the language of lowest cross-entropy per character. It is rejected where even
-that is above what training texts of the language show, by a margin that allows for
+that is above what unseen texts of the language show, by a margin that allows for
 the length.
 """
 
@@ -19,15 +19,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, worker_cache
 
-ORDER = 4
+#: Longest n-gram, and bits of a symbol in it; a packed n-gram has 64 bits.
+ORDER, BITS = 4, 16
 #: Training rows of a language, in expectation. A fixed fraction of its rows is drawn by a
 #: hash of the id, so that a larger corpus doesn't mean a larger model.
 SAMPLE_ROWS = 500
 #: Discount of Kneser-Ney smoothing.
 DISCOUNT = 0.75
-#: Nats per character above the training mean, and standard errors, before a text is rejected.
+#: One in so many texts is set apart to measure the cross-entropy of unseen texts.
+FOLD = 5
+#: Nats per character above that mean, and standard errors, before a text is rejected.
 SLACK_NATS, SLACK_SIGMAS = 1.0, 5.0
 #: Characters that are scored at a time.
 SLICE = 1 << 20
@@ -35,28 +38,23 @@ UNKNOWN = "und"
 
 
 class Folding:
-    """Maps code points to symbols: 0 for other than letters, 1 for unseen letters, 2 and up as trained."""
+    """Maps code points to symbols: 0 for other than letters, 1 for unseen letters, 2 and up as trained.
+
+    Symbols have ``BITS`` bits. Letters beyond that many, which no sample has had yet, share the symbols of others.
+    """
 
     def __init__(self, letters: np.ndarray):
-        self.letters = letters[:253]
-        self.low = np.zeros(0x3000, np.uint8)
-        for i in range(0x3000):
-            if chr(i).isalpha():
-                self.low[i] = 1
-        for k, point in enumerate(self.letters.tolist()):
-            if point < self.low.size:
-                self.low[point] = k + 2
-        self.high = {int(p): k + 2 for k, p in enumerate(self.letters.tolist()) if p >= self.low.size}
+        self.letters = letters
+        cache = worker_cache()
+        if "alphabetic" not in cache:
+            cache["alphabetic"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+        self.symbol = cache["alphabetic"].astype(np.uint16)
+        self.symbol[letters] = np.arange(letters.size) % ((1 << BITS) - 2) + 2
 
     def __call__(self, text: str) -> np.ndarray:
         """Symbols with runs of 0 collapsed, one before the first and after the last letter."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        out = self.low[np.minimum(points, self.low.size - 1)]
-        above = np.flatnonzero(points >= self.low.size)
-        if above.size:
-            values = [self.high.get(p) or int(chr(p).isalpha()) for p in points[above].tolist()]
-            out[above] = np.array(values, np.uint8)
-        out = np.concatenate((np.zeros(1, np.uint8), out, np.zeros(1, np.uint8)))
+        out = self.symbol[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+        out = np.concatenate((np.zeros(1, np.uint16), out, np.zeros(1, np.uint16)))
         return out[np.concatenate(([True], (out[1:] != 0) | (out[:-1] != 0)))]
 
 
@@ -69,12 +67,12 @@ def _mix(keys: np.ndarray, order: int) -> np.ndarray:
 
 
 def _packed(symbols: np.ndarray, order: int) -> np.ndarray:
-    """For each position from 1 on: the last ``order`` symbols up to it, in 8 bits each (0 before the start)."""
+    """For each position from 1 on: the last ``order`` symbols up to it, in ``BITS`` bits each (0 before the start)."""
     padded = np.concatenate((np.zeros(order, np.uint64), symbols.astype(np.uint64)))
     out = np.zeros(symbols.size - 1, np.uint64)
     for k in range(order):
         back = order - 1 - k
-        out |= padded[order + 1 - back : order + symbols.size - back] << np.uint64(8 * back)
+        out |= padded[order + 1 - back : order + symbols.size - back] << np.uint64(BITS * back)
     return out
 
 
@@ -107,7 +105,34 @@ def _count(packed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: dict[str, list[str]]) -> dict:
-    """Models of all languages with at least one letter in ``texts``."""
+    """Models of all languages with at least one letter in ``texts``, with the limits of rejection.
+
+    The limits come from texts that a model has not seen: every ``FOLD``-th text of a language
+    is scored by models of the others. Languages with fewer texts are measured on their own.
+    """
+    rest = {lang: [t for i, t in enumerate(ts) if i % FOLD or len(ts) < FOLD] for lang, ts in texts.items()}
+    apart = {lang: ts[::FOLD] if len(ts) >= FOLD else ts for lang, ts in texts.items()}
+    model, held = _models(texts), _models(rest)
+    unseen, seen = Scorer(held), Scorer(model)
+    means, spreads = [], []
+    for lang in model["langs"]:
+        for judge, mine in ((unseen, apart[lang]), (seen, texts[lang])):
+            if lang not in judge.langs:
+                continue
+            sums, lengths = judge.sums(mine)
+            keep = lengths > 0
+            if keep.any():
+                break
+        j = judge.langs.index(lang)
+        entropy = -sums[keep, j] / lengths[keep]
+        mean = float(-sums[keep, j].sum() / lengths[keep].sum())
+        means.append(mean)
+        spreads.append(float(np.sqrt(np.average((entropy - mean) ** 2 * lengths[keep]))))
+    model["mean"], model["spread"] = np.array(means), np.array(spreads)
+    return model
+
+
+def _models(texts: dict[str, list[str]]) -> dict:
     points = np.concatenate([np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for ts in texts.values() for t in ts] or [np.zeros(0, np.uint32)])
     values, counts = np.unique(points, return_counts=True)
     letters = [(c, v) for v, c in zip(values.tolist(), counts.tolist(), strict=True) if chr(v).isalpha()]
@@ -123,17 +148,17 @@ def train(texts: dict[str, list[str]]) -> dict:
     previous: tuple[np.ndarray, np.ndarray] | None = None
     for n in range(1, ORDER + 1):
         union = np.unique(np.concatenate([grams[n - 1][lang][0] for lang in langs])) if langs else np.zeros(0, np.uint64)
-        contexts = np.unique(union >> np.uint64(8))
+        contexts = np.unique(union >> np.uint64(BITS))
         probs = np.zeros((union.size, len(langs)))
         weights = np.ones((contexts.size, len(langs)))
         for j, lang in enumerate(langs):
             keys, found = grams[n - 1][lang]
             if n < ORDER:
-                keys, found = np.unique(grams[n][lang][0] & np.uint64((1 << (8 * n)) - 1), return_counts=True)
+                keys, found = np.unique(grams[n][lang][0] & np.uint64((1 << (BITS * n)) - 1), return_counts=True)
             at = np.searchsorted(union, keys)
             count = np.zeros(union.size)
             count[at] = found
-            where = np.searchsorted(contexts, union >> np.uint64(8))
+            where = np.searchsorted(contexts, union >> np.uint64(BITS))
             total = np.bincount(where, count, contexts.size)
             kinds = np.bincount(where, count > 0, contexts.size)
             seen = total > 0
@@ -141,24 +166,13 @@ def train(texts: dict[str, list[str]]) -> dict:
             if previous is None:
                 below = np.full(union.size, 1.0 / size)
             else:
-                below = previous[1][np.searchsorted(previous[0], union & np.uint64((1 << (8 * (n - 1))) - 1)), j]
+                below = previous[1][np.searchsorted(previous[0], union & np.uint64((1 << (BITS * (n - 1))) - 1)), j]
             share = np.divide(np.maximum(count - DISCOUNT, 0), total[where], out=np.zeros(union.size), where=seen[where])
             probs[:, j] = share + weights[where, j] * below
         previous = (union, probs)
         model["tables"].append((_mix(union, n), np.log(probs).astype(np.float32)))
         model["weights"].append((_mix(contexts, 100 + n), np.log(weights).astype(np.float32)))
     model["floor"] = float(np.log(1.0 / size))
-    # calibration: cross-entropies of the training texts
-    scorer = Scorer(model)
-    means, spreads = [], []
-    for j, lang in enumerate(langs):
-        sums, lengths = scorer.sums(texts[lang])
-        keep = lengths > 0
-        entropy = -sums[keep, j] / lengths[keep]
-        mean = float(-sums[keep, j].sum() / lengths[keep].sum())
-        means.append(mean)
-        spreads.append(float(np.sqrt(np.average((entropy - mean) ** 2 * lengths[keep]))))
-    model["mean"], model["spread"] = np.array(means), np.array(spreads)
     return model
 
 
@@ -174,7 +188,7 @@ class Scorer:
         packed = _packed(symbols, ORDER)
         left = np.arange(packed.size)
         for n in range(ORDER, 0, -1):
-            grams = packed[left] & np.uint64((1 << (8 * n)) - 1)
+            grams = packed[left] & np.uint64((1 << (BITS * n)) - 1)
             at = self.tables[n - 1].find(_mix(grams, n))
             hit = at >= 0
             if n == ORDER:
@@ -185,7 +199,7 @@ class Scorer:
             left, grams = left[~hit], grams[~hit]
             if not left.size:
                 return out
-            at = self.weights[n - 1].find(_mix(grams >> np.uint64(8), 100 + n))
+            at = self.weights[n - 1].find(_mix(grams >> np.uint64(BITS), 100 + n))
             known = at >= 0
             out[left[known]] += self.weights[n - 1].values[at[known]]
         out[left] += np.float32(self.model["floor"])
@@ -199,7 +213,7 @@ class Scorer:
         held: list[np.ndarray] = []
         owners: list[int] = []
         size = 0
-        lead = np.zeros(ORDER - 1, np.uint8)
+        lead = np.zeros(ORDER - 1, np.uint16)
 
         def flush() -> None:
             # each text brings its own start, so scores don't depend on what else is in the slice
@@ -279,8 +293,11 @@ def classify(docs: DataFrame, model: dict, name: str) -> DataFrame:
     """``docs`` with lang_pred, score, cross_entropy and rejected as fields of the column ``name``.
 
     lang_pred is a trained language, or ``und`` for texts that are null or have no letter
-    (score 0, rejected). Whole texts are scored. Rows keep their columns.
+    (score 0, rejected). Whole texts are scored, ``SLICE`` characters at a time or one text if longer.
+    Rows keep their columns and repeated rows are repeated; ``name`` must not be one of the columns.
     """
+    if fresh(docs, name) != name:
+        raise ValueError(f"there is a column {name!r} already")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)

@@ -1,30 +1,35 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A mask is laid over every window of tokens; the tokens at its kept positions are
-hashed together and the others ignored, so a substituted token spoils only the windows
-that keep it. Hashes of documents are joined with those of the benchmark. Each hit
-fixes an alignment of document and item, along which the tokens around the hit are
-compared one by one. Everything is made of DataFrame functions.
+hashed together and the others ignored, so substituted tokens spoil only the windows
+that keep them. Hashes of documents are joined with those of the benchmark. Each hit
+fixes an alignment of document and item, along which all tokens of the item are compared with
+those around the hit. Everything is made of DataFrame functions.
+
+The masks keep every choice of three among five tokens that starts with the first. An alignment on which
+60 % of the tokens agree has three agreeing ones among some five in a row, as not every
+five can have two, and so is hit at least once, wherever the substitutions are.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize
 
-#: Masks over windows of 8 tokens: kept positions are 1. They ignore different positions,
-#: so that a run of 8 tokens with any one substituted is hit by one of them.
-MASKS = ("11011010", "01101101", "10110111")
+#: Masks: kept positions of up to five tokens in a row are 1.
+MASKS = tuple("".join("1" if i in (0, *rest) else "0" for i in range(rest[-1] + 1)) for rest in combinations(range(1, 5), 2))
 #: Least share of an item's tokens that must agree along the alignment, and least number.
 LEAST_SHARE, LEAST_TOKENS = 0.6, 5
 #: A stretch of an item leaks too: so many agreeing tokens among so many in a row.
 STRETCH, STRETCH_AGREE = 16, 13
-#: Items with fewer tokens match as exact runs; with fewer than LEAST_RUN they carry no evidence.
-SPAN, LEAST_RUN = 8, 3
-#: Benchmark hashes that are sent to all tasks; more are joined by a shuffle.
-BROADCAST_HASHES = 1_000_000
+#: Items with fewer tokens carry no evidence.
+LEAST_RUN = 3
+#: Bytes of the benchmark's hashes and tokens that are sent to all tasks; more are joined by shuffles.
+BROADCAST_BYTES = 96 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -33,13 +38,33 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _windows(words: Column, at: Column, masks: tuple[str, ...]) -> Column:
-    """Array of the masked hashes of the window at ``at`` (0-based); the mask's number is hashed too."""
-    return F.array(*[F.xxhash64(F.lit(k), *[F.get(words, at + i) for i, keep in enumerate(m) if keep == "1"]) for k, m in enumerate(masks)])
+def _masked(words: Column, at: Column, masks: tuple[str, ...]) -> Column:
+    """Array of the masked hashes of the windows at ``at`` (0-based), null where a mask reaches beyond the end.
+
+    The mask's number is hashed too.
+    """
+    hashes = [(len(m), F.xxhash64(F.lit(k), *[F.get(words, at + i) for i, keep in enumerate(m) if keep == "1"])) for k, m in enumerate(masks)]
+    return F.array(*[F.when(at + n <= F.size(words), x) for n, x in hashes])
 
 
-def _run(words: Column, at: Column, length: int) -> Column:
-    return F.xxhash64(F.lit(-length), *[F.get(words, at + i) for i in range(length)])
+def _seeds(rows: DataFrame, words: str, masks: tuple[str, ...], *columns: str) -> DataFrame:
+    """columns, at and hash of every masked window of the array ``words``."""
+    least = min(map(len, masks))
+    at = F.when(F.size(words) >= least, F.sequence(F.lit(0), F.size(words) - least))
+    spots = rows.select(*columns, words, F.explode(at).alias("at")) if words not in columns else rows.select(*columns, F.explode(at).alias("at"))
+    return spots.select(*columns, "at", F.explode(_masked(F.col(words), F.col("at"), masks)).alias("hash")).filter("hash IS NOT NULL")
+
+
+def _judged(aligned: DataFrame) -> DataFrame:
+    """doc_id, item_id, n and agreeing of the alignments (words, item, start) that count as contained."""
+    same = F.transform("item", lambda w, k: F.coalesce(F.get("words", F.col("start") + k) == w, F.lit(False)).cast("int"))
+    total = lambda bits: F.aggregate(bits, F.lit(0), lambda a, x: a + x)
+    found = aligned.select("doc_id", "item_id", F.size("item").alias("n"), same.alias("same")).withColumn("agreeing", total(F.col("same")))
+    share = F.col("agreeing") / F.col("n")
+    whole = (share >= LEAST_SHARE) & ((F.col("agreeing") >= LEAST_TOKENS) | (F.col("agreeing") == F.col("n")))
+    stretches = F.transform(F.sequence(F.lit(1), F.col("n") - STRETCH + 1), lambda k: total(F.slice("same", k, F.lit(STRETCH))))
+    part = F.when((F.col("n") >= STRETCH) & (F.col("agreeing") >= STRETCH_AGREE), F.array_max(stretches) >= STRETCH_AGREE).otherwise(False)
+    return found.filter(whole | part).select("doc_id", "item_id", "n", "agreeing")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
@@ -47,49 +72,30 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 
     agreeing is the number of tokens that agree on the best alignment (at most one per
     token of the item), share its part of the item. A document contains an item when
-    share is ``LEAST_SHARE`` or more with ``LEAST_TOKENS`` agreeing, or when ``STRETCH_AGREE``
-    of ``STRETCH`` tokens in a row agree. Items shorter than ``SPAN`` tokens match as exact
-    runs; those of one or two tokens match nothing. Null texts have no tokens. Rows with
-    a null doc_id are judged too; repeated rows give one result per id and item.
+    share is ``LEAST_SHARE`` or more with ``LEAST_TOKENS`` agreeing (all of them in shorter items), or when ``STRETCH_AGREE``
+    of ``STRETCH`` tokens in a row agree; every such alignment is found. Items of one or two tokens match
+    nothing. Null texts have no tokens. Rows with a null doc_id are judged too, and a row is judged by its
+    own text where others repeat its id; the result has one row per id and item, with the best of them. The same holds for
+    items. Whole texts of any length are read; empty tables give an empty result, and other columns are not looked at.
     """
     items = benchmark.select("item_id", tokens(F.col("text")).alias("item")).filter(F.size("item") >= LEAST_RUN)
-    places = F.sequence(F.lit(0), F.size("item") - SPAN)
-    long_items = items.filter(F.size("item") >= SPAN).select("item_id", "item", F.explode(places).alias("item_at"))
-    hashed = long_items.select("item_id", "item", "item_at", F.explode(_windows(F.col("item"), F.col("item_at"), masks)).alias("hash"))
-    short = [r[0] for r in items.filter(F.size("item") < SPAN).select(F.size("item")).distinct().collect()]  # at most five lengths
-    for n in sorted(short):
-        hashed = hashed.union(items.filter(F.size("item") == n).select("item_id", "item", F.lit(0), _run(F.col("item"), F.lit(0), n)))
-    hashed = materialize(hashed, "benchmark")
-    n_hashed = hashed.count()
-    # a row is known by its id and its words, so that null and repeated ids are kept apart
-    rows = docs.select(F.col("doc_id"), tokens(F.col("text")).alias("words")).withColumn("row", F.struct("doc_id", F.xxhash64("words").alias("x"), F.hash("words").alias("h"), F.size("words").alias("n")))
-    least = min(short + [SPAN])
-    ats = F.when(F.size("words") >= least, F.sequence(F.lit(0), F.size("words") - least))
-    spots = rows.select("row", "words", F.explode(ats).alias("at"))
-    probe = _windows(F.col("words"), F.col("at"), masks)
-    if short:
-        probe = F.concat(probe, F.array(*[_run(F.col("words"), F.col("at"), n) for n in sorted(short)]))
-    spots = spots.select("row", "words", "at", F.explode(probe).alias("hash"))
-    if n_hashed <= BROADCAST_HASHES:
-        hits = spots.join(F.broadcast(hashed), "hash")
+    items = materialize(items.withColumn("item_no", F.monotonically_increasing_id()), "benchmark")
+    size = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
+    seeds = _seeds(items, "item", masks, "item_no").select("item_no", F.col("at").alias("item_at"), "hash")
+    rows = docs.select("doc_id", tokens(F.col("text")).alias("words"))
+    start = (F.col("at") - F.col("item_at")).alias("start")
+    if size * (8 + 64 * len(masks)) <= BROADCAST_BYTES:
+        hits = _seeds(rows, "words", masks, "doc_id", "words").join(F.broadcast(seeds), "hash").join(F.broadcast(items), "item_no")
+        found = _judged(hits.select("doc_id", "item_id", "words", "item", start))
     else:
-        # the words stay out of the shuffle and come back for the few hits
-        narrow = spots.select("row", "at", "hash").join(hashed, "hash").drop("hash").distinct()
-        words = rows.groupBy(F.col("row").alias("same")).agg(F.first("words").alias("words"))
-        hits = narrow.join(words, F.col("row").eqNullSafe(F.col("same")))
-    start = F.col("at") - F.col("item_at")
-    cut = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("item"))
-    # one row per alignment, with the item's tokens and those of the document beside them
-    aligned = hits.select("row", "item_id", start.alias("start"), "item", cut.alias("part")).groupBy("row", "item_id", "start").agg(F.first("item").alias("item"), F.first("part").alias("part"))
-    agrees = F.transform("item", lambda w, k: F.coalesce(F.get("part", k + F.least(F.col("start"), F.lit(0))) == w, F.lit(False)).cast("int"))
-    aligned = aligned.select(F.col("row.doc_id").alias("doc_id"), "item_id", F.size("item").alias("n"), agrees.alias("agrees"))
-    total = lambda bits: F.aggregate(bits, F.lit(0), lambda a, x: a + x)
-    stretches = F.transform(F.sequence(F.lit(1), F.col("n") - STRETCH + 1), lambda k: total(F.slice("agrees", k, F.lit(STRETCH))))
-    judged = aligned.select("doc_id", "item_id", "n", total("agrees").alias("agreeing"), F.when(F.col("n") >= STRETCH, F.array_max(stretches)).otherwise(0).alias("stretch"))
-    share = F.col("agreeing") / F.col("n")
-    enough = ((share >= LEAST_SHARE) & ((F.col("agreeing") >= LEAST_TOKENS) | (F.col("agreeing") == F.col("n")))) | (F.col("stretch") >= STRETCH_AGREE)
-    found = judged.filter(enough).groupBy("doc_id", "item_id").agg(F.max("agreeing").alias("agreeing"), F.max(share).alias("share"))
-    return found.select("doc_id", "item_id", F.col("agreeing").cast("long").alias("agreeing"), "share")
+        # a row is known by its id and its words; these stay out of the large shuffle and come back once for each alignment
+        rows = rows.withColumn("row", F.struct("doc_id", F.xxhash64("words").alias("x"), F.hash("words").alias("h"), F.size("words").alias("n")))
+        hits = _seeds(rows, "words", masks, "row").join(seeds, "hash").select("row", "item_no", start).distinct()
+        texts = rows.groupBy(F.col("row").alias("same_row")).agg(F.first("words").alias("words"))
+        aligned = hits.join(items, "item_no").join(texts, F.col("row").eqNullSafe(F.col("same_row")))
+        found = _judged(aligned.select(F.col("row.doc_id").alias("doc_id"), "item_id", "words", "item", "start"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max("agreeing").cast("long").alias("agreeing"), F.max(F.col("agreeing") / F.col("n")).alias("share"))
+    return best.select("doc_id", "item_id", "agreeing", "share")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

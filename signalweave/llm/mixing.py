@@ -51,7 +51,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     out = out.withColumn("budget", F.sum("source_size").over(everything) * float(share))
     rise = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source").cast("binary"))
     before = F.coalesce(F.sum("cap").over(rise.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(rise.rowsBetween(0, Window.unboundedFollowing))
+    rest = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(rise.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     out = out.withColumn("level", (F.col("budget") - before) / rest)
     # the level holds from the first source that it doesn't fill
     out = out.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct((F.col("cap") / F.col("weight")).alias("a"), F.col("level").alias("b")))).over(everything)["b"])

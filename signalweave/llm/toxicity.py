@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 BUCKETS, DIMENSIONS = 1 << 17, 4
 SHORTEST, LONGEST = 3, 6
 #: Labelled rows of each class that are trained on, in expectation; drawn by a hash of the id.
@@ -159,9 +161,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, sample_rows: int =
 
     About ``sample_rows`` rows of each class are drawn by a hash of the id; the sample is
     bounded, so one task trains. The model is a number per bucket, whatever the input. Where the
-    draw changed the proportion of the classes, the bias is set back to it. Null labels are left
-    out, of repeated labels of an id the highest counts; without labels of both classes the
-    score is their share.
+    draw changed the proportion of the classes, the bias is set back to it. Null labels and ids are left
+    out, of repeated labels of an id the highest counts; documents that repeat an id are all learned from, equal ones
+    once. Null texts are empty and whole texts are used; without labels of both classes, or on
+    empty tables, the score is the share of the labels.
     """
     marks = labels.filter(train_on & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}  # two rows
@@ -184,7 +187,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, sample_rows: int =
 
 
 def score(docs: DataFrame, model: dict, name: str) -> DataFrame:
-    """``docs`` with the toxicity (0 to 1) of each whole text in the column ``name``; null texts count as empty."""
+    """``docs`` with the toxicity (0 to 1) of each whole text in the column ``name``.
+
+    Null and empty texts have the score of the bias alone. A text of any length is one mean over its words. Rows
+    keep their columns and repeated rows are repeated; ``name`` must not be one of the columns.
+    """
+    if fresh(docs, name) != name:
+        raise ValueError(f"there is a column {name!r} already")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

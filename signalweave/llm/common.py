@@ -29,14 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder, in folders by column ``by`` if given, and read it back.
 
     Cuts the lineage, so that the loss of an executor costs no more than a
     reread, and fixes what later passes see.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
+    df.write.option("compression", compression).parquet(path, partitionBy=by)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._signalweave_path = path
     return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..model import Recording
 from .binary import _matrix, files
+from .filesystem import write_bytes
 
 #: Numbers of the format's data types and array classes.
 DATA_TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8", 16: "u1", 17: "u2", 18: "u4"}
@@ -148,5 +149,4 @@ def write_mat(recording: Recording, path: str, eeg: bool = False) -> None:
     else:
         variables = {"data": data.T, "srate": rate, "labels": names}
     header = b"MATLAB 5.0 MAT-file".ljust(116) + bytes(8) + struct.pack("<H", 0x0100) + b"IM"
-    with open(path, "wb") as f:
-        f.write(header + b"".join(_packed(k, v) for k, v in variables.items()))
+    write_bytes(recording.signals.sparkSession, path, header + b"".join(_packed(k, v) for k, v in variables.items()))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..model import Recording, clean
 from ..operators.events import with_defaults
 from ..operators.select import wide
+from .filesystem import exists, folders, read_bytes, write_bytes
 
 
 def _path_columns(df: DataFrame, names: list[str]) -> list[str]:
@@ -139,45 +139,43 @@ def bids_name(subject: str, session: str | None = None, task: str | None = None,
 
 
 def bids_folder(root: str, subject: str, session: str | None = None, modality: str = "eeg") -> str:
-    return os.path.join(root, f"sub-{subject}", *([f"ses-{session}"] if session else []), modality)
+    return "/".join([root, f"sub-{subject}", *([f"ses-{session}"] if session else []), modality])
 
 
 def list_subjects(root: str) -> list[str]:
     """S14."""
-    return sorted(d[4:] for d in os.listdir(root) if d.startswith("sub-") and os.path.isdir(os.path.join(root, d)))
+    return [d[4:] for d in folders(root) if d.startswith("sub-")]
 
 
 def list_sessions(root: str, subject: str) -> list[str]:
     """S14."""
-    home = os.path.join(root, f"sub-{subject}")
-    return sorted(d[4:] for d in os.listdir(home) if d.startswith("ses-")) if os.path.isdir(home) else []
+    return [d[4:] for d in folders(f"{root}/sub-{subject}") if d.startswith("ses-")]
 
 
 def validate_bids(root: str) -> dict:
     """Valid, errors and warnings of a dataset's layout."""
     errors, warnings = [], []
-    description = os.path.join(root, "dataset_description.json")
-    if not os.path.isfile(description):
+    description = f"{root}/dataset_description.json"
+    if not exists(description):
         errors.append("dataset_description.json is missing")
     else:
-        with open(description) as f:
-            fields = json.load(f)
+        fields = json.loads(read_bytes(SparkSession.getActiveSession(), description))
         if not fields.get("Name"):
             errors.append("dataset_description.json has no Name")
         if not fields.get("BIDSVersion"):
             warnings.append("dataset_description.json has no BIDSVersion")
-    subjects = list_subjects(root) if os.path.isdir(root) else []
+    subjects = list_subjects(root)
     if not subjects:
         errors.append("there is no subject folder")
     for s in subjects:
-        homes = [os.path.join(root, f"sub-{s}"), *[os.path.join(root, f"sub-{s}", f"ses-{x}") for x in list_sessions(root, s)]]
-        if not any(os.path.isdir(os.path.join(h, m)) for h in homes for m in ("eeg", "emg", "ieeg", "meg", "motion", "beh")):
+        homes = [f"{root}/sub-{s}", *[f"{root}/sub-{s}/ses-{x}" for x in list_sessions(root, s)]]
+        if not any(set(folders(h)) & {"eeg", "emg", "ieeg", "meg", "motion", "beh"} for h in homes):
             warnings.append(f"sub-{s} has no folder of a known modality")
     return {"valid": not errors, "errors": errors, "warnings": warnings}
 
 
 def _tsv(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.csv(path, header=True, inferSchema=True, sep="\t", nullValue="n/a") if os.path.exists(path) else None
+    return spark.read.csv(path, header=True, inferSchema=True, sep="\t", nullValue="n/a") if exists(path, spark) else None
 
 
 def write_bids(recording: Recording, root: str, subject: str, task: str, session: str | None = None, run: str | None = None, modality: str = "eeg", name: str = "dataset") -> str:
@@ -185,23 +183,22 @@ def write_bids(recording: Recording, root: str, subject: str, task: str, session
     from .binary import write_edf
 
     folder, base = bids_folder(root, subject, session, modality), bids_name(subject, session, task, run)
-    os.makedirs(folder, exist_ok=True)
+    spark = recording.signals.sparkSession
+    # one recording's metadata: a row per channel or event
+    table = lambda rows, kind: write_bytes(spark, f"{folder}/{base}_{kind}.tsv", rows.toPandas().to_csv(sep="\t", index=False, na_rep="n/a").encode())
     write_edf(recording, f"{folder}/{base}_{modality}.edf")
     channels = recording.channels
     if channels is None:
         channels = recording.signals.select("channel").distinct().select("channel", F.col("channel").alias("label"), F.lit("EEG").alias("type"), F.lit("uV").alias("unit"))
-    rows = channels.select(F.col("label").alias("name"), F.col("type"), F.col("unit").alias("units")).toPandas()
-    rows.to_csv(f"{folder}/{base}_channels.tsv", sep="\t", index=False, na_rep="n/a")
+    table(channels.select(F.col("label").alias("name"), F.col("type"), F.col("unit").alias("units")), "channels")
     if recording.events is not None:
-        recording.events.select("onset", "duration", F.col("type").alias("trial_type"), "value").toPandas().to_csv(f"{folder}/{base}_events.tsv", sep="\t", index=False, na_rep="n/a")
+        table(recording.events.select("onset", "duration", F.col("type").alias("trial_type"), "value"), "events")
     if "pos_x" in channels.columns:
-        channels.select(F.col("label").alias("name"), F.col("pos_x").alias("x"), F.col("pos_y").alias("y"), F.col("pos_z").alias("z")).toPandas().to_csv(f"{folder}/{base}_electrodes.tsv", sep="\t", index=False, na_rep="n/a")
-    with open(f"{folder}/{base}_{modality}.json", "w") as f:
-        json.dump({"TaskName": task, "SamplingFrequency": recording.sampling_rate, "RecordingDuration": recording.duration()}, f)
-    description = f"{root}/dataset_description.json"
-    if not os.path.exists(description):
-        with open(description, "w") as f:
-            json.dump({"Name": name, "BIDSVersion": "1.8.0"}, f)
+        table(channels.select(F.col("label").alias("name"), F.col("pos_x").alias("x"), F.col("pos_y").alias("y"), F.col("pos_z").alias("z")), "electrodes")
+    sidecar = {"TaskName": task, "SamplingFrequency": recording.sampling_rate, "RecordingDuration": recording.duration()}
+    write_bytes(spark, f"{folder}/{base}_{modality}.json", json.dumps(sidecar).encode())
+    if not exists(f"{root}/dataset_description.json", spark):
+        write_bytes(spark, f"{root}/dataset_description.json", json.dumps({"Name": name, "BIDSVersion": "1.8.0"}).encode())
     return f"{folder}/{base}_{modality}.edf"
 
 
@@ -211,7 +208,7 @@ def read_bids(spark: SparkSession, root: str, subject: str, task: str, session:
 
     folder, base = bids_folder(root, subject, session, modality), bids_name(subject, session, task, run)
     readers = {"edf": read_edf, "bdf": read_bdf}
-    kind = next((k for k in readers if os.path.exists(f"{folder}/{base}_{modality}.{k}")), None)
+    kind = next((k for k in readers if exists(f"{folder}/{base}_{modality}.{k}", spark)), None)
     if kind is None:
         raise FileNotFoundError(f"no recording {base}_{modality} in {folder}")
     recording = readers[kind](spark, f"{folder}/{base}_{modality}.{kind}")

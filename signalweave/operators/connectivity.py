@@ -186,3 +186,10 @@ def temporal_stability(dynamic: DataFrame, metric: str = "correlation") -> DataF
     else:
         raise ValueError("metric must be correlation or distance")
     return both.groupBy("window").agg(value.alias("stability"))
+
+
+def full_matrix(edges: DataFrame, diagonal: float = 1.0) -> DataFrame:
+    """A, b, value for every ordered pair of channels, ``diagonal`` for a channel with itself."""
+    ends = edges.select(F.col("a").alias("c")).union(edges.select("b")).distinct()
+    same = ends.select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(float(diagonal)).alias("value"))
+    return edges.select("a", "b", "value").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "value")).union(same)

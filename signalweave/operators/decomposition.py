@@ -233,3 +233,14 @@ def match_synergies(similarity: DataFrame) -> DataFrame:
             used_right.add(r["right"])
             out.append((r["left"], r["right"], r["similarity"]))
     return similarity.sparkSession.createDataFrame(out, "left int, right int, similarity double")
+
+
+def pseudoinverse(matrix: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
+    """Moore-Penrose inverse; singular values up to ``tolerance`` of the largest count as 0."""
+    return np.linalg.pinv(matrix, rcond=tolerance)
+
+
+def orthogonalize(matrix: np.ndarray) -> np.ndarray:
+    """The orthogonal matrix nearest to ``matrix``: its singular vectors with unit singular values."""
+    left, _, right = np.linalg.svd(matrix, full_matrices=False)
+    return left @ right

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import along, keys_of, per_series
+from ..model import Recording, along, keys_of, per_series
 from .sequence import stride
 
 BLOCK = 256
@@ -124,7 +124,11 @@ def run_section(section: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.nda
 
 
 def both_ways(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """forward and backward over ``x`` extended by odd reflection, each from the steady state of its first value."""
+    """forward and backward over ``x`` extended by odd reflection, each from the steady state of its first value.
+
+    A recursive filter carries a missing value over the whole series, so a series with one is missing throughout; fill
+    it first (``missing.handle``).
+    """
     pad = min(6 * len(sections), x.size - 1)
     if x.size < 2 or np.isnan(x).any():
         return np.full(x.size, np.nan) if np.isnan(x).any() else x.copy()
@@ -287,3 +291,23 @@ def rereference(signals: DataFrame, kind: str = "average", channels: list[str] |
     across = Window.partitionBy(*keys_of(signals, "channel"), "sample")
     out = signals.withColumn("value", F.col("value") - F.avg(F.when(counted, F.col("value"))).over(across))
     return out if keep or kind in ("average", "rest") else out.filter(~F.col("channel").isin(*channels))
+
+
+def rereference_recording(recording: Recording, kind: str = "average", channels: list[str] | None = None, exclude: list[str] | None = None, keep: bool = True) -> Recording:
+    """:func:`rereference` of a recording, which remembers the new reference and the one before."""
+    signals = rereference(recording.signals, kind, channels, exclude, keep)
+    name = "+".join(channels) if kind in ("channel", "channels") else "REST" if kind == "rest" else kind
+    table = recording.channels
+    if table is not None and not keep and kind in ("channel", "channels"):
+        table = table.filter(~F.col("channel").isin(*channels))
+    return recording.with_signals(signals, channels=table, reference=name, metadata=recording.metadata | {"previous_reference": recording.reference})
+
+
+def current_reference(recording: Recording) -> str | None:
+    """P15."""
+    return recording.reference
+
+
+def is_average_referenced(recording: Recording) -> bool:
+    """P15."""
+    return recording.reference == "average"

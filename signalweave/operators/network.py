@@ -105,7 +105,10 @@ def distances(matrix: np.ndarray, weighted: bool = False) -> np.ndarray:
 
 
 def betweenness(matrix: np.ndarray, normalized: bool = True) -> np.ndarray:
-    """Share of shortest paths through each node, by breadth-first searches that accumulate backwards."""
+    """Shortest paths through each node, by breadth-first searches that accumulate backwards.
+
+    Each pair of ends counts in both directions; normalised to a share of the pairs of other nodes.
+    """
     n = len(matrix)
     near = [np.flatnonzero(row).tolist() for row in matrix]
     total = np.zeros(n)
@@ -129,8 +132,7 @@ def betweenness(matrix: np.ndarray, normalized: bool = True) -> np.ndarray:
                 flow[v] += ways[v] / ways[w] * (1 + flow[w])
             if w != source:
                 total[w] += flow[w]
-    total /= 2
-    return total * 2 / ((n - 1) * (n - 2)) if normalized and n > 2 else total
+    return total / ((n - 1) * (n - 2)) if normalized and n > 2 else total
 
 
 def eigenvector(matrix: np.ndarray, rounds: int = 100, tolerance: float = 1e-6) -> np.ndarray:

@@ -249,3 +249,26 @@ def spm(tests: DataFrame, value: str = "t", alpha: float = 0.05, two_tailed: boo
     over = islands(curve.select(*keys, "sample", F.col(value).alias("value"), size.alias("re"), F.col("threshold").alias("im")), F.col("re") > F.col("im"))
     found = over.join(table, keys) if keys else over.join(table)
     return curve, found.withColumn("p", 1 - F.pow(1 - F.exp(-F.col("extent") / F.col("fwhm")), F.greatest(F.lit(1.0), F.col("resels")))).drop("resels")
+
+
+# ---------------------------------------------------------------- the browser code's variants
+#: The error function by a polynomial in 1 / (1 + p x).
+ERF_P, ERF_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def with_normal_p(tests: DataFrame, value: str = "t") -> DataFrame:
+    """Two-sided p of a statistic by the normal distribution, whatever its degrees of freedom."""
+    x = F.abs(F.col(value)) / float(np.sqrt(2))
+    u = 1 / (1 + ERF_P * x)
+    series = F.lit(0.0)
+    for a in reversed(ERF_A):
+        series = (series + a) * u
+    return tests.withColumn("p", series * F.exp(-x * x))
+
+
+def threshold_runs(tests: DataFrame, value: str = "t", limit: float = 2.0) -> DataFrame:
+    """Runs of samples with a statistic beyond ``limit`` on either side: start, end and its sum."""
+    keys = [c for c in tests.columns if c in ("rec", "channel")]
+    order = Window.partitionBy(*keys).orderBy("sample")
+    hits = tests.filter(F.abs(F.col(value)) > limit).withColumn("run", F.col("sample") - F.row_number().over(order))
+    return hits.groupBy(*keys, "run").agg(F.min("sample").alias("start"), F.max("sample").alias("end"), F.sum(value).alias("stat")).drop("run")

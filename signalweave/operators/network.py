@@ -280,7 +280,7 @@ def eigenvalues(network: DataFrame, by: list[str] | None = None) -> DataFrame:
     return per_network(network, run, "place int, eigenvalue double", by)
 
 
-def small_world(network: DataFrame, n_random: int = 20, seed: int = 1) -> DataFrame:
+def small_world(network: DataFrame, n_random: int = 100, seed: int = 1) -> DataFrame:
     """Sigma, with clustering and path length of the network and of ``n_random`` rewired ones.
 
     The random networks are spread over tasks, each seeded by its number; the network's matrix goes along.

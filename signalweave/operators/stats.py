@@ -104,23 +104,76 @@ def effect_size(epochs: DataFrame, first, second=None, pooled: bool = True) -> D
     return m.select(*points, "d", (F.col("d") - 1.96 * F.col("se")).alias("low"), (F.col("d") + 1.96 * F.col("se")).alias("high"))
 
 
+def _epoch_vectors(rows: DataFrame, first=None) -> tuple[DataFrame, list, list, int, int]:
+    """Epochs as vectors over all points: i (from 0; those of condition ``first`` come first), values (time by channel, NaN where missing).
+
+    Also the samples and channels that make up the points, the number of epochs and of those of ``first``.
+    """
+    if "channel" not in rows.columns:
+        rows = rows.withColumn("channel", F.lit("1"))
+    # one number per sample and per channel of an epoch
+    samples, channels = (sorted(r[0] for r in rows.select(c).distinct().collect()) for c in ("sample", "channel"))
+    of_sample, of_channel = {x: k for k, x in enumerate(samples)}, {x: k for k, x in enumerate(channels)}
+    mine = F.col("condition") == first if first is not None else F.lit(True)
+    numbered = rows.select("epoch", mine.alias("mine")).distinct().withColumn("i", F.row_number().over(Window.orderBy(F.desc("mine"), "epoch")) - 1)
+    n, n_first = numbered.agg(F.count("*"), F.count_if("mine")).first()
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        out = np.full((len(samples), len(channels)), np.nan)
+        out[frame["sample"].map(of_sample), frame["channel"].map(of_channel)] = frame["value"].to_numpy(float)
+        return pd.DataFrame({"i": [int(frame["i"].iloc[0])], "values": [out.ravel()]})
+
+    vectors = rows.join(numbered.drop("mine"), "epoch").groupBy("i").applyInPandas(pack, "i long, values array<double>")
+    return vectors, samples, channels, n, n_first
+
+
+def _drawn_sums(vectors: DataFrame, draws: int, weights, finish, out: str) -> DataFrame:
+    """``finish(draw, sums, counts)`` for each draw from 0 to ``draws``.
+
+    sums are those of the values over epochs, times ``weights(draw)``, an array over epochs; counts those of the
+    weights where values are not missing. Each task adds up its epochs as a product of matrices, so that draws times points leave it,
+    whatever the number of epochs.
+    """
+
+    def partial(batches):
+        sums = counts = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            v, at = np.stack(batch["values"].to_list()), batch["i"].to_numpy()
+            known = ~np.isnan(v)
+            w = np.stack([weights(k)[at] for k in range(draws + 1)])
+            s, c = w @ np.where(known, v, 0.0), w @ known
+            sums, counts = (s, c) if sums is None else (sums + s, counts + c)
+        for k in range(0 if sums is None else draws + 1):
+            yield pd.DataFrame({"draw": [k], "sums": [sums[k]], "counts": [counts[k]]})
+
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
+        return finish(int(frame["draw"].iloc[0]), np.sum(frame["sums"].to_list(), axis=0), np.sum(frame["counts"].to_list(), axis=0))
+
+    return vectors.mapInPandas(partial, "draw long, sums array<double>, counts array<double>").groupBy("draw").applyInPandas(total, out)
+
+
 def bootstrap_ci(epochs: DataFrame, n_draws: int = 1000, level: float = 0.95, condition=None, seed: int = 1) -> DataFrame:
     """H5: mean, se and interval of each point over resampled epochs.
 
-    Draw k takes each epoch as often as a Poisson(1) number seeded by k and the epoch, so
-    draws are sums that combine before the shuffle; no array of all epochs is built.
+    Draw k takes each epoch as often as a Poisson(1) number seeded by k, so draws are sums that combine before
+    the shuffle; no array of all epochs is built.
     """
     rows = _one_rep(epochs)
     rows = rows if condition is None else rows.filter(F.col("condition") == condition)
     points = _points(rows)
-    # inverse of the Poisson(1) distribution at a hashed uniform number
-    u = (F.pmod(F.xxhash64("epoch", "draw", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    steps = np.cumsum([np.exp(-1) / float(np.prod(range(1, k + 1) or [1])) for k in range(12)])
-    times = sum((u > float(s)).cast("int") for s in steps)
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws)))).withColumn("times", times)
-    means = drawn.groupBy(*points, "draw").agg(F.try_divide(F.sum(F.col("value") * F.col("times")), F.sum(F.when(F.col("value").isNotNull(), F.col("times"))).cast("double")).alias("m"))
+    vectors, samples, channels, n, _ = _epoch_vectors(rows)
+
+    def means(draw: int, sums: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+        with np.errstate(all="ignore"):
+            return pd.DataFrame({"draw": draw, "sample": np.repeat(samples, len(channels)), "channel": np.tile(channels, len(samples)), "m": np.where(counts > 0, sums / counts, np.nan)})
+
+    kind = rows.schema["channel"].dataType.simpleString() if "channel" in rows.columns else "string"
+    weights = lambda k: np.random.default_rng([seed, k]).poisson(1.0, n) if k else np.zeros(n)
+    drawn = _drawn_sums(vectors, n_draws, weights, means, f"draw long, sample long, channel {kind}, m double").filter("draw > 0 AND NOT isnan(m)")
     tail = (1 - level) / 2
-    band = means.groupBy(*points).agg(F.stddev_samp("m").alias("se"), F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
+    band = drawn.groupBy(*points).agg(F.stddev_samp("m").alias("se"), F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
     return rows.groupBy(*points).agg(F.avg("value").alias("mean")).join(band, points)
 
 
@@ -149,15 +202,20 @@ def label_clusters(over: np.ndarray) -> np.ndarray:
     return numbers.reshape(over.shape) if (label == 0).any() else numbers.reshape(over.shape) + 1
 
 
-def t_map(a: np.ndarray, b: np.ndarray | None) -> np.ndarray:
-    """t of (epoch, time, channel) arrays: one sample, or pooled two samples; 0 where undefined."""
+def t_of_sums(drawn: np.ndarray, n: int, n_first: int | None, total: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """t at each point from sums over epochs; 0 where undefined.
+
+    ``drawn`` are the sums over the first ``n_first`` of two groups, or with flipped signs if there is one;
+    ``total`` and ``squares`` the sums of all values and of their squares.
+    """
     with np.errstate(all="ignore"):
-        if b is None:
-            t = a.mean(axis=0) / (a.std(axis=0, ddof=1) / np.sqrt(len(a)))
+        if n_first is None:
+            t = drawn / n / np.sqrt((squares - drawn**2 / n) / (n - 1) / n)
         else:
-            n, m = len(a), len(b)
-            v = ((n - 1) * a.var(axis=0, ddof=1) + (m - 1) * b.var(axis=0, ddof=1)) / (n + m - 2)
-            t = (a.mean(axis=0) - b.mean(axis=0)) / np.sqrt(v * (1 / n + 1 / m))
+            m = n - n_first
+            rest = total - drawn
+            v = (squares - drawn**2 / n_first - rest**2 / m) / (n - 2)
+            t = (drawn / n_first - rest / m) / np.sqrt(v * (1 / n_first + 1 / m))
     return np.where(np.isfinite(t), t, 0.0)
 
 
@@ -172,49 +230,44 @@ def cluster_sums(t: np.ndarray, limit: float, tail: int) -> tuple[list[float], n
     return sums, marks
 
 
-def cluster_permutation(epochs: DataFrame, first, second=None, n_permutations: int = 1000, alpha: float = 0.05, tail: int = 0, seed: int = 1) -> DataFrame:
+def cluster_permutation(epochs: DataFrame, first, second=None, n_permutations: int = 1000, alpha: float = 0.05, tail: int = 0, seed: int = 1, limit: float | None = None) -> DataFrame:
     """H3: cluster, statistic (sum of t), p, first_sample, last_sample, n_points.
 
-    Clusters of the t map above the t quantile at ``alpha`` are held against the largest
-    cluster of each permutation: labels shuffled, or signs flipped for one condition. Permutations
-    are spread over tasks; the epochs of one test go along as an array.
+    Clusters of the t map above the t quantile at ``alpha`` (or above ``limit``) are held against the largest
+    cluster of each permutation: labels shuffled, or signs flipped for one condition. A permutation's t map follows from
+    sums over epochs, which each task takes of its own epochs. A point with a missing value in any epoch has t 0. Without epochs
+    there are no clusters.
     """
     rows = _one_rep(epochs)
     wanted = [first] if second is None else [first, second]
     rows = rows.filter(F.col("condition").isin(*wanted)) if "condition" in rows.columns else rows
-    if "channel" not in rows.columns:
-        rows = rows.withColumn("channel", F.lit("1"))
-    frame = rows.select("epoch", *(["condition"] if "condition" in rows.columns else []), "sample", "channel", "value").toPandas()
-    cube = frame.pivot_table(index="epoch", columns=["sample", "channel"], values="value", dropna=False)
-    samples, channels = sorted(frame["sample"].unique()), sorted(frame["channel"].unique())
-    data = cube.reindex(columns=pd.MultiIndex.from_product([samples, channels])).to_numpy().reshape(len(cube), len(samples), len(channels))
-    if second is None:
-        mask = np.ones(len(cube), bool)
-    else:
-        mask = (frame.drop_duplicates("epoch").set_index("epoch")["condition"].reindex(cube.index) == first).to_numpy()
-    df = len(data) - (1 if second is None else 2)
-    limit = dist.t_quantile(1 - alpha / (2 if tail == 0 else 1), df)
-    split = (lambda m: (data, None)) if second is None else (lambda m: (data[m], data[~m]))
-    sums, marks = cluster_sums(t_map(*split(mask)), limit, tail)
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for i in batch["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                t = t_map(data * rng.choice([-1.0, 1.0], len(data))[:, None, None], None) if second is None else t_map(*split(rng.permutation(mask)))
-                out.append(max(map(abs, cluster_sums(t, limit, tail)[0]), default=0.0))
-            yield pd.DataFrame({"largest": out})
-
-    spark = epochs.sparkSession
-    null = spark.range(n_permutations).mapInPandas(run, "largest double")
-    found = []
-    for k, s in enumerate(sums, 1):
-        at = np.argwhere(marks == k)[:, 0]
-        found.append((k, s, int(samples[at.min()]), int(samples[at.max()]), int(at.size)))
-    table = spark.createDataFrame(found, "cluster int, statistic double, first_sample int, last_sample int, n_points int")
-    counted = null.agg(F.collect_list("largest").alias("null_sums"))  # n_permutations numbers
-    return table.join(F.broadcast(counted)).withColumn("p", F.expr("size(filter(null_sums, x -> x >= abs(statistic))) / size(null_sums)")).drop("null_sums")
+    vectors, samples, channels, n, n_first = _epoch_vectors(rows, None if second is None else first)
+    vectors = vectors.persist()
+    # as many numbers as a map has points
+    known = vectors.select("i", F.posexplode("values").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")).toPandas().sort_values("at")
+    total, squares = known["s"].to_numpy(float), known["q"].to_numpy(float)
+    groups = None if second is None else n_first
+    if limit is None:
+        limit = dist.t_quantile(1 - alpha / (2 if tail == 0 else 1), max(1, n - (1 if second is None else 2)))
+
+    def weights(k: int) -> np.ndarray:
+        rng = np.random.default_rng([seed, k])
+        if second is None:
+            return rng.choice([-1.0, 1.0], n) if k else np.ones(n)
+        return ((rng.permutation(n) if k else np.arange(n)) < n_first).astype(float)
+
+    def clusters(draw: int, sums: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+        t = t_of_sums(np.where(np.isnan(total), np.nan, sums), n, groups, total, squares).reshape(len(samples), len(channels))
+        found, marks = cluster_sums(t, limit, tail)
+        if draw:
+            return pd.DataFrame({"draw": [draw], "cluster": [0], "statistic": [max(map(abs, found), default=0.0)], "first_sample": [0], "last_sample": [0], "n_points": [0]})
+        places = [np.argwhere(marks == k)[:, 0] for k in range(1, len(found) + 1)]
+        return pd.DataFrame({"draw": 0, "cluster": np.arange(1, len(found) + 1), "statistic": found, "first_sample": [samples[at.min()] for at in places], "last_sample": [samples[at.max()] for at in places], "n_points": [at.size for at in places]})
+
+    drawn = _drawn_sums(vectors, n_permutations, weights, clusters, "draw long, cluster int, statistic double, first_sample int, last_sample int, n_points int")
+    counted = drawn.filter("draw > 0").agg(F.collect_list("statistic").alias("null_sums"))  # n_permutations numbers
+    mine = drawn.filter("draw = 0").drop("draw")
+    return mine.join(F.broadcast(counted)).withColumn("p", F.expr("size(filter(null_sums, x -> x >= abs(statistic))) / size(null_sums)")).drop("null_sums")
 
 
 # ---------------------------------------------------------------- one-dimensional parametric maps

@@ -443,8 +443,8 @@ on_b(None, "spm_t", lambda b: stats.spm(stats.t_test(b, 0, 1, equal_var=True))[0
 on_b(None, "spm_t_clusters", lambda b: stats.spm(stats.t_test(b, 0, 1, equal_var=True), alpha=0.5)[1])
 on_b(None, "spm_paired", lambda b: stats.spm(stats.paired_t_test(b, pairs_of(b)))[0])
 on_b(None, "spm_anova", lambda b: stats.spm(stats.anova(b), "f")[0])
-on_b(None, "cluster_permutation", lambda b: stats.cluster_permutation(b, 0, 1, 200, alpha=0.2))
-on_b(None, "bootstrap_ci", lambda b: stats.bootstrap_ci(b, 50, condition=0))
+on_b(None, "cluster_permutation", lambda b: stats.cluster_permutation(b, 0, 1))
+on_b(None, "bootstrap_ci", lambda b: stats.bootstrap_ci(b))
 
 
 def synergies_of(b: DataFrame, lo: int) -> DataFrame:

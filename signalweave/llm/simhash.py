@@ -32,6 +32,8 @@ BLOCK = 2048
 SIMILAR = 0.8
 #: Bands of MinHash values, and values of a band: a pair of similarity 0.8 shares no band with probability 3e-6.
 BANDS, BAND = 24, 4
+#: Nodes that are compared with each other in one go; larger groups are cut into blocks.
+GROUP = 512
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -273,12 +275,12 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, fp long, bands array<long>, shingles binary")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows with the same first value, which are next to each other."""
+def _groups(batches: Iterator[pa.RecordBatch], by: int = 1) -> Iterator[list[tuple]]:
+    """Rows with the same first ``by`` values, which are next to each other."""
     held: list[tuple] = []
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if held and row[0] != held[0][0]:
+            if held and row[:by] != held[0][:by]:
                 yield held
                 held = []
             held.append(row)
@@ -307,32 +309,143 @@ def _link_similar(nodes: list[int], sets: list[np.ndarray], forest: Forest) -> N
                     forest.link(nodes[x], nodes[y])
 
 
+def _stars(units: DataFrame) -> DataFrame:
+    """key, node, root: members of each unit (key, block) that are linked directly or by others, under one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 2):
+            forest, nodes = Forest(), [r[2] for r in rows]
+            _link_similar(nodes, [np.frombuffer(r[3], np.uint32) for r in rows], forest)
+            columns = [pa.array(c, pa.int64()) for c in ([r[0] for r in rows], nodes, [forest.root(x) for x in nodes])]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "root"])
+
+    dealt = units.select("key", "block", "node", "shingles").repartition(partitions(units), "key", "block").sortWithinPartitions("key", "block")
+    return dealt.mapInArrow(run, "key long, node long, root long")
+
+
+def _blocks(members: DataFrame, node: str, seed: int) -> DataFrame:
+    """Add ``block``: the members of a key are dealt into blocks of about half ``GROUP`` by a hash."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") * 2 / F.lit(GROUP)).alias("n"))
+    return members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64(node, F.lit(seed)), "n")).drop("n")
+
+
+def _large_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) among the members (key, node) of groups too large for one task.
+
+    Blocks of a group are linked apart. Of each cluster found one member goes on, with those of other blocks, into new blocks, as
+    long as that joins clusters; near copies of one text, however many, so end in one cluster. Last, every member outside its
+    group's largest cluster is held against all members of other clusters, block by block. No link between clusters is lost.
+    """
+    mine = materialize(_blocks(members, "node", 0).join(sets, "node"), "members")
+    stars = materialize(_stars(mine), "stars")
+    found = [stars.select(F.col("node").alias("a"), F.col("root").alias("b"))]
+    label = stars
+    for level in range(1, 20):
+        roots = label.select("key", "root").distinct()
+        before = roots.count()
+        units = _blocks(roots, "root", level).withColumnRenamed("root", "node").join(sets, "node")
+        joined = materialize(_stars(units), "stars").withColumnRenamed("node", "was").withColumnRenamed("root", "now")
+        found.append(joined.select(F.col("was").alias("a"), F.col("now").alias("b")))
+        after = joined.select("key", "now").distinct().count()
+        label = materialize(label.join(joined, (label["key"] == joined["key"]) & (label["root"] == joined["was"])).select(label["key"], "node", F.col("now").alias("root")), "label")
+        if after > 0.9 * before:
+            break
+    sizes = label.groupBy("key", "root").count()
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    rest = label.join(main, "key").filter("root <> main").select("key", "node", "root")
+    all_of = mine.select("key", "block", "node", "shingles").join(label, ["key", "node"])
+    chunks = _blocks(rest, "node", 99).withColumnRenamed("block", "chunk").join(sets, "node")
+    # each chunk of the others meets each block of its group
+    pairs = all_of.select("key", "block").distinct().join(chunks.select("key", "chunk").distinct(), "key")
+    left = pairs.join(all_of, ["key", "block"]).select("key", "block", "chunk", F.lit(0).alias("side"), "node", "root", "shingles")
+    right = pairs.join(chunks, ["key", "chunk"]).select("key", "block", "chunk", F.lit(1), "node", "root", "shingles")
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 3):
+            ours = [r for r in rows if r[3] == 0]
+            sides = [np.frombuffer(r[6], np.uint32) for r in ours]
+            sizes, roots = np.array([x.size for x in sides]), np.array([r[5] for r in ours])
+            flat, owner = np.concatenate(sides) if sides else np.zeros(0, np.uint32), np.repeat(np.arange(len(ours)), sizes)
+            a, b = [], []
+            for r in rows:
+                if r[3] == 1 and ours:
+                    other = np.frombuffer(r[6], np.uint32)
+                    common = np.bincount(owner[np.isin(flat, other)], minlength=len(ours))
+                    for k in np.flatnonzero((common >= SIMILAR * (sizes + other.size - common)) & (roots != r[5])).tolist():
+                        a.append(r[4])
+                        b.append(ours[k][4])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = left.union(right).repartition(partitions(members), "key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
+    out = dealt.mapInArrow(across, "a long, b long")
+    for part in found:
+        out = out.union(part)
+    return out.filter("a <> b")
+
+
 def similar_links(signatures: DataFrame) -> DataFrame:
-    """Links (a, b) among nodes, enough to connect all that share a band and have a Jaccard similarity of ``SIMILAR`` or more."""
+    """Links (a, b) among nodes, enough to connect all that share a band and have a Jaccard similarity of ``SIMILAR`` or more.
+
+    Groups of up to ``GROUP`` nodes are compared in a task; larger ones pass through in a stream and are linked block by block.
+    """
     import xxhash
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches):
-            if len(rows) > 1:  # bands of the same members make one group
-                members = np.sort(np.array([r[1] for r in rows], np.int64))
-                name = np.full(members.size, xxhash.xxh64_intdigest(members.tobytes()), np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(members)], names=["name", "node"])
+        key, held, size, mark = None, [], 0, 0
+
+        def rows(large: bool, name: int, nodes: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([large] * nodes.size), pa.array(np.full(nodes.size, name, np.int64)), pa.array(nodes)], names=["large", "key", "node"])
+
+        def signed(value: int) -> int:
+            return (value & (1 << 64) - 1) - (1 << 64 if value >> 63 & 1 else 0)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if 1 < size <= GROUP:  # bands of the same members make one group
+                members = np.sort(np.concatenate(held))
+                yield rows(False, signed(xxhash.xxh64_intdigest(members.tobytes())), members)
+            elif size > GROUP:
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.bool_()), pa.array([key]), pa.array([signed(mark * 31 + size)])], names=["large", "key", "node"])
+
+        for batch in batches:
+            keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            bounds = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [keys.size])) if keys.size else [0]
+            for at, end in zip(bounds[:-1], bounds[1:], strict=True):
+                if keys[at] != key:
+                    yield from close()
+                    key, held, size, mark = int(keys[at]), [], 0, 0
+                part = nodes[at:end]
+                size += part.size
+                with np.errstate(over="ignore"):  # a sum of mixed nodes, whatever their order
+                    mixed = part.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    mark = (mark + int(((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)).sum())) & (1 << 64) - 1
+                if size > GROUP:
+                    for x in (*held, part):
+                        yield rows(True, key, x)
+                    held = []
+                else:
+                    held.append(part)
+        yield from close()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        for rows in _groups(batches):
-            _link_similar([r[1] for r in rows], [np.frombuffer(r[2], np.uint32) for r in rows], forest)
+        for group in _groups(batches):
+            _link_similar([r[1] for r in group], [np.frombuffer(r[2], np.uint32) for r in group], forest)
         found = np.array(forest.links, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     n = partitions(signatures)
     one = signatures.groupBy("node").agg(F.first("bands").alias("bands"))
     postings = one.select(F.explode("bands").alias("key"), "node").repartition(n, "key").sortWithinPartitions("key")
-    groups = materialize(postings.mapInArrow(candidates, "name long, node long").distinct(), "groups")
-    wanted = groups.select("node").distinct()
-    sets = signatures.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    dealt = groups.join(sets, "node").select("name", "node", "shingles").repartition(n, "name").sortWithinPartitions("name")
-    return dealt.mapInArrow(verify, "a long, b long")
+    groups = materialize(postings.mapInArrow(candidates, "large boolean, key long, node long").distinct(), "groups")
+    small, large = groups.filter("NOT large").select("key", "node"), groups.filter("large").select("key", "node")
+    sets = signatures.join(groups.filter("large IS NOT NULL").select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    dealt = small.join(sets, "node").select("key", "node", "shingles").repartition(n, "key").sortWithinPartitions("key")
+    links = dealt.mapInArrow(verify, "a long, b long")
+    if large.isEmpty():
+        return links
+    # of large groups with the same members one stays
+    marks = groups.filter("large IS NULL").groupBy(F.col("node").alias("mark")).agg(F.min("key").alias("key")).select("key")
+    return links.union(_large_links(large.join(marks, "key", "left_semi"), materialize(sets, "sets")))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, most_bits: int = MOST_BITS) -> DataFrame:

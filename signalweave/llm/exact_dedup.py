@@ -29,6 +29,8 @@ from .common import SPACE, materialize, partitions
 
 #: Bytes of distinct content that one table holds.
 BUCKET_BYTES = 32 << 20
+#: Bytes of distinct content for each task that reads buckets.
+TASK_BYTES = 64 << 20
 #: Bytes of content after which a reading task starts a new table.
 LOCAL_BYTES = 64 << 20
 #: Runs of one content that meet in a task, in expectation, and hot contents whose digests are sent to all tasks.
@@ -194,8 +196,9 @@ def _bits(depth: int):
     return F.shiftrightunsigned(F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long"), 60 - depth)
 
 
-def _bucketed(heads: DataFrame, bucket_bytes: int) -> DataFrame:
-    """Add ``bucket``: digest bits, more of them where a bucket's distinct contents exceed the budget.
+def _bucketed(heads: DataFrame, bucket_bytes: int) -> tuple[DataFrame, int]:
+    """Add ``bucket``: digest bits, more of them where a bucket's distinct contents exceed the budget. Also returns into how
+    many partitions to deal the buckets: they grow with the contents, and each has several buckets, so that partitions are even.
 
     A bucket that cannot be cut (one content) is left whole. Only sums per bucket are
     looked at, and only their number reaches the driver.
@@ -203,7 +206,8 @@ def _bucketed(heads: DataFrame, bucket_bytes: int) -> DataFrame:
     sizes = heads.groupBy("digest").agg(F.max("bytes").alias("n"))
     depth = FIRST_BITS
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    while (total >> depth) > bucket_bytes // 2 and depth < MOST_BITS:
+    parts = max(partitions(heads), total // TASK_BYTES)
+    while ((total >> depth) > bucket_bytes // 2 or (1 << depth) < 8 * parts) and depth < MOST_BITS:
         depth += 1
     out, cut = heads.withColumn("bucket", F.struct(F.lit(depth).alias("depth"), _bits(depth).alias("bits"))), depth
     while cut + MORE_BITS <= MOST_BITS:
@@ -217,10 +221,10 @@ def _bucketed(heads: DataFrame, bucket_bytes: int) -> DataFrame:
         out = out.withColumn("bits", _bits(cut)).join(over, "bits", "left")
         out = out.withColumn("bucket", F.when(F.col("over"), deeper).otherwise(F.col("bucket"))).drop("bits", "over")
         cut += MORE_BITS
-    return out
+    return out, parts
 
 
-def _tables(heads: DataFrame) -> DataFrame:
+def _tables(heads: DataFrame, parts: int) -> DataFrame:
     """Read each bucket into a table; per run: the staying row and the group's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +259,7 @@ def _tables(heads: DataFrame) -> DataFrame:
         yield from close()
 
     dealt = heads.select("run_id", "digest", "n_cp", "doc_id", "row_id", "size", F.col("bucket.depth").alias("depth"), F.col("bucket.bits").alias("bits"), "content")
-    dealt = dealt.repartition(partitions(heads), "depth", "bits").sortWithinPartitions("depth", "bits")
+    dealt = dealt.repartition(parts, "depth", "bits").sortWithinPartitions("depth", "bits")
     return dealt.mapInArrow(run, "run_id long, keep_id long, keep_row long, group_size long, digest binary")
 
 
@@ -269,7 +273,7 @@ def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, local_by
     """
     rows = materialize(_runs(docs, local_bytes), "runs")
     heads, moved = _without_hot(rows.filter("size IS NOT NULL"), fan)
-    verdicts = materialize(_tables(_bucketed(heads, bucket_bytes)), "verdicts")
+    verdicts = materialize(_tables(*_bucketed(heads, bucket_bytes)), "verdicts")
     for into in reversed(moved):
         verdicts = verdicts.union(into.join(verdicts.withColumnRenamed("run_id", "into"), "into").select(*verdicts.columns))
     members = rows.filter("size IS NULL").select("row_id", "run_id", "doc_id")

@@ -89,9 +89,10 @@ def brute_dedup(rows):
     return out
 
 
-@pytest.mark.parametrize("bucket,local", [(1 << 20, 1 << 20), (64, 32)])
-def test_exact_dedup(spark, hard, bucket, local):
-    found = exact_dedup.exact_duplicates(hard.repartition(3), bucket, local)
+@pytest.mark.parametrize("bucket,local,fan", [(1 << 20, 1 << 20, 16), (64, 32, 2), (64, 1, 3)])
+def test_exact_dedup(spark, hard, bucket, local, fan, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_DIGESTS", 100_000 if fan > 2 else 0)
+    found = exact_dedup.exact_duplicates(hard.repartition(3), bucket, local, fan)
     assert {r["doc_id"]: tuple(r)[1:] for r in found.collect()} == brute_dedup(list(enumerate(HARD)))
 
 
@@ -103,6 +104,13 @@ def test_exact_dedup_repeats_and_empty(spark):
     assert exact_dedup.exact_duplicates(d.limit(0)).count() == 0
 
 
+def test_exact_dedup_of_a_content_in_every_task(spark):
+    texts = ["same text" if i % 3 else f"text {i // 9}" for i in range(300)]
+    d = docs_of(spark, texts).repartition(29)
+    found = exact_dedup.exact_duplicates(d, fan=2)
+    assert {r["doc_id"]: tuple(r)[1:] for r in found.collect()} == brute_dedup(list(enumerate(texts)))
+
+
 def test_content_table_compares_contents():
     table = exact_dedup.ContentTable(4)
     same = b"\0" * 32
@@ -143,22 +151,47 @@ def test_segments_round_trip(ids, bits):
     assert np.array_equal(s.ids(), ids) and all(s[i] == ids[i] for i in range(0, ids.size, 97))
 
 
-PIECES = [" ", "  ", "\n", "\t", "\r\n", "a", "The", "don't", "'s", "é", "12", "!", "?!", "\u00a0", "\x0b", "<|endoftext|>", "日本", "\U0001f600"]
+PIECES = [" ", "  ", "\n", "\t", "\r\n", "\r", "a", "The", "don't", "'s", "é", "12", "!", "?!", "\u00a0", "\x0b", "\x1f", "\u2003", "<|endoftext|>", "日本", "\U0001f600"]
+
+
+def plain_ids(text):
+    """The library as it comes, without settings."""
+    from tokenizers import Tokenizer
 
+    if not hasattr(plain_ids, "tokenizer"):
+        plain_ids.tokenizer = Tokenizer.from_file(queries.tokenizer_file())
+    return plain_ids.tokenizer.encode(text, add_special_tokens=False).ids
 
-@settings(max_examples=300, deadline=None)
+
+@settings(max_examples=500, deadline=None)
 @given(st.lists(st.sampled_from(PIECES), max_size=15).map("".join) | st.text(max_size=30))
 def test_pieces_equal_whole_texts(text):
     encoder = token_output.PieceEncoder.of_worker(queries.tokenizer_file())
-    assert encoder(text) == encoder.whole([text])[0]
+    assert np.frombuffer(encoder(text), "<u4").tolist() == plain_ids(text)
 
 
-def test_token_output(spark, hard):
+def test_forgotten_pieces_are_encoded_again():
+    import pyarrow as pa
+
     encoder = token_output.PieceEncoder(queries.tokenizer_file(), memo=50)
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice(list("abc "), 6)) for _ in range(20)) for _ in range(5)] + ["", EN, "a\n\n\nb"]
+        ids, sizes = encoder.encode(pa.array(texts), [0])
+        expected = [[*plain_ids(t), 0] for t in texts]
+        assert sizes.tolist() == list(map(len, expected)) and ids.tolist() == sum(expected, [])
+
+
+def test_special_strings_as_text():
+    encoder = token_output.PieceEncoder(queries.tokenizer_file(), special_as_text=True)
+    assert 50256 not in np.frombuffer(encoder("a <|endoftext|> b"), "<u4").tolist()
+
+
+def test_token_output(spark, hard):
     rows = token_output.document_index(token_output.write(hard.repartition(3), queries.tokenizer_file())).orderBy("doc_id").collect()
     start = 0
     for r, text in zip(rows, HARD, strict=True):
-        ids = encoder.whole([text or ""])[0] + b"\0\0\0\0"
+        ids = np.array([*plain_ids(text or ""), 0], "<u4").tobytes()
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids) // 4, zlib.crc32(ids))
         start += len(ids) // 4
     assert token_output.document_index(token_output.write(hard.limit(0), queries.tokenizer_file())).count() == 0
@@ -356,7 +389,7 @@ def test_decontamination(spark):
 
 
 def test_decontamination_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BROADCAST_HASHES", 0)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
     d = docs_of(spark, [f"x y {EN} z", "clean text of no interest"])
     b = spark.createDataFrame([(1, EN)], "item_id long, text string")
     assert [(r["doc_id"], r["item_id"], r["share"]) for r in decontam.overlaps(d, b).collect()] == [(0, 1, 1.0)]

@@ -33,9 +33,9 @@ MAGIC, CHUNK_BITS, RANK_BLOCK = b"DAC2", 8, 512
 #: Ids after which a segment is closed (at the end of a document).
 SEGMENT_IDS = 1 << 18
 #: Pieces of text whose ids a worker remembers.
-MEMO_PIECES = 1_500_000
+MEMO_PIECES = 1_000_000
 #: Bytes of text that are encoded at a time (or one text), and pieces whose ids are gathered at a time.
-SLICE, GATHER = 16 << 20, 1 << 20
+SLICE, GATHER = 8 << 20, 1 << 20
 
 #: Texts that are not cut into pieces: those with white space other than blank, tab, CR and LF, which may merge with a
 #: neighbour, with three or more white spaces in a row, or with two at the end, which make one token.

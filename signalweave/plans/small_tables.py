@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..model import Recording
 from ..operators import artifacts, connectivity, epochs, filters, missing, select, sequence, spectral, stats, views
 from ..operators import events as ev
+from . import workflows
 from .registry import _POS, _VAR, _W, CROSS, FREQ, ORACLES, RATE, SEG, TWO, A, C, E, G, M, load, markers, on_a, on_b, positions, query, r, view_a, view_gaps
 
 
@@ -192,3 +193,17 @@ _MORLET = (
     "z AS (SELECT o.channel, o.sample, k.f, sum(k.re * a.value) AS re, sum(k.im * a.value) AS im FROM a o JOIN a ON a.channel = o.channel AND a.sample BETWEEN o.sample - 140 AND o.sample + 140 JOIN k ON k.m = o.sample - a.sample GROUP BY o.channel, o.sample, k.f)"
 )
 ORACLES["wavelet"] = f"WITH {A}, {_MORLET} SELECT channel, sample, f AS frequency, {r('re * re + im * im', 'power')}, {r('atan2(im, re)', 'phase')} FROM z"
+
+
+# ---------------------------------------------------------------- workflows
+@query("SELECT * FROM (VALUES ('eegERP', 7::BIGINT, 4::BIGINT), ('eegConnectivity', 7, 5), ('emgBasic', 8, 5), ('emgFatigue', 8, 6), ('emgSynergy', 9, 8), ('emgGait', 11, 9), ('emgMotorUnit', 7, 5), ('emgPattern', 6, 5), ('emgAnalysis', 7, 4), ('ecgAnalysis', 5, 4), ('gaitAnalysis', 7, 3), ('exploratory', 5, 0)) t(workflow, steps, required)")
+def workflow_catalogue(spark, sf):
+    return workflows.catalogue(spark).groupBy("workflow").agg(F.count("*").alias("steps"), F.count_if("required").alias("required"))
+
+
+on_a(ORACLES["firing"].replace("FROM events)", "FROM events)", 1), "workflow_firing", lambda a: workflows.METHODS["firingRate"](workflows.State(Recording(a, RATE))))
+
+
+@query()
+def workflow_erp(spark, sf):
+    return workflows.run("eegERP", Recording(view_a(spark, sf), RATE, events=markers(spark, sf)))["erpComputation"]

@@ -340,3 +340,69 @@ def test_views(spark):
         views.topomap(val.limit(2), pos)
     for kind in ("circle", "grid", "spring"):
         assert len(views.layout(["a", "b", "c"], kind, [("a", "b", 1.0)])) == 3
+
+
+def test_workflows(spark):
+    from signalweave.model import Recording
+    from signalweave.operators import events
+    from signalweave.plans import workflows
+
+    rng = np.random.default_rng(3)
+    s = signal(spark, a=rng.normal(size=1500), b=rng.normal(size=1500), c=rng.normal(size=1500)).cache()
+    marks = events.make_events(spark, [1.0, 2.5, 4.0, 6.0, 8.0, 10.0], 0.0, ["x", "y"] * 3, "")
+    recording = Recording(s, 100.0, events=marks)
+    for name in workflows.WORKFLOWS:
+        tables = workflows.run(name, recording)
+        assert list(tables) == [m for m, required, _ in workflows.WORKFLOWS[name] if required and m in workflows.METHODS]
+        assert all(not t.isEmpty() for k, t in tables.items() if k not in ("onsetDetection", "synergyVAF"))
+    more = workflows.run("eegERP", recording, ("clusterPermutation", "effectSize"), clusterPermutation={"n": 20})
+    assert set(more) >= {"clusterPermutation", "effectSize", "ttest"} and more["ttest"].filter("p < 0 OR p > 1").isEmpty()
+    with pytest.raises(ValueError, match="unknown"):
+        workflows.run("none", recording)
+
+
+def test_references_are_remembered(spark):
+    from signalweave.model import Recording
+
+    x = filters.rereference_recording(Recording(signal(spark, a=[1.0, 2.0], b=[3.0, 5.0]), 10.0), "channel", ["a"], keep=False)
+    assert filters.current_reference(x) == "a" and not filters.is_average_referenced(x)
+    assert [r["value"] for r in x.signals.orderBy("sample").collect()] == [2.0, 3.0] and x.metadata["previous_reference"] is None
+
+
+def test_missing_values_in_recursive_filters(spark):
+    x = filters.butterworth_filter(signal(spark, a=[1.0, None, 2.0, 3.0], b=[1.0, 1.0, 1.0, 1.0]), 10.0, high=2.0)
+    assert x.filter("channel = 'a' AND NOT isnan(value)").isEmpty() and x.filter("channel = 'b'").count() == 4
+
+
+def test_unnormalised_betweenness_counts_both_directions():
+    star = np.zeros((4, 4))
+    star[0, 1:] = star[1:, 0] = 1
+    assert network.betweenness(star, False).tolist() == [6, 0, 0, 0] and network.betweenness(star).tolist() == [1, 0, 0, 0]
+
+
+def test_pseudoinverse_and_orthogonalization():
+    m = np.array([[1.0, 2.0], [2.0, 4.0], [0.0, 1.0]])
+    p = decomposition.pseudoinverse(m)
+    assert np.allclose(m @ p @ m, m)
+    q = decomposition.orthogonalize(m[:2] + np.eye(2))
+    assert np.allclose(q @ q.T, np.eye(2))
+
+
+def test_mixed_rates_and_annotations_in_edf(spark, tmp_path):
+    """A slower channel is read at the rate of the fastest."""
+    from signalweave.model import Recording
+    from signalweave.sources import binary
+
+    fast, slow = np.arange(40.0), np.array([0.0, 10.0, 20.0, 30.0])
+    head = lambda *v: b"".join(str(x)[:w].ljust(w).encode() for x, w in v)
+    data = head(("0", 8), ("X", 80), ("X", 80), ("01.01.00", 8), ("00.00.00", 8), (256 * 3, 8), ("", 44), (2, 8), (1, 8), (2, 4))
+    for pair, w in (("fs", 16), (("", ""), 80), (("uV", "uV"), 8), ((-32768, -32768), 8), ((32767, 32767), 8), ((-32768, -32768), 8), ((32767, 32767), 8), (("", ""), 80), ((20, 2), 8), (("", ""), 32)):
+        data += head(*[(v, w) for v in pair])
+    for k in range(2):
+        data += fast[20 * k : 20 * k + 20].astype("<i2").tobytes() + slow[2 * k : 2 * k + 2].astype("<i2").tobytes()
+    (tmp_path / "mixed.edf").write_bytes(data)
+    back = binary.read_edf(spark, str(tmp_path / "mixed.edf"))
+    assert back.sampling_rate == 20.0
+    values = {r["sample"]: r["value"] for r in back.signals.filter("channel = 's'").collect()}
+    assert len(values) == 40 and values[1] == 0 and values[11] == 10 and np.isclose(values[6], 5)
+    assert isinstance(back, Recording) and [r["value"] for r in back.signals.filter("channel = 'f'").orderBy("sample").collect()] == fast.tolist()

@@ -224,7 +224,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most_bits: int = MOST_BIT
     other. A null doc_id is never a component's smallest unless alone in it. Repeated
     rows are repeated in the result; other columns are not looked at.
     """
-    prints = materialize(fingerprints(docs, shingle), "fingerprints")
+    return _near(materialize(fingerprints(docs, shingle), "fingerprints"), most_bits)
+
+
+def _near(prints: DataFrame, most_bits: int) -> DataFrame:
+    """:func:`near_duplicates` of rows with their fingerprints (doc_id, fp)."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     stars = components(links(distinct, most_bits))
     named = distinct.join(stars, distinct["fp"] == stars["node"]).select("fp", "first_id", "component")
@@ -260,19 +264,21 @@ def _signature(text: str | None, shingle: int, factors: np.ndarray) -> tuple[int
 
 
 def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """node, fp, bands, shingles of every row that has words."""
+    """doc_id, fp, node, bands, shingles of every row; the last three are null where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = np.random.default_rng(7).integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = [(x, made) for x in batch.column(0).slice(at, 1000).to_pylist() if (made := _signature(x, shingle, factors))]
-                fps = np.array([fingerprint(x, shingle) for x, _ in rows], np.uint64).view(np.int64)
-                nodes = np.array([m[0] for _, m in rows], np.uint64).view(np.int64)
-                arrays = [pa.array(nodes), pa.array(fps), pa.array([m[1] for _, m in rows], pa.list_(pa.int64())), pa.array([m[2] for _, m in rows], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["node", "fp", "bands", "shingles"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = part.column(1).to_pylist()
+                made = [_signature(x, shingle, factors) or (None, None, None) for x in texts]
+                fps = np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64)
+                nodes = [None if m[0] is None else m[0] - (1 << 64 if m[0] >> 63 else 0) for m in made]
+                arrays = [part.column(0), pa.array(fps), pa.array(nodes, pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "node", "bands", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "node long, fp long, bands array<long>, shingles binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, node long, bands array<long>, shingles binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: int = 1) -> Iterator[list[tuple]]:
@@ -454,10 +460,13 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, most_bits: int = MOS
     Components are linked by fingerprints, as in :func:`near_duplicates`, and by sets of shingles with a
     Jaccard similarity of ``SIMILAR`` or more. MinHash bands find the candidates for these, as
     fingerprints of such pairs differ in more bits than positional bytes can guarantee.
-    Rows that repeat one doc_id are one document and share its fate.
+    Rows that repeat one doc_id are one document and share its fate; rows with a null doc_id are all kept, as no
+    id tells them apart. Null texts and texts without words are copies of each other. Whole texts of any length are read, and an
+    empty table gives an empty result.
     """
-    found = materialize(near_duplicates(docs, shingle, most_bits), "near")
-    signatures = materialize(_signatures(docs, shingle), "signatures")
+    made = materialize(_signatures(docs, shingle), "signatures")
+    found = materialize(_near(made.select("doc_id", "fp"), most_bits), "near")
+    signatures = made.filter("node IS NOT NULL")
     named = found.select(F.col("fingerprint"), F.col("component_id").alias("c")).distinct()
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     places = materialize(signatures.select("node", hexed).distinct().join(named, "fingerprint").select("node", "c").distinct(), "places")
@@ -466,7 +475,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, most_bits: int = MOS
     same = places.join(places.groupBy("node").agg(F.min("c").alias("ca")), "node").select("ca", F.col("c").alias("cb"))
     edges = across.select("ca", "cb").union(same).filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     merged = components(edges)
-    release(signatures)
+    release(made)
     last = found.join(merged, found["component_id"] == merged["node"], "left").select("doc_id", F.coalesce("component", "component_id").alias("component_id"))
     gone = last.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

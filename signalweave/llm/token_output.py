@@ -27,15 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, worker_cache
+from .common import materialize, partitions, slices, worker_cache
 
 MAGIC, CHUNK_BITS, RANK_BLOCK = b"DAC2", 8, 512
 #: Ids after which a segment is closed (at the end of a document).
 SEGMENT_IDS = 1 << 18
 #: Pieces of text whose ids a worker remembers.
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 500_000
 #: Bytes of text that are encoded at a time (or one text), and pieces whose ids are gathered at a time.
-SLICE, GATHER = 8 << 20, 1 << 20
+SLICE, GATHER = 2 << 20, 1 << 18
 
 #: Texts that are not cut into pieces: those with white space other than blank, tab, CR and LF, which may merge with a
 #: neighbour, with three or more white spaces in a row, or with two at the end, which make one token.
@@ -268,17 +268,6 @@ class PieceEncoder:
         return self.encode(pa.array([text]), [])[0].astype("<u4").tobytes()
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with ``SLICE`` bytes of text, or one row if that has more."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        before = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, before + SLICE, "right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def segments(docs: DataFrame, tokenizer_path: str, end_id: int = 0, segment_ids: int = SEGMENT_IDS, special_as_text: bool = False) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and return DAC segments in document order.
 
@@ -300,8 +289,9 @@ def segments(docs: DataFrame, tokenizer_path: str, end_id: int = 0, segment_ids:
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], names=["shard", "segment", "first_id", "n_ids", "data"])
 
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch, SLICE):
                 ids, sizes = encoder.encode(pc.fill_null(part.column(1), ""), [end_id])
+                pa.default_memory_pool().release_unused()  # other workers share the executor's memory
                 doc_ids, null = pc.fill_null(part.column(0), -1).to_numpy(), pc.is_null(part.column(0)).to_numpy(zero_copy_only=False)
                 ends = np.cumsum(sizes)
                 at = used = 0

@@ -19,15 +19,15 @@ every task; the others are looked up by a join.
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, release
+from .common import materialize, partitions, release, slices
 
 #: Longest context, in bytes.
 DEPTH = 6
@@ -65,6 +65,40 @@ def symbols_of(words: list[bytes]) -> np.ndarray:
     return out
 
 
+#: A-Z lower-cased, white space as blank.
+PLAIN = np.arange(256, dtype=np.uint8)
+PLAIN[65:91] += 32
+PLAIN[9:14] = 32
+
+
+def tokenize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.BinaryArray, np.ndarray]:
+    """Symbols of all texts in a row (as :func:`symbols_of`) with the bounds of each text, their words, and the number of words of each."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64), pa.array([], pa.binary()), np.zeros(0, np.int64)
+    cuts = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[cuts[0] : cuts[-1]]
+    cuts -= cuts[0]
+    octets = PLAIN[raw]
+    solid = octets != 32
+    after = np.zeros(raw.size, bool)
+    after[1:] = solid[:-1]
+    after[cuts[:-1][cuts[:-1] < raw.size]] = False
+    first = (solid & ~after)[solid]
+    letters = octets[solid]
+    # letters and words before each text
+    n_letters = np.diff(np.concatenate(([0], np.cumsum(solid)))[cuts])
+    words_to = np.cumsum(first)
+    n_words = np.diff(np.concatenate(([0], words_to))[np.concatenate(([0], np.cumsum(n_letters)))])
+    bounds = np.concatenate(([0], np.cumsum(n_letters + n_words + 1)))
+    symbols = np.full(bounds[-1], 32, np.uint8)
+    symbols[bounds[1:] - 1] = END
+    symbols[np.arange(letters.size) + words_to + np.repeat(np.arange(len(texts)), n_letters)] = letters
+    begins = np.append(np.flatnonzero(first), letters.size).astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), begins.size - 1, [None, pa.py_buffer(begins), pa.py_buffer(letters)])
+    return symbols, bounds, words, n_words
+
+
 def keys_of(sequence: np.ndarray, depth: int | None = None) -> np.ndarray:
     """At each place, the key of the last ``depth`` symbols and the one there.
 
@@ -90,8 +124,11 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     """Distinct keys of all parts and their summed counts."""
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(where, np.concatenate([n for _, n in parts]), keys.size).astype(np.int64)
+    keys = np.concatenate([k for k, _ in parts])
+    order = np.argsort(keys, kind="stable")  # parts are sorted, which a stable sort makes use of
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: keys.size])
+    return keys[at], np.add.reduceat(np.concatenate([n for _, n in parts])[order], at).astype(np.int64) if at.size else np.zeros(0, np.int64)
 
 
 def _start(symbols: int) -> np.uint64:
@@ -218,61 +255,67 @@ def _count_rows(docs: DataFrame, train_on: Column, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words: Counter = Counter()
         chunk = TaskContext.get().partitionId() << 16
         ids, texts, parts, size = [], [], [], 0
-        held: dict[bool, list] = {True: [], False: []}
-        waiting = 0
+        words: list[pa.Table] = []
+        names = ["kind", "chunk", "shard", "n", "data"]
+
+        def row(*values) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], names=names)
+
+        def rows(kind: int, chunk: pa.Array | None, n: pa.Array, data: pa.Array | None) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(n), 10_000):
+                mine = n.slice(at, 10_000)
+                empty = lambda t: pa.nulls(len(mine), t)  # noqa: E731, B023
+                columns = [pa.array(np.full(len(mine), kind, np.int32)), empty(pa.int64()) if chunk is None else chunk.slice(at, 10_000), empty(pa.int32()), mine, empty(pa.binary()) if data is None else data.slice(at, 10_000)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        def add_words(found: pa.BinaryArray) -> Iterator[pa.RecordBatch]:
+            counted = found.value_counts()
+            words.append(pa.table({"word": counted.field(0), "n": counted.field(1)}))
+            if sum(map(len, words)) > HELD:
+                merge_words()
+                if len(words[0]) > HELD // 2:
+                    yield from out_words()
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "chunk", "shard", "n", "data"])
+        def merge_words() -> None:
+            table = pa.concat_tables(words).group_by("word").aggregate([("n", "sum")]) if words else None
+            words[:] = [table.rename_columns({"n_sum": "n"}).select(["word", "n"])] if table is not None else []
 
         def out_words() -> Iterator[pa.RecordBatch]:
-            items = list(words.items())
-            for at in range(0, len(items), 10_000):
-                yield batch_of([(WORD, None, None, n, w) for w, n in items[at : at + 10_000]])
+            merge_words()
+            for table in words:
+                table = table.combine_chunks()
+                yield from rows(WORD, None, table["n"].combine_chunks(), table["word"].combine_chunks())
             words.clear()
 
-        def add_grams() -> None:
-            nonlocal waiting
-            for train, sequences in held.items():
-                if sequences:
-                    keys, n = grams(sequences)
-                    parts.append((keys, n if train else np.zeros(keys.size, np.int64)))
-            held[True], held[False], waiting = [], [], 0
-
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal ids, texts, parts, size, chunk
-            add_grams()
             keys, n = merge(parts)
             raw = pickle.dumps((ids, np.concatenate(texts).tobytes()), protocol=5)
-            yield batch_of([(TEXT, chunk, -1, len(raw), pa.compress(raw, "zstd", asbytes=True))])
+            yield row(TEXT, chunk, -1, len(raw), pa.compress(raw, "zstd", asbytes=True))
             low, n_low = merge([(_low(keys), n)])
-            low, n_low = low.view(np.int64).tolist(), n_low.tolist()
-            for at in range(0, len(low), 10_000):
-                yield batch_of([(LOW, k, None, c, None) for k, c in zip(low[at : at + 10_000], n_low[at : at + 10_000], strict=True)])
+            yield from rows(LOW, pa.array(low.view(np.int64)), pa.array(n_low), None)
             for shard, at in _dealt(keys, shards):
-                yield batch_of([(GRAMS, chunk, shard, at.size, _pack(keys[at], n[at].astype(np.uint32)))])
+                yield row(GRAMS, chunk, shard, at.size, _pack(keys[at], n[at].astype(np.uint32)))
             ids, texts, parts, size, chunk = [], [], [], 0, chunk + 1
 
         for batch in batches:
-            for doc_id, text, train in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                mine = words_of(text.as_py())
-                if train:
-                    words.update(mine)
-                    words[b""] += 1
-                symbols = symbols_of(mine)
-                ids.append(doc_id)
+            for part in slices(batch, SLICE):
+                train = pc.fill_null(part.column(2), False).to_numpy(zero_copy_only=False)
+                symbols, bounds, found, n_words = tokenize(part.column(1))
+                yield from add_words(pa.concat_arrays([found.filter(pa.array(np.repeat(train, n_words))), pa.array([b""] * int(train.sum()), pa.binary())]))
+                pieces = [keys_of(symbols[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                for kind in (True, False):
+                    mine = [x for x, t in zip(pieces, train.tolist(), strict=True) if t is kind]
+                    if mine:
+                        keys, n = np.unique(np.concatenate(mine), return_counts=True)
+                        parts.append((keys, n if kind else np.zeros(keys.size, np.int64)))
+                ids += part.column(0).to_pylist()
                 texts.append(symbols)
-                held[bool(train)].append(symbols)
-                waiting += symbols.size
                 size += symbols.size
-                if waiting >= SLICE:
-                    add_grams()
                 if size >= CHUNK:
                     yield from close()
-                if len(words) > HELD:
-                    yield from out_words()
         if ids:
             yield from close()
         yield from out_words()
@@ -331,8 +374,8 @@ def _chunk_scores(sequences: list[np.ndarray], values: list[tuple], shards: int,
 
 
 # ---------------------------------------------------------------- scoring
-def _frequent(vocabulary: DataFrame, most: int) -> dict[bytes, float]:
-    """log10(count + 1) of the words at or above a count that ``most`` words have at most, and that of the end."""
+def _frequent(vocabulary: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """The words at or above a count that ``most`` words have at most, and the end, with log10(count + 1) of each."""
     level = F.floor(F.log2(F.col("c").cast("double")) * 8)
     steps = {r[0]: r[1] for r in vocabulary.groupBy(level.alias("level")).count().collect()}  # 8 for each doubling
     taken, least = 0, None
@@ -342,7 +385,7 @@ def _frequent(vocabulary: DataFrame, most: int) -> dict[bytes, float]:
         taken, least = taken + steps[step], step
     wanted = F.col("word") == F.lit(b"")
     rows = vocabulary.filter(wanted | (level >= least) if least is not None else wanted).select("word", "c").toPandas()
-    return dict(zip(map(bytes, rows["word"]), np.log10(rows["c"].to_numpy(float) + 1).tolist(), strict=True))
+    return [bytes(w) for w in rows["word"]], np.log10(rows["c"].to_numpy(float) + 1)
 
 
 def scores(docs: DataFrame, train_on: Column, gain: float = GAIN) -> DataFrame:
@@ -374,30 +417,38 @@ def scores(docs: DataFrame, train_on: Column, gain: float = GAIN) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, value, known = sent.value
-        known = pickle.loads(known)
+        known_words, known_logs = pickle.loads(known)
+        end_log = dict(zip(known_words, known_logs.tolist(), strict=True)).get(b"")
+        table, known_logs = pa.array(known_words, pa.binary()), np.append(known_logs, 0.0)
         names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare"]
         for (chunk, _, size, data), *returned in _rows(batches, 0):
-            ids, symbols = pickle.loads(pa.decompress(data, size, "zstd", asbytes=True))
-            texts = symbols.split(bytes([END]))[:-1]
-            logs = _chunk_scores([np.frombuffer(t + bytes([END]), np.uint8) for t in texts], [r[1:] for r in returned], shards, (low, value))
-            for begin in range(0, len(ids), 10_000):
-                columns: list[list] = [[], [], [], [], []]
-                rare_words, rare_counts, bounds = [], [], [0]
-                for k in range(begin, min(begin + 10_000, len(ids))):
-                    words = texts[k].split()
-                    found = [known.get(w) for w in words]
-                    missing = Counter([w for w, x in zip(words, found, strict=True) if x is None])
-                    seen = len(words) - missing.total() + (b"" in known)
-                    base = known.get(b"", 0.0) + sum([x for x in found if x is not None])
-                    for column, x in zip(columns, ((chunk << 24) + k, ids[k], len(words) + 1, seen, base), strict=True):
-                        column.append(x)
-                    rare_words += missing.keys()
-                    rare_counts += missing.values()
-                    bounds.append(len(rare_words))
-                pairs = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int32())], names=["word", "n"])
-                rare = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs)
-                plain = [pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 4 + (pa.float64(),), strict=True)]
-                yield pa.RecordBatch.from_arrays([*plain, pa.array(logs[begin : begin + 10_000]), rare], names=names)
+            ids, octets = pickle.loads(pa.decompress(data, size, "zstd", asbytes=True))
+            symbols = np.frombuffer(octets, np.uint8)
+            ends = np.flatnonzero(symbols == END) + 1
+            begins = np.concatenate(([0], ends[:-1]))
+            logs = _chunk_scores([symbols[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], [r[1:] for r in returned], shards, (low, value))
+            # the words lie between the blanks
+            blank = symbols == 32
+            letters = symbols[~blank & (symbols != END)]
+            starts = np.flatnonzero(blank)
+            n_words = np.diff(np.searchsorted(starts, np.concatenate(([0], ends))))
+            owner = np.repeat(np.arange(len(ids)), n_words)
+            cuts = np.append(starts - np.arange(starts.size) - owner, letters.size).astype(np.int32)
+            words = pa.BinaryArray.from_buffers(pa.binary(), starts.size, [None, pa.py_buffer(cuts), pa.py_buffer(letters)])
+            place = pc.index_in(words, value_set=table)
+            absent = pc.is_null(place).to_numpy(zero_copy_only=False)
+            base = np.bincount(owner, known_logs[pc.fill_null(place, len(table)).to_numpy()], len(ids)) + (end_log or 0.0)
+            seen = np.bincount(owner, ~absent, len(ids)).astype(np.int64) + (end_log is not None)
+            # the others, with their number in each text
+            coded = words.filter(pa.array(absent)).dictionary_encode()
+            pair, times = np.unique(owner[absent] * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_counts=True)
+            of, code = np.divmod(pair, max(1, len(coded.dictionary)))
+            held = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(code)), pa.array(times, pa.int32())], names=["word", "n"])
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(ids) + 1)), pa.int32()), held)
+            columns = [pa.array((chunk << 24) + np.arange(len(ids))), pa.array(ids, pa.int64()), pa.array(n_words + 1), pa.array(seen), pa.array(base), pa.array(logs), rare]
+            whole = pa.RecordBatch.from_arrays(columns, names=names)
+            for at in range(0, len(ids), 10_000):
+                yield whole.slice(at, 10_000)
 
     texts = rows.filter(F.col("kind") == TEXT).select("chunk", "shard", "n", "data").union(values.filter(F.col("chunk").isNotNull()))
     gathered = texts.repartition(shards, "chunk").sortWithinPartitions("chunk", "shard")

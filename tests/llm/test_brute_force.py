@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalweave.llm import decontam, language_id, simhash, token_output, toxicity
+from signalweave.llm import decontam, language_id, lm_scoring, simhash, token_output, toxicity
 from signalweave.llm.queries import tokenizer_file
 
 EN = "the quick brown fox jumps over the lazy dog and then it runs away from the old house near the river while the people are watching it"
@@ -290,3 +290,16 @@ def test_similar_sets_in_large_groups(spark, group, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
     assert kept == {i for i in range(len(texts)) if root(i) == i} and 100 < len(kept) < 160
+
+
+# ---------------------------------------------------------------- language-model scoring
+def test_tokens_of_a_slice_equal_those_of_each_text():
+    import pyarrow as pa
+
+    texts = ["The Quick\tfox", None, "", "  ", " a ", "é Ü b\x0b\x0c\x1cC", "x" * 5000, "\n", "Z z"]
+    for part in (texts, texts[2:5], [], [""], ["a"]):
+        symbols, bounds, words, counts = lm_scoring.tokenize(pa.array(texts + part, pa.string()).slice(len(texts)))
+        expected = [lm_scoring.words_of(t) for t in part]
+        assert counts.tolist() == list(map(len, expected)) and words.to_pylist() == sum(expected, [])
+        pieces = [symbols[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert pieces == [lm_scoring.symbols_of(w).tolist() for w in expected]

@@ -395,9 +395,9 @@ def test_decontamination_by_shuffle(spark, monkeypatch):
     assert [(r["doc_id"], r["item_id"], r["share"]) for r in decontam.overlaps(d, b).collect()] == [(0, 1, 1.0)]
 
 
-@pytest.mark.parametrize("most", [0, 1_000_000])
+@pytest.mark.parametrize("most", [0, 1 << 30])
 def test_decontamination_of_null_and_repeated_ids(spark, monkeypatch, most):
-    monkeypatch.setattr(decontam, "BROADCAST_HASHES", most)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", most)
     d = docs_of(spark, [f"x y {EN} z", f"x y {EN} z", "clean text", f"a b {DE}", "x y " + " ".join(["other"] * 30)], ids=[None, 7, 7, 7, None])
     b = spark.createDataFrame([(1, EN), (2, DE)], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"], r["share"]) for r in decontam.overlaps(d, b).collect()}

@@ -10,7 +10,7 @@ made of DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, TEXT, END = "<|start|>", "<|text|>", "<|end|>"
@@ -70,36 +70,29 @@ def format_messages(messages: DataFrame, visitor: PartVisitor | None = None) ->
     """
     visitor = visitor or PartVisitor()
     media = F.array(*[F.lit(k) for k in visitor.expansion])
-    turns = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.expr(f"cast(array() as array<{PART}>)")).alias("parts")))).alias("turns"))
     is_media = lambda p: F.coalesce(F.array_contains(media, p["type"]), F.lit(False))
-    # attachments before each turn
-    counts = F.transform("turns", lambda t: F.size(F.filter(t["parts"], is_media)))
-    turns = turns.withColumn("counts", counts)
-
-    def written(t: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice("counts", 1, i), F.lit(0), lambda a, x: a + x)
-
-        def part(p: Column, k: Column) -> Column:
-            number = before + F.size(F.filter(F.slice(t["parts"], 1, k + 1), is_media))
-            text, held = visitor.visit(p, number)
-            return F.struct(text.alias("text"), held.alias("held"))
-
-        return F.struct(F.concat(F.lit(START), escape(t["role"]), F.lit(TEXT)).alias("head"), F.transform(t["parts"], part).alias("parts"), (t["role"] == LEARNED).alias("learned"))
-
-    turns = turns.withColumn("written", F.transform("turns", written))
-    turns = turns.withColumn("written", F.transform("written", lambda w: F.struct(w["head"].alias("head"), F.array_join(F.transform(w["parts"], lambda p: p["text"]), "").alias("text"), F.filter(F.transform(w["parts"], lambda p: p["held"]), lambda h: h.isNotNull()).alias("held"), w["learned"].alias("learned"))))
-    lengths = F.transform("written", lambda w: F.length(w["head"]) + F.length(w["text"]) + len(END))
-    turns = turns.withColumn("lengths", lengths)
-
-    def span(w: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice("lengths", 1, i), F.lit(0), lambda a, x: a + x) + F.length(w["head"])
-        return F.when(w["learned"], F.struct(start.alias("start"), (start + F.length(w["text"])).alias("end")))
-
-    attachments = F.flatten(F.transform("written", lambda w: w["held"]))
+    rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.expr(f"cast(array() as array<{PART}>)")).alias("parts"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "parts")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # running sums over the turns: attachments, then characters
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("held_before", F.coalesce(F.sum(F.size(F.filter("parts", is_media))).over(before), F.lit(0)))
+
+    def part(p: Column, k: Column) -> Column:
+        number = F.col("held_before") + F.size(F.filter(F.slice("parts", 1, k + 1), is_media))
+        text, held = visitor.visit(p, number)
+        return F.struct(text.alias("text"), held.alias("held"))
+
+    rows = rows.withColumn("visited", F.transform("parts", part))
+    rows = rows.select("conv_id", "turn", "role", "parts", "place", F.concat(F.lit(START), escape(F.col("role")), F.lit(TEXT)).alias("head"), F.array_join("visited.text", "").alias("text"), F.filter("visited.held", lambda h: h.isNotNull()).alias("held"))
+    length = F.length("head") + F.length("text") + len(END)
+    rows = rows.withColumn("start", F.coalesce(F.sum(length).over(before), F.lit(0)).cast("int") + F.length("head"))
+    span = F.when(F.col("role") == LEARNED, F.struct("start", (F.col("start") + F.length("text")).alias("end")))
+    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", F.concat("head", "text", F.lit(END)).alias("piece"), span.alias("span"), "held"))).alias("turns"))
+    attachments = F.flatten("turns.held")
     return turns.select(
         "conv_id",
-        F.array_join(F.transform("written", lambda w: F.concat(w["head"], w["text"], F.lit(END))), "").alias("formatted"),
-        F.filter(F.transform("written", span), lambda s: s.isNotNull()).alias("loss_spans"),
+        F.array_join("turns.piece", "").alias("formatted"),
+        F.filter("turns.span", lambda s: s.isNotNull()).alias("loss_spans"),
         attachments.alias("attachments"),
         F.aggregate(attachments, F.lit(0), lambda a, h: a + h["tokens"]).alias("expanded_tokens"),
     )

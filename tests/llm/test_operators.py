@@ -133,6 +133,14 @@ def test_chat_round_trip(spark):
     assert chat_format.digests(d.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"turn {t} <|end|> é" * (t % 5)) for t in range(3000)] + [(None, 1, "assistant", "n"), (None, None, "user", "m")]
+    found = {r["conv_id"]: r for r in chat_format.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()}
+    loss = "".join(r[3] for r in rows[:3000] if r[2] == "assistant")
+    assert found[1]["n_turns"] == 3000 and found[1]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    assert found[None]["turns_sha256"] == hashlib.sha256(b"user\nm\nassistant\nn\n").hexdigest()
+
+
 def test_chat_parts(spark):
     parts = [(1, 0, "user", [("text", "see <|image:1|>", None, None), ("image", None, "a.png", 2)]), (1, 1, "assistant", [("audio", None, "b.wav", None), (None, "t", None, None)]), (1, 2, "user", None)]
     row = chat_format.format_messages(spark.createDataFrame(parts, f"conv_id long, turn long, role string, parts array<{chat_format.PART}>")).first()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +44,31 @@ def materialize(df: DataFrame, name: str, by: str | None = None, compression: st
     df.write.option("compression", compression).parquet(path, partitionBy=by)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._signalweave_path = path
+    _made.append(path)
     return out
 
 
+#: Tables written by this process and not deleted yet.
+_made: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that are made inside, at its end: results that read them must be written by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            _delete(spark, path)
+        del _made[before:]
+
+
 def release(df: DataFrame, folder: str = "") -> None:
     """Delete a table made by :func:`materialize`, or a folder of it, that nothing reads any more.
 
@@ -53,11 +76,9 @@ def release(df: DataFrame, folder: str = "") -> None:
     """
     path = getattr(df, "_signalweave_path", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}" if folder else path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, f"{path}/{folder}" if folder else path)
         if folder:
-            spark._jvm.System.gc()
+            df.sparkSession._jvm.System.gc()
 
 
 def fold(doc_id: Column, parts: int) -> Column:

@@ -303,3 +303,31 @@ def test_tokens_of_a_slice_equal_those_of_each_text():
         assert counts.tolist() == list(map(len, expected)) and words.to_pylist() == sum(expected, [])
         pieces = [symbols[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         assert pieces == [lm_scoring.symbols_of(w).tolist() for w in expected]
+
+
+# ---------------------------------------------------------------- pipeline
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Empty documents, repeated and null ids, and no tables left behind but those of the stages."""
+    import os
+
+    import corpus_pipeline
+    from signalweave.llm.common import shared_dir
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
+    rng = np.random.default_rng(1)
+    made = lambda words: " ".join(rng.choice(words.split(), 40))
+    rows = [(i, made(EN if i % 2 else DE), "en" if i % 2 else "de", "s", 1) for i in range(60)]
+    rows += [(3, rows[3][1], "en", "s", 1), (None, made(EN), None, None, None), (None, made(EN), None, None, None), (70, None, None, "s", 0), (71, "", None, "s", 0)]
+    for name, docs in (("empty", []), ("odd", rows)):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        before = set(os.listdir(shared_dir(spark).removeprefix("file://")))
+        found = corpus_pipeline.run(spark, folder).collect()
+        left = set(os.listdir(shared_dir(spark).removeprefix("file://"))) - before
+        assert len(left) == 1 and next(iter(left)).startswith("pipeline-")
+        ids = Counter(r["doc_id"] for r in found)
+        assert (not found) if name == "empty" else (ids[None] >= 2 and 70 not in ids and 71 not in ids and set(ids) <= {r[0] for r in rows})
+        starts = sorted((r["start"], r["n_tokens"]) for r in found)
+        assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))

@@ -79,7 +79,7 @@ def interpolate_bad(signals: DataFrame, bad: list[str], positions: DataFrame | N
         distance = F.sqrt(sum((F.col(f"g.{p}") - F.col(f"b.{p}")) ** 2 for p in ("pos_x", "pos_y", "pos_z")))
         # electrodes only: a few hundred rows
         weights = g.join(F.broadcast(b), F.lit(True)).select(F.col("g.channel").alias("channel"), F.col("b.channel").alias("target"), (1 / (distance + 1e-10)).alias("w"))
-        rows = good.join(F.broadcast(weights), "channel")
+        rows = good.join(weights, "channel")
         made = rows.groupBy(*keys, "target", "sample").agg((F.sum(F.col("w") * F.col("value")) / F.sum(F.when(F.col("value").isNotNull(), F.col("w")))).alias("value")).withColumnRenamed("target", "channel")
     return good.unionByName(made.select(*signals.columns))
 

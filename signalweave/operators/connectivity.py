@@ -1,11 +1,14 @@
 """Connectivity between channels (rows C1-C9, J4).
 
-Pairs of channels meet by an equi-join on sample, or on segment and frequency; only
-pairs a < b are computed. Sums over samples are native.
+Sums over samples of products of two channels are products of matrices of a block of samples (:func:`block_sums`), so
+rows do not multiply by the number of pairs. Rank correlations and cross spectra pair channels by an equi-join
+on sample, or on segment and frequency. Only pairs a < b are computed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,6 +26,61 @@ def pairs(signals: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
     return left.join(right, on).filter("a < b")
 
 
+#: Samples of a block whose channels meet in one matrix.
+BLOCK = 4096
+
+
+def block_sums(signals: DataFrame, columns: list[str], measure: Callable[..., dict[str, np.ndarray]], names: list[str]) -> DataFrame:
+    """keys, a, b and, for channels a < b, the sums ``names`` over all samples.
+
+    ``measure`` gets a matrix (sample, channel) of each of ``columns``, NaN where missing, for one block of samples, and
+    returns a matrix (channel, channel) of each sum.
+    """
+    keys = keys_of(signals, "channel")
+    kinds = "".join(f"`{k}` {signals.schema[k].dataType.simpleString()}, " for k in keys)
+    channel = signals.schema["channel"].dataType.simpleString()
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        channels = sorted(frame["channel"].unique())
+        column = frame["channel"].map({c: i for i, c in enumerate(channels)}).to_numpy()
+        _, row = np.unique(frame["sample"].to_numpy(), return_inverse=True)
+        tables = []
+        for c in columns:
+            x = np.full((row.max() + 1, len(channels)), np.nan)
+            x[row, column] = frame[c].to_numpy(float)
+            tables.append(x)
+        i, j = np.triu_indices(len(channels), 1)
+        found = {k: v[i, j].astype(float) for k, v in measure(*tables).items()}
+        head = {k: [frame[k].iloc[0]] * i.size for k in keys}
+        named = np.array(channels, object)
+        return pd.DataFrame(head | {"a": pd.Series(named[i], dtype=object), "b": pd.Series(named[j], dtype=object)} | found)[[*keys, "a", "b", *names]]
+
+    rows = signals.select(*keys, "channel", "sample", *columns)
+    parts = rows.groupBy(*keys, F.floor((F.col("sample") - 1) / BLOCK)).applyInPandas(run, f"{kinds}a {channel}, b {channel}, {', '.join(f'{n} double' for n in names)}")
+    return parts.groupBy(*keys, "a", "b").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _moments(x: np.ndarray) -> dict[str, np.ndarray]:
+    known = ~np.isnan(x)
+    m = known.astype(float)
+    with np.errstate(all="ignore"):
+        level = np.nan_to_num(np.nansum(x, axis=0) / m.sum(axis=0))
+        z = np.where(known, x - level, 0.0)  # near 0, so that squares keep their digits
+        n, shift, squares = m.T @ m, z.T @ m, (z * z).T @ m
+        sx = shift + n * level[:, None]
+        share = lambda p, q: np.nan_to_num(p * q / n)
+        inner = z.T @ z - share(shift, shift.T)
+        own = squares - share(shift, shift)
+    return {"n": n, "sx": sx, "sy": sx.T, "xy": inner + share(sx, sx.T), "xx": own + share(sx, sx), "yy": (own + share(sx, sx)).T}
+
+
+def moments(signals: DataFrame) -> DataFrame:
+    """keys, a, b, n, and the sums of deviations cxy, cxx and cyy over the samples that both channels have."""
+    rows = block_sums(signals, ["value"], _moments, ["n", "sx", "sy", "xy", "xx", "yy"]).filter("n > 0")
+    centred = lambda p, s, t: (F.col(p) - F.col(s) * F.col(t) / F.col("n")).alias(f"c{p}")
+    return rows.select(*keys_of(signals, "channel"), "a", "b", "n", centred("xy", "sx", "sy"), centred("xx", "sx", "sx"), centred("yy", "sy", "sy"))
+
+
 def mirror(edges: DataFrame, conjugate: bool = False) -> DataFrame:
     """Both directions of each edge; of a complex one the other direction is the conjugate."""
     other = edges.select(*[F.col({"a": "b", "b": "a"}.get(c, c)).alias(c) for c in edges.columns])
@@ -34,9 +92,10 @@ def mirror(edges: DataFrame, conjugate: bool = False) -> DataFrame:
 def correlation(signals: DataFrame, method: str = "pearson") -> DataFrame:
     """A, b, value over the samples that both channels have."""
     keys = keys_of(signals, "channel")
-    both = pairs(signals, [*keys, "sample"], ["value"]).filter("x_value IS NOT NULL AND y_value IS NOT NULL")
     if method == "pearson":
-        return both.groupBy(*keys, "a", "b").agg(F.corr("x_value", "y_value").alias("value"))
+        value = F.try_divide(F.col("cxy"), F.sqrt(F.greatest(F.col("cxx"), F.lit(0.0))) * F.sqrt(F.greatest(F.col("cyy"), F.lit(0.0))))
+        return moments(signals).select(*keys, "a", "b", value.alias("value"))
+    both = pairs(signals, [*keys, "sample"], ["value"]).filter("x_value IS NOT NULL AND y_value IS NOT NULL")
     if method == "spearman":
         group = Window.partitionBy(*keys, "a", "b")
         for c in ("x_value", "y_value"):
@@ -117,28 +176,40 @@ def band_phase(signals: DataFrame, rate: float, band: tuple[float, float]) -> Da
     return per_series(signals, run, "re double, im double")
 
 
-def phase_pairs(signals: DataFrame, rate: float, band: tuple[float, float]) -> DataFrame:
-    """a, b, sample with re and im of z_a conj(z_b)."""
-    keys = keys_of(signals, "channel")
-    both = pairs(band_phase(signals, rate, band), [*keys, "sample"], ["re", "im"])
-    return both.select(*keys, "a", "b", "sample", (F.col("x_re") * F.col("y_re") + F.col("x_im") * F.col("y_im")).alias("re"), (F.col("x_im") * F.col("y_re") - F.col("x_re") * F.col("y_im")).alias("im"))
+def _imaginary(re: np.ndarray, im: np.ndarray, fn: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sums over samples of ``fn`` of the imaginary part of z_a conj(z_b), channel by channel."""
+    return np.stack([np.nansum(fn(im[:, [k]] * re - re[:, [k]] * im), axis=0) for k in range(re.shape[1])])
+
+
+def _both(re: np.ndarray) -> np.ndarray:
+    known = (~np.isnan(re)).astype(float)
+    return known.T @ known
+
+
+def _locking(re: np.ndarray, im: np.ndarray) -> dict[str, np.ndarray]:
+    with np.errstate(all="ignore"):
+        z = (re + 1j * im) / np.hypot(re, im)
+    n = _both(z.real)
+    product = np.nan_to_num(z).T @ np.nan_to_num(z).conj()
+    return {"n": n, "re": product.real, "im": product.imag}
 
 
 def plv(signals: DataFrame, rate: float, band: tuple[float, float]) -> DataFrame:
     """C4: length of the mean unit vector of the phase difference."""
-    rows = phase_pairs(signals, rate, band)
-    size = F.nullif(F.hypot("re", "im"), F.lit(0.0))
-    return rows.groupBy(*keys_of(signals, "channel"), "a", "b").agg(F.hypot(F.avg(F.col("re") / size), F.avg(F.col("im") / size)).alias("value"))
+    rows = block_sums(band_phase(signals, rate, band), ["re", "im"], _locking, ["n", "re", "im"])
+    return rows.select(*keys_of(signals, "channel"), "a", "b", F.try_divide(F.hypot("re", "im"), F.col("n")).alias("value"))
 
 
 def pli(signals: DataFrame, rate: float, band: tuple[float, float]) -> DataFrame:
     """Absolute mean sign of the phase difference."""
-    return phase_pairs(signals, rate, band).groupBy(*keys_of(signals, "channel"), "a", "b").agg(F.abs(F.avg(F.signum("im"))).alias("value"))
+    rows = block_sums(band_phase(signals, rate, band), ["re", "im"], lambda re, im: {"n": _both(re), "s": _imaginary(re, im, np.sign)}, ["n", "s"])
+    return rows.select(*keys_of(signals, "channel"), "a", "b", F.try_divide(F.abs("s"), F.col("n")).alias("value"))
 
 
 def wpli(signals: DataFrame, rate: float, band: tuple[float, float]) -> DataFrame:
     """The phase difference's sign weighted by the imaginary part; NULL where that is 0 throughout."""
-    return phase_pairs(signals, rate, band).groupBy(*keys_of(signals, "channel"), "a", "b").agg(F.try_divide(F.abs(F.sum("im")), F.sum(F.abs("im"))).alias("value"))
+    rows = block_sums(band_phase(signals, rate, band), ["re", "im"], lambda re, im: {"s": _imaginary(re, im, lambda x: x), "t": _imaginary(re, im, np.abs)}, ["s", "t"])
+    return rows.select(*keys_of(signals, "channel"), "a", "b", F.try_divide(F.abs("s"), F.col("t")).alias("value"))
 
 
 def connectivity(signals: DataFrame, method: str, rate: float | None = None, band: tuple[float, float] | None = None, size: int = 256) -> DataFrame:

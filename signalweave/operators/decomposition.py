@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import per_series
-from .connectivity import mirror, pairs
+from .connectivity import mirror, moments
 
 
 def covariance(signals: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
     """Channels, means and covariance; n_channels^2 numbers reach the driver."""
-    both = mirror(pairs(signals, ["sample"], ["value"]).groupBy("a", "b").agg(F.covar_samp("x_value", "y_value").alias("value")))
+    both = mirror(moments(signals.select("channel", "sample", "value")).select("a", "b", F.try_divide(F.col("cxy"), F.col("n") - 1).alias("value")))
     own = signals.groupBy("channel").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("variance")).collect()
     names = sorted(r["channel"] for r in own)
     at = {c: i for i, c in enumerate(names)}

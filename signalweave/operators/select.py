@@ -106,7 +106,7 @@ def set_channel_field(channels: DataFrame, field: str, values: dict[str, str]) -
 def set_positions(channels: DataFrame, positions: DataFrame) -> DataFrame:
     """Positions (label, x, y, z) by label; of a repeated label the first counts."""
     one = positions.dropDuplicates(["label"])
-    found = channels.drop("pos_x", "pos_y", "pos_z").join(F.broadcast(one), "label", "left")
+    found = channels.drop("pos_x", "pos_y", "pos_z").join(one, "label", "left")
     return found.withColumnsRenamed({"x": "pos_x", "y": "pos_y", "z": "pos_z"}).select(*channels.columns)
 
 

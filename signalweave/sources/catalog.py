@@ -102,7 +102,7 @@ class Catalog:
             events = recording.events.withColumn("i", F.row_number().over(Window.orderBy("onset")))
             self._append("events", events.select(F.concat_ws("_", F.lit(experiment_id), F.lit("ev"), "i").alias("event_id"), F.lit(experiment_id).alias("experiment_id"), F.col("onset").alias("onset_seconds"), F.col("duration").alias("duration_seconds"), F.col("type").alias("event_type"), F.col("value").alias("event_value"), (F.col("onset") * F.lit(recording.sampling_rate)).cast("long").alias("sample_index")))
         if store_signals:
-            chunks = chunk_signals(signals.select("channel", "sample", "value"), chunk_size).join(F.broadcast(index), "channel")
+            chunks = chunk_signals(signals.select("channel", "sample", "value"), chunk_size).join(index, "channel")
             self._append("signal_chunks", chunks.withColumn("experiment_id", F.lit(experiment_id)).withColumn("chunk_id", F.concat_ws("_", F.lit(experiment_id), "channel_index", "start_sample")))
         return experiment_id
 
@@ -123,7 +123,7 @@ class Catalog:
         signals = self.spark.createDataFrame([], "channel string, sample long, value double")
         if load_signals:
             rows = unchunk_signals(mine("signal_chunks").select("channel_index", "start_sample", "end_sample", "data"))
-            signals = rows.join(F.broadcast(channels.select("channel", "channel_index")), "channel_index").select("channel", "sample", "value")
+            signals = rows.join(channels.select("channel", "channel_index"), "channel_index").select("channel", "sample", "value")
         return Recording(signals, head["sampling_rate"], channels.drop("channel_index"), events, metadata=json.loads(head["metadata"] or "{}"))
 
     def statistics(self) -> DataFrame:

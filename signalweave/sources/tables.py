@@ -216,7 +216,7 @@ def read_bids(spark: SparkSession, root: str, subject: str, task: str, session:
     table = _tsv(spark, f"{folder}/{base}_channels.tsv")
     if table is not None:
         more = table.dropDuplicates(["name"]).select(F.col("name").alias("label"), F.col("type").cast("string").alias("type2"), (F.col("units") if "units" in table.columns else F.lit(None)).cast("string").alias("unit2"))
-        channels = channels.join(F.broadcast(more), "label", "left").withColumn("type", F.coalesce("type2", "type")).withColumn("unit", F.coalesce("unit2", "unit")).drop("type2", "unit2").select(*channels.columns)
+        channels = channels.join(more, "label", "left").withColumn("type", F.coalesce("type2", "type")).withColumn("unit", F.coalesce("unit2", "unit")).drop("type2", "unit2").select(*channels.columns)
     electrodes = _tsv(spark, f"{folder}/{base}_electrodes.tsv")
     if electrodes is not None:
         from ..operators.select import set_positions

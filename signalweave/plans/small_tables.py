@@ -207,3 +207,8 @@ on_a(ORACLES["firing"].replace("FROM events)", "FROM events)", 1), "workflow_fir
 @query()
 def workflow_erp(spark, sf):
     return workflows.run("eegERP", Recording(view_a(spark, sf), RATE, events=markers(spark, sf)))["erpComputation"]
+ORACLES["resample_fft"] = (
+    f"WITH {A}, z AS (SELECT channel, count(*) AS n, CAST(round_even(count(*) / 100.0::DOUBLE * 64.0, 0) AS BIGINT) AS size FROM a GROUP BY channel), "
+    "f AS (SELECT channel, k, any_value(n) AS n, any_value(size) AS size, sum(value * cos(2 * pi() * ((k * (sample - 1)) % n) / n)) AS re, -sum(value * sin(2 * pi() * ((k * (sample - 1)) % n) / n)) AS im FROM a JOIN z USING (channel), generate_series(0, size // 2) g(k) GROUP BY channel, k) "
+    f"SELECT channel, j + 1 AS sample, {r('sum(CASE WHEN k = 0 OR 2 * k = size THEN 1 ELSE 2 END * (re * cos(2 * pi() * ((k * j) % size) / size) - im * sin(2 * pi() * ((k * j) % size) / size))) / any_value(n)', 'value')} FROM f, generate_series(0, size - 1) g(j) GROUP BY channel, j"
+)

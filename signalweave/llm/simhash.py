@@ -372,21 +372,35 @@ def _large_links(members: DataFrame, sets: DataFrame) -> DataFrame:
             sides = [np.frombuffer(r[6], np.uint32) for r in ours]
             sizes, roots = np.array([x.size for x in sides]), np.array([r[5] for r in ours])
             flat, owner = np.concatenate(sides) if sides else np.zeros(0, np.uint32), np.repeat(np.arange(len(ours)), sizes)
-            a, b = [], []
+            forest = Forest()  # over the clusters, so that each is linked once
             for r in rows:
                 if r[3] == 1 and ours:
                     other = np.frombuffer(r[6], np.uint32)
                     common = np.bincount(owner[np.isin(flat, other)], minlength=len(ours))
-                    for k in np.flatnonzero((common >= SIMILAR * (sizes + other.size - common)) & (roots != r[5])).tolist():
-                        a.append(r[4])
-                        b.append(ours[k][4])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    for root in np.unique(roots[common >= SIMILAR * (sizes + other.size - common)]).tolist():
+                        forest.link(r[5], root)
+            found = np.array(forest.links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     dealt = left.union(right).repartition(partitions(members), "key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
     out = dealt.mapInArrow(across, "a long, b long")
     for part in found:
         out = out.union(part)
-    return out.filter("a <> b")
+    return _thinned(out.filter("a <> b"))
+
+
+def _thinned(links: DataFrame) -> DataFrame:
+    """The links of each task that join two trees: a member of many groups has a link from each, but needs few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                forest.link(a, b)
+        found = np.array(forest.links, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    return links.repartition(partitions(links), "a").mapInArrow(run, "a long, b long")
 
 
 def similar_links(signatures: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ SIMILAR = 0.8
 #: Bands of MinHash values, and values of a band: a pair of similarity 0.8 shares no band with probability 3e-6.
 BANDS, BAND = 24, 4
 #: Nodes that are compared with each other in one go; larger groups are cut into blocks.
-GROUP = 512
+GROUP = 2048
 
 
 # ---------------------------------------------------------------- fingerprints

@@ -374,10 +374,8 @@ def tokens_at(written: DataFrame, positions: Iterable[int]) -> dict[int, int]:
 
     first = F.col("base") + F.col("first_id")
     places = _with_base(written.select("shard", "segment", "first_id", "n_ids"), written).select("shard", "segment", first.alias("first"), (first + F.col("n_ids")).alias("behind"))
-    asked = written.sparkSession.createDataFrame([(int(p),) for p in wanted], "position long")
-    # segments are as many as tasks times a few; each position is in one of them
-    hit = asked.join(places, (F.col("position") >= F.col("first")) & (F.col("position") < F.col("behind"))).select("shard", "segment", "first").distinct()
-    rows = written.join(hit, ["shard", "segment"]).select("first", "data").mapInArrow(run, "position long, id long").collect()
+    hit = places.filter(F.exists(F.lit(wanted.tolist()), lambda p: (p >= F.col("first")) & (p < F.col("behind")))) if wanted.size else places.limit(0)
+    rows = written.join(hit.drop("behind"), ["shard", "segment"]).select("first", "data").mapInArrow(run, "position long, id long").collect()
     found = {r["position"]: r["id"] for r in rows}
     if len(found) < wanted.size:
         raise IndexError("a position is outside the corpus")

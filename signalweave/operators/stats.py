@@ -127,7 +127,7 @@ def _epoch_vectors(rows: DataFrame, first=None) -> tuple[DataFrame, list, list,
     return vectors, samples, channels, n, n_first
 
 
-def _drawn_sums(vectors: DataFrame, draws: int, weights, finish, out: str) -> DataFrame:
+def _drawn_sums(vectors: DataFrame, points: int, draws: int, weights, finish, out: str) -> DataFrame:
     """``finish(draw, sums, counts)`` for each draw from 0 to ``draws``.
 
     sums are those of the values over epochs, times ``weights(draw)``, an array over epochs; counts those of the
@@ -148,10 +148,13 @@ def _drawn_sums(vectors: DataFrame, draws: int, weights, finish, out: str) -> Da
         for k in range(0 if sums is None else draws + 1):
             yield pd.DataFrame({"draw": [k], "sums": [sums[k]], "counts": [counts[k]]})
 
+    # draws go to a task in groups, fewer in each the more points there are
+    groups = min(draws + 1, max(32, draws * points // 500_000))
+
     def total(frame: pd.DataFrame) -> pd.DataFrame:
-        return finish(int(frame["draw"].iloc[0]), np.sum(frame["sums"].to_list(), axis=0), np.sum(frame["counts"].to_list(), axis=0))
+        return pd.concat([finish(int(k), np.sum(part["sums"].to_list(), axis=0), np.sum(part["counts"].to_list(), axis=0)) for k, part in frame.groupby("draw")])
 
-    return vectors.mapInPandas(partial, "draw long, sums array<double>, counts array<double>").groupBy("draw").applyInPandas(total, out)
+    return vectors.mapInPandas(partial, "draw long, sums array<double>, counts array<double>").groupBy(F.col("draw") % groups).applyInPandas(total, out)
 
 
 def bootstrap_ci(epochs: DataFrame, n_draws: int = 1000, level: float = 0.95, condition=None, seed: int = 1) -> DataFrame:
@@ -171,7 +174,7 @@ def bootstrap_ci(epochs: DataFrame, n_draws: int = 1000, level: float = 0.95, co
 
     kind = rows.schema["channel"].dataType.simpleString() if "channel" in rows.columns else "string"
     weights = lambda k: np.random.default_rng([seed, k]).poisson(1.0, n) if k else np.zeros(n)
-    drawn = _drawn_sums(vectors, n_draws, weights, means, f"draw long, sample long, channel {kind}, m double").filter("draw > 0 AND NOT isnan(m)")
+    drawn = _drawn_sums(vectors, len(samples) * len(channels), n_draws, weights, means, f"draw long, sample long, channel {kind}, m double").filter("draw > 0 AND NOT isnan(m)")
     tail = (1 - level) / 2
     band = drawn.groupBy(*points).agg(F.stddev_samp("m").alias("se"), F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
     return rows.groupBy(*points).agg(F.avg("value").alias("mean")).join(band, points)
@@ -264,7 +267,7 @@ def cluster_permutation(epochs: DataFrame, first, second=None, n_permutations: i
         places = [np.argwhere(marks == k)[:, 0] for k in range(1, len(found) + 1)]
         return pd.DataFrame({"draw": 0, "cluster": np.arange(1, len(found) + 1), "statistic": found, "first_sample": [samples[at.min()] for at in places], "last_sample": [samples[at.max()] for at in places], "n_points": [at.size for at in places]})
 
-    drawn = _drawn_sums(vectors, n_permutations, weights, clusters, "draw long, cluster int, statistic double, first_sample int, last_sample int, n_points int")
+    drawn = _drawn_sums(vectors, len(samples) * len(channels), n_permutations, weights, clusters, "draw long, cluster int, statistic double, first_sample int, last_sample int, n_points int")
     counted = drawn.filter("draw > 0").agg(F.collect_list("statistic").alias("null_sums"))  # n_permutations numbers
     mine = drawn.filter("draw = 0").drop("draw")
     return mine.join(F.broadcast(counted)).withColumn("p", F.expr("size(filter(null_sums, x -> x >= abs(statistic))) / size(null_sums)")).drop("null_sums")

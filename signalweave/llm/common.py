@@ -107,12 +107,28 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker, over all its tasks."""
+def give_back() -> None:
+    """Return freed memory to the system: all Python workers of an executor share its memory."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+def worker_cache(owner: str) -> dict:
+    """A dictionary of the operator ``owner`` that lives over all tasks that the Python worker does for it.
+
+    Spark gives a worker to one operator after another. At the first call by another owner, what the last one kept goes.
+    """
     import sys
     import types
 
-    return sys.modules.setdefault("signalweave_worker_cache", types.ModuleType("signalweave_worker_cache")).__dict__
+    kept = sys.modules.setdefault("signalweave_worker_cache", types.ModuleType("signalweave_worker_cache")).__dict__
+    if kept.get("owner") != owner:
+        kept |= {"owner": owner, "held": {}}
+        give_back()
+    return kept["held"]
 
 
 def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:

@@ -45,7 +45,7 @@ class Folding:
 
     def __init__(self, letters: np.ndarray):
         self.letters = letters
-        cache = worker_cache()
+        cache = worker_cache("language_id")
         if "alphabetic" not in cache:
             cache["alphabetic"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
         self.symbol = cache["alphabetic"].astype(np.uint16)

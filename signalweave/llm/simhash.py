@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, release
+from .common import materialize, partitions, release, worker_cache
 
 MOST_BITS = 4
 #: Members of a posting that are compared directly; longer ones are indexed again.
@@ -267,6 +267,7 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, fp, node, bands, shingles of every row; the last three are null where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")  # the stages before may have left much in this worker
         factors = np.random.default_rng(7).integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):

@@ -163,7 +163,7 @@ class PieceEncoder:
     @classmethod
     def of_worker(cls, path: str, special_as_text: bool = False) -> "PieceEncoder":
         """The encoder of this worker process, with what it remembers from earlier tasks."""
-        cache, key = worker_cache(), (path, special_as_text)
+        cache, key = worker_cache("token_output"), (path, special_as_text)
         if key not in cache:
             cache[key] = cls(path, special_as_text=special_as_text)
         return cache[key]

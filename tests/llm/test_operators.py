@@ -178,6 +178,30 @@ def test_pieces_equal_whole_texts(text):
     assert np.frombuffer(encoder(text), "<u4").tolist() == plain_ids(text)
 
 
+def test_worker_keeps_nothing_of_the_operator_before(spark):
+    """The pipeline's stages get the same Python workers; the encoder must not stay in them while near copies are searched."""
+    import weakref
+
+    import pyarrow as pa
+
+    class Rows:
+        """Stands for a DataFrame, to have what its workers run."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    kept = weakref.ref(token_output.PieceEncoder.of_worker(queries.tokenizer_file()))
+    assert token_output.PieceEncoder.of_worker(queries.tokenizer_file()) is kept()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([EN, None])], names=["doc_id", "text"])
+    (made,) = simhash._signatures(Rows(), 5)(iter([batch]))
+    assert kept() is None
+    assert made.column(1).to_pylist() == [simhash.fingerprint(x, 5) - (1 << 64 if simhash.fingerprint(x, 5) >> 63 else 0) for x in (EN, None)]
+    assert token_output.PieceEncoder.of_worker(queries.tokenizer_file())("a b") == np.array(plain_ids("a b"), "<u4").tobytes()
+
+
 def test_forgotten_pieces_are_encoded_again():
     import pyarrow as pa
 

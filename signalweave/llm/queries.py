@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, exact_dedup, language_id, lm_scoring, mixing, simhash, token_output, toxicity, url_filter
+from . import chat_format, decontam, exact_dedup, language_id, line_dedup, lm_scoring, merkle, mixing, resampling, simhash, token_output, toxicity, url_filter
 from .common import fold, table
 
 
@@ -71,6 +71,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.dedup_lines(docs, counts=("n_lines", "n_dropped"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
@@ -82,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -157,4 +175,64 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (passes + CASE WHEN hash < threshold THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN c ON d.source IS NOT DISTINCT FROM c.source
     """,
+    "op11_line_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (
+            SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+        k AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        r AS (
+            SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        j AS (
+            SELECT doc_id, pos, line, keep IS NOT NULL AND keep <> doc_id AS gone FROM k LEFT JOIN r USING (key))
+        SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM j GROUP BY doc_id
+    """,
+    "op13_merkle_manifest": """
+        WITH RECURSIVE v AS (
+            SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS a, CAST(n_chars AS VARCHAR) AS n, lang, text, replace(text, chr(10), '') AS flat FROM documents),
+        p AS (
+            SELECT doc_id, source, a, flat, text, coalesce(strlen(a) || ':' || a, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n) || ':' || n, '-') AS head FROM v),
+        b AS (
+            SELECT *, list_reduce(list_transform(range(1, length(a) + 1), lambda i: ascii(substr(a, i, 1))::UBIGINT), lambda c, x:
+                       list_reduce(range(8)::UBIGINT[], lambda k, i: xor(k >> 1, CASE WHEN k % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END), xor(c, x)),
+                       4294967295::UBIGINT) AS crc FROM p),
+        leaf AS (
+            SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS number, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   CASE WHEN crc % 2 = 1 THEN sha256(head || coalesce(strlen(flat) || ':' || flat, '-')) END AS claimed FROM b),
+        tree AS (
+            SELECT source, 0 AS level, number, leaf AS h FROM leaf
+            UNION ALL
+            SELECT source, any_value(level) + 1, number // 3, sha256(string_agg(h, '' ORDER BY number))
+            FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM tree) WHERE n > 1 GROUP BY source, number // 3),
+        sub AS (
+            SELECT source, row_number() OVER (ORDER BY source IS NOT NULL, source) - 1 AS place, arg_max(h, level) AS subroot, max(level) AS top FROM tree GROUP BY source),
+        crown AS (
+            SELECT 0 AS level, place, subroot AS h FROM sub
+            UNION ALL
+            SELECT any_value(level) + 1, place // 3, sha256(string_agg(h, '' ORDER BY place)) FROM (SELECT *, count(*) OVER () AS n FROM crown) WHERE n > 1 GROUP BY place // 3),
+        total AS (SELECT arg_max(h, level) AS root FROM crown),
+        fold AS (
+            SELECT doc_id, source, 0 AS level, number, coalesce(claimed, leaf) AS h, '' AS path FROM leaf
+            UNION ALL
+            SELECT f.doc_id, any_value(f.source), any_value(f.level) + 1, any_value(f.number) // 3,
+                   sha256(string_agg(CASE WHEN t.number = f.number THEN f.h ELSE t.h END, '' ORDER BY t.number)),
+                   any_value(f.path) || coalesce(string_agg(t.h, '' ORDER BY t.number) FILTER (t.number <> f.number), '')
+            FROM fold f JOIN sub s ON s.source IS NOT DISTINCT FROM f.source AND f.level < s.top
+                 JOIN tree t ON t.source IS NOT DISTINCT FROM f.source AND t.level = f.level AND t.number // 3 = f.number // 3
+            GROUP BY f.doc_id),
+        high AS (
+            SELECT f.doc_id, 0 AS level, s.place, f.h, f.path FROM fold f JOIN sub s ON s.source IS NOT DISTINCT FROM f.source AND f.level = s.top
+            UNION ALL
+            SELECT f.doc_id, any_value(f.level) + 1, any_value(f.place) // 3, sha256(string_agg(CASE WHEN t.place = f.place THEN f.h ELSE t.h END, '' ORDER BY t.place)),
+                   any_value(f.path) || coalesce(string_agg(t.h, '' ORDER BY t.place) FILTER (t.place <> f.place), '')
+            FROM high f JOIN crown t ON t.level = f.level AND t.place // 3 = f.place // 3 WHERE f.level < (SELECT max(level) FROM crown) GROUP BY f.doc_id),
+        done AS (SELECT doc_id, arg_max(h, level) AS folded_root, arg_max(path, level) AS path FROM high GROUP BY doc_id)
+        SELECT doc_id, leaf, subroot, root, sha256(path) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM leaf JOIN done USING (doc_id) JOIN sub ON sub.source IS NOT DISTINCT FROM leaf.source, total
+    """,
 }

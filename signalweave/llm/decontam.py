@@ -6,6 +6,10 @@ that keep them. Hashes of documents are joined with those of the benchmark. Each
 fixes an alignment of document and item, along which all tokens of the item are compared with
 those around the hit. Everything is made of DataFrame functions.
 
+Hits carry no text. Windows inside a run of one repeated token have equal hashes and are one seed with a reach, so that two
+runs meet in one row, an interval of alignments. Alignments are made distinct first, and then the tokens of a document
+come back once for each item that it met.
+
 The masks keep every choice of three among five tokens that starts with the first. An alignment on which
 60 % of the tokens agree has three agreeing ones among some five in a row, as not every
 five can have two, and so is hit at least once, wherever the substitutions are.
@@ -30,6 +34,10 @@ STRETCH, STRETCH_AGREE = 16, 13
 LEAST_RUN = 3
 #: Bytes of the benchmark's hashes and tokens that are sent to all tasks; more are joined by shuffles.
 BROADCAST_BYTES = 96 << 20
+#: Documents with hits whose keys are sent to all tasks, so that no other document's tokens are shuffled.
+BROADCAST_ROWS = 500_000
+#: Parts of each hash in a join by shuffle: a hash of a third of all windows is met by so many tasks.
+SALTS = 32
 
 
 def tokens(text: Column) -> Column:
@@ -48,23 +56,48 @@ def _masked(words: Column, at: Column, masks: tuple[str, ...]) -> Column:
 
 
 def _seeds(rows: DataFrame, words: str, masks: tuple[str, ...], *columns: str) -> DataFrame:
-    """columns, at and hash of every masked window of the array ``words``."""
-    least = min(map(len, masks))
-    at = F.when(F.size(words) >= least, F.sequence(F.lit(0), F.size(words) - least))
+    """columns, at, reach and hash of the masked windows of the array ``words``.
+
+    A seed stands for the windows at ``at`` to ``at + reach``, which all have this hash. reach is 0 but in runs of a token that are longer than the
+    longest mask, whose windows are one seed for each mask.
+    """
+    least, most = min(map(len, masks)), max(map(len, masks))
+    last = F.size(words) - least
+    token = lambda i: F.get(F.col(words), i)
+
+    def inside(i: Column) -> Column:
+        """Whether the windows of all masks at i and i - 1 lie in one run."""
+        run = (i > 0) & (i + most <= F.size(words))
+        for k in range(most):
+            run &= token(i + k) == token(i - 1)
+        return run
+
+    at = F.when(last >= 0, F.sequence(F.lit(0), last))
     spots = rows.select(*columns, words, F.explode(at).alias("at")) if words not in columns else rows.select(*columns, F.explode(at).alias("at"))
-    return spots.select(*columns, "at", F.explode(_masked(F.col(words), F.col("at"), masks)).alias("hash")).filter("hash IS NOT NULL")
+    found = spots.filter(~inside(F.col("at"))).select(*columns, "at", F.lit(0).alias("reach"), F.explode(_masked(F.col(words), F.col("at"), masks)).alias("hash"))
+    # the windows before the first and at the last of each run of inner ones
+    before = F.filter(at, lambda i: inside(i + 1) & ~inside(i))
+    ends = F.filter(at, lambda i: inside(i) & ~inside(i + 1))
+    runs = rows.select(*columns, *([] if words in columns else [words]), F.explode(F.arrays_zip(before.alias("a"), ends.alias("b"))).alias("run"))
+    at = F.col("run")["a"]
+    runs = runs.select(*columns, at.alias("at"), (F.col("run")["b"] - at).alias("reach"), F.explode(_masked(F.col(words), at, masks)).alias("hash"))
+    return found.union(runs).filter("hash IS NOT NULL")
+
+
+def _agreeing(words: Column, item: Column, start: Column) -> Column:
+    """The number of agreeing tokens of an alignment that counts as contained, null of another one."""
+    total = lambda bits: F.aggregate(bits, F.lit(0), lambda a, x: a + x)
+    n = F.size(item)
 
+    def judged(same: Column) -> Column:
+        agreeing = total(same)
+        whole = (agreeing / n >= LEAST_SHARE) & ((agreeing >= LEAST_TOKENS) | (agreeing == n))
+        stretches = F.transform(F.sequence(F.lit(1), n - STRETCH + 1), lambda k: total(F.slice(same, k, F.lit(STRETCH))))
+        part = F.when((n >= STRETCH) & (agreeing >= STRETCH_AGREE), F.array_max(stretches) >= STRETCH_AGREE).otherwise(False)
+        return F.when(whole | part, agreeing)
 
-def _judged(aligned: DataFrame) -> DataFrame:
-    """doc_id, item_id, n and agreeing of the alignments (words, item, start) that count as contained."""
-    same = F.transform("item", lambda w, k: F.coalesce(F.get("words", F.col("start") + k) == w, F.lit(False)).cast("int"))
-    total = lambda bits: F.aggregate(bits, F.lit(0), lambda a, x: a + x)
-    found = aligned.select("doc_id", "item_id", F.size("item").alias("n"), same.alias("same")).withColumn("agreeing", total(F.col("same")))
-    share = F.col("agreeing") / F.col("n")
-    whole = (share >= LEAST_SHARE) & ((F.col("agreeing") >= LEAST_TOKENS) | (F.col("agreeing") == F.col("n")))
-    stretches = F.transform(F.sequence(F.lit(1), F.col("n") - STRETCH + 1), lambda k: total(F.slice("same", k, F.lit(STRETCH))))
-    part = F.when((F.col("n") >= STRETCH) & (F.col("agreeing") >= STRETCH_AGREE), F.array_max(stretches) >= STRETCH_AGREE).otherwise(False)
-    return found.filter(whole | part).select("doc_id", "item_id", "n", "agreeing")
+    same = F.transform(item, lambda w, k: F.coalesce(F.get(words, start + k) == w, F.lit(False)).cast("int"))
+    return F.get(F.transform(F.array(same), judged), 0)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
@@ -81,19 +114,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     items = benchmark.select("item_id", tokens(F.col("text")).alias("item")).filter(F.size("item") >= LEAST_RUN)
     items = materialize(items.withColumn("item_no", F.monotonically_increasing_id()), "benchmark")
     size = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
-    seeds = _seeds(items, "item", masks, "item_no").select("item_no", F.col("at").alias("item_at"), "hash")
-    rows = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    start = (F.col("at") - F.col("item_at")).alias("start")
-    if size * (8 + 64 * len(masks)) <= BROADCAST_BYTES:
-        hits = _seeds(rows, "words", masks, "doc_id", "words").join(F.broadcast(seeds), "hash").join(F.broadcast(items), "item_no")
-        found = _judged(hits.select("doc_id", "item_id", "words", "item", start))
+    few = size * (8 + 64 * len(masks)) <= BROADCAST_BYTES
+    seeds = _seeds(items, "item", masks, "item_no").select("item_no", F.col("at").alias("item_at"), F.col("reach").alias("item_reach"), "hash")
+    # a row is known by its id and two hashes of its text
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.struct("doc_id", F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y")).alias("row"), "text")
+    spots = _seeds(rows.select("row", tokens(F.col("text")).alias("words")), "words", masks, "row")
+    if few:
+        hits = spots.join(F.broadcast(seeds), "hash")
     else:
-        # a row is known by its id and its words; these stay out of the large shuffle and come back once for each alignment
-        rows = rows.withColumn("row", F.struct("doc_id", F.xxhash64("words").alias("x"), F.hash("words").alias("h"), F.size("words").alias("n")))
-        hits = _seeds(rows, "words", masks, "row").join(seeds, "hash").select("row", "item_no", start).distinct()
-        texts = rows.groupBy(F.col("row").alias("same_row")).agg(F.first("words").alias("words"))
-        aligned = hits.join(items, "item_no").join(texts, F.col("row").eqNullSafe(F.col("same_row")))
-        found = _judged(aligned.select(F.col("row.doc_id").alias("doc_id"), "item_id", "words", "item", "start"))
+        salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = spots.withColumn("salt", F.pmod(F.col("at"), F.lit(SALTS))).join(salted, ["hash", "salt"])
+    hits = hits.select("row", "item_no", (F.col("at") - F.col("item_at") - F.col("item_reach")).alias("low"), (F.col("at") + F.col("reach") - F.col("item_at")).alias("high"))
+    starts = hits.select("row", "item_no", F.explode(F.sequence("low", "high")).alias("start")).distinct()
+    met = materialize(starts.groupBy("row", "item_no").agg(F.collect_list("start").alias("starts")), "alignments")
+    keys = met.select(F.col("row").alias("met_row")).distinct()
+    same_row = lambda a, b: F.col(a)["doc_id"].eqNullSafe(F.col(b)["doc_id"]) & (F.col(a)["x"] == F.col(b)["x"]) & (F.col(a)["y"] == F.col(b)["y"])
+    texts = rows.join(F.broadcast(keys), same_row("row", "met_row"), "left_semi") if keys.count() <= BROADCAST_ROWS else rows
+    texts = texts.select(F.col("row").alias("text_row"), tokens(F.col("text")).alias("words")).dropDuplicates(["text_row"])
+    aligned = met.join(texts, same_row("row", "text_row")).join(F.broadcast(items) if few else items, "item_no")
+    best = F.array_max(F.transform("starts", lambda start: _agreeing(F.col("words"), F.col("item"), start)))
+    found = aligned.select(F.col("row.doc_id").alias("doc_id"), "item_id", F.size("item").alias("n"), best.alias("agreeing")).filter("agreeing IS NOT NULL")
     best = found.groupBy("doc_id", "item_id").agg(F.max("agreeing").cast("long").alias("agreeing"), F.max(F.col("agreeing") / F.col("n")).alias("share"))
     return best.select("doc_id", "item_id", "agreeing", "share")
 

@@ -134,6 +134,22 @@ def test_decontamination_finds_every_alignment(spark, most, monkeypatch):
     assert all(found[k][0] == v[0] and np.isclose(found[k][1], v[1]) for k, v in expected.items())
 
 
+@pytest.mark.parametrize("most", [96 << 20, 0])
+def test_decontamination_of_repeated_tokens(spark, most, monkeypatch):
+    """Runs of one token and of two in turn, long ones too, have every alignment, and hits don't grow with the product of the runs."""
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", most)
+    rng = np.random.default_rng(12)
+    items = [(0, "a " * 200), (1, "a " * 20), (2, "ha ho " * 30), (3, "x 0 0 0 0 0 0 0 0 0 y 0 0 0 0 0 0 z"), (4, "a a a"), (5, "a a a a a a b"), (6, "b a a a a a a"), (7, "a " * 6), (8, "a " * 7 + "c " * 9)]
+    docs = ["a " * 5000, "a " * 20000, "a " * 2000 + "b " + "a " * 150, "ha ho " * 1500, "0 " * 300 + "x " + "0 " * 9 + "y " + "0 " * 6 + "z " + "- 0 " * 40, "a " * 5, "a a", "c " * 40, "b " + "a " * 7 + "c " * 8]
+    docs += [" ".join(np.repeat(rng.choice(["a", "b", "c", "0"], 60), rng.integers(1, 15, 60))) for _ in range(12)]
+    rows = list(enumerate(docs))
+    found = decontam.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]): (r["agreeing"], round(r["share"], 9)) for r in found.collect()}
+    expected = plain_overlaps(rows, items)
+    assert found == {k: (a, round(b, 9)) for k, (a, b) in expected.items()} and len(found) > 30
+
+
 # ---------------------------------------------------------------- toxicity
 def test_toxicity_equals_a_dense_pass():
     """A text's score is the sigmoid of the mean over its words of the mean over their buckets."""

@@ -263,20 +263,24 @@ class Scorer:
 RESULT = "lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
+def draws(docs: DataFrame) -> DataFrame:
+    """lang, text and the hash that decides whether a row is learned from."""
+    return docs.select("lang", "text", F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(1)).alias("draw"))
+
+
 def fit(docs: DataFrame, train_on: Column, sample_rows: int = SAMPLE_ROWS) -> dict:
     """Train on a sample of the rows of ``docs`` (doc_id, text, lang) for which ``train_on`` holds.
 
-    About ``sample_rows`` rows of each language are drawn by a hash of the id. The sample
-    is bounded, so one task can train; the model it returns is as large as the sample at
-    most. Null languages and texts are left out; with nothing to learn every text is
-    ``und``.
+    About ``sample_rows`` rows of each language are drawn by a hash of the id and the text, rows that repeat both
+    once, so ids may be null or repeated. The sample is bounded, so one task can train; the model it returns is as large as the
+    sample at most. Null languages and texts are left out; with nothing to learn every text is ``und``.
     """
-    rows = docs.filter(train_on & F.col("lang").isNotNull())
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.count("*")).alias("share"))
+    rows = draws(docs.filter(train_on & F.col("lang").isNotNull() & F.col("text").isNotNull()))
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.approx_count_distinct("draw", 0.02)).alias("share"))
     # otherwise all texts would be shuffled by language; far fewer languages than this exist
     share = F.broadcast(share) if share.count() <= 10_000 else share
-    unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.select("lang", "text", unit.alias("unit")).join(share, "lang").filter("unit < share AND text IS NOT NULL").select("lang", "text")
+    unit = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.join(share, "lang").filter(unit < F.col("share")).dropDuplicates(["lang", "draw"]).select("lang", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts: dict[str, list[str]] = {}

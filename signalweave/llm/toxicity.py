@@ -162,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, sample_rows: int =
     About ``sample_rows`` rows of each class are drawn by a hash of the id; the sample is
     bounded, so one task trains. The model is a number per bucket, whatever the input. Where the
     draw changed the proportion of the classes, the bias is set back to it. Null labels and ids are left
-    out, of repeated labels of an id the highest counts; documents that repeat an id are all learned from, equal ones
-    once. Null texts are empty and whole texts are used; without labels of both classes, or on
+    out, of repeated labels of an id the highest counts; of documents that repeat an id one is learned from, chosen by a
+    hash of its text. Null texts are empty and whole texts are used; without labels of both classes, or on
     empty tables, the score is the share of the labels.
     """
     marks = labels.filter(train_on & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
@@ -173,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, sample_rows: int =
     kept = marks.filter(unit < F.when(F.col("y") == 1, shares.get(1, 1.0)).otherwise(shares.get(0, 1.0)))
     # the sample's labels are few, so the texts need no shuffle
     kept = F.broadcast(kept) if kept.count() <= 10 * sample_rows else kept
-    sample = docs.select("doc_id", "text").join(kept, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(kept, "doc_id")
+    sample = found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("draw"), "text"))["text"].alias("text")).select("doc_id", "text", "y")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = sorted({(int(i), t, int(y)) for b in batches for i, t, y in zip(b["doc_id"], b["text"], b["y"], strict=True)})

@@ -76,6 +76,21 @@ def test_language_scores_do_not_depend_on_neighbours():
     assert np.allclose(alone, together, rtol=1e-5)
 
 
+def test_samples_with_null_and_repeated_ids(spark):
+    """Ids that are all null or all the same neither empty the samples nor let them grow."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(EN.split(), 12)) for _ in range(3000)] + [EN] * 3000
+    for i in (None, 7):
+        d = spark.createDataFrame([(i, t, "en") for t in texts], "doc_id long, text string, lang string")
+        model = language_id.fit(d, F.lit(True), 200)
+        assert model["langs"] == ["en"]
+        assert language_id.classify(d.limit(50), model, "l").filter("l.lang_pred = 'en'").count() == 50
+        drawn = language_id.draws(d).filter(F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < 200 / 3001).dropDuplicates(["lang", "draw"]).count()
+        assert 140 < drawn < 260
+        labels = spark.createDataFrame([(i, 1)], "doc_id long, toxic int")
+        assert toxicity.fit(d, labels, F.lit(True), 50)["bias"] is not None
+
+
 # ---------------------------------------------------------------- exact dedup
 def brute_dedup(rows):
     groups = defaultdict(list)

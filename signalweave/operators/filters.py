@@ -1,16 +1,22 @@
 """Filters, resampling and re-referencing (rows F1-F5, F7-F12).
 
-Recursive filters need a whole series in order and run as grouped numpy functions;
-coefficients are designed once on the driver. Referencing is a native window.
+Filters work on blocks of a series. A recursive filter treats each block as an affine map of its state: blocks are summarised from
+a zero state, a scan over the summaries gives each its state, and a second pass filters it from there, forward and then backward. FIR
+filters get their neighbours' edges with each block. Coefficients are designed once on the driver. Referencing is a native window.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import stored
 from ..model import Recording, along, keys_of, per_series
+from .blocks import carried, convolve, cut, each, in_one_block, lengths, meet, spread, with_halo
 from .sequence import stride
 
 BLOCK = 256
@@ -100,27 +106,57 @@ def fir_design(order: int, edges: tuple[float, ...], kind: str) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- application
-def run_section(section: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """One section over ``x`` from ``state``, in blocks: within a block the output is a matrix product."""
+@lru_cache(maxsize=256)
+def _section_blocks(section: tuple[float, ...], size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of a section's state step, and its outputs and last state over ``size`` samples as matrices of input and state."""
     b0, b1, b2, _, a1, a2 = section
     step = np.array([[-a1, 1.0], [-a2, 0.0]])
     enter = np.array([b1 - a1 * b0, b2 - a2 * b0])
-    size = min(BLOCK, max(1, x.size))
     powers = [np.eye(2)]
     for _ in range(size):
         powers.append(step @ powers[-1])
     response = np.array([b0] + [(p @ enter)[0] for p in powers[: size - 1]])
     lag = np.arange(size)[:, None] - np.arange(size)[None, :]
     inside = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
-    from_state = np.array([p[0] for p in powers[:size]])
-    to_state = np.array([p @ enter for p in powers[:size]])[::-1].T
+    return powers, inside, np.array([p[0] for p in powers[:size]]), np.array([p @ enter for p in powers[:size]])[::-1].T
+
+
+def run_section(section: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One section over ``x`` from ``state``, in short runs: within a run the output is a matrix product. Also the last state."""
+    size = min(BLOCK, max(1, x.size))
+    powers, inside, from_state, to_state = _section_blocks(tuple(map(float, section)), size)
     out = np.empty_like(x)
     for at in range(0, x.size, size):
         part = x[at : at + size]
         m = part.size
         out[at : at + m] = inside[:m, :m] @ part + from_state[:m] @ state
         state = powers[m] @ state + to_state[:, size - m :] @ part
-    return out
+    return out, state
+
+
+def run_cascade(sections: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All sections in turn over ``x``; the state has two numbers for each."""
+    ends = []
+    for k, s in enumerate(sections):
+        x, end = run_section(s, x, state[2 * k : 2 * k + 2])
+        ends.append(end)
+    return x, np.concatenate(ends)
+
+
+def steady_state(sections: np.ndarray) -> np.ndarray:
+    """The state that a constant input of 1 keeps."""
+    out, level = [], 1.0
+    for b0, b1, b2, _, a1, a2 in sections:
+        gain = (b0 + b1 + b2) / (1 + a1 + a2)
+        out += [(gain - b0) * level, (b2 - a2 * gain) * level]
+        level *= gain
+    return np.array(out)
+
+
+def _extended(x: np.ndarray, pad: int, before: bool = True, after: bool = True) -> np.ndarray:
+    """Odd reflections of ``pad`` samples at the ends."""
+    parts = [2 * x[0] - x[pad:0:-1]] if before else []
+    return np.concatenate([*parts, x, *([2 * x[-1] - x[-2 : -pad - 2 : -1]] if after else [])])
 
 
 def both_ways(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -132,22 +168,58 @@ def both_ways(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     pad = min(6 * len(sections), x.size - 1)
     if x.size < 2 or np.isnan(x).any():
         return np.full(x.size, np.nan) if np.isnan(x).any() else x.copy()
-    y = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]))
+    y, steady = _extended(x, pad), steady_state(sections)
     for _ in range(2):
-        level = y[0]
-        for s in sections:
-            b0, b1, b2, _, a1, a2 = s
-            gain = (b0 + b1 + b2) / (1 + a1 + a2)
-            # the state that a constant input keeps
-            state = np.array([gain - b0, b2 - a2 * gain]) * level
-            y = run_section(s, y, state)
-            level *= gain
-        y = y[::-1]
+        y = run_cascade(sections, y, steady * y[0])[0][::-1]
     return y[pad : pad + x.size]
 
 
 def apply_sections(signals: DataFrame, sections: np.ndarray) -> DataFrame:
-    return per_series(signals, lambda x: both_ways(sections, x))
+    """:func:`both_ways` of every series, the long ones block by block."""
+    found = lengths(signals)
+    if in_one_block(found):
+        return per_series(signals, lambda x: both_ways(sections, x))
+    blocks = cut(signals, found)
+    steady = steady_state(sections)
+    one_step = np.stack([run_cascade(sections, np.zeros(1), u)[1] for u in np.eye(steady.size)]).T
+
+    powers: dict[int, np.ndarray] = {}
+
+    def power(m: int) -> np.ndarray:
+        if m not in powers:
+            powers[m] = np.linalg.matrix_power(one_step, m)
+        return powers[m]
+
+    usual, keys, grid = 6 * len(sections), blocks.keys, blocks.grid
+    most = grid.last(found[1]) + 1
+    summary = "m long, made array<double>, start array<double>"
+
+    def extended(row: pd.Series) -> np.ndarray:
+        return _extended(np.array(row["values"], np.float64), min(usual, row["n"] - 1), row["block"] == 0, row["block"] == grid.last(row["n"]))
+
+    def summarise(y: np.ndarray, first: bool) -> dict:
+        return {"m": y.size, "made": run_cascade(sections, y, np.zeros(steady.size))[1].tolist(), "start": (steady * y[0]).tolist() if first else None}
+
+    def forward(row: pd.Series) -> dict:
+        y = run_cascade(sections, extended(row), np.array(row["state"], float))[0]
+        return {"values": y.tolist()} | summarise(y[::-1], row["block"] == grid.last(row["n"]))
+
+    def backward(row: pd.Series) -> dict[str, np.ndarray]:
+        y = run_cascade(sections, np.array(row["values"], float)[::-1], np.array(row["state"], float))[0][::-1]
+        first, end = grid.own(row["block"], row["n"])
+        pad = min(usual, row["n"] - 1) if first == 0 else 0
+        return {"sample": np.arange(first + 1, end + 1), "value": y[pad : pad + end - first]}
+
+    sound = blocks.table.filter(~F.col("missing") & (F.col("n") > 1))
+    first = each(sound, lambda row: summarise(extended(row), row["block"] == 0), [*keys, "block"], summary)
+    ahead = meet(sound, carried(first, keys, power, most), [*keys, "block"])
+    ahead = stored(each(ahead, forward, [*keys, "block", "n"], f"values array<double>, {summary}"), "forward")
+    end = F.greatest(F.floor(F.col("n") / F.lit(grid.size)) - 1, F.lit(0))
+    back = carried(ahead.select(*keys, (end - F.col("block")).alias("block"), "m", "made", "start"), keys, power, most)
+    back = meet(ahead.withColumn("_turned", end - F.col("block")), back.withColumnRenamed("block", "_turned"), [*keys, "_turned"])
+    out = spread(back, backward, keys, "sample long, value double")
+    rest = blocks.table.filter(F.col("missing") | (F.col("n") < 2)).select(*out.columns[:-2], (F.col("at") + 1).alias("_first"), "missing", F.posexplode("values").alias("_k", "value"))
+    return out.unionByName(rest.select(*out.columns[:-2], (F.col("_first") + F.col("_k")).alias("sample"), F.when(~F.col("missing"), F.col("value")).alias("value")))
 
 
 def _edges(rate: float, low: float | None, high: float | None, kind: str | None) -> tuple[tuple[float, ...], str]:
@@ -167,13 +239,20 @@ def fir_filter(signals: DataFrame, rate: float, low: float | None = None, high:
     """zero-phase FIR filter (forward and backward)."""
     taps = fir_design(order, *_edges(rate, low, high, kind))
 
+    both = np.convolve(taps, taps[::-1])
+    reach = taps.size - 1
+
     def run(x: np.ndarray) -> np.ndarray:
         pad = min(3 * taps.size, x.size - 1)
-        y = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1])) if pad > 0 else x
-        both = np.convolve(taps, taps[::-1])
+        y = _extended(x, pad) if pad > 0 else x
         return np.convolve(y, both, "same")[pad : pad + x.size] if y.size >= both.size else np.convolve(y, both)[taps.size - 1 + pad :][: x.size]
 
-    return per_series(signals, run)
+    def part(x: np.ndarray, first: bool, last: bool, start: int, stop: int) -> np.ndarray:
+        y = _extended(x, reach, first, last)
+        at = start + (reach if first else 0)
+        return convolve(y, both)[at + reach : at + reach + stop - start]
+
+    return with_halo(signals, reach, run, part)
 
 
 def notch_filter(signals: DataFrame, rate: float, frequency: float = 50.0, bandwidth: float = 2.0, harmonics: int = 1) -> DataFrame:
@@ -194,11 +273,15 @@ def windowed_sinc(signals: DataFrame, rate: float, low: float | None = None, hig
     """one pass of a Hamming-windowed sinc with zeros beyond the edges."""
     kernel = fir_design(taps - 1, *_edges(rate, low, high, kind))
 
+    middle = (kernel.size - 1) // 2
+
     def run(x: np.ndarray) -> np.ndarray:
-        full = np.convolve(x, kernel)
-        return full[(kernel.size - 1) // 2 :][: x.size]
+        return np.convolve(x, kernel)[middle:][: x.size]
 
-    return per_series(signals, run)
+    def part(x: np.ndarray, first: bool, last: bool, start: int, stop: int) -> np.ndarray:
+        return convolve(x, kernel)[start + middle : stop + middle]
+
+    return with_halo(signals, kernel.size // 2, run, part)
 
 
 # ---------------------------------------------------------------- resampling

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import along, keys_of, per_series
+from .blocks import convolve, with_halo
 
 #: Frequency bands in Hz.
 BANDS = {"delta": (0.5, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0), "gamma": (30.0, 100.0)}
@@ -126,7 +127,12 @@ def wavelet(signals: DataFrame, rate: float, frequencies: list[float], cycles: f
         found = [same_convolution(x, w) for w in waves]
         return {"at": np.tile(np.arange(1, x.size + 1), len(waves)), "frequency": np.repeat(np.array(frequencies, float), x.size), "power": np.abs(np.concatenate(found)) ** 2, "phase": np.angle(np.concatenate(found))}
 
-    return per_series(signals, run, "at long, frequency double, power double, phase double").drop("sample").withColumnRenamed("at", "sample")
+    def part(x: np.ndarray, first: bool, last: bool, start: int, stop: int) -> dict:
+        found = np.concatenate([convolve(x, w)[start + (w.size - 1) // 2 : stop + (w.size - 1) // 2] for w in waves])
+        return {"at": np.tile(np.arange(1, stop - start + 1), len(waves)), "frequency": np.repeat(np.array(frequencies, float), stop - start), "power": np.abs(found) ** 2, "phase": np.angle(found)}
+
+    reach = max((w.size // 2 for w in waves), default=0)
+    return with_halo(signals, reach, run, part, "at long, frequency double, power double, phase double", spreads=True).drop("sample").withColumnRenamed("at", "sample")
 
 
 def wavelet_band_power(signals: DataFrame, rate: float, bands: dict[str, tuple[float, float]] | None = None, steps: int = 5) -> DataFrame:

@@ -14,8 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import stored
 from ..model import keys_of, per_series
-from .filters import band_limits, both_ways, butterworth
+from .blocks import in_one_block, lengths
+from .filters import apply_sections, band_limits, both_ways, butterworth
+from .fourier import analytic_signal
 from .spectral import analytic, segment_spectra
 
 
@@ -173,7 +176,9 @@ def band_phase(signals: DataFrame, rate: float, band: tuple[float, float]) -> Da
         z = analytic(both_ways(sections, x))
         return {"re": z.real, "im": z.imag}
 
-    return per_series(signals, run, "re double, im double")
+    if in_one_block(lengths(signals)):
+        return per_series(signals, run, "re double, im double")
+    return analytic_signal(stored(apply_sections(signals, sections), "filtered"))
 
 
 def _imaginary(re: np.ndarray, im: np.ndarray, fn: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:

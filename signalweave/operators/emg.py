@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..model import along, keys_of, per_series, ratio, whole
 from .filters import butterworth_filter
 from .sequence import islands, moving_mav, moving_rms, teager_kaiser
-from .spectral import analytic, segment_spectra
+from .spectral import amplitude, hilbert, segment_spectra
 
 
 def rectify(signals: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def envelope(signals: DataFrame, rate: float, cutoff: float = 6.0, method: str =
         return moving_rms(signals, max(1, int(rate // cutoff)))
     if method != "hilbert":
         raise ValueError("method must be lowpass, rms or hilbert")
-    return per_series(signals, lambda x: np.abs(analytic(x)))
+    return amplitude(hilbert(signals))
 
 
 def mvc(signals: DataFrame, width: int = 50, method: str = "max") -> DataFrame:

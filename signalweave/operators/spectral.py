@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import along, keys_of, per_series
-from .blocks import convolve, with_halo
+from . import fourier
+from .blocks import convolve, in_one_block, lengths, with_halo
 
 #: Frequency bands in Hz.
 BANDS = {"delta": (0.5, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0), "gamma": (30.0, 100.0)}
@@ -67,7 +68,9 @@ def segment_spectra(signals: DataFrame, size: int, step: int, window: str = "han
 
 def fft_magnitude(signals: DataFrame) -> DataFrame:
     """Absolute FFT of each whole series; the sample is the bin from 1."""
-    return per_series(signals, lambda x: np.abs(np.fft.fft(x)))
+    if in_one_block(found := lengths(signals)):
+        return per_series(signals, lambda x: np.abs(np.fft.fft(x)))
+    return fourier.spectrum(signals, lambda k, x, n: {"sample": k + 1, "value": np.abs(x)}, "sample long, value double", known=found)
 
 
 def _density(size: int, rate: float, window: str) -> Column:
@@ -162,7 +165,9 @@ def hilbert(signals: DataFrame) -> DataFrame:
         z = analytic(x)
         return {"re": z.real, "im": z.imag}
 
-    return per_series(signals, run, "re double, im double")
+    if in_one_block(found := lengths(signals)):
+        return per_series(signals, run, "re double, im double")
+    return fourier.analytic_signal(signals, found)
 
 
 def amplitude(complex_signals: DataFrame) -> DataFrame:
@@ -182,7 +187,13 @@ def periodogram(signals: DataFrame, rate: float) -> DataFrame:
         half = max(1, x.size // 2)
         return {"frequency": np.arange(half) * rate / x.size, "power": np.abs(np.fft.fft(x)[:half]) ** 2 / x.size}
 
-    return per_series(signals, run, "frequency double, power double").drop("sample")
+    def visit(k: np.ndarray, x: np.ndarray, n: int) -> dict:
+        low = k < max(1, n // 2)
+        return {"frequency": k[low] * rate / n, "power": np.abs(x[low]) ** 2 / n}
+
+    if in_one_block(found := lengths(signals)):
+        return per_series(signals, run, "frequency double, power double").drop("sample")
+    return fourier.spectrum(signals, visit, "frequency double, power double", known=found)
 
 
 def in_decibels(power: Column) -> Column:

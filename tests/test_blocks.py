@@ -72,3 +72,50 @@ def test_windowed_sinc_in_blocks(series, monkeypatch, taps):
 def test_wavelets_in_blocks(series, monkeypatch):
     loud = lambda rows: rows.withColumn("phase", F.when(F.col("power") > 1e-6, F.cos("phase")))
     compared(series, lambda s: loud(spectral.wavelet(s, 100.0, [5.0, 20.0], cycles=5.0)), monkeypatch, atol=1e-8)
+
+
+# ---------------------------------------------------------------- transforms
+@pytest.mark.parametrize("samples", [16, 60])
+def test_transforms_by_four_steps(series, monkeypatch, samples):
+    """Lengths with divisors near the root (1000, 640, 60) and without (997, 131), and one with a missing value."""
+    from signalweave.operators import fourier
+
+    compared(series, spectral.fft_magnitude, monkeypatch, samples)
+    assert {n: fourier.layout(n, 2 * samples)[2] for n in (1000, 640, 997)} == {1000: False, 640: False, 997: True}
+
+
+def test_analytic_signals_by_four_steps(series, monkeypatch):
+    compared(series, spectral.hilbert, monkeypatch, 40)
+
+
+def test_periodograms_by_four_steps(series, monkeypatch):
+    compared(series.filter("channel <> 'h'"), lambda s: spectral.periodogram(s, 100.0).withColumn("frequency", F.round("frequency", 9)), monkeypatch, 40)
+
+
+@pytest.mark.parametrize("target", [50.0, 73.0, 130.0, 200.0])
+def test_resampling_by_four_steps(series, monkeypatch, target):
+    compared(series.filter("channel <> 'h'"), lambda s: filters.resample(s, 100.0, target, "fft"), monkeypatch, 40)
+
+
+def test_phases_in_blocks(series, monkeypatch):
+    from signalweave.operators import connectivity
+
+    compared(series.filter("channel IN ('a', 'b', 'c')"), lambda s: connectivity.band_phase(s, 100.0, (8.0, 13.0)), monkeypatch, 64)
+
+
+@pytest.mark.parametrize("method", ["linear", "spline"])
+@pytest.mark.parametrize("target", [17.0, 73.0, 100.5, 330.0])
+def test_resampling_in_blocks(series, monkeypatch, method, target):
+    compared(series.filter("channel <> 'g'"), lambda s: filters.resample(s, 100.0, target, method), monkeypatch, 80)
+
+
+def test_spline_equals_dense_solve():
+    x = np.cumsum(np.random.default_rng(2).normal(size=40))
+    system, right = np.eye(40), np.zeros(40)
+    for i in range(1, 39):
+        system[i, i - 1 : i + 2], right[i] = (1, 4, 1), 6 * (x[i + 1] - 2 * x[i] + x[i - 1])
+    bend, at = np.linalg.solve(system, right), np.linspace(0, 39, 101)
+    k = np.minimum(at.astype(int), 38)
+    a, b, t = x[k], x[k + 1], at - k
+    expected = a + t * (b - a - bend[k] / 3 - bend[k + 1] / 6) + t**2 * bend[k] / 2 + t**3 * (bend[k + 1] - bend[k]) / 6
+    assert np.allclose(filters._spline(x, at), expected, atol=1e-12)

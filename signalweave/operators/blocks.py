@@ -20,7 +20,7 @@ from ..functions.ranks import placed, stored
 from ..model import keys_of, per_series
 
 #: Samples of a block.
-SAMPLES = 4096
+SAMPLES = 1 << 14
 #: Block summaries that one step of a scan takes together.
 SCAN = 1024
 #: Series whose lengths are sent to all tasks; more are joined by a shuffle (and then most are short).

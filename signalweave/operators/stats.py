@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
+from ..functions.ranks import placed, stored
 from ..model import keys_of
 from .sequence import islands
 
 #: Columns that describe an epoch rather than a series.
 EPOCH_KEYS = ("epoch", "condition", "event_type", "event_value", "event_onset", "rep")
+#: Most epochs of a block, whose random weights are made together.
+EPOCHS = 256
 
 
 def _points(epochs: DataFrame) -> list[str]:
@@ -104,49 +107,55 @@ def effect_size(epochs: DataFrame, first, second=None, pooled: bool = True) -> D
     return m.select(*points, "d", (F.col("d") - 1.96 * F.col("se")).alias("low"), (F.col("d") + 1.96 * F.col("se")).alias("high"))
 
 
-def _epoch_vectors(rows: DataFrame, first=None) -> tuple[DataFrame, list, list, int, int]:
-    """Epochs as vectors over all points: i (from 0; those of condition ``first`` come first), values (time by channel, NaN where missing).
+def _epoch_blocks(rows: DataFrame, first=None) -> tuple[DataFrame, list, list, int, int, int]:
+    """Blocks of epochs: block, i, p, v: arrays of the number of the epoch in the block, of the point (time by channel) and of the value, stored.
 
-    Also the samples and channels that make up the points, the number of epochs and of those of ``first``.
+    Epochs are numbered over the whole table, those of condition ``first`` before the others. Also the samples and channels that make up the points, the numbers of
+    epochs and of those of ``first``, and the epochs of a block, fewer the more points there are.
     """
+    spark = rows.sparkSession
     if "channel" not in rows.columns:
         rows = rows.withColumn("channel", F.lit("1"))
     # one number per sample and per channel of an epoch
-    samples, channels = (sorted(r[0] for r in rows.select(c).distinct().collect()) for c in ("sample", "channel"))
-    of_sample, of_channel = {x: k for k, x in enumerate(samples)}, {x: k for k, x in enumerate(channels)}
+    samples, channels = (sorted(x) for x in rows.agg(F.collect_set("sample"), F.collect_set("channel")).first())
+    kind = rows.schema["channel"].dataType.simpleString()
+    places = [F.broadcast(spark.createDataFrame(list(zip(x, range(len(x)), strict=True)), f"{c} {k}, _{c} long")) for c, x, k in (("sample", samples, "long"), ("channel", channels, kind))]
     mine = F.col("condition") == first if first is not None else F.lit(True)
-    numbered = rows.select("epoch", mine.alias("mine")).distinct().withColumn("i", F.row_number().over(Window.orderBy(F.desc("mine"), "epoch")) - 1)
+    numbered = placed(rows.select("epoch", mine.alias("mine")).distinct(), [F.desc("mine"), F.asc("epoch")], place="number")
     n, n_first = numbered.agg(F.count("*"), F.count_if("mine")).first()
+    size = int(np.clip((1 << 20) // max(1, len(samples) * len(channels)), 1, EPOCHS))
+    rows = rows.select("epoch", "sample", "channel", "value").join(numbered.drop("mine"), "epoch").join(places[0], "sample").join(places[1], "channel")
+    cell = F.struct((F.col("number") % size).alias("i"), (F.col("_sample") * len(channels) + F.col("_channel")).alias("p"), F.col("value").cast("double").alias("v"))
+    packed = rows.groupBy(F.floor(F.col("number") / F.lit(size)).alias("block")).agg(F.collect_list(cell).alias("c"))
+    return stored(packed.select("block", "c.i", "c.p", "c.v"), "epochs"), samples, channels, n, n_first, size
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        out = np.full((len(samples), len(channels)), np.nan)
-        out[frame["sample"].map(of_sample), frame["channel"].map(of_channel)] = frame["value"].to_numpy(float)
-        return pd.DataFrame({"i": [int(frame["i"].iloc[0])], "values": [out.ravel()]})
 
-    vectors = rows.join(numbered.drop("mine"), "epoch").groupBy("i").applyInPandas(pack, "i long, values array<double>")
-    return vectors, samples, channels, n, n_first
-
-
-def _drawn_sums(vectors: DataFrame, points: int, draws: int, weights, finish, out: str) -> DataFrame:
+def _drawn_sums(blocks: DataFrame, size: int, points: int, draws: int, weights, finish, out: str) -> DataFrame:
     """``finish(draw, sums, counts)`` for each draw from 0 to ``draws``.
 
-    sums are those of the values over epochs, times ``weights(draw)``, an array over epochs; counts those of the
-    weights where values are not missing. Each task adds up its epochs as a product of matrices, so that draws times points leave it,
+    sums are those of the values over epochs, times ``weights(block, m)``, a matrix of draws by the m epochs of a block; counts those of the
+    weights where values are not missing. Each task makes the weights of its own epochs only and adds these up as a product of matrices, so that draws times points leave it,
     whatever the number of epochs.
     """
 
+    step = max(1, (1 << 20) // points)
+
     def partial(batches):
-        sums = counts = None
+        sums, counts = np.zeros((draws + 1, points)), np.zeros((draws + 1, points))
+        some = False
         for batch in batches:
-            if not len(batch):
-                continue
-            v, at = np.stack(batch["values"].to_list()), batch["i"].to_numpy()
-            known = ~np.isnan(v)
-            w = np.stack([weights(k)[at] for k in range(draws + 1)])
-            s, c = w @ np.where(known, v, 0.0), w @ known
-            sums, counts = (s, c) if sums is None else (sums + s, counts + c)
-        for k in range(0 if sums is None else draws + 1):
-            yield pd.DataFrame({"draw": [k], "sums": [sums[k]], "counts": [counts[k]]})
+            for block, i, p, value in zip(batch["block"], batch["i"], batch["p"], batch["v"], strict=True):
+                v = np.full((size, points), np.nan)
+                v[np.array(i), np.array(p)] = np.array(value, float)
+                v = v[: max(i) + 1]
+                w = weights(int(block), len(v))
+                known = ~np.isnan(v)
+                sums += w @ np.where(known, v, 0.0)
+                counts += w.sum(axis=1)[:, None] if known.all() else w @ known
+                some = True
+        for k in range(0, draws + 1 if some else 0, step):
+            at = np.arange(k, min(k + step, draws + 1))
+            yield pd.DataFrame({"draw": at, "sums": list(sums[at]), "counts": list(counts[at])})
 
     # draws go to a task in groups, fewer in each the more points there are
     groups = min(draws + 1, max(32, draws * points // 500_000))
@@ -154,27 +163,42 @@ def _drawn_sums(vectors: DataFrame, points: int, draws: int, weights, finish, ou
     def total(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.concat([finish(int(k), np.sum(part["sums"].to_list(), axis=0), np.sum(part["counts"].to_list(), axis=0)) for k, part in frame.groupby("draw")])
 
-    return vectors.mapInPandas(partial, "draw long, sums array<double>, counts array<double>").groupBy(F.col("draw") % groups).applyInPandas(total, out)
+    return blocks.mapInPandas(partial, "draw long, sums array<double>, counts array<double>").groupBy(F.col("draw") % groups).applyInPandas(total, out)
+
+
+def shares_of_block(block: int, size: int, n: int, chosen: np.ndarray, seed: int) -> np.ndarray:
+    """For each draw, how many of ``chosen`` out of n, drawn without replacement, fall in a block of ``size``.
+
+    The range of blocks is halved until the block is left; how many fall in the left half is a hypergeometric number that depends on the
+    seed and the half alone, so that all tasks agree on it, and the shares of all blocks add up to ``chosen``.
+    """
+    low, high = 0, -(-n // size)
+    while high - low > 1:
+        middle = (low + high) // 2
+        left, right = (middle - low) * size, min(n, high * size) - middle * size
+        mine = np.random.default_rng([seed, low, high]).hypergeometric(left, right, chosen)
+        low, high, chosen = (low, middle, mine) if block < middle else (middle, high, chosen - mine)
+    return chosen
 
 
 def bootstrap_ci(epochs: DataFrame, n_draws: int = 1000, level: float = 0.95, condition=None, seed: int = 1) -> DataFrame:
     """H5: mean, se and interval of each point over resampled epochs.
 
-    Draw k takes each epoch as often as a Poisson(1) number seeded by k, so draws are sums that combine before
+    Draw k takes each epoch as often as a Poisson(1) number that depends on k and the epoch's block, so draws are sums that combine before
     the shuffle; no array of all epochs is built.
     """
     rows = _one_rep(epochs)
     rows = rows if condition is None else rows.filter(F.col("condition") == condition)
     points = _points(rows)
-    vectors, samples, channels, n, _ = _epoch_vectors(rows)
+    blocks, samples, channels, _, _, size = _epoch_blocks(rows)
 
     def means(draw: int, sums: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
         with np.errstate(all="ignore"):
             return pd.DataFrame({"draw": draw, "sample": np.repeat(samples, len(channels)), "channel": np.tile(channels, len(samples)), "m": np.where(counts > 0, sums / counts, np.nan)})
 
     kind = rows.schema["channel"].dataType.simpleString() if "channel" in rows.columns else "string"
-    weights = lambda k: np.random.default_rng([seed, k]).poisson(1.0, n) if k else np.zeros(n)
-    drawn = _drawn_sums(vectors, len(samples) * len(channels), n_draws, weights, means, f"draw long, sample long, channel {kind}, m double").filter("draw > 0 AND NOT isnan(m)")
+    weights = lambda block, m: np.vstack([np.zeros(m), np.random.default_rng([seed, block]).poisson(1.0, (n_draws, m))])
+    drawn = _drawn_sums(blocks, size, len(samples) * len(channels), n_draws, weights, means, f"draw long, sample long, channel {kind}, m double").filter("draw > 0 AND NOT isnan(m)")
     tail = (1 - level) / 2
     band = drawn.groupBy(*points).agg(F.stddev_samp("m").alias("se"), F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
     return rows.groupBy(*points).agg(F.avg("value").alias("mean")).join(band, points)
@@ -237,27 +261,35 @@ def cluster_permutation(epochs: DataFrame, first, second=None, n_permutations: i
     """H3: cluster, statistic (sum of t), p, first_sample, last_sample, n_points.
 
     Clusters of the t map above the t quantile at ``alpha`` (or above ``limit``) are held against the largest
-    cluster of each permutation: labels shuffled, or signs flipped for one condition. A permutation's t map follows from
+    cluster of each permutation: labels shuffled (a hypergeometric number of them in each block of epochs), or signs flipped for one condition. A permutation's t map follows from
     sums over epochs, which each task takes of its own epochs. A point with a missing value in any epoch has t 0. Without epochs
     there are no clusters.
     """
     rows = _one_rep(epochs)
     wanted = [first] if second is None else [first, second]
     rows = rows.filter(F.col("condition").isin(*wanted)) if "condition" in rows.columns else rows
-    vectors, samples, channels, n, n_first = _epoch_vectors(rows, None if second is None else first)
-    vectors = vectors.persist()
+    blocks, samples, channels, n, n_first, size = _epoch_blocks(rows, None if second is None else first)
     # as many numbers as a map has points
-    known = vectors.select("i", F.posexplode("values").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")).toPandas().sort_values("at")
-    total, squares = known["s"].to_numpy(float), known["q"].to_numpy(float)
+    point = ["sample", *(["channel"] if "channel" in rows.columns else [])]
+    v = F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double"))
+    known = rows.groupBy(*point).agg(F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.count(v).alias("k")).toPandas().sort_values(point)
+    total, squares = np.full((len(samples), len(channels)), np.nan), np.full((len(samples), len(channels)), np.nan)
+    place = {x: i for i, x in enumerate(samples)}, {x: i for i, x in enumerate(channels)}
+    for _, row in known[known["k"] == n].iterrows():
+        at = place[0][row["sample"]], place[1][row["channel"]] if "channel" in row else 0
+        total[at], squares[at] = row["s"], row["q"]
+    total, squares = total.ravel(), squares.ravel()
     groups = None if second is None else n_first
     if limit is None:
         limit = dist.t_quantile(1 - alpha / (2 if tail == 0 else 1), max(1, n - (1 if second is None else 2)))
 
-    def weights(k: int) -> np.ndarray:
-        rng = np.random.default_rng([seed, k])
+    def weights(block: int, m: int) -> np.ndarray:
+        rng = np.random.default_rng([seed, block])
         if second is None:
-            return rng.choice([-1.0, 1.0], n) if k else np.ones(n)
-        return ((rng.permutation(n) if k else np.arange(n)) < n_first).astype(float)
+            return np.vstack([np.ones(m), rng.choice([-1.0, 1.0], (n_permutations, m))])
+        mine = shares_of_block(block, size, n, np.full(n_permutations, n_first), seed)
+        drawn = rng.permuted(np.tile(np.arange(m), (n_permutations, 1)), axis=1) < mine[:, None]
+        return np.vstack([np.arange(block * size, block * size + m) < n_first, drawn]).astype(float)
 
     def clusters(draw: int, sums: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
         t = t_of_sums(np.where(np.isnan(total), np.nan, sums), n, groups, total, squares).reshape(len(samples), len(channels))
@@ -267,7 +299,8 @@ def cluster_permutation(epochs: DataFrame, first, second=None, n_permutations: i
         places = [np.argwhere(marks == k)[:, 0] for k in range(1, len(found) + 1)]
         return pd.DataFrame({"draw": 0, "cluster": np.arange(1, len(found) + 1), "statistic": found, "first_sample": [samples[at.min()] for at in places], "last_sample": [samples[at.max()] for at in places], "n_points": [at.size for at in places]})
 
-    drawn = _drawn_sums(vectors, len(samples) * len(channels), n_permutations, weights, clusters, "draw long, cluster int, statistic double, first_sample int, last_sample int, n_points int")
+    drawn = _drawn_sums(blocks, size, len(samples) * len(channels), n_permutations, weights, clusters, "draw long, cluster int, statistic double, first_sample int, last_sample int, n_points int")
+    drawn = stored(drawn, "draws")
     counted = drawn.filter("draw > 0").agg(F.collect_list("statistic").alias("null_sums"))  # n_permutations numbers
     mine = drawn.filter("draw = 0").drop("draw")
     return mine.join(F.broadcast(counted)).withColumn("p", F.expr("size(filter(null_sums, x -> x >= abs(statistic))) / size(null_sums)")).drop("null_sums")

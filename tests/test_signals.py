@@ -1,6 +1,7 @@
 """Operators on signals against closed forms and numpy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +248,38 @@ def test_statistics(spark):
     assert d["low"] < d["d"] < d["high"]
 
 
+def test_permutations_by_blocks():
+    """The shares of all blocks add up to the chosen ones, and each epoch is chosen as often as in shuffled labels."""
+    n, size, chosen = 1000, 64, np.full(4000, 300)
+    shares = np.stack([stats.shares_of_block(b, size, n, chosen, 5) for b in range(16)])
+    assert (shares.sum(axis=0) == 300).all() and (shares[-1] <= 40).all()
+    expected = 300 * np.r_[np.full(15, 64), 40] / n
+    assert np.allclose(shares.mean(axis=1), expected, atol=0.3)
+    # the variance of a hypergeometric number, and the covariance of two
+    k = 64 / n
+    assert np.isclose(shares[3].var(), 300 * k * (1 - k) * 700 / 999, rtol=0.1)
+    assert np.isclose(np.cov(shares[0], shares[9])[0, 1], -300 * k * k * 700 / 999, rtol=0.4)
+
+
+def test_draws_equal_plain_sums(spark, monkeypatch):
+    """Sums over blocks of few epochs, some values missing and some absent, equal those over all epochs with the same weights."""
+    monkeypatch.setattr(stats, "EPOCHS", 4)
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(23, 6))
+    v[3, 2] = v[7, 5] = np.nan
+    rows = [(e * 7, e % 2, 10 + p // 2, "ab"[p % 2], None if np.isnan(v[e, p]) else float(v[e, p])) for e in range(23) for p in range(6) if (e, p) != (11, 0)]
+    v[11, 0] = np.nan
+    d = spark.createDataFrame(rows, "epoch long, condition int, sample long, channel string, value double")
+    blocks, samples, channels, n, n_first, size = stats._epoch_blocks(d, 1)
+    assert (samples, channels, n, n_first, size) == ([10, 11, 12], ["a", "b"], 23, 11, 4)
+    weights = lambda b, m: np.random.default_rng([3, b]).random((6, m))
+    out = stats._drawn_sums(blocks, size, 6, 5, weights, lambda k, s, c: pd.DataFrame({"draw": [k], "s": [s], "c": [c]}), "draw long, s array<double>, c array<double>")
+    order = [e for e in range(23) if e % 2 == 1] + [e for e in range(23) if e % 2 == 0]
+    w = np.hstack([weights(b, min(4, 23 - 4 * b)) for b in range(6)])
+    for r in out.collect():
+        assert np.allclose(r["s"], w[r["draw"]] @ np.nan_to_num(v[order])) and np.allclose(r["c"], w[r["draw"]] @ ~np.isnan(v[order]))
+
+
 def test_labels_are_four_connected():
     over = np.array([[1, 0, 1], [1, 1, 1], [0, 0, 0], [0, 1, 0]], bool)
     label = stats.label_clusters(over)

@@ -1,8 +1,8 @@
 """Binary recording formats: EDF, BDF, GDF and BrainVision (rows S5-S10, K3-K6).
 
-Files of a glob are read by Spark as (path, content), one task per file, and
-unpacked by numpy in Arrow batches; so any store that Spark reads will do. Writers pack one
-recording on the driver.
+Files are read by ranges of their records (:mod:`.records`), each by a task of its own. In stores without a seeking reader, and where channels are
+stored one after another, files of a glob are read as (path, content), one task per file. Writers pack pieces of a file in tasks; a row per channel
+and per event, for headers and event tables, passes through the driver.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..model import Recording
 from .filesystem import read_bytes, write_bytes
+from .records import PIECE_VALUES, even, pieces, read_range, read_records, seekable, shape, unpack, write_pieces
 
 SIGNALS = "path string, channel string, sample long, value double, rate double"
 #: Widths of the fields of the EDF file header and, per signal, of its signal headers.
@@ -110,8 +111,36 @@ def _edf_rows(content: bytes, wide: bool, wanted: list[str] | None, start: float
     return head, out, rate, notes
 
 
+def _layout(path: str, size: int, offset: int, records: int, seconds: float, labels: list[str], kinds: list[str], counts: list[int], limits: list[tuple[float, float, float]], skip: set[str], wanted: list[str] | None, start: float | None, end: float | None) -> dict:
+    """A file for :func:`read_records`; ``limits``: low, scale and add of each channel. All channels come at the rate of the fastest one."""
+    if wanted and (absent := [w for w in wanted if w not in labels]):
+        raise ValueError(f"channels not found: {absent}")
+    widths = [c * (3 if k == "i3" else np.dtype(k).itemsize) for k, c in zip(kinds, counts, strict=True)]
+    record, seconds = sum(widths), seconds or 1.0
+    picked = [i for i, x in enumerate(labels) if x not in skip and (wanted is None or x in wanted)]
+    channels = [{"label": labels[i], "at": sum(widths[:i]), "kind": kinds[i], "count": counts[i], "low": limits[i][0], "scale": limits[i][1], "add": limits[i][2]} for i in picked]
+    rate = max((counts[i] / seconds for i in picked), default=1.0)
+    whole = (size - offset) // record if record else 0
+    return {"path": path, "offset": offset, "record": record, "records": min(records, whole) if records >= 0 else whole, "seconds": seconds, "rate": rate, "start": start, "end": end, "channels": channels}
+
+
+def _edf_head(path: str) -> dict:
+    return edf_header(read_range(path, 0, 256 * (1 + int(read_range(path, 252, 4)))))
+
+
+def _edf_layout(path: str, size: int, wide: bool, wanted: list[str] | None, start: float | None, end: float | None) -> dict:
+    if wide and read_range(path, 0, 1) != b"\xff":
+        raise ValueError("not a BDF file")
+    h = _edf_head(path)
+    skip = {"EDF Annotations", "BDF Annotations", *(["Status"] if wide else [])}
+    limits = [(a, (d - c) / ((b - a) or 1.0), c) for a, b, c, d in zip(h["dig_min"], h["dig_max"], h["phys_min"], h["phys_max"], strict=True)]
+    return _layout(path, size, h["size"], h["records"], h["seconds"], h["label"], ["i3" if wide else "<i2"] * h["n"], h["samples"], limits, skip, wanted, start, end)
+
+
 def edf_signals(spark: SparkSession, path: str, wide: bool = False, channels: list[str] | None = None, start: float | None = None, end: float | None = None) -> DataFrame:
-    """Path, channel, sample, value, rate of all files that match."""
+    """Path, channel, sample, value, rate of all files that match; of a time window and chosen channels only these are read and unpacked."""
+    if (found := seekable(spark, path)) is not None:
+        return read_records(spark, [_edf_layout(p, n, wide, channels, start, end) for p, n in found])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -125,6 +154,26 @@ def edf_signals(spark: SparkSession, path: str, wide: bool = False, channels: li
 
 def edf_events(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     """Path, onset, duration, type, value of the annotations of all files that match."""
+    kinds = "path string, onset double, duration double, type string, value string"
+    if (found := seekable(spark, path)) is not None:
+        ranges = []
+        for p, size in found:
+            h = _edf_head(p)
+            counts = [s for s in h["samples"]]
+            width = sum(counts) * (3 if wide else 2)
+            records = (size - h["size"]) // width if width else 0
+            at = [(2 * sum(counts[:i]), counts[i]) for i in range(h["n"]) if h["label"][i] == "EDF Annotations"] if not wide else []
+            step = max(1, (8 << 20) // max(1, width))
+            ranges += [(p, h["size"], width, k, min(k + step, records), a, c) for a, c in at for k in range(0, records, step)]
+
+        def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for where, offset, width, a, b, at, count in batch.itertuples(index=False):
+                    notes = annotations(unpack(read_range(where, offset + a * width, (b - a) * width), width, at, "<i2", count), count)
+                    yield pd.DataFrame([(where, o, d, "annotation", t) for o, d, t in notes], columns=["path", "onset", "duration", "type", "value"])
+
+        table = spark.createDataFrame(ranges, "path string, offset long, width long, a long, b long, at long, count long")
+        return table.repartition(max(1, min(len(ranges), 10_000))).mapInPandas(unpacked, kinds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -136,7 +185,11 @@ def edf_events(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
 
 
 def edf_channels(spark: SparkSession, path: str) -> DataFrame:
-    """path, channel, label, unit, transducer and limits from the headers; the data are not unpacked."""
+    """path, channel, label, unit, transducer and limits from the headers; the data are not read."""
+    if (found := seekable(spark, path)) is not None:
+        heads = [(p, _edf_head(p)) for p, _ in found]
+        rows = [(p, c, c, "EEG", u, t, a, b) for p, h in heads for c, u, t, a, b in zip(h["label"], h["unit"], h["transducer"], h["phys_min"], h["phys_max"], strict=True)]
+        return spark.createDataFrame(rows, "path string, channel string, label string, type string, unit string, transducer string, phys_min double, phys_max double")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -163,51 +216,54 @@ def read_bdf(spark: SparkSession, path: str, channels: list[str] | None = None,
     return _recording(spark, path, edf_signals(spark, path, True, channels, start, end), edf_channels(spark, path), None)
 
 
-def _matrix(recording: Recording) -> tuple[list[str], np.ndarray]:
-    frame = recording.assay().select("channel", "sample", "value").toPandas().pivot(index="sample", columns="channel", values="value").sort_index()
-    return [str(c) for c in frame.columns], np.nan_to_num(frame.to_numpy(float)).T
-
-
-def _annotation_records(recording: Recording, records: int, seconds: float) -> np.ndarray:
-    """Stored values (record, sample) of an annotation signal: each record's start, then the events in it."""
-    lists = [[f"+{k * seconds:g}\x14\x14\x00"] for k in range(records)]
+def _annotation_records(recording: Recording, records: int, seconds: float) -> tuple[dict[int, bytes], int]:
+    """The events' entries by record, and the bytes of the annotation signal in each record: its start, then the entries. The events, a row each, are read here."""
+    entries: dict[int, list[str]] = {}
     for e in recording.events.orderBy("onset").collect() if recording.events is not None else []:
         k = min(records - 1, max(0, int(e["onset"] / seconds)))
-        lists[k].append(f"{e['onset']:+.10g}\x15{e['duration'] or 0.0:.10g}\x14{e['type']}\x14\x00")
-    packed = ["".join(x).encode() for x in lists]
-    width = max(map(len, packed), default=2)
-    return np.frombuffer(b"".join(x.ljust(width + width % 2, b"\0") for x in packed), "<i2").reshape(records, -1)
+        entries.setdefault(k, []).append(f"{e['onset']:+.10g}\x15{e['duration'] or 0.0:.10g}\x14{e['type']}\x14\x00")
+    packed = {k: "".join(x).encode() for k, x in entries.items()}
+    head = max(len(f"+{k * seconds:g}") for k in {0, records - 1, records // 2, *(10**p for p in range(len(str(records))) if 10**p < records)}) + 12
+    width = max(map(len, packed.values()), default=0) + head
+    return packed, width + width % 2
 
 
-def _pack_edf(recording: Recording, wide: bool, patient: str, name: str, annotate: bool = False) -> bytes:
-    names, data = _matrix(recording)
+def _write_edf(recording: Recording, path: str, wide: bool, patient: str, name: str, annotate: bool = False) -> None:
+    rows = recording.assay().select("channel", "sample", "value")
+    names, low, high, first, samples = shape(rows)
     rate = recording.rate()
     per = max(1, round(rate))
-    records = -(-data.shape[1] // per)
-    data = np.pad(data, ((0, 0), (0, records * per - data.shape[1])))
-    low, high = data.min(axis=1, initial=0.0), data.max(axis=1, initial=0.0)
+    records, n = -(-samples // per), len(names)
     high = np.where(high > low, high, low + 1)
     short = lambda v: np.array([float(f"{x:.8g}"[:8]) for x in v])
     low, high = short(low), short(high)
     dig_low, dig_high = (-(1 << 23), (1 << 23) - 1) if wide else (-(1 << 15), (1 << 15) - 1)
-    stored = np.clip(np.rint((data - low[:, None]) / (high - low)[:, None] * (dig_high - dig_low) + dig_low), dig_low, dig_high).astype(np.int32)
     pad = lambda v, w: str(v)[:w].ljust(w).encode("latin-1", "replace")
-    n = len(names)
     number = lambda v: f"{v:.8g}"
-    fields = [names, [""] * n, ["uV"] * n, [*map(number, low)], [*map(number, high)], [dig_low] * n, [dig_high] * n, [""] * n, [per] * n, [""] * n]
-    blocks = stored.reshape(n, records, per).transpose(1, 0, 2)
-    if annotate and not wide:
-        notes = _annotation_records(recording, records, per / rate)
-        blocks = np.concatenate((blocks.reshape(records, n * per), notes), axis=1)
-        fields = [[*f, x] for f, x in zip(fields, ("EDF Annotations", "", "", -1, 1, dig_low, dig_high, "", notes.shape[1], ""), strict=True)]
-        n += 1
+    fields = [[str(x) for x in names], [""] * n, ["uV"] * n, [*map(number, low)], [*map(number, high)], [dig_low] * n, [dig_high] * n, [""] * n, [per] * n, [""] * n]
+    notes, width = _annotation_records(recording, records, per / rate) if annotate and not wide else ({}, 0)
+    if width:
+        fields = [[*f, x] for f, x in zip(fields, ("EDF Annotations", "", "", -1, 1, dig_low, dig_high, "", width // 2, ""), strict=True)]
     kind = "24BIT" if wide else "EDF+C" if annotate else ""
-    head = (b"\xffBIOSEMI" if wide else pad("0", 8)) + pad(patient, 80) + pad(name, 80) + pad("01.01.00", 8) + pad("00.00.00", 8) + pad(256 * (n + 1), 8) + pad(kind, 44) + pad(records, 8) + pad(f"{per / rate:g}", 8) + pad(n, 4)
+    m = n + (width > 0)
+    head = (b"\xffBIOSEMI" if wide else pad("0", 8)) + pad(patient, 80) + pad(name, 80) + pad("01.01.00", 8) + pad("00.00.00", 8) + pad(256 * (m + 1), 8) + pad(kind, 44) + pad(records, 8) + pad(f"{per / rate:g}", 8) + pad(m, 4)
     head += b"".join(pad(v, w) for w, column in zip(SIGNAL_FIELDS, fields, strict=True) for v in column)
-    if not wide:
-        return head + blocks.astype("<i2").tobytes()
-    flat = blocks.astype("<i4").ravel().view(np.uint8).reshape(-1, 4)[:, :3]
-    return head + flat.tobytes()
+    many = max(1, PIECE_VALUES // max(1, per * n))
+    span = (high - low)[:, None]
+
+    def pack(at: int, data: np.ndarray) -> bytes:
+        stored = np.clip(np.rint((data - low[:, None]) / span * (dig_high - dig_low) + dig_low), dig_low, dig_high).astype(np.int32)
+        count = min(many, records - at // per)
+        blocks = np.ascontiguousarray(stored.reshape(n, many, per).transpose(1, 0, 2)[:count])
+        if wide:
+            return blocks.astype("<i4").ravel().view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+        if not width:
+            return blocks.astype("<i2").tobytes()
+        lists = [f"+{k * per / rate:g}\x14\x14\x00".encode() + notes.get(k, b"") for k in range(at // per, at // per + count)]
+        return b"".join(b.tobytes() + x.ljust(width, b"\0") for b, x in zip(blocks.astype("<i2"), lists, strict=True))
+
+    record = per * n * (3 if wide else 2) + width
+    write_pieces(recording.signals.sparkSession, path, head, pieces(rows, names, first, samples, many * per, pack), even(records, many, record))
 
 
 def write_edf(recording: Recording, path: str, patient: str = "X", name: str = "X", annotate: bool = False) -> None:
@@ -215,12 +271,12 @@ def write_edf(recording: Recording, path: str, patient: str = "X", name: str = "
 
     Missing values are stored as 0. With ``annotate`` the types of the events become annotations (EDF+).
     """
-    write_bytes(recording.signals.sparkSession, path, _pack_edf(recording, False, patient, name, annotate))
+    _write_edf(recording, path, False, patient, name, annotate)
 
 
 def write_bdf(recording: Recording, path: str, patient: str = "X", name: str = "X") -> None:
     """K4."""
-    write_bytes(recording.signals.sparkSession, path, _pack_edf(recording, True, patient, name))
+    _write_edf(recording, path, True, patient, name)
 
 
 # ---------------------------------------------------------------- BrainVision
@@ -262,7 +318,12 @@ def read_brainvision(spark: SparkSession, path: str, channels: list[str] | None
                     if channels is None or label in channels:
                         yield pd.DataFrame({"path": where, "channel": label, "sample": np.arange(1, x.size + 1), "value": x * gain, "rate": rate})
 
-    signals = files(spark, named("DataFile", f"{base}.eeg")).mapInPandas(run, SIGNALS)
+    data = named("DataFile", f"{base}.eeg")
+    if mixed and (found := seekable(spark, data)) is not None:
+        limits = [(0.0, g, 0.0) for g in gains]
+        signals = read_records(spark, [_layout(p, size, 0, -1, 1 / rate, labels, [kind] * n, [1] * n, limits, set(), channels, None, None) for p, size in found])
+    else:
+        signals = files(spark, data).mapInPandas(run, SIGNALS)
     markers = []
     if common.get("MarkerFile"):
         for line in text(named("MarkerFile", f"{base}.vmrk")).splitlines():
@@ -275,14 +336,20 @@ def read_brainvision(spark: SparkSession, path: str, channels: list[str] | None
 
 def write_brainvision(recording: Recording, path: str, binary_format: str = "IEEE_FLOAT_32") -> None:
     """K6: header, data and markers; integers are stored in steps of 0.1 and declared so."""
-    names, data = _matrix(recording)
+    rows = recording.assay().select("channel", "sample", "value")
+    names, _, _, first, samples = shape(rows)
     base = path.removesuffix(".vhdr")
     stem = base.rsplit("/", 1)[-1]
     step = 0.1 if binary_format.startswith("INT") else 1.0
-    stored = np.rint(data / step) if step != 1.0 else data
-    spark = recording.signals.sparkSession
-    write_bytes(spark, f"{base}.eeg", np.ascontiguousarray(stored.T).astype("<" + BRAINVISION_TYPES[binary_format]).tobytes())
-    channel_lines = "\n".join(f"Ch{i}={n.replace(',', chr(92) + '1')},,{step:g},uV" for i, n in enumerate(names, 1))
+    kind = "<" + BRAINVISION_TYPES[binary_format]
+    spark, many = recording.signals.sparkSession, max(1, PIECE_VALUES // max(1, len(names)))
+
+    def pack(at: int, data: np.ndarray) -> bytes:
+        stored = np.rint(data / step) if step != 1.0 else data
+        return np.ascontiguousarray(stored[:, : samples - at].T).astype(kind).tobytes()
+
+    write_pieces(spark, f"{base}.eeg", b"", pieces(rows, names, first, samples, many, pack), even(samples, many, len(names) * np.dtype(kind).itemsize))
+    channel_lines = "\n".join(f"Ch{i}={n.replace(',', chr(92) + '1')},,{step:g},uV" for i, n in enumerate(map(str, names), 1))
     write_bytes(spark, f"{base}.vhdr", (f"Brain Vision Data Exchange Header File Version 1.0\n[Common Infos]\nDataFile={stem}.eeg\nMarkerFile={stem}.vmrk\nDataFormat=BINARY\nDataOrientation=MULTIPLEXED\nNumberOfChannels={len(names)}\nSamplingInterval={1e6 / recording.rate():.10g}\n[Binary Infos]\nBinaryFormat={binary_format}\n[Channel Infos]\n{channel_lines}\n").encode())
     events = recording.events.orderBy("onset").collect() if recording.events is not None else []
     lines = [f"Mk{i}={e['type']},{e['value']},{round(e['onset'] * recording.rate()) + 1},{max(1, round((e['duration'] or 0) * recording.rate()))},0" for i, e in enumerate(events, 1)]
@@ -335,6 +402,19 @@ def _gdf_rows(content: bytes, wanted: list[str] | None, start: float | None, end
     return out, rate
 
 
+def _gdf_head(path: str) -> dict:
+    return gdf_header(read_range(path, 0, 256 * (1 + int.from_bytes(read_range(path, 252, 2), "little"))))
+
+
+def _gdf_events(tail: bytes) -> list[tuple[float, float, str, str]]:
+    """The event table after the data: a row per event."""
+    n = int.from_bytes(tail[1:4], "little") if len(tail) >= 8 else 0
+    if not n:
+        return []
+    rate, at, kind = float(np.frombuffer(tail, "<f4", 1, 4)[0]), np.frombuffer(tail, "<u4", n, 8), np.frombuffer(tail, "<u2", n, 8 + 4 * n)
+    return [((float(a) - 1) / rate, 0.0, f"{k}", "") for a, k in zip(at, kind, strict=True)]
+
+
 def read_gdf(spark: SparkSession, path: str, channels: list[str] | None = None, start: float | None = None, end: float | None = None) -> Recording:
     """Slower channels are interpolated to the fastest. Events follow the data, as onsets and type numbers."""
 
@@ -351,11 +431,22 @@ def read_gdf(spark: SparkSession, path: str, channels: list[str] | None = None,
                 h = gdf_header(content)
                 width = sum(np.dtype(GDF_TYPES[int(k)]).itemsize * int(s) for k, s in zip(h["kind"], h["samples"], strict=True))
                 tail = content[h["size"] + max(0, h["records"]) * width :]
-                n = int.from_bytes(tail[1:4], "little") if len(tail) >= 8 else 0
-                rate = float(np.frombuffer(tail, "<f4", 1, 4)[0]) if n else 1.0
-                at, kind = np.frombuffer(tail, "<u4", n, 8), np.frombuffer(tail, "<u2", n, 8 + 4 * n)
-                yield pd.DataFrame({"onset": (at.astype(float) - 1) / rate, "duration": 0.0, "type": [f"{k}" for k in kind], "value": ""})
-
+                yield pd.DataFrame(_gdf_events(tail), columns=["onset", "duration", "type", "value"])
+
+    if (found := seekable(spark, path)) is not None:
+        layouts, events = [], []
+        for p, size in found:
+            h = _gdf_head(p)
+            kinds = [GDF_TYPES[int(k)] for k in h["kind"]]
+            limits = [(a, (d - c) / ((b - a) or 1.0), c) for a, b, c, d in zip(h["dig_min"], h["dig_max"], h["phys_min"], h["phys_max"], strict=True)]
+            one = _layout(p, size, h["size"], h["records"], h["seconds"], h["label"], kinds, [int(s) for s in h["samples"]], limits, set(), channels, start, end)
+            layouts.append(one)
+            after = one["offset"] + one["records"] * one["record"]
+            events += _gdf_events(read_range(p, after, size - after) if h["records"] >= 0 else b"")
+        signals = read_records(spark, layouts)
+        events = spark.createDataFrame(events, "onset double, duration double, type string, value string")
+        names = spark.createDataFrame([(c["label"], c["label"], "EEG", "uV") for c in layouts[0]["channels"]], "channel string, label string, type string, unit string")
+        return _recording(spark, path, signals, names, events.orderBy("onset"))
     source = files(spark, path)
     signals = source.mapInPandas(run, SIGNALS)
     names = signals.select("channel").distinct().select("channel", F.col("channel").alias("label"), F.lit("EEG").alias("type"), F.lit("uV").alias("unit"))
@@ -367,13 +458,16 @@ def write_gdf(recording: Recording, path: str) -> None:
     """K5: version 2.20 with 16-bit samples and an event table; types that are numbers keep them, others get a number by name."""
     import zlib
 
-    names, data = _matrix(recording)
+    rows = recording.assay().select("channel", "sample", "value")
+    names, low, high, first, samples = shape(rows)
     per, n = max(1, round(recording.rate())), len(names)
-    records = -(-data.shape[1] // per)
-    data = np.pad(data, ((0, 0), (0, records * per - data.shape[1])))
-    low, high = data.min(axis=1, initial=0.0), data.max(axis=1, initial=0.0)
+    records, many = -(-samples // per), max(1, PIECE_VALUES // max(1, per * n))
     high = np.where(high > low, high, low + 1)
-    stored = np.rint((data - low[:, None]) / (high - low)[:, None] * 65535 - 32768).astype("<i2")
+
+    def pack(at: int, data: np.ndarray) -> bytes:
+        stored = np.rint((data - low[:, None]) / (high - low)[:, None] * 65535 - 32768).astype("<i2")
+        return stored.reshape(n, many, per).transpose(1, 0, 2)[: records - at // per].tobytes()
+
     pad = lambda v, w: str(v)[:w].encode("latin-1", "replace").ljust(w, b"\x00")
     head = bytearray(256)
     head[:8] = b"GDF 2.20"
@@ -384,9 +478,8 @@ def write_gdf(recording: Recording, path: str) -> None:
     columns = b"".join(pad(c, 16) for c in names) + bytes(80 * n) + b"".join(pad("uV", 6) for _ in names) + np.full(n, 4275, "<u2").tobytes()
     columns += low.astype("<f8").tobytes() + high.astype("<f8").tobytes() + np.full(n, -32768.0, "<f8").tobytes() + np.full(n, 32767.0, "<f8").tobytes()
     columns += bytes(68 * n) + bytes(12 * n) + np.full(n, per, "<u4").tobytes() + np.full(n, 3, "<u4").tobytes() + bytes(32 * n)
-    body = stored.reshape(n, records, per).transpose(1, 0, 2).tobytes()
     events = recording.events.orderBy("onset").collect() if recording.events is not None else []
     code = lambda t: int(t) & 0xFFFF if re.fullmatch(r"\d+", t or "") else zlib.crc32((t or "").encode()) & 0x7FFF
     table = b"\x01" + len(events).to_bytes(3, "little") + np.array([recording.rate()], "<f4").tobytes()
     table += np.array([round(e["onset"] * recording.rate()) + 1 for e in events], "<u4").tobytes() + np.array([code(e["type"]) for e in events], "<u2").tobytes()
-    write_bytes(recording.signals.sparkSession, path, bytes(head) + columns + body + table)
+    write_pieces(recording.signals.sparkSession, path, bytes(head) + columns, pieces(rows, names, first, samples, many * per, pack), even(records, many, per * n * 2), table)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from ..model import Recording
-from .binary import _matrix, files
-from .filesystem import write_bytes
+from .binary import files
+from .records import PIECE_VALUES, even, pieces, shape, write_pieces
 
 #: Numbers of the format's data types and array classes.
 DATA_TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8", 16: "u1", 17: "u2", 18: "u4"}
@@ -82,13 +83,8 @@ def _rows(value) -> list:
     return value if isinstance(value, list) else [value] if isinstance(value, dict) else []
 
 
-def read_mat(spark: SparkSession, path: str, data_var: str | None = None, sr_var: str | None = None, channel_var: str | None = None, transpose: bool | None = None) -> Recording:
-    """The largest matrix (or ``data_var``) as signals, channels in columns; far more columns than rows are turned.
-
-    A structure with ``data`` and ``srate`` is read with its channel labels and events. Its latencies
-    are samples from 1, as they are written.
-    """
-    found = parse(bytes(files(spark, path).first()["content"]))
+def _content(found: dict, data_var: str | None, sr_var: str | None, channel_var: str | None, transpose: bool | None) -> tuple[np.ndarray, float | None, list[str], list[tuple]]:
+    """Data (samples by channels), rate, labels and events of a file's variables."""
     whole = next((v for v in found.values() if isinstance(v, dict) and "data" in v and "srate" in v), None)
     events, labels = [], None
     if whole is not None and data_var is None:
@@ -110,9 +106,39 @@ def read_mat(spark: SparkSession, path: str, data_var: str | None = None, sr_var
         named = found.get(channel_var or "labels", found.get("channels"))
         labels = [str(x).strip() for x in named] if isinstance(named, list) else None
     labels = labels if labels and len(labels) == data.shape[1] else [f"Ch{i + 1}" for i in range(data.shape[1])]
-    table = spark.createDataFrame([(c, data[:, i].tolist()) for i, c in enumerate(labels)], "channel string, values array<double>")
-    signals = table.select("channel", F.posexplode("values").alias("at", "value")).select("channel", (F.col("at") + 1).cast("long").alias("sample"), "value")
-    return Recording(signals, rate, events=spark.createDataFrame(events, "onset double, duration double, type string, value string").orderBy("onset"))
+    return data, rate, labels, events
+
+
+def read_mat(spark: SparkSession, path: str, data_var: str | None = None, sr_var: str | None = None, channel_var: str | None = None, transpose: bool | None = None) -> Recording:
+    """The largest matrix (or ``data_var``) as signals, channels in columns; far more columns than rows are turned.
+
+    A structure with ``data`` and ``srate`` is read with its channel labels and events. Its latencies
+    are samples from 1, as they are written. The variables of a file may be compressed as a whole, so a task unpacks a file; its signals and
+    events stay with the tasks, and only its rate reaches the driver.
+    """
+    source = files(spark, path)
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for batch in batches:
+            for content in batch["content"]:
+                yield _content(parse(bytes(content)), data_var, sr_var, channel_var, transpose)
+
+    def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rate, _, _ in parts(batches):
+            yield pd.DataFrame({"rate": [rate]})
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for data, _, labels, _ in parts(batches):
+            for i, label in enumerate(labels):
+                yield pd.DataFrame({"channel": label, "sample": np.arange(1, len(data) + 1), "value": data[:, i].astype(float)})
+
+    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, _, _, events in parts(batches):
+            yield pd.DataFrame(events, columns=["onset", "duration", "type", "value"])
+
+    rate = source.mapInPandas(rates, "rate double").first()[0]
+    events = source.mapInPandas(marks, "onset double, duration double, type string, value string").orderBy("onset")
+    return Recording(source.mapInPandas(rows, "channel string, sample long, value double"), rate, events=events)
 
 
 # ---------------------------------------------------------------- writing
@@ -120,9 +146,19 @@ def _element(kind: int, content: bytes) -> bytes:
     return struct.pack("<II", kind, len(content)) + content + bytes(-len(content) % 8)
 
 
+def _head(kind: int, dims: tuple, name: str) -> bytes:
+    return _element(6, struct.pack("<II", kind, 0)) + _element(5, np.array(dims, "<i4").tobytes()) + _element(1, name.encode("latin-1"))
+
+
+def _opened(name: str, dims: tuple[int, int]) -> bytes:
+    """A matrix of doubles up to its values, which follow by columns."""
+    head, size = _head(DOUBLE, dims, name), 8 * dims[0] * dims[1]
+    return struct.pack("<II", MATRIX, len(head) + 8 + size) + head + struct.pack("<II", 9, size)
+
+
 def _packed(name: str, value) -> bytes:
     """A matrix element for an array, text, list (cell) or dict (structure); a list of dicts is a structure array."""
-    head = lambda kind, dims: _element(6, struct.pack("<II", kind, 0)) + _element(5, np.array(dims, "<i4").tobytes()) + _element(1, name.encode("latin-1"))
+    head = lambda kind, dims: _head(kind, dims, name)
     if isinstance(value, str):
         body = head(CHAR, (min(1, len(value)), len(value))) + _element(17, np.array([ord(c) & 0xFFFF for c in value], "<u2").tobytes())
     elif isinstance(value, dict) or (isinstance(value, list) and value and isinstance(value[0], dict)):
@@ -140,13 +176,31 @@ def _packed(name: str, value) -> bytes:
 
 def write_mat(recording: Recording, path: str, eeg: bool = False) -> None:
     """K9: data (samples by channels), srate and labels, or an EEG structure with channel labels and events."""
-    names, data = _matrix(recording)
-    rate = recording.rate()
-    if eeg:
-        events = recording.events.orderBy("onset").collect() if recording.events is not None else []
-        rows = [{"latency": e["onset"] * rate + 1, "duration": (e["duration"] or 0.0) * rate, "type": e["value"] or e["type"] or ""} for e in events]
-        variables = {"EEG": {"data": data, "srate": rate, "nbchan": len(names), "pnts": data.shape[1], "chanlocs": [{"labels": n} for n in names], "event": rows}}
-    else:
-        variables = {"data": data.T, "srate": rate, "labels": names}
+    rows = recording.assay().select("channel", "sample", "value")
+    names, _, _, first, samples = shape(rows)
+    labels, n, rate = [str(x) for x in names], len(names), recording.rate()
+    spark = recording.signals.sparkSession
     header = b"MATLAB 5.0 MAT-file".ljust(116) + bytes(8) + struct.pack("<H", 0x0100) + b"IM"
-    write_bytes(recording.signals.sparkSession, path, header + b"".join(_packed(k, v) for k, v in variables.items()))
+    if eeg:  # channels by samples: all channels of a sample lie together
+        many = max(1, PIECE_VALUES // max(1, n))
+        events = recording.events.orderBy("onset").collect() if recording.events is not None else []
+        marks = [{"latency": e["onset"] * rate + 1, "duration": (e["duration"] or 0.0) * rate, "type": e["value"] or e["type"] or ""} for e in events]
+        others = {"srate": rate, "nbchan": n, "pnts": samples, "chanlocs": [{"labels": x} for x in labels], "event": marks}
+        fields = b"".join(f.encode().ljust(32, b"\0") for f in ("data", *others))
+        before = _head(STRUCT, (1, 1), "EEG") + _element(5, np.array([32], "<i4").tobytes()) + _element(1, fields) + _opened("", (n, samples))
+        after = b"".join(_packed("", v) for v in others.values())
+        before = struct.pack("<II", MATRIX, len(before) + 8 * n * samples + len(after)) + before
+        body = pieces(rows, names, first, samples, many, lambda at, data: data[:, : samples - at].T.astype("<f8").tobytes())
+        write_pieces(spark, path, header + before, body, even(samples, many, 8 * n), after)
+    else:  # samples by channels: a channel after the other
+        runs = -(-samples // PIECE_VALUES)
+
+        def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for piece, data in zip(frame["piece"], frame["data"], strict=True):
+                    size = len(data) // n
+                    yield pd.DataFrame({"piece": [c * runs + piece for c in range(n)], "data": [data[c * size : (c + 1) * size] for c in range(n)]})
+
+        body = pieces(rows, names, first, samples, PIECE_VALUES, lambda at, data: data[:, : samples - at].astype("<f8").tobytes()).mapInPandas(split, "piece long, data binary")
+        length = even(samples, PIECE_VALUES, 8)
+        write_pieces(spark, path, header + _opened("data", (samples, n)), body, lambda piece: length(piece % runs), _packed("srate", rate) + _packed("labels", labels))

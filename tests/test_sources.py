@@ -138,3 +138,71 @@ def test_registry_smoke(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+# ---------------------------------------------------------------- ranges of records
+def test_a_time_window_reads_only_its_records(spark, recording, tmp_path, monkeypatch):
+    """Ranges of one record each; of two seconds and two channels no other byte of the data is read."""
+    import json
+
+    from signalweave.sources import records
+
+    long = recording.with_signals(recording.signals.unionByName(recording.signals.withColumn("sample", F.col("sample") + 500)).unionByName(recording.signals.withColumn("sample", F.col("sample") + 1000)))
+    binary.write_edf(long, path := f"{tmp_path}/w.edf")
+    layout = binary._edf_layout(f"file:{path}", os.path.getsize(path), False, ["Cz"], 2.0, 3.5)
+    whole = binary._edf_layout(f"file:{path}", os.path.getsize(path), False, ["Cz"], None, None)
+    monkeypatch.setattr(records, "RANGE_BYTES", 1)
+    read = []
+    monkeypatch.setattr(records, "read_range", lambda p, a, n, f=records.read_range: read.append((a, n)) or f(p, a, n))
+    reader = records.RecordReader({"files": json.dumps([layout])})
+    parts = reader.partitions()
+    assert [(p.first, p.last) for p in parts] == [(2, 3), (3, 4)]
+    batches = [b.to_pandas() for p in parts for b in reader.read(p)]
+    assert sorted(read) == [(layout["offset"] + k * layout["record"], layout["record"]) for k in (2, 3)]
+    found = np.concatenate([b["value"] for b in batches])
+    reader = records.RecordReader({"files": json.dumps([whole])})
+    everything = np.concatenate([b.to_pandas()["value"] for p in reader.partitions() for b in reader.read(p)])
+    assert len(everything) == 1500 and np.array_equal(found, everything[500:875]) and [b["sample"].iloc[0] for b in batches] == [1, 251]
+
+
+@pytest.mark.parametrize("size", [1, 8 << 20])
+def test_mixed_rates_by_ranges(spark, tmp_path, monkeypatch, size):
+    """A slow channel between two fast ones comes at the fast rate, the same from ranges of one record as from the whole file."""
+    from signalweave.sources import records
+
+    monkeypatch.setattr(records, "RANGE_BYTES", size)
+    rng = np.random.default_rng(3)
+    counts, n = [8, 3, 8], 6
+    data = [rng.integers(-1000, 1000, (n, c)) for c in counts]
+    pad = lambda v, w: str(v)[:w].ljust(w).encode()
+    head = pad("0", 8) + pad("", 160) + pad("01.01.00", 8) + pad("00.00.00", 8) + pad(256 * 4, 8) + pad("", 44) + pad(n, 8) + pad(2, 8) + pad(3, 4)
+    for w, column in zip(binary.SIGNAL_FIELDS, (["a", "b", "c"], [""] * 3, ["uV"] * 3, [-100] * 3, [100] * 3, [-1000] * 3, [1000] * 3, [""] * 3, counts, [""] * 3), strict=True):
+        head += b"".join(pad(v, w) for v in column)
+    raw = head + b"".join(d[k].astype("<i2").tobytes() for k in range(n) for d in data)
+    (tmp_path / "m.edf").write_bytes(raw)
+    got = binary.read_edf(spark, f"{tmp_path}/m.edf").signals.toPandas().sort_values(["channel", "sample"])
+    _, plain, rate, _ = binary._edf_rows(raw, False, None, None, None)
+    assert rate == 4.0 and np.allclose(got["value"], np.concatenate([x for _, x in plain])) and got["sample"].tolist() == list(range(1, 49)) * 3
+    part = binary.read_edf(spark, f"{tmp_path}/m.edf", ["b", "a"], 2.5, 7.0).signals.toPandas().sort_values(["channel", "sample"])
+    assert np.allclose(part["value"], np.concatenate([x[10:28] for name, x in plain if name in "ab"]))
+
+
+def test_files_of_many_pieces(spark, recording, tmp_path, monkeypatch):
+    """Pieces of a few samples, a channel with gaps and one that ends early: every format holds zeros where nothing is."""
+    from signalweave.sources import records
+
+    for module in (binary, matlab):
+        monkeypatch.setattr(module, "PIECE_VALUES", 70)
+    gaps = recording.with_signals(recording.signals.filter("NOT (channel = 'Fp2' AND sample > 301) AND NOT (channel = 'Cz' AND sample BETWEEN 40 AND 60)"))
+    expected = recording.signals.select("channel", "sample", F.when(F.expr("(channel = 'Fp2' AND sample > 301) OR (channel = 'Cz' AND sample BETWEEN 40 AND 60)"), 0.0).otherwise(F.col("value")).alias("value"))
+    whole = recording.with_signals(expected)
+    for name, write, read, atol in (
+        ("e.edf", lambda x, p: binary.write_edf(x, p, annotate=True), binary.read_edf, 0.01), ("b.bdf", binary.write_bdf, binary.read_bdf, 1e-4), ("g.gdf", binary.write_gdf, binary.read_gdf, 0.01),
+        ("v.vhdr", binary.write_brainvision, binary.read_brainvision, 1e-4), ("m.mat", matlab.write_mat, matlab.read_mat, 1e-12), ("s.mat", lambda x, p: matlab.write_mat(x, p, True), matlab.read_mat, 1e-12),
+    ):
+        write(gaps, f"{tmp_path}/{name}")
+        back = read(spark, f"{tmp_path}/{name}")
+        same(whole, back, atol)
+        if name != "m.mat" and name != "b.bdf":
+            assert [round(r["onset"], 3) for r in back.events.collect()] == [0.1, 0.5, 0.8], name
+    assert records.seekable(spark, f"{tmp_path}/e.edf")

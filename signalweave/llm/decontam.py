@@ -10,6 +10,10 @@ Hits carry no text. Windows inside a run of one repeated token have equal hashes
 runs meet in one row, an interval of alignments. Alignments are made distinct first, and then the tokens of a document
 come back once for each item that it met.
 
+An alignment of an item of n tokens that counts as contained hits several seeds. Of the n - 4 windows of five tokens, W have three agreeing ones;
+windows at an end hold a token less often, so 5 * 0.6 * n - 20 <= 2 * (n - 4) + 3 * W, or W >= (n - 12) / 3. Up to three windows share a seed, which leaves
+(n - 12) / 9 seeds. A stretch of 16 with three disagreeing tokens has at most three windows without, so nine with, and three seeds. Alignments with fewer are not looked at.
+
 The masks keep every choice of three among five tokens that starts with the first. An alignment on which
 60 % of the tokens agree has three agreeing ones among some five in a row, as not every
 five can have two, and so is hit at least once, wherever the substitutions are.
@@ -32,6 +36,8 @@ LEAST_SHARE, LEAST_TOKENS = 0.6, 5
 STRETCH, STRETCH_AGREE = 16, 13
 #: Items with fewer tokens carry no evidence.
 LEAST_RUN = 3
+#: Seeds that every alignment of a longer item hits, up to which they are counted.
+MOST_SEEDS = 3
 #: Bytes of the benchmark's hashes and tokens that are sent to all tasks; more are joined by shuffles.
 BROADCAST_BYTES = 96 << 20
 #: Documents with hits whose keys are sent to all tasks, so that no other document's tokens are shuffled.
@@ -100,6 +106,11 @@ def _agreeing(words: Column, item: Column, start: Column) -> Column:
     return F.get(F.transform(F.array(same), judged), 0)
 
 
+def least_seeds(n: Column, masks: tuple[str, ...] = MASKS) -> Column:
+    """The seeds that every contained alignment of an item of n tokens hits; 1 where other masks are used."""
+    return F.greatest(F.lit(1), F.least(F.lit(MOST_SEEDS), F.ceil((n - 12) / F.lit(9.0)))).cast("int") if masks == MASKS else F.lit(1)
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """doc_id, item_id, agreeing, share: one row per document and benchmark item that it contains.
 
@@ -115,7 +126,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     items = materialize(items.withColumn("item_no", F.monotonically_increasing_id()), "benchmark")
     size = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
     few = size * (8 + 64 * len(masks)) <= BROADCAST_BYTES
-    seeds = _seeds(items, "item", masks, "item_no").select("item_no", F.col("at").alias("item_at"), F.col("reach").alias("item_reach"), "hash")
+    seeds = _seeds(items.withColumn("least", least_seeds(F.size("item"), masks)), "item", masks, "item_no", "least")
+    seeds = seeds.select("item_no", "least", F.col("at").alias("item_at"), F.col("reach").alias("item_reach"), "hash")
     # a row is known by its id and two hashes of its text
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.struct("doc_id", F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y")).alias("row"), "text")
@@ -125,8 +137,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     else:
         salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         hits = spots.withColumn("salt", F.pmod(F.col("at"), F.lit(SALTS))).join(salted, ["hash", "salt"])
-    hits = hits.select("row", "item_no", (F.col("at") - F.col("item_at") - F.col("item_reach")).alias("low"), (F.col("at") + F.col("reach") - F.col("item_at")).alias("high"))
-    starts = hits.select("row", "item_no", F.explode(F.sequence("low", "high")).alias("start")).distinct()
+    # a seed with a reach stands for several
+    number = F.when((F.col("reach") > 0) | (F.col("item_reach") > 0), MOST_SEEDS).otherwise(1)
+    hits = hits.select("row", "item_no", "least", number.alias("number"), (F.col("at") - F.col("item_at") - F.col("item_reach")).alias("low"), (F.col("at") + F.col("reach") - F.col("item_at")).alias("high"))
+    starts = hits.select("row", "item_no", "least", "number", F.explode(F.sequence("low", "high")).alias("start"))
+    starts = starts.groupBy("row", "item_no", "least", "start").agg(F.sum("number").alias("number")).filter(F.col("number") >= F.col("least"))
     met = materialize(starts.groupBy("row", "item_no").agg(F.collect_list("start").alias("starts")), "alignments")
     keys = met.select(F.col("row").alias("met_row")).distinct()
     same_row = lambda a, b: F.col(a)["doc_id"].eqNullSafe(F.col(b)["doc_id"]) & (F.col(a)["x"] == F.col(b)["x"]) & (F.col(a)["y"] == F.col(b)["y"])

@@ -69,7 +69,7 @@ def per_series(signals: DataFrame, fn: Callable[[np.ndarray], np.ndarray | dict[
         found = fn(frame["value"].to_numpy(np.float64, na_value=np.nan))
         found = found if isinstance(found, dict) else {names[0]: found}
         size = len(found[names[0]])
-        head = {k: [frame[k].iloc[0]] * size for k in keys}
+        head = {k: np.repeat(frame[k].to_numpy()[:1], size) for k in keys}  # keeps its type where nothing is found
         samples = np.arange(1, size + 1) if renumber else frame["sample"].to_numpy()
         return pd.DataFrame(head | {"sample": samples} | found)[[*keys, "sample", *names]]
 

@@ -128,7 +128,8 @@ def spread(table: DataFrame, fn: Callable[[pd.Series], dict[str, np.ndarray]], k
             for _, row in frame.iterrows():
                 found = fn(row)
                 size = len(found[names[0]])
-                yield pd.DataFrame({k: [row[k]] * size for k in keys} | {c: found[c] for c in names})
+                if size:
+                    yield pd.DataFrame({k: [row[k]] * size for k in keys} | {c: found[c] for c in names})
 
     kinds = kinds_of(table, keys)
     return table.mapInPandas(run, f"{kinds}{', ' if kinds else ''}{out}")
@@ -205,3 +206,49 @@ def carried(summaries: DataFrame, keys: list[str], power: Callable[[int], np.nda
         summaries = meet(summaries.withColumn("_run", run).drop("start"), above.withColumnRenamed("state", "start"), [*keys, "_run"])
         return summaries.groupBy(*keys, "_run").applyInPandas(unroll, f"{kinds}, block long, state array<double>")
     return summaries.groupBy(*keys).applyInPandas(unroll, f"{kinds}, block long, state array<double>")
+
+
+#: Exit of a step function where a block leaves its state as it is; states are positions, so never negative.
+UNCHANGED = -1
+
+
+def stepped(summaries: DataFrame, keys: list[str], blocks: int) -> DataFrame:
+    """keys, block, state: the position in which each block starts; that of block 0 is 0.
+
+    ``summaries``: keys, block (0 to ``blocks`` - 1 at most), bounds (ascending), exits (one more than bounds). A block turns a state into the exit of its first bound that
+    is not below the state (the last exit beyond all bounds). Runs of ``SCAN`` blocks compose to one step function, as in :func:`carried`.
+    """
+    return _stepped(summaries.withColumn("start", F.lit(0).cast("long")), keys, blocks)
+
+
+def _step(states: np.ndarray, bounds: np.ndarray, exits: np.ndarray) -> np.ndarray:
+    made = np.asarray(exits, np.int64)[np.searchsorted(np.asarray(bounds, np.int64), states)]
+    return np.where(made == UNCHANGED, states, made)
+
+
+def _stepped(summaries: DataFrame, keys: list[str], blocks: int) -> DataFrame:
+    kinds = kinds_of(summaries, keys)
+
+    def compose(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("block")
+        exits = np.asarray(frame["exits"].iloc[0], np.int64)
+        for bounds, following in zip(frame["bounds"].iloc[1:], frame["exits"].iloc[1:], strict=True):
+            exits = _step(exits, bounds, following)
+        head = {k: [frame[k].iloc[0]] for k in keys}
+        return pd.DataFrame(head | {"block": [frame["block"].iloc[0] // SCAN], "bounds": [list(frame["bounds"].iloc[0])], "exits": [exits.tolist()], "start": [frame["start"].iloc[0]]})
+
+    def unroll(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("block")
+        state, states = np.array([frame["start"].iloc[0]]), []
+        for bounds, exits in zip(frame["bounds"], frame["exits"], strict=True):
+            states.append(int(state[0]))
+            state = _step(state, bounds, exits)
+        return pd.DataFrame({k: frame[k].to_numpy() for k in keys} | {"block": frame["block"].to_numpy(), "state": states})
+
+    run = F.floor(F.col("block") / F.lit(SCAN))
+    if blocks > SCAN:
+        above = summaries.groupBy(*keys, run.alias("_run")).applyInPandas(compose, f"{kinds}, block long, bounds array<long>, exits array<long>, start long")
+        above = _stepped(above, keys, -(-blocks // SCAN)).withColumnRenamed("block", "_run")
+        summaries = meet(summaries.withColumn("_run", run).drop("start"), above.withColumnRenamed("state", "start"), [*keys, "_run"])
+        return summaries.groupBy(*keys, "_run").applyInPandas(unroll, f"{kinds}, block long, state long")
+    return summaries.groupBy(*keys).applyInPandas(unroll, f"{kinds}, block long, state long")

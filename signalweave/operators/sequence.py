@@ -1,12 +1,15 @@
-"""Operators along the samples of a series, as native windows (rows W1, W8-W18, F6, P16)."""
+"""Operators along the samples of a series, as native windows; least distances by a scan over blocks (rows W1, W8-W18, F6, P16)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import along, keys_of, per_series, whole
+from . import blocks
 
 
 def moving_average(signals: DataFrame, width: int = 5) -> DataFrame:
@@ -75,28 +78,85 @@ def stride(signals: DataFrame, factor: int) -> DataFrame:
     return kept.withColumn("sample", F.floor((F.col("sample") - 1) / factor).cast("long") + 1)
 
 
-def _greedy(values: np.ndarray, flags: np.ndarray, distance: int) -> np.ndarray:
-    kept, last = [], -(1 << 60)
-    for i in np.flatnonzero(flags):
-        if i - last >= distance:
-            kept.append(i)
-            last = i
+def accepted(spots: np.ndarray, distance: int, free: int = 0) -> np.ndarray:
+    """Of ascending positions, the first from ``free`` on, then always the next one at least ``distance`` later."""
+    kept, at = [], int(np.searchsorted(spots, free))
+    while at < spots.size:
+        kept.append(spots[at])
+        at = int(np.searchsorted(spots, spots[at] + distance))
     return np.asarray(kept, np.int64)
 
 
+def _exits(spots: np.ndarray, first: int, distance: int) -> dict[str, np.ndarray]:
+    """What a block does to the first free position: one exit for each spot that may be the first accepted one.
+
+    The position before was accepted ahead of the block, so nothing is free later than ``first + distance - 1``.
+    """
+    following = np.searchsorted(spots, spots + distance)
+    exits = np.append(spots + distance, blocks.UNCHANGED)
+    for i in range(spots.size - 1, -1, -1):
+        if following[i] < spots.size:
+            exits[i] = exits[following[i]]
+    reached = int(np.searchsorted(spots, first + distance - 1))
+    return {"bounds": spots[:reached], "exits": exits[: reached + 1]}
+
+
+def spaced(signals: DataFrame, flag: Callable[[np.ndarray], np.ndarray], distance: int, more: dict[str, Callable[[np.ndarray], np.ndarray]] | None = None, out: str = "value double") -> DataFrame:
+    """Flagged samples kept in order with at least ``distance`` between them, with the columns ``out``.
+
+    ``flag`` and the functions ``more`` (one for each column of ``out`` but value) see the values of a stretch and decide by a sample and its two neighbours; no end of a series is flagged.
+    A long series is cut into blocks. Which samples a block accepts depends on one number, the first position that is free when it
+    starts; each block is a step function of it, the functions are scanned, and the blocks then choose from their own start.
+    """
+    more = more or {}
+    size = max(blocks.SAMPLES, distance)
+    found = blocks.lengths(signals)
+
+    def rows(x: np.ndarray, at: np.ndarray, base: int) -> dict[str, np.ndarray]:
+        return {"sample": at + 1, "value": x[at - base]} | {c: fn(x)[at - base] for c, fn in more.items()}
+
+    if found[1] < 2 * size:
+
+        def pick(x: np.ndarray) -> dict[str, np.ndarray]:
+            made = rows(x, accepted(np.flatnonzero(flag(x)), distance), 0)
+            return {"at": made.pop("sample")} | made
+
+        return per_series(signals, pick, f"at long, {out}").drop("sample").withColumnRenamed("at", "sample")
+
+    cut = blocks.cut(signals, found, size, 1)
+    grid = cut.grid
+
+    def spots(row) -> tuple[np.ndarray, np.ndarray, int]:
+        x = np.array(row["values"], np.float64)
+        first, end = grid.own(row["block"], row["n"])
+        at = np.flatnonzero(flag(x)) + row["at"]
+        return x, at[(at >= first) & (at < end)], first
+
+    def summary(row) -> dict:
+        _, at, first = spots(row)
+        return {k: v.tolist() for k, v in _exits(at, first, distance).items()}
+
+    def choose(row) -> dict[str, np.ndarray]:
+        x, at, _ = spots(row)
+        return rows(x, accepted(at, distance, row["state"]), row["at"])
+
+    steps = blocks.each(cut.table, summary, [*cut.keys, "block"], "bounds array<long>, exits array<long>")
+    states = blocks.stepped(steps, cut.keys, grid.last(found[1]) + 1)
+    return blocks.spread(blocks.meet(cut.table, states, [*cut.keys, "block"]), choose, cut.keys, f"sample long, {out}")
+
+
 def peaks(signals: DataFrame, threshold: float = 0.0, min_distance: int = 1) -> DataFrame:
     """Samples above both neighbours and ``threshold``, kept in order with ``min_distance`` between them."""
     if min_distance <= 1:
         w = along(signals)
         return signals.withColumn("a", F.lag("value").over(w)).withColumn("b", F.lead("value").over(w)).filter("value > a AND value > b").filter(F.col("value") > threshold).drop("a", "b")
 
-    def pick(x: np.ndarray) -> np.ndarray:
+    def top(x: np.ndarray) -> np.ndarray:
         flags = np.zeros(x.size, bool)
         flags[1:-1] = (x[1:-1] > x[:-2]) & (x[1:-1] > x[2:]) & (x[1:-1] > threshold)
-        kept = _greedy(x, flags, min_distance)
-        return {"at": kept + 1, "value": x[kept]}
+        return flags
 
-    return per_series(signals, pick, "at long, value double").drop("sample").withColumnRenamed("at", "sample")
+    return spaced(signals, top, min_distance)
 
 
 def crossings(signals: DataFrame, threshold: float, direction: str = "rising", min_distance: int = 1) -> DataFrame:
@@ -109,14 +169,14 @@ def crossings(signals: DataFrame, threshold: float, direction: str = "rising", m
     if min_distance <= 1:
         return rows.filter(wanted).withColumn("rising", up).drop("before")
 
-    def pick(x: np.ndarray) -> dict:
-        rise = np.append(False, (x[:-1] < threshold) & (x[1:] >= threshold))
-        fall = np.append(False, (x[:-1] >= threshold) & (x[1:] < threshold))
-        flags = {"rising": rise, "falling": fall, "both": rise | fall}[direction]
-        kept = _greedy(x, flags, min_distance)
-        return {"at": kept + 1, "value": x[kept], "rising": rise[kept]}
+    def rise(x: np.ndarray) -> np.ndarray:
+        return np.append(False, (x[:-1] < threshold) & (x[1:] >= threshold))
+
+    def fall(x: np.ndarray) -> np.ndarray:
+        return np.append(False, (x[:-1] >= threshold) & (x[1:] < threshold))
 
-    return per_series(signals, pick, "at long, value double, rising boolean").drop("sample").withColumnRenamed("at", "sample")
+    flag = {"rising": rise, "falling": fall, "both": lambda x: rise(x) | fall(x)}[direction]
+    return spaced(signals, flag, min_distance, {"rising": rise}, "value double, rising boolean")
 
 
 def islands(rows: DataFrame, flag: Column, gap: int = 1) -> DataFrame:

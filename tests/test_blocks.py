@@ -119,3 +119,33 @@ def test_spline_equals_dense_solve():
     a, b, t = x[k], x[k + 1], at - k
     expected = a + t * (b - a - bend[k] / 3 - bend[k + 1] / 6) + t**2 * bend[k] / 2 + t**3 * (bend[k + 1] - bend[k]) / 6
     assert np.allclose(filters._spline(x, at), expected, atol=1e-12)
+
+
+# ---------------------------------------------------------------- least distances
+@pytest.mark.parametrize("distance, scan", [(2, 3), (5, 2), (40, 3), (64, 2), (150, 3)])
+def test_peaks_with_a_least_distance_in_blocks(series, monkeypatch, distance, scan):
+    from signalweave.operators import sequence
+
+    compared(series, lambda s: sequence.peaks(s, -1e9, distance), monkeypatch, 40, scan)
+
+
+@pytest.mark.parametrize("direction", ["rising", "falling", "both"])
+def test_crossings_with_a_refractory_time_in_blocks(series, monkeypatch, direction):
+    from signalweave.operators import sequence
+
+    compared(series, lambda s: sequence.crossings(s, 3.0, direction, 17), monkeypatch, 40)
+
+
+def test_spaced_choice_depends_on_far_blocks(spark, monkeypatch):
+    """A peak at every other sample: whether one is accepted depends on the very first peak, over blocks without end."""
+    from signalweave.operators import sequence
+
+    rows = [("a", i, float(i % 2)) for i in range(1, 1200)]
+    small(monkeypatch, 32, 2)
+    got = sorted(r["sample"] for r in sequence.peaks(spark.createDataFrame(rows, "channel string, sample long, value double"), 0.5, 7).collect())
+    kept, last = [], -10
+    for i in range(3, 1199, 2):
+        if i - last >= 7:
+            kept.append(i)
+            last = i
+    assert got == kept

@@ -6,6 +6,7 @@ in numpy. Applying a matrix to the signals is a join with its entries and a sum.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import stored
 from ..model import per_series
 from .connectivity import mirror, moments
 
@@ -158,23 +160,158 @@ def explained(x: np.ndarray, fitted: np.ndarray) -> float:
     return float(100 * (1 - ((x - fitted) ** 2).sum() / total)) if total > 0 else 0.0
 
 
-def matrix_of(signals: DataFrame) -> tuple[list, np.ndarray]:
-    """Channels and their samples as a matrix, on the driver; for synergies of one recording."""
-    frame = signals.select("channel", "sample", "value").toPandas().pivot(index="channel", columns="sample", values="value").dropna(axis=1)
-    return list(frame.index), frame.to_numpy(float)
+#: Samples of a block of the matrix (sample, channel).
+BLOCK = 4096
+
+
+@dataclass
+class SampleBlocks:
+    """The samples that all channels have, as stored blocks of rows. ``table``: samples array<long>, values array<double> (sample after sample)."""
+
+    names: list
+    table: DataFrame
+
+    def each(self, fn: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+        """One vector from each task: the sum of ``fn`` (samples, channels) over its blocks. Vectors are as long as matrices of channels, never of samples."""
+        c = len(self.names)
+
+        def run(frames):
+            total = None
+            for frame in frames:
+                for values in frame["values"]:
+                    found = fn(np.reshape(values, (-1, c)))
+                    total = found if total is None else total + found
+            if total is not None:
+                yield pd.DataFrame({"sums": [total.tolist()]})
+
+        return [np.array(r["sums"]) for r in self.table.select("values").mapInPandas(run, "sums array<double>").collect()]
+
+
+def sample_blocks(signals: DataFrame) -> SampleBlocks:
+    """Cut the matrix of a recording into blocks of samples. Samples with a missing value in any channel are left out."""
+    known = signals.select("channel", "sample", "value").filter("channel IS NOT NULL")
+    names = sorted(r["channel"] for r in known.select("channel").distinct().collect())
+    at = {c: i for i, c in enumerate(names)}
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        samples, row = np.unique(frame["sample"].to_numpy(), return_inverse=True)
+        x = np.full((samples.size, len(at)), np.nan)
+        x[row, frame["channel"].map(at).to_numpy()] = frame["value"].to_numpy(float)
+        full = ~np.isnan(x).any(axis=1)
+        return pd.DataFrame({"samples": [samples[full].tolist()], "values": [x[full].ravel().tolist()]})
+
+    blocks = known.groupBy(F.floor((F.col("sample") - 1) / BLOCK)).applyInPandas(run, "samples array<long>, values array<double>")
+    return SampleBlocks(names, stored(blocks, "samples"))
+
+
+def _descend(fitted: np.ndarray, target: np.ndarray, gram: np.ndarray, sweeps: int) -> np.ndarray:
+    """Least squares under non-negativity, one column at a time: ``fitted @ gram`` comes near ``target``. Columns that nothing depends on stay."""
+    fitted = fitted.copy()
+    for _ in range(sweeps):
+        for j in range(len(gram)):
+            if gram[j, j] > 1e-12:
+                fitted[:, j] = np.maximum(fitted[:, j] + (target[:, j] - fitted @ gram[:, j]) / gram[j, j], 0.0)
+    return fitted
+
+
+def activations_of(x: np.ndarray, weights: np.ndarray, sweeps: int = 40) -> np.ndarray:
+    """Activations (samples, k) of samples by given weights; they depend on nothing else, so a lost task is simply run again."""
+    gram, target = weights.T @ weights, x @ weights
+    start = np.maximum(target @ np.linalg.pinv(gram), 0.0)
+    return _descend(start, target, gram, sweeps)
+
+
+def factorize(blocks: SampleBlocks, ranks: list[int], rounds: int = 60, tolerance: float = 1e-6, seed: int = 1) -> dict[int, tuple[np.ndarray, float]]:
+    """For each number of synergies the weights (channels, k) with unit columns and the share of variance explained (in %).
+
+    Alternating non-negative least squares. The weights are sent to the tasks, which fit the activations of their blocks and
+    return the products that the next weights need; all ranks share a pass. No activation is kept between passes, so
+    neither the driver nor a task holds more than a block. Negative values count as 0; ends when no share grows by ``tolerance``.
+    """
+    c = len(blocks.names)
+    parts = blocks.each(lambda x: np.array([len(x), np.maximum(x, 0).sum(), (np.maximum(x, 0) ** 2).sum()]))
+    n, level, squares = sum(parts, np.zeros(3))
+    spread = squares - level**2 / (n * c) if n else 0.0
+    now = {k: np.random.default_rng([seed, k]).random((c, k)) + 0.1 for k in ranks}
+    now = {k: w / np.linalg.norm(w, axis=0) for k, w in now.items()}
+    if not spread > 0:
+        return {k: (w, 0.0) for k, w in now.items()}
+    best: dict[int, tuple[np.ndarray, float]] = {k: (w, -np.inf) for k, w in now.items()}
+    for _ in range(rounds):
+
+        def products(x: np.ndarray, now=now) -> np.ndarray:
+            x = np.maximum(x, 0)
+            fits = [(x, activations_of(x, w)) for w in now.values()]
+            return np.concatenate([np.concatenate([(x.T @ h).ravel(), (h.T @ h).ravel()]) for x, h in fits])
+
+        sums, at, grown = sum(blocks.each(products)), 0, {}
+        for k, w in now.items():
+            cross, inner = sums[at : at + c * k].reshape(c, k), sums[at + c * k : at + c * k + k * k].reshape(k, k)
+            at += c * k + k * k
+            share = 100 * (1 - (squares - 2 * (w * cross).sum() + ((w.T @ w) * inner).sum()) / spread)
+            if share > best[k][1] + tolerance:
+                fitted = _descend(w, cross, inner, 20)
+                grown[k] = fitted / np.maximum(np.linalg.norm(fitted, axis=0), 1e-12)
+            if share > best[k][1]:
+                best[k] = w, float(share)
+        now = grown
+        if not now:
+            break
+    return best
+
+
+def synergy_activations(signals: DataFrame, synergies: DataFrame) -> DataFrame:
+    """Synergy, sample, value: the activations of a table (synergy, channel, weight), by the tasks that hold the samples."""
+    blocks = sample_blocks(signals)
+    rows = synergies.collect()  # channels times synergies
+    numbers = sorted({r["synergy"] for r in rows})
+    weights = np.zeros((len(blocks.names), len(numbers)))
+    for r in rows:
+        weights[blocks.names.index(r["channel"]), numbers.index(r["synergy"])] = r["weight"]
+
+    def run(frames):
+        for frame in frames:
+            for samples, values in zip(frame["samples"], frame["values"], strict=True):
+                h = activations_of(np.maximum(np.reshape(values, (-1, len(weights))), 0), weights)
+                yield pd.DataFrame({"synergy": np.tile(numbers, len(h)), "sample": np.repeat(samples, len(numbers)), "value": h.ravel()})
+
+    return blocks.table.mapInPandas(run, "synergy int, sample long, value double")
+
+
+def correlations(blocks: SampleBlocks) -> np.ndarray:
+    """Correlations of all channels over the samples that all have; moments are taken about the means."""
+    c = len(blocks.names)
+
+    def moments(x: np.ndarray) -> np.ndarray:
+        z = x - level
+        return np.concatenate([[len(z)], z.sum(axis=0), (z.T @ z).ravel()])
+
+    n, sums = 0.0, np.zeros(c)
+    for part in blocks.each(lambda x: np.append(x.sum(axis=0), len(x))):
+        n, sums = n + part[-1], sums + part[:-1]
+    level = sums / max(n, 1.0)
+    total = sum(blocks.each(moments), np.zeros(1 + c + c * c))
+    cov = total[1 + c :].reshape(c, c) - np.outer(total[1 : 1 + c], total[1 : 1 + c]) / max(n, 1.0)
+    with np.errstate(all="ignore"):
+        size = np.sqrt(np.diag(cov))
+        return cov / np.outer(size, size)
 
 
 def synergy_table(signals: DataFrame, k: int, method: str = "nmf", seed: int = 1) -> DataFrame:
     """Synergy, channel, weight by nmf, pca or factor analysis (varimax)."""
-    names, data = matrix_of(signals)
-    weights = {"nmf": lambda: nmf(data, k, seed=seed)[0], "pca": lambda: pca(signals, k)[2], "factor": lambda: factor_analysis(data, k)}[method]()
+    if method == "pca":
+        names, _, weights = pca(signals, k)
+    elif method in ("nmf", "factor"):
+        blocks = sample_blocks(signals)
+        names, weights = blocks.names, factorize(blocks, [k], seed=seed)[k][0] if method == "nmf" else factor_analysis(correlations(blocks), k)
+    else:
+        raise ValueError("method must be nmf, pca or factor")
     rows = [(j + 1, c, float(weights[i, j])) for j in range(k) for i, c in enumerate(names)]
     return signals.sparkSession.createDataFrame(rows, f"synergy int, channel {signals.schema['channel'].dataType.simpleString()}, weight double")
 
 
-def factor_analysis(data: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
-    """Principal-axis factors of the correlation matrix, rotated by varimax."""
-    corr = np.corrcoef(data)
+def factor_analysis(corr: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
+    """Principal-axis factors of a correlation matrix, rotated by varimax."""
     shared = 1 - 1 / np.maximum(np.diag(np.linalg.pinv(corr)), 1.0)
     for _ in range(rounds):
         reduced = corr.copy()
@@ -201,16 +338,11 @@ def varimax(load: np.ndarray, rounds: int = 100) -> np.ndarray:
 
 
 def optimal_synergies(signals: DataFrame, largest: int, threshold: float = 90.0, seed: int = 1) -> DataFrame:
-    """N, explained (in %), chosen: the smallest n that explains ``threshold``; the fits are spread over tasks."""
-    _, data = matrix_of(signals)
-
-    def run(batches):
-        for batch in batches:
-            yield pd.DataFrame({"n": batch["id"], "explained": [nmf(data, int(n), seed=seed)[2] for n in batch["id"]]})
-
-    found = signals.sparkSession.range(1, largest + 1).mapInPandas(run, "n long, explained double")
-    least = F.min(F.when(F.col("explained") >= threshold, F.col("n"))).over(Window.partitionBy())
-    return found.withColumn("chosen", F.coalesce(F.col("n") == least, F.lit(False)))
+    """N, explained (in %), chosen: the smallest n that explains ``threshold``; all n are fitted in the same passes."""
+    fitted = factorize(sample_blocks(signals), list(range(1, largest + 1)), seed=seed)
+    least = min((n for n, (_, share) in fitted.items() if share >= threshold), default=None)
+    rows = [(n, share, n == least) for n, (_, share) in fitted.items()]
+    return signals.sparkSession.createDataFrame(rows, "n long, explained double, chosen boolean")
 
 
 def synergy_similarity(left: DataFrame, right: DataFrame, metric: str = "cosine") -> DataFrame:

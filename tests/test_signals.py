@@ -439,3 +439,31 @@ def test_mixed_rates_and_annotations_in_edf(spark, tmp_path):
     values = {r["sample"]: r["value"] for r in back.signals.filter("channel = 's'").collect()}
     assert len(values) == 40 and values[1] == 0 and values[11] == 10 and np.isclose(values[6], 5)
     assert isinstance(back, Recording) and [r["value"] for r in back.signals.filter("channel = 'f'").orderBy("sample").collect()] == fast.tolist()
+
+
+def test_synergies_by_blocks_of_samples(spark, monkeypatch):
+    """Sums over blocks explain what the factorisation of the whole matrix does; missing samples are left out; no block is special."""
+    rng = np.random.default_rng(7)
+    x = np.abs(rng.random((5, 2))) @ np.abs(rng.normal(size=(2, 900))) + 0.05 * rng.random((5, 900))
+    names = ["p", "q", "r", "s", "t"]
+    rows = [(c, j + 1, None if (i, j) == (2, 400) else float(x[i, j])) for i, c in enumerate(names) for j in range(900)]
+    signals = spark.createDataFrame(rows, "channel string, sample long, value double").repartition(6)
+    full = np.delete(x, 400, axis=1)
+    monkeypatch.setattr(decomposition, "BLOCK", 100)
+    blocks = decomposition.sample_blocks(signals)
+    assert blocks.names == names and blocks.table.count() == 9
+    assert np.allclose(decomposition.correlations(blocks), np.corrcoef(full), atol=1e-12)
+    fitted = decomposition.factorize(blocks, [1, 2, 3])
+    for k in (1, 2, 3):
+        dense = decomposition.nmf(full, k)[2]
+        w, share = fitted[k]
+        assert share > dense - 0.05 and np.allclose(np.linalg.norm(w, axis=0), 1) and (w >= 0).all()
+        assert np.isclose(share, decomposition.explained(full, w @ decomposition.activations_of(full.T, w).T), atol=1e-6)
+    chosen = [r["n"] for r in decomposition.optimal_synergies(signals, 3).collect() if r["chosen"]]
+    assert chosen == [min(k for k in fitted if fitted[k][1] >= 90)]
+    table = decomposition.synergy_table(signals, 2)
+    h = decomposition.synergy_activations(signals, table).toPandas().pivot(index="synergy", columns="sample", values="value").to_numpy()
+    w = table.toPandas().pivot(index="channel", columns="synergy", values="weight").to_numpy()
+    assert h.shape == (2, 899) and np.isclose(decomposition.explained(full, w @ h), fitted[2][1], atol=1e-3)
+    nothing = decomposition.optimal_synergies(signals.filter("channel = 'r' AND sample = 401"), 2).collect()
+    assert [(r["n"], r["explained"], r["chosen"]) for r in nothing] == [(1, 0.0, False), (2, 0.0, False)]

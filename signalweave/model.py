@@ -48,6 +48,13 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def corr(x: str, y: str) -> Column:
+    """Correlation over the rows that have both, NULL where one of them is constant (Spark's own raises an error there)."""
+    known = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(known, F.col(x)), F.when(known, F.col(y))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def rint(value: Column) -> Column:
     """Nearest integer, halves to even."""
     return F.bround(value.cast("double")).cast("long")

@@ -2,11 +2,12 @@
 
 Sums over samples of products of two channels are products of matrices of a block of samples (:func:`block_sums`), so
 rows do not multiply by the number of pairs. Rank correlations and cross spectra pair channels by an equi-join
-on sample, or on segment and frequency. Only pairs a < b are computed.
+on sample, or on segment and frequency; ranks of long pairs are positions in a global order, and discordant samples are counted in strips of it. Only pairs a < b are computed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -14,23 +15,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import stored
-from ..model import keys_of, per_series
-from .blocks import in_one_block, lengths
+from ..functions.ranks import placed, stored
+from ..model import corr, keys_of, per_series
+from .blocks import in_one_block, kinds_of, lengths, meet
 from .filters import apply_sections, band_limits, both_ways, butterworth
 from .fourier import analytic_signal
 from .spectral import analytic, segment_spectra
 
 
 def pairs(signals: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
-    """Rows of channels a < b that agree on the columns ``on``: a, b, then each column twice (x_..., y_...)."""
+    """Rows of channels a < b that agree on the columns ``on`` (nulls are equal): a, b, then each column twice (x_..., y_...)."""
     left = signals.select(*on, F.col("channel").alias("a"), *[F.col(c).alias(f"x_{c}") for c in columns])
     right = signals.select(*on, F.col("channel").alias("b"), *[F.col(c).alias(f"y_{c}") for c in columns])
-    return left.join(right, on).filter("a < b")
+    return meet(left, right, on).filter("a < b")
 
 
 #: Samples of a block whose channels meet in one matrix.
 BLOCK = 4096
+#: Places of a strip of a permutation, at least; longer pairs have longer strips, so that the cells of all strips are no more than the samples.
+SAMPLES = 1 << 14
 
 
 def block_sums(signals: DataFrame, columns: list[str], measure: Callable[..., dict[str, np.ndarray]], names: list[str]) -> DataFrame:
@@ -98,22 +101,102 @@ def correlation(signals: DataFrame, method: str = "pearson") -> DataFrame:
     if method == "pearson":
         value = F.try_divide(F.col("cxy"), F.sqrt(F.greatest(F.col("cxx"), F.lit(0.0))) * F.sqrt(F.greatest(F.col("cyy"), F.lit(0.0))))
         return moments(signals).select(*keys, "a", "b", value.alias("value"))
+    if method not in ("spearman", "kendall"):
+        raise ValueError("method must be pearson, spearman or kendall")
     both = pairs(signals, [*keys, "sample"], ["value"]).filter("x_value IS NOT NULL AND y_value IS NOT NULL")
+    on = [*keys, "a", "b"]
+    found = lengths(signals)
+    if not in_one_block(found):
+        both = both.select(*on, F.col("x_value").alias("x"), F.col("y_value").alias("y"))
+        return _spearman(both, on) if method == "spearman" else _kendall(both, on, found[1])
     if method == "spearman":
-        group = Window.partitionBy(*keys, "a", "b")
+        group = Window.partitionBy(*on)
         for c in ("x_value", "y_value"):
-            tie = Window.partitionBy(*keys, "a", "b", c)
+            tie = Window.partitionBy(*on, c)
             both = both.withColumn(f"r_{c}", F.rank().over(group.orderBy(c)) + (F.count("*").over(tie) - 1) / 2.0)
-        return both.groupBy(*keys, "a", "b").agg(F.corr("r_x_value", "r_y_value").alias("value"))
-    if method != "kendall":
-        raise ValueError("method must be pearson, spearman or kendall")
-    kinds = ", ".join(f"`{k}` {both.schema[k].dataType.simpleString()}" for k in [*keys, "a", "b"])
+        return both.groupBy(*on).agg(corr("r_x_value", "r_y_value").alias("value"))
+    kinds = kinds_of(both, on)
 
     def tau(frame: pd.DataFrame) -> pd.DataFrame:
         found = kendall(frame["x_value"].to_numpy(float), frame["y_value"].to_numpy(float))
-        return pd.DataFrame({k: [frame[k].iloc[0]] for k in [*keys, "a", "b"]} | {"value": [found]})
+        return pd.DataFrame({k: [frame[k].iloc[0]] for k in on} | {"value": [found]})
+
+    return both.groupBy(*on).applyInPandas(tau, f"{kinds}, value double")
+
 
-    return both.groupBy(*keys, "a", "b").applyInPandas(tau, f"{kinds}, value double")
+def _spearman(both: DataFrame, on: list[str]) -> DataFrame:
+    """Correlation of mean ranks. Positions come from ranges of the order; the rows of a tie, which may fill many ranges, share the mean of theirs by one count for each value."""
+    for c in ("x", "y"):
+        rows = placed(both, [F.col(c)], on, "_place")
+        # positions of a tie are consecutive, so their mean is that of the first and the last
+        ties = rows.groupBy(*on, c).agg(((F.min("_place") + F.max("_place")) / 2.0).alias(f"r{c}"))
+        both = meet(rows.drop("_place"), ties, [*on, c])
+    return both.groupBy(*on).agg(corr("rx", "ry").alias("value"))
+
+
+def _kendall(both: DataFrame, on: list[str], longest: int) -> DataFrame:
+    """tau-b of pairs of any length.
+
+    Places by (x, y) and by (y, place by x) make two samples discordant exactly where the orders differ, ties or not, so they are the inversions of a permutation.
+    It is cut into strips of ``side`` places both ways. Two samples in one strip are counted where it is sorted, by x and by y, those of one cell only once; two that
+    share no strip are counted from the numbers in the cells. A strip holds ``side`` rows whatever the ties, and there are at most as many cells as samples.
+    """
+    side = max(SAMPLES, math.isqrt(longest) + 1)
+    rows = placed(both, [F.col("x"), F.col("y")], on, "px")
+    rows = placed(rows, [F.col("y"), F.col("px")], on, "py")
+    strip = lambda c: F.floor(F.col(c) / F.lit(side)).cast("long")
+    rows = rows.select(*on, "px", "py", strip("px").alias("i"), strip("py").alias("j"))
+    kinds = kinds_of(both, on)
+
+    def upright(frame: pd.DataFrame) -> pd.DataFrame:
+        """Cells of a strip of x, with all inversions of the strip in the first, less those inside cells."""
+        frame = frame.sort_values("px")
+        cells = [(j, len(c), inversions(c["py"].to_numpy())) for j, c in frame.groupby("j")]
+        own = inversions(frame["py"].to_numpy()) - sum(c[2] for c in cells)
+        head = {k: [frame[k].iloc[0]] * len(cells) for k in on}
+        return pd.DataFrame(head | {"i": frame["i"].iloc[0], "j": [c[0] for c in cells], "n": [c[1] for c in cells], "turned": [own] + [0] * (len(cells) - 1)})
+
+    def level(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({k: [frame[k].iloc[0]] for k in on} | {"turned": [inversions(frame.sort_values("px")["py"].to_numpy())]})
+
+    cells = stored(rows.groupBy(*on, "i").applyInPandas(upright, f"{kinds}, i long, j long, n long, turned long"), "cells")
+    levels = rows.groupBy(*on, "j").applyInPandas(level, f"{kinds}, turned long").groupBy(*on).agg(F.sum("turned").alias("along_y"))
+    # Samples in strips of x before and in strips of y beyond, for each cell of the grid.
+    most = cells.groupBy(*on).agg(F.max("i").alias("i"), F.max("j").alias("j"))
+    grid = most.select(*on, F.explode(F.sequence(F.lit(0).cast("long"), "i")).alias("i"), "j").select(*on, "i", F.explode(F.sequence(F.lit(0).cast("long"), "j")).alias("j"))
+    full = meet(grid, cells.select(*on, "i", "j", "n"), [*on, "i", "j"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*on, "j").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    beyond = F.coalesce(F.sum("before").over(Window.partitionBy(*on, "i").orderBy(F.desc("j")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    apart = full.withColumn("before", before).withColumn("beyond", beyond).groupBy(*on).agg(F.sum(F.col("n") * F.col("beyond")).alias("apart"))
+    upright_sums = cells.groupBy(*on).agg(F.sum("turned").alias("along_x"), F.sum("n").alias("n"))
+
+    def tied(*columns: str) -> DataFrame:
+        counts = both.groupBy(*on, *columns).agg(F.count("*").alias("c"))
+        return counts.groupBy(*on).agg(F.sum(F.expr("c * (c - 1) div 2")).alias("tied_" + "".join(columns)))
+
+    out = upright_sums
+    for table in (levels, apart, tied("x"), tied("y"), tied("x", "y")):
+        out = meet(out, table, on)
+    every = F.expr("n * (n - 1) div 2")
+    discordant = F.col("along_x") + F.col("along_y") + F.col("apart")
+    difference = every - F.col("tied_x") - F.col("tied_y") + F.col("tied_xy") - 2 * discordant
+    under = F.sqrt((every - F.col("tied_x")).cast("double") * (every - F.col("tied_y")).cast("double"))
+    return out.select(*on, F.when(under > 0, difference / under).otherwise(F.lit(float("nan"))).alias("value"))
+
+
+def inversions(values: np.ndarray) -> int:
+    """Pairs of which the earlier is the larger one, by merging."""
+
+    def merged(part: np.ndarray) -> tuple[np.ndarray, int]:
+        if part.size < 2:
+            return part, 0
+        half = part.size // 2
+        left, a = merged(part[:half])
+        right, b = merged(part[half:])
+        swaps = int((left.size - np.searchsorted(left, right, side="right")).sum())
+        return np.sort(part, kind="stable"), a + b + swaps
+
+    return merged(values)[1]
 
 
 def kendall(x: np.ndarray, y: np.ndarray) -> float:
@@ -121,21 +204,11 @@ def kendall(x: np.ndarray, y: np.ndarray) -> float:
     n = x.size
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
-
-    def inversions(values: np.ndarray) -> tuple[np.ndarray, int]:
-        if values.size < 2:
-            return values, 0
-        half = values.size // 2
-        left, a = inversions(values[:half])
-        right, b = inversions(values[half:])
-        swaps = int((left.size - np.searchsorted(left, right, side="right")).sum())
-        return np.sort(values, kind="stable"), a + b + swaps
-
     ties = lambda v: int(sum(c * (c - 1) // 2 for c in np.unique(v, return_counts=True)[1].tolist()))
     all_pairs = n * (n - 1) // 2
     tied_x, tied_y = ties(x), ties(y)
     tied_both = int(sum(c * (c - 1) // 2 for c in np.unique(np.stack([x, y]), axis=1, return_counts=True)[1].tolist())) if n else 0
-    discordant = inversions(y)[1]
+    discordant = inversions(y)
     concordant = all_pairs - tied_x - tied_y + tied_both - discordant
     under = np.sqrt(float(all_pairs - tied_x) * float(all_pairs - tied_y))
     return (concordant - discordant) / under if under else float("nan")
@@ -256,7 +329,7 @@ def temporal_stability(dynamic: DataFrame, metric: str = "correlation") -> DataF
     following = dynamic.select((F.col("window") - 1).alias("window"), "a", "b", F.col("value").alias("next_value"))
     both = dynamic.join(following, ["window", "a", "b"])
     if metric == "correlation":
-        value = F.corr("value", "next_value")
+        value = corr("value", "next_value")
     elif metric == "distance":
         value = 1 - F.sqrt(F.sum((F.col("value") - F.col("next_value")) ** 2)) / F.count("*")
     else:

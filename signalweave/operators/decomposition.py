@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import stored
-from ..model import per_series
+from ..model import corr, per_series
 from .connectivity import mirror, moments
 
 
@@ -128,7 +128,7 @@ def classify_components(sources: DataFrame, rate: float, kurtosis: float = 3.0,
     order = Window.partitionBy("channel").orderBy("sample")
     rows = sources.withColumn("before", F.lag("value").over(order))
     n = F.count("value")
-    moments = rows.groupBy("channel").agg(((F.kurtosis("value") + 3) * F.pow((n - 1) / n, F.lit(2.0)) - 3).alias("kurtosis"), F.abs(F.corr("value", "before")).alias("autocorrelation"))
+    moments = rows.groupBy("channel").agg(((F.kurtosis("value") + 3) * F.pow((n - 1) / n, F.lit(2.0)) - 3).alias("kurtosis"), F.abs(corr("value", "before")).alias("autocorrelation"))
 
     def share(x: np.ndarray) -> np.ndarray:
         power = np.abs(np.fft.rfft(x - x.mean())) ** 2
@@ -221,22 +221,22 @@ def activations_of(x: np.ndarray, weights: np.ndarray, sweeps: int = 40) -> np.n
     return _descend(start, target, gram, sweeps)
 
 
-def factorize(blocks: SampleBlocks, ranks: list[int], rounds: int = 60, tolerance: float = 1e-6, seed: int = 1) -> dict[int, tuple[np.ndarray, float]]:
+def factorize(blocks: SampleBlocks, ranks: list[int], rounds: int = 60, tolerance: float = 1e-4, starts: int = 3, seed: int = 1) -> dict[int, tuple[np.ndarray, float]]:
     """For each number of synergies the weights (channels, k) with unit columns and the share of variance explained (in %).
 
     Alternating non-negative least squares. The weights are sent to the tasks, which fit the activations of their blocks and
-    return the products that the next weights need; all ranks share a pass. No activation is kept between passes, so
-    neither the driver nor a task holds more than a block. Negative values count as 0; ends when no share grows by ``tolerance``.
+    return the products that the next weights need; all ranks, and the ``starts`` of each, share a pass, and the best start of a rank stays. No activation is kept between passes, so
+    neither the driver nor a task holds more than a block. Negative values count as 0; a start ends when its share grows by less than ``tolerance``.
     """
     c = len(blocks.names)
     parts = blocks.each(lambda x: np.array([len(x), np.maximum(x, 0).sum(), (np.maximum(x, 0) ** 2).sum()]))
     n, level, squares = sum(parts, np.zeros(3))
     spread = squares - level**2 / (n * c) if n else 0.0
-    now = {k: np.random.default_rng([seed, k]).random((c, k)) + 0.1 for k in ranks}
+    now = {(k, i): np.random.default_rng([seed, k, i]).random((c, k)) + 0.1 for k in ranks for i in range(starts)}
     now = {k: w / np.linalg.norm(w, axis=0) for k, w in now.items()}
     if not spread > 0:
-        return {k: (w, 0.0) for k, w in now.items()}
-    best: dict[int, tuple[np.ndarray, float]] = {k: (w, -np.inf) for k, w in now.items()}
+        return {k: (now[k, 0], 0.0) for k in ranks}
+    best: dict[tuple[int, int], tuple[np.ndarray, float]] = {k: (w, -np.inf) for k, w in now.items()}
     for _ in range(rounds):
 
         def products(x: np.ndarray, now=now) -> np.ndarray:
@@ -245,19 +245,20 @@ def factorize(blocks: SampleBlocks, ranks: list[int], rounds: int = 60, toleranc
             return np.concatenate([np.concatenate([(x.T @ h).ravel(), (h.T @ h).ravel()]) for x, h in fits])
 
         sums, at, grown = sum(blocks.each(products)), 0, {}
-        for k, w in now.items():
+        for one, w in now.items():
+            k = one[0]
             cross, inner = sums[at : at + c * k].reshape(c, k), sums[at + c * k : at + c * k + k * k].reshape(k, k)
             at += c * k + k * k
             share = 100 * (1 - (squares - 2 * (w * cross).sum() + ((w.T @ w) * inner).sum()) / spread)
-            if share > best[k][1] + tolerance:
+            if share > best[one][1] + tolerance:
                 fitted = _descend(w, cross, inner, 20)
-                grown[k] = fitted / np.maximum(np.linalg.norm(fitted, axis=0), 1e-12)
-            if share > best[k][1]:
-                best[k] = w, float(share)
+                grown[one] = fitted / np.maximum(np.linalg.norm(fitted, axis=0), 1e-12)
+            if share > best[one][1]:
+                best[one] = w, float(share)
         now = grown
         if not now:
             break
-    return best
+    return {k: max((best[k, i] for i in range(starts)), key=lambda b: b[1]) for k in ranks}
 
 
 def synergy_activations(signals: DataFrame, synergies: DataFrame) -> DataFrame:
@@ -349,7 +350,7 @@ def synergy_similarity(left: DataFrame, right: DataFrame, metric: str = "cosine"
     """Left, right, similarity of all synergies of two tables (synergy, channel, weight)."""
     both = left.select(F.col("synergy").alias("left"), "channel", F.col("weight").alias("x")).join(right.select(F.col("synergy").alias("right"), "channel", F.col("weight").alias("y")), "channel")
     dot = F.sum(F.col("x") * F.col("y"))
-    table = {"cosine": F.try_divide(dot, F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))), "correlation": F.corr("x", "y"), "dot": dot}
+    table = {"cosine": F.try_divide(dot, F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))), "correlation": corr("x", "y"), "dot": dot}
     if metric not in table:
         raise ValueError(f"metric must be one of {sorted(table)}")
     return both.groupBy("left", "right").agg(table[metric].alias("similarity"))

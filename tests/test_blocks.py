@@ -149,3 +149,26 @@ def test_spaced_choice_depends_on_far_blocks(spark, monkeypatch):
             kept.append(i)
             last = i
     assert got == kept
+
+
+# ---------------------------------------------------------------- rank correlations
+@pytest.mark.parametrize("method", ["spearman", "kendall"])
+def test_rank_correlations_of_split_pairs(spark, monkeypatch, method):
+    """Ties that fill many strips, values that are all equal, missing values, a pair of one sample, two recordings (one without a name)."""
+    from signalweave.operators import connectivity
+
+    rng = np.random.default_rng(5)
+    base = np.cumsum(rng.normal(size=700))
+    made = {"a": base, "b": np.where(rng.random(700) < 0.6, 1.0, np.round(base)), "c": -base + rng.normal(size=700), "d": np.full(700, 2.0), "e": np.array([3.0])}
+    rows = [(r, c, i + 1, None if (c, i % 50) == ("c", 7) else float(v)) for r in ("x", None) for c, x in made.items() for i, v in enumerate(x if r else x[:90])]
+    signals = spark.createDataFrame(rows, "rec string, channel string, sample long, value double").repartition(5).cache()
+    monkeypatch.setattr(connectivity, "SAMPLES", 20)
+    whole = connectivity.correlation(signals.filter("rec IS NOT NULL").drop("rec"), method).toPandas()
+    small(monkeypatch, 64)
+    got = connectivity.correlation(signals.filter("rec IS NOT NULL").drop("rec"), method)
+    got = got.toPandas()
+    pd.testing.assert_frame_equal(*[t.sort_values(["a", "b"]).reset_index(drop=True) for t in (whole, got)], check_exact=False, atol=1e-12)
+    if method == "kendall":
+        both = connectivity.correlation(signals, method).toPandas()
+        one = both[both["rec"].isna() & (both["a"] == "a") & (both["b"] == "b")]["value"].item()
+        assert np.isclose(one, connectivity.kendall(made["a"][:90], made["b"][:90]), atol=1e-12)

@@ -2,8 +2,8 @@
 
 A network is a table of edges (src, dst, weight) with both directions and no loops. Degree,
 clustering, density thresholds, Laplacian and modularity are native. Measures over
-all paths run in numpy on the adjacency matrix of one network, whose nodes are the
-channels of a recording; networks of many recordings are spread by ``per_network``.
+all paths run in numpy on the adjacency matrix of a network with few nodes (spread by ``per_network``), and as
+joins over edges, level by level, beyond (:mod:`.paths`).
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import paths
+
 
 def adjacency(edges: DataFrame, threshold: float = 0.0, absolute: bool = True, undirected: bool = True) -> DataFrame:
     """G1: src, dst, weight from rows (a, b, value): both directions, no loops, weights below ``threshold`` and zeros dropped."""
@@ -246,6 +248,8 @@ def node_kind(network: DataFrame) -> str:
 
 def path_lengths(network: DataFrame, weighted: bool = False, by: list[str] | None = None) -> DataFrame:
     """Src, dst, distance of all pairs; infinity where there is no path."""
+    if paths.is_large(network, by):
+        return paths.path_lengths(network, weighted, by)
     kind = node_kind(network)
 
     def run(nodes: list, m: np.ndarray) -> dict:
@@ -257,11 +261,15 @@ def path_lengths(network: DataFrame, weighted: bool = False, by: list[str] | Non
 
 def node_metrics(network: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Node, betweenness, eigenvector, local_efficiency."""
+    if paths.is_large(network, by):
+        return paths.node_metrics(network, by)
     return per_network(network, lambda nodes, m: {"node": nodes, "betweenness": betweenness(m), "eigenvector": eigenvector(m), "local_efficiency": local_efficiency(m)}, f"node {node_kind(network)}, betweenness double, eigenvector double, local_efficiency double", by)
 
 
 def efficiency(network: DataFrame, weighted: bool = False, by: list[str] | None = None) -> DataFrame:
     """G12."""
+    if paths.is_large(network, by):
+        return paths.efficiency(network, weighted, by)
     return per_network(network, lambda nodes, m: {"global_efficiency": [global_efficiency(m, weighted)]}, "global_efficiency double", by)
 
 

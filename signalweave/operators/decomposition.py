@@ -208,9 +208,12 @@ def _descend(fitted: np.ndarray, target: np.ndarray, gram: np.ndarray, sweeps: i
     """Least squares under non-negativity, one column at a time: ``fitted @ gram`` comes near ``target``. Columns that nothing depends on stay."""
     fitted = fitted.copy()
     for _ in range(sweeps):
+        before = fitted.copy()
         for j in range(len(gram)):
             if gram[j, j] > 1e-12:
                 fitted[:, j] = np.maximum(fitted[:, j] + (target[:, j] - fitted @ gram[:, j]) / gram[j, j], 0.0)
+        if np.abs(fitted - before).max(initial=0.0) <= 1e-7 * np.abs(fitted).max(initial=0.0):
+            break
     return fitted
 
 

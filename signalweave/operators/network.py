@@ -2,8 +2,8 @@
 
 A network is a table of edges (src, dst, weight) with both directions and no loops. Degree,
 clustering, density thresholds, Laplacian and modularity are native. Measures over
-all paths run in numpy on the adjacency matrix of a network with few nodes (spread by ``per_network``), and as
-joins over edges, level by level, beyond (:mod:`.paths`).
+all paths and spectra run in numpy on the adjacency matrix of a network with few nodes (spread by ``per_network``), and as
+joins over edges beyond (:mod:`.paths`, :mod:`.eigen`).
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import paths
+from ..functions.ranks import stored
+from . import eigen, paths
+from .blocks import meet
 
 
 def adjacency(edges: DataFrame, threshold: float = 0.0, absolute: bool = True, undirected: bool = True) -> DataFrame:
@@ -273,19 +275,42 @@ def efficiency(network: DataFrame, weighted: bool = False, by: list[str] | None
     return per_network(network, lambda nodes, m: {"global_efficiency": [global_efficiency(m, weighted)]}, "global_efficiency double", by)
 
 
+def _by_size(network: DataFrame, by: list[str] | None, in_matrix: Callable, in_edges: Callable) -> DataFrame:
+    """Networks of up to ``paths.NODES`` nodes by their matrices, larger ones by joins over edges."""
+    keys = by or []
+    if not paths.is_large(network, keys):
+        return in_matrix(network)
+    if not keys:
+        return in_edges(network, None)
+    large = stored(eigen.large_networks(network, keys, paths.NODES), "large")
+    return in_edges(network, large).unionByName(in_matrix(meet(network, large, keys, "left_anti")))
+
+
 def clusters(network: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """Node, cluster."""
-    return per_network(network, lambda nodes, m: {"node": nodes, "cluster": spectral_clusters(m, k)}, f"node {node_kind(network)}, cluster int", by)
 
+    def in_matrix(small: DataFrame) -> DataFrame:
+        return per_network(small, lambda nodes, m: {"node": nodes, "cluster": spectral_clusters(m, k)}, f"node {node_kind(network)}, cluster int", by)
 
-def eigenvalues(network: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Place, eigenvalue of the normalised Laplacian."""
+    return _by_size(network, by, in_matrix, lambda net, large: eigen.clusters(net, k, large, by or []))
 
-    def run(nodes: list, m: np.ndarray) -> dict:
-        values, _ = spectral_basis(m)
-        return {"place": np.arange(1, values.size + 1), "eigenvalue": values}
 
-    return per_network(network, run, "place int, eigenvalue double", by)
+def eigenvalues(network: DataFrame, by: list[str] | None = None, k: int | None = None, normalized: bool = True) -> DataFrame:
+    """Place, eigenvalue of the Laplacian: all, or the k lowest.
+
+    All eigenvalues need the matrix of a network in one task; give ``k`` for large ones.
+    """
+
+    def in_matrix(small: DataFrame) -> DataFrame:
+        def run(nodes: list, m: np.ndarray) -> dict:
+            values, _ = spectral_basis(m, k, normalized)
+            return {"place": np.arange(1, values.size + 1), "eigenvalue": values}
+
+        return per_network(small, run, "place int, eigenvalue double", by)
+
+    if k is None:
+        return in_matrix(network)
+    return _by_size(network, by, in_matrix, lambda net, large: eigen.eigenvalues(net, k, large, by or [], normalized))
 
 
 def small_world(network: DataFrame, n_random: int = 100, seed: int = 1) -> DataFrame:

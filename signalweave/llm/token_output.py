@@ -358,10 +358,26 @@ def document_index(written: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def segments_at(written: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """first (position of the segment's first id), data: the segments that hold one of the sorted positions ``wanted``.
+
+    A first pass reads the segments' numbers and sizes alone. The few segments it finds are named in the filter of the
+    second one, so the files and row groups without any of them are not read.
+    """
+    spark = written.sparkSession
+    first = F.col("base") + F.col("first_id")
+    places = _with_base(written.select("shard", "segment", "first_id", "n_ids"), written).select("shard", "segment", first.alias("first"), (first + F.col("n_ids")).alias("behind"))
+    hit = places.filter(F.exists(F.lit(wanted.tolist()), lambda p: (p >= F.col("first")) & (p < F.col("behind")))) if wanted.size else places.limit(0)
+    hits = [tuple(r) for r in hit.select("shard", "segment", "first").collect()]  # at most one for each position
+    named = F.col("shard").isin(sorted({h[0] for h in hits})) & F.col("segment").isin(sorted({h[1] for h in hits}))
+    few = spark.createDataFrame(hits, "shard int, segment int, first long")
+    return written.filter(named).join(F.broadcast(few), ["shard", "segment"]).select("first", "data")
+
+
 def tokens_at(written: DataFrame, positions: Iterable[int]) -> dict[int, int]:
     """The ids at some positions of the corpus, by rank and without decoding what lies between.
 
-    Only the segments that hold one of the positions are read; the positions are sent to them, so they should be few.
+    Only the segments that hold one of the positions are read (:func:`segments_at`); the positions are sent to them, so they should be few.
     """
     wanted = np.unique(np.fromiter(positions, np.int64))
 
@@ -372,10 +388,7 @@ def tokens_at(written: DataFrame, positions: Iterable[int]) -> dict[int, int]:
                 mine = wanted[np.searchsorted(wanted, first) : np.searchsorted(wanted, first + len(segment))]
                 yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array([segment[int(p) - first] for p in mine], pa.int64())], names=["position", "id"])
 
-    first = F.col("base") + F.col("first_id")
-    places = _with_base(written.select("shard", "segment", "first_id", "n_ids"), written).select("shard", "segment", first.alias("first"), (first + F.col("n_ids")).alias("behind"))
-    hit = places.filter(F.exists(F.lit(wanted.tolist()), lambda p: (p >= F.col("first")) & (p < F.col("behind")))) if wanted.size else places.limit(0)
-    rows = written.join(hit.drop("behind"), ["shard", "segment"]).select("first", "data").mapInArrow(run, "position long, id long").collect()
+    rows = segments_at(written, wanted).mapInArrow(run, "position long, id long").collect()
     found = {r["position"]: r["id"] for r in rows}
     if len(found) < wanted.size:
         raise IndexError("a position is outside the corpus")

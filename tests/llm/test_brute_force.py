@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalweave.llm import decontam, language_id, simhash, token_output, toxicity
+from signalweave.llm.common import materialize
 from signalweave.llm.queries import tokenizer_file
 
 EN = "the quick brown fox jumps over the lazy dog and then it runs away from the old house near the river while the people are watching it"
@@ -213,6 +214,25 @@ def test_token_ids_equal_the_plain_library(spark):
         token_output.tokens_at(written, [len(stream)])
 
 
+def test_lookups_read_the_named_segments_alone(spark, capsys):
+    """The scan is filtered by the numbers of the segments that hold the positions; others aren't decoded."""
+    docs = spark.createDataFrame([(i, f"{EN} number {i}") for i in range(60)], "doc_id long, text string").repartition(4)
+    written = materialize(token_output.segments(docs, tokenizer_file(), segment_ids=100), "dac", compression="none")
+    places = token_output._with_base(written.drop("data"), written).orderBy("base", "first_id").collect()
+    assert len(places) > 10
+    position = places[7]["base"] + places[7]["first_id"] + 1
+    found = token_output.segments_at(written, np.array([position]))
+    assert [r["first"] for r in found.collect()] == [position - 1]
+    found.explain("formatted")
+    pushed = [line for line in capsys.readouterr().out.splitlines() if "PushedFilters" in line and "segment" in line]
+    assert any(f"EqualTo(shard,{places[7]['shard']})" in line and f"EqualTo(segment,{places[7]['segment']})" in line for line in pushed), pushed
+    index = token_output.document_index(written).orderBy("start").collect()
+    encode = token_output.PieceEncoder(tokenizer_file())
+    ids = [i for r in index for i in [*np.frombuffer(encode(f"{EN} number {r['doc_id']}"), "<u4").tolist(), 0]]
+    assert token_output.tokens_at(written, [0, position, len(ids) - 1]) == {p: ids[p] for p in (0, position, len(ids) - 1)}
+    assert token_output.tokens_at(written, []) == {}
+
+
 # ---------------------------------------------------------------- SimHash links
 def test_simhash_components_with_a_giant_and_a_hot_posting(spark):
     """2000 fingerprints: a long chain, a crowd under one posting, and noise, against all pairs."""

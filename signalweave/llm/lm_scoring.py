@@ -45,6 +45,8 @@ HELD = 500_000
 SLICE, CHUNK = 1 << 20, 1 << 23
 #: Bytes at the end of a context that choose its shard.
 SHARD = 3
+#: Shards, or as many as shuffle partitions where these are more. A task has the n-grams of one of its shards in memory at a time.
+SHARDS = 128
 #: The end of a text; UTF-8 has no such byte.
 END = 255
 #: Keys: one leading 1 bit, then 8 bits for each symbol, the latest lowest.
@@ -283,7 +285,7 @@ def _count_rows(docs: DataFrame, train_on: Column, shards: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train_on.alias("train")).mapInArrow(run, "kind int, chunk long, shard int, n long, data binary")
 
 
-def _shard_values(rows: DataFrame, shards: int, low: object, least: float) -> DataFrame:
+def _shard_values(rows: DataFrame, parts: int, low: object, least: float) -> DataFrame:
     """chunk, shard, n, data: log10 probabilities of a chunk's n-grams in a shard, NaN where no context of ``SHARD`` symbols is retained.
 
     The row without a chunk has the suffixes, shorter by one, of the retained contexts of ``SHARD`` symbols.
@@ -304,7 +306,7 @@ def _shard_values(rows: DataFrame, shards: int, low: object, least: float) -> Da
                 row = (chunk, shard, size, _pack(logs[np.searchsorted(keys, k)]))
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
 
-    dealt = rows.filter(F.col("kind") == GRAMS).select("chunk", "shard", "n", "data").repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = rows.filter(F.col("kind") == GRAMS).select("chunk", "shard", "n", "data").repartition(parts, "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, "chunk long, shard int, n long, data binary")
 
 
@@ -358,7 +360,8 @@ def scores(docs: DataFrame, train_on: Column, gain: float = GAIN) -> DataFrame:
     the tree's log10 probability of the text. Without training rows all bytes are
     equally likely. Repeated rows are repeated in the result.
     """
-    spark, shards = docs.sparkSession, partitions(docs)
+    spark, parts = docs.sparkSession, partitions(docs)
+    shards = max(SHARDS, parts)
     rows = materialize(_count_rows(docs, train_on, shards), "lm-counts", by="kind")
     vocabulary = materialize(rows.filter(F.col("kind") == WORD).groupBy(F.col("data").alias("word")).agg(F.sum("n").alias("c")), "lm-words")
     release(rows, f"kind={WORD}")
@@ -368,7 +371,7 @@ def scores(docs: DataFrame, train_on: Column, gain: float = GAIN) -> DataFrame:
     low, n_low = merge([(short["key"].to_numpy(np.int64).view(np.uint64), short["n"].to_numpy(np.int64))])
     least, ones = max(LEAST_NATS, gain * float(n_low.sum())), np.ones(low.size)
     full = smooth(low, n_low, ones / 256, ones, 0, SHARD - 1, every=True)
-    values = materialize(_shard_values(rows, shards, spark.sparkContext.broadcast((low, full["value"], full["share"])), least), "lm-values")
+    values = materialize(_shard_values(rows, parts, spark.sparkContext.broadcast((low, full["value"], full["share"])), least), "lm-values")
     release(rows, f"kind={GRAMS}")
     roots = [_unpack(bytes(r["data"]), r["n"], np.uint64)[0] for r in values.filter(F.col("chunk").isNull()).select("n", "data").collect() if r["n"]]
     forced = np.unique(np.concatenate(roots)) if roots else np.zeros(0, np.uint64)
@@ -403,7 +406,7 @@ def scores(docs: DataFrame, train_on: Column, gain: float = GAIN) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*plain, pa.array(logs[begin : begin + 10_000]), rare], names=names)
 
     texts = rows.filter(F.col("kind") == TEXT).select("chunk", "shard", "n", "data").union(values.filter(F.col("chunk").isNotNull()))
-    gathered = texts.repartition(shards, "chunk").sortWithinPartitions("chunk", "shard")
+    gathered = texts.repartition(parts, "chunk").sortWithinPartitions("chunk", "shard")
     found = gathered.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, n: int>>")
     found = materialize(found, "lm-scored")
     release(rows)

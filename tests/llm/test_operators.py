@@ -388,8 +388,10 @@ def test_suffix_tree_equals_brute_force(spark):
     assert all(np.isclose(sum(prob(ctx, x) for x in range(256)), 1) for ctx in list(kept)[:20])
 
 
-def test_lm_shards_equal_one_tree(spark, monkeypatch):
-    """Chunks and shards give the scores of a single tree; a byte's evidence does not count for less in a larger corpus."""
+@pytest.mark.parametrize("shards", [1, 128])
+def test_lm_shards_equal_one_tree(spark, monkeypatch, shards):
+    """Chunks and any number of shards give the scores of a single tree; a byte's evidence does not count for less in a larger corpus."""
+    monkeypatch.setattr(lm_scoring, "SHARDS", shards)
     monkeypatch.setattr(lm_scoring, "CHUNK", 600)
     monkeypatch.setattr(lm_scoring, "SLICE", 200)
     rng = np.random.default_rng(8)

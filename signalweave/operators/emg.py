@@ -188,15 +188,40 @@ def warp(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
     return float(cost[n, m]), path[::-1]
 
 
+def warp_costs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The distances of :func:`warp` between each row of ``x`` and y; the rows share the walk over diagonals, of which three are kept."""
+    n, m = x.shape[1], y.size
+    x, y = np.ascontiguousarray(x.T), y[::-1, None]
+    before, last = np.full((2, n + 1, x.shape[1]), np.inf)  # by i; the diagonals d - 2 and d - 1
+    before[0] = 0
+    for d in range(2, n + m + 1):
+        low, high = max(1, d - m), min(n, d - 1)
+        now = np.full(before.shape, np.inf)
+        least = np.minimum(np.minimum(last[low - 1 : high], last[low : high + 1]), before[low - 1 : high])
+        now[low : high + 1] = np.abs(x[low - 1 : high] - y[m - d + low : m - d + high + 1]) + least
+        before, last = last, now
+    return last[n] if n + m > 1 else np.full(x.shape[1], 0.0 if n + m == 0 else np.inf)
+
+
+#: Vectors that share a walk.
+TOGETHER = 512
+
+
 def warp_distances(vectors: DataFrame, references: DataFrame) -> DataFrame:
-    """Id, reference, distance of each vector (id, values) to each of a few references."""
+    """Id, reference, distance of each vector (id, values) to each of a few references; vectors of equal length are warped together."""
     table = [(r[0], np.asarray(r[1], float)) for r in references.select("id", "values").collect()]
     kind, other = (t.schema["id"].dataType.simpleString() for t in (vectors, references))
 
     def run(batches):
         for batch in batches:
-            rows = [(i, k, warp(np.asarray(v, float), ref)[0]) for i, v in zip(batch["id"], batch["values"], strict=True) for k, ref in table]
-            yield pd.DataFrame(rows, columns=["id", "reference", "distance"])
+            sizes = batch["values"].map(len).to_numpy()
+            for size in np.unique(sizes):
+                alike = batch[sizes == size]
+                for at in range(0, len(alike), TOGETHER):
+                    some = alike.iloc[at : at + TOGETHER]
+                    x = np.stack([np.asarray(v, float) for v in some["values"]])
+                    for k, ref in table:
+                        yield pd.DataFrame({"id": some["id"].to_numpy(), "reference": [k] * len(x), "distance": warp_costs(x, ref)})
 
     return vectors.select("id", "values").mapInPandas(run, f"id {kind}, reference {other}, distance double")
 

@@ -1,6 +1,8 @@
 """Operators on signals against closed forms and numpy."""
 
 import numpy as np
+import time
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -338,6 +340,23 @@ def test_muscle(spark):
     assert emg.firing(s, RATE).count() == 2
 
 
+def test_warping_together(spark):
+    """Vectors that share a walk have the distances they have alone, whatever their lengths; a walk takes less time than its vectors one by one."""
+    rng = np.random.default_rng(8)
+    vectors = {i: rng.normal(size=(1, 5, 9, 9)[i % 4]).tolist() for i in range(12)}
+    references = {"p": rng.normal(size=9).tolist(), "q": rng.normal(size=3).tolist()}
+    tables = [spark.createDataFrame(list(t.items()), f"id {k}, values array<double>") for t, k in ((vectors, "long"), (references, "string"))]
+    found = {(r["id"], r["reference"]): r["distance"] for r in emg.warp_distances(*tables).collect()}
+    assert found == {(i, k): emg.warp(np.array(v), np.array(y))[0] for i, v in vectors.items() for k, y in references.items()}
+    x, y = rng.normal(size=(200, 64)), rng.normal(size=64)
+    start = time.perf_counter()
+    together = emg.warp_costs(x, y)
+    middle = time.perf_counter()
+    alone = [emg.warp(v, y)[0] for v in x[:50]]
+    assert together[:50].tolist() == alone
+    assert middle - start < time.perf_counter() - middle
+
+
 def test_selection(spark, two):
     assert select.time_window(two, RATE, 0.5, 1.0).agg(F.max("sample")).first()[0] == 51
     assert select.pick_channels(two, ["b", "a", "b"]).count() == 3000

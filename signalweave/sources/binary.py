@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..model import Recording
 from .filesystem import read_bytes, write_bytes
-from .records import PIECE_VALUES, even, pieces, read_range, read_records, seekable, shape, unpack, write_pieces
+from .records import PIECE_VALUES, even, highest_rate, pieces, read_range, read_records, seekable, shape, unpack, write_pieces
 
 SIGNALS = "path string, channel string, sample long, value double, rate double"
 #: Widths of the fields of the EDF file header and, per signal, of its signal headers.
@@ -137,10 +137,16 @@ def _edf_layout(path: str, size: int, wide: bool, wanted: list[str] | None, star
     return _layout(path, size, h["size"], h["records"], h["seconds"], h["label"], ["i3" if wide else "<i2"] * h["n"], h["samples"], limits, skip, wanted, start, end)
 
 
+def _edf_layouts(spark: SparkSession, path: str, wide: bool, channels: list[str] | None, start: float | None, end: float | None) -> list[dict] | None:
+    """The layouts of all files that match, or none if their store has no seeking reader."""
+    found = seekable(spark, path)
+    return [_edf_layout(p, n, wide, channels, start, end) for p, n in found] if found is not None else None
+
+
 def edf_signals(spark: SparkSession, path: str, wide: bool = False, channels: list[str] | None = None, start: float | None = None, end: float | None = None) -> DataFrame:
     """Path, channel, sample, value, rate of all files that match; of a time window and chosen channels only these are read and unpacked."""
-    if (found := seekable(spark, path)) is not None:
-        return read_records(spark, [_edf_layout(p, n, wide, channels, start, end) for p, n in found])
+    if (layouts := _edf_layouts(spark, path, wide, channels, start, end)) is not None:
+        return read_records(spark, layouts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -200,20 +206,20 @@ def edf_channels(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path).mapInPandas(run, "path string, channel string, label string, type string, unit string, transducer string, phys_min double, phys_max double")
 
 
-def _recording(spark: SparkSession, path: str, signals: DataFrame, channels: DataFrame, events: DataFrame | None) -> Recording:
-    rate = signals.agg(F.max("rate")).first()[0]
+def _recording(spark: SparkSession, path: str, signals: DataFrame, channels: DataFrame, events: DataFrame | None, layouts: list[dict] | None) -> Recording:
+    rate = signals.agg(F.max("rate")).first()[0] if layouts is None else highest_rate(layouts)
     full = channels.filter(~F.col("channel").isin("EDF Annotations", "Status")).select("channel", "label", "type", "unit", *[F.lit(None).cast("string").alias(c) for c in ("reference", "status")], *[F.lit(None).cast("double").alias(c) for c in ("pos_x", "pos_y", "pos_z")])
     return Recording(signals.select("channel", "sample", "value"), rate, full, events.select("onset", "duration", "type", "value") if events is not None else None)
 
 
 def read_edf(spark: SparkSession, path: str, channels: list[str] | None = None, start: float | None = None, end: float | None = None) -> Recording:
     """One EDF file."""
-    return _recording(spark, path, edf_signals(spark, path, False, channels, start, end), edf_channels(spark, path), edf_events(spark, path))
+    return _recording(spark, path, edf_signals(spark, path, False, channels, start, end), edf_channels(spark, path), edf_events(spark, path), _edf_layouts(spark, path, False, channels, start, end))
 
 
 def read_bdf(spark: SparkSession, path: str, channels: list[str] | None = None, start: float | None = None, end: float | None = None) -> Recording:
     """One BDF file."""
-    return _recording(spark, path, edf_signals(spark, path, True, channels, start, end), edf_channels(spark, path), None)
+    return _recording(spark, path, edf_signals(spark, path, True, channels, start, end), edf_channels(spark, path), None, _edf_layouts(spark, path, True, channels, start, end))
 
 
 def _annotation_records(recording: Recording, records: int, seconds: float) -> tuple[dict[int, bytes], int]:
@@ -446,12 +452,12 @@ def read_gdf(spark: SparkSession, path: str, channels: list[str] | None = None,
         signals = read_records(spark, layouts)
         events = spark.createDataFrame(events, "onset double, duration double, type string, value string")
         names = spark.createDataFrame([(c["label"], c["label"], "EEG", "uV") for c in layouts[0]["channels"]], "channel string, label string, type string, unit string")
-        return _recording(spark, path, signals, names, events.orderBy("onset"))
+        return _recording(spark, path, signals, names, events.orderBy("onset"), layouts)
     source = files(spark, path)
     signals = source.mapInPandas(run, SIGNALS)
     names = signals.select("channel").distinct().select("channel", F.col("channel").alias("label"), F.lit("EEG").alias("type"), F.lit("uV").alias("unit"))
     events = source.mapInPandas(marks, "onset double, duration double, type string, value string").orderBy("onset")
-    return _recording(spark, path, signals, names, events)
+    return _recording(spark, path, signals, names, events, None)
 
 
 def write_gdf(recording: Recording, path: str) -> None:

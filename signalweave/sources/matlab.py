@@ -193,14 +193,7 @@ def write_mat(recording: Recording, path: str, eeg: bool = False) -> None:
         body = pieces(rows, names, first, samples, many, lambda at, data: data[:, : samples - at].T.astype("<f8").tobytes())
         write_pieces(spark, path, header + before, body, even(samples, many, 8 * n), after)
     else:  # samples by channels: a channel after the other
-        runs = -(-samples // PIECE_VALUES)
-
-        def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for piece, data in zip(frame["piece"], frame["data"], strict=True):
-                    size = len(data) // n
-                    yield pd.DataFrame({"piece": [c * runs + piece for c in range(n)], "data": [data[c * size : (c + 1) * size] for c in range(n)]})
-
-        body = pieces(rows, names, first, samples, PIECE_VALUES, lambda at, data: data[:, : samples - at].astype("<f8").tobytes()).mapInPandas(split, "piece long, data binary")
-        length = even(samples, PIECE_VALUES, 8)
+        many = max(1, PIECE_VALUES // max(1, n))
+        runs, length = -(-samples // many), even(samples, many, 8)
+        body = pieces(rows, names, first, samples, many, lambda at, data: data[:, : samples - at].astype("<f8").tobytes(), runs=True)
         write_pieces(spark, path, header + _opened("data", (samples, n)), body, lambda piece: length(piece % runs), _packed("srate", rate) + _packed("labels", labels))

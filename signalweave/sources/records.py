@@ -19,8 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .filesystem import _place, scratch
 
-#: Bytes of a range, and values of a written piece.
-RANGE_BYTES, PIECE_VALUES = 8 << 20, 1 << 17
+#: Bytes of a range, of the part of it that a task holds at a time, and values of a written piece.
+RANGE_BYTES, HELD_BYTES, PIECE_VALUES = 8 << 20, 1 << 20, 1 << 17
 #: Schemes whose files tasks can seek in, and what pyarrow calls them.
 SEEKABLE = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
 ROWS = "path string, channel string, sample long, value double, rate double"
@@ -82,14 +82,18 @@ class RecordReader(DataSourceReader):
         out = []
         for i, f in enumerate(self.files):
             first, last, _, _ = self._window(f)
-            step = max(1, RANGE_BYTES // f["record"])
+            step = max(1, RANGE_BYTES // max(1, f["record"]))
             out += [RecordRange(i, k, min(k + step, last)) for k in range(first, last, step)]
         return out or [RecordRange(0, 0, 0)]
 
     def read(self, partition: RecordRange) -> Iterator[pa.RecordBatch]:
         f = self.files[partition.file]
+        step = max(1, HELD_BYTES // max(1, f["record"]))
+        for k in range(partition.first, partition.last, step):
+            yield from self._rows(f, k, min(k + step, partition.last))
+
+    def _rows(self, f: dict, first: int, last: int) -> Iterator[pa.RecordBatch]:
         _, _, low, high = self._window(f)
-        first, last = partition.first, partition.last
         # a slower channel is drawn to the next record's first value
         mixed = any(round(c["count"]) != round(f["seconds"] * f["rate"]) for c in f["channels"])
         upto = min(f["records"], last + 1) if mixed else last
@@ -131,6 +135,12 @@ def read_records(spark: SparkSession, layouts: list[dict]) -> DataFrame:
     return spark.read.format("signalweave_records").option("files", json.dumps(layouts)).load()
 
 
+def highest_rate(layouts: list[dict]) -> float | None:
+    """The highest rate of the files that have samples in their time windows; only the layouts are looked at."""
+    reader = RecordReader({"files": json.dumps(layouts)})
+    return max((f["rate"] for f in layouts for _, _, low, high in [reader._window(f)] if f["channels"] and low < high), default=None)
+
+
 # ---------------------------------------------------------------- writing
 def shape(signals: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, int, int]:
     """Channels in order, their lowest and highest value (0 included), the first sample and the number of samples up to the last; a row per channel reaches the driver."""
@@ -141,25 +151,29 @@ def shape(signals: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, int, i
     return list(found["channel"]), low.to_numpy(float), high.to_numpy(float), first, int(found["b"].max()) - first + 1 if len(found) else 0
 
 
-def pieces(signals: DataFrame, channels: list[str], first: int, samples: int, step: int, pack: Callable[[int, np.ndarray], bytes]) -> DataFrame:
-    """piece, data: ``pack`` of (position of the first sample, channels x ``step`` matrix), for every ``step`` samples; zeros stand for what is missing, and beyond the end."""
+def pieces(signals: DataFrame, channels: list[str], first: int, samples: int, step: int, pack: Callable[[int, np.ndarray], bytes], runs: bool = False) -> DataFrame:
+    """piece, data: ``pack`` of (position of the first sample, channels x ``step`` matrix), for every ``step`` samples; zeros stand for what is missing, and beyond the end.
+
+    With ``runs`` a channel comes after the other, so a piece of each channel is a piece of its own. A Python worker holds the cells of one piece, however many a task has.
+    """
     spark = signals.sparkSession
     kind = signals.schema["channel"].dataType.simpleString()
-    numbers = F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(channels)], f"channel {kind}, _c long"))
-    at = F.col("sample") - first
-    cell = F.struct(F.col("_c").alias("c"), (at % step).alias("k"), F.col("value").cast("double").alias("v"))
-    packed = signals.select("channel", "sample", "value").join(numbers, "channel").groupBy(F.floor(at / F.lit(step)).alias("piece")).agg(F.collect_list(cell).alias("cells"))
-    all_pieces = spark.range(-(-samples // step)).withColumnRenamed("id", "piece").join(packed, "piece", "left").select("piece", "cells.c", "cells.k", "cells.v")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for piece, c, k, v in zip(frame["piece"], frame["c"], frame["k"], frame["v"], strict=True):
-                block = np.zeros((len(channels), step))
-                if c is not None:
-                    block[np.array(c, int), np.array(k, int)] = np.nan_to_num(np.array(v, float))
-                yield pd.DataFrame({"piece": [piece], "data": [pack(int(piece) * step, block)]})
-
-    return all_pieces.mapInPandas(run, "piece long, data binary")
+    numbers = F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(channels)], f"channel {kind}, c int"))
+    at, n, many = F.col("sample") - first, len(channels), -(-samples // step)
+    cells = signals.select("channel", "sample", "value").join(numbers, "channel")
+    cells = cells.select(F.floor(at / F.lit(step)).alias("piece"), "c", (at % step).cast("int").alias("k"), F.col("value").cast("double").alias("v"))
+    every = spark.range(many).select(F.col("id").alias("piece"), F.lit(-1).alias("c"), F.lit(0).alias("k"), F.lit(None).cast("double").alias("v"))  # so that none is absent
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        piece, known = int(frame["piece"].iloc[0]), frame["c"].to_numpy() >= 0
+        block = np.zeros((n, step))
+        block[frame["c"].to_numpy()[known], frame["k"].to_numpy()[known]] = np.nan_to_num(frame["v"].to_numpy(np.float64, na_value=np.nan)[known])
+        data = pack(piece * step, block)
+        size = len(data) // n if runs else 0
+        split = [data[c * size : (c + 1) * size] for c in range(n)] if runs else [data]
+        return pd.DataFrame({"piece": [c * many + piece for c in range(len(split))], "data": split})
+
+    return cells.unionByName(every).groupBy("piece").applyInPandas(run, "piece long, data binary")
 
 
 def even(samples: int, step: int, width: int) -> Callable[[int], int]:

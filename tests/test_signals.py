@@ -1,8 +1,8 @@
 """Operators on signals against closed forms and numpy."""
 
-import numpy as np
 import time
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F

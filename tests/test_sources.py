@@ -1,8 +1,10 @@
 """Round trips through files, the store, the catalogue and streams."""
 
+import json
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +208,28 @@ def test_files_of_many_pieces(spark, recording, tmp_path, monkeypatch):
         if name != "m.mat" and name != "b.bdf":
             assert [round(r["onset"], 3) for r in back.events.collect()] == [0.1, 0.5, 0.8], name
     assert records.seekable(spark, f"{tmp_path}/e.edf")
+
+
+def test_a_worker_holds_one_piece(spark, recording, tmp_path, monkeypatch):
+    """A group of cells becomes one piece before the next one comes; ranges are read in parts, and no job runs for the rate of a file."""
+    from signalweave.sources import records
+
+    names = ["Cz", "Fp1", "Fp2"]
+    body = records.pieces(recording.signals, names, 1, 500, 60, lambda at, data: data.tobytes())
+    assert "FlatMapGroupsInPandas" in body._jdf.queryExecution().toString()
+    made = {r["piece"]: np.frombuffer(r["data"]).reshape(3, 60) for r in body.collect()}
+    wide = recording.signals.groupBy("sample").pivot("channel").agg(F.first("value")).orderBy("sample").toPandas()
+    assert np.allclose(np.hstack([made[k] for k in range(9)])[:, :500], wide[names].to_numpy().T)
+    binary.write_edf(recording, f"{tmp_path}/r.edf")
+    spark.sparkContext.setJobGroup("rate of a file", "")
+    back = binary.read_edf(spark, f"{tmp_path}/r.edf")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("rate of a file")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert back.sampling_rate == 250.0 and not jobs
+    reader = records.RecordReader({"files": json.dumps(binary._edf_layouts(spark, f"{tmp_path}/r.edf", False, None, None, None))})
+    read = lambda: pd.concat([b.to_pandas() for p in reader.partitions() for b in reader.read(p)]).sort_values(["channel", "sample"])
+    whole = read()
+    monkeypatch.setattr(records, "HELD_BYTES", 1)
+    asked = []
+    monkeypatch.setattr(records, "read_range", lambda path, start, length, read=records.read_range: asked.append(length) or read(path, start, length))
+    assert read().to_numpy().tolist() == whole.to_numpy().tolist() and max(asked) == 250 * 3 * 2

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql import SparkSession
 
 from ..model import Recording
 from .binary import files
-from .records import PIECE_VALUES, even, pieces, shape, write_pieces
+from .records import PIECE_VALUES, RANGE_BYTES, even, open_file, pieces, seekable, shape, write_pieces
 
 #: Numbers of the format's data types and array classes.
 DATA_TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8", 16: "u1", 17: "u2", 18: "u4"}
@@ -21,124 +23,281 @@ RATE_NAMES = ("srate", "fs", "sampling_rate", "samplerate", "sr", "sfreq", "fsam
 
 
 # ---------------------------------------------------------------- reading
-def _elements(data: bytes, order: str):
-    """(type, content) of the elements in a stretch of bytes; short elements keep their content in the tag."""
-    at = 0
-    while at + 8 <= len(data):
-        kind, size = struct.unpack_from(order + "II", data, at)
-        if kind >> 16:
-            yield kind & 0xFFFF, data[at + 4 : at + 4 + (kind >> 16)]
-            at += 8
-        else:
-            yield kind, data[at + 8 : at + 8 + size]
-            at += 8 + size + (-size % 8 if kind != COMPRESSED else 0)
+#: Numbers of a matrix of at most so many bytes are kept where its head is read, values of a larger one are left in the file.
+SMALL_BYTES = 1 << 16
+#: Values that are unpacked at a time.
+HELD_VALUES = 100_000
+
+
+@dataclass(frozen=True)
+class Numbers:
+    """A numeric array: ``count`` values of a numpy type from byte ``at`` on, by columns, and the values themselves if they are few."""
+
+    shape: tuple[int, ...]
+    kind: str
+    at: int
+    count: int
+    values: np.ndarray | None
+
+    @property
+    def size(self) -> int:
+        return int(np.prod(self.shape, dtype=np.int64))
+
+
+class Inflated:
+    """A compressed element of a file as a stream of its bytes; only what is read is held, and there is no way back."""
+
+    def __init__(self, f, size: int):
+        self.f, self.left, self.unpacker, self.held, self.at = f, size, zlib.decompressobj(), b"", 0
+
+    def tell(self) -> int:
+        return self.at
+
+    def read(self, size: int) -> bytes:
+        found = []
+        while size > 0:
+            if not self.held:
+                raw = self.unpacker.unconsumed_tail
+                if not raw:
+                    raw = self.f.read(min(self.left, 1 << 16))
+                    self.left -= len(raw)
+                self.held = self.unpacker.decompress(raw, 1 << 16) if raw else self.unpacker.flush()
+                if not self.held and not raw:
+                    break
+                continue
+            part, self.held = self.held[:size], self.held[size:]
+            size, self.at = size - len(part), self.at + len(part)
+            found.append(part)
+        return b"".join(found)
+
+    def seek(self, at: int) -> None:
+        while self.at < at and self.read(min(at - self.at, 1 << 20)):
+            pass
+
+
+def _tag(f, order: str) -> tuple[int, int, int] | None:
+    """Type and size of the element at hand, and where the next one starts; the file is then at its content."""
+    raw = f.read(4)
+    if len(raw) < 4:
+        return None
+    (kind,) = struct.unpack(order + "I", raw)
+    if kind >> 16:  # a short element keeps its content in the tag
+        return kind & 0xFFFF, kind >> 16, f.tell() + 4
+    raw = f.read(4)
+    if len(raw) < 4:
+        return None
+    (size,) = struct.unpack(order + "I", raw)
+    return kind, size, f.tell() + size + (-size % 8 if kind != COMPRESSED else 0)
+
+
+def _content_of(f, order: str) -> tuple[int, bytes]:
+    kind, size, after = _tag(f, order)
+    found = f.read(size)
+    f.seek(after)
+    return kind, found
 
 
 def _numbers(kind: int, content: bytes, order: str) -> np.ndarray:
     return np.frombuffer(content, order + DATA_TYPES[kind])
 
 
-def _array(content: bytes, order: str) -> tuple[str, object]:
-    parts = list(_elements(content, order))
-    if not parts:
-        return "", np.zeros((0, 0))
-    flags = _numbers(*parts[0], order)[0]
-    kind, dims = int(flags) & 0xFF, tuple(int(d) for d in _numbers(*parts[1], order))
-    name, rest = parts[2][1].decode("latin-1"), parts[3:]
+def _array(f, order: str, end: int) -> tuple[str, object]:
+    """Name and value of the array up to byte ``end``."""
+    if f.tell() >= end:
+        return "", Numbers((0, 0), "f8", end, 0, np.zeros((0, 0)))
+    flags = _numbers(*_content_of(f, order), order)[0]
+    kind, dims = int(flags) & 0xFF, tuple(int(d) for d in _numbers(*_content_of(f, order), order))
+    name = _content_of(f, order)[1].decode("latin-1")
+
+    def nested() -> Iterator[object]:
+        while f.tell() < end and (tag := _tag(f, order)) is not None:
+            yield _array(f, order, f.tell() + tag[1])[1]
+            f.seek(tag[2])
+
     if kind == CHAR:
-        letters = "".join(map(chr, _numbers(*rest[0], order))) if rest else ""
+        letters = "".join(map(chr, _numbers(*_content_of(f, order), order))) if f.tell() < end else ""
         table = np.array(list(letters)).reshape(dims, order="F") if letters else np.zeros((0, 0), str)
         rows = ["".join(r) for r in table]
         return name, rows[0] if len(rows) == 1 else rows if rows else ""
     if kind == CELL:
-        return name, [_array(c, order)[1] for _, c in rest]
+        return name, list(nested())
     if kind == STRUCT:
-        width = int(_numbers(*rest[0], order)[0])
-        fields = [rest[1][1][i : i + width].split(b"\0")[0].decode("latin-1") for i in range(0, len(rest[1][1]), width)]
-        values = [_array(c, order)[1] for _, c in rest[2:]]
+        width, names = int(_numbers(*_content_of(f, order), order)[0]), _content_of(f, order)[1]
+        fields = [names[i : i + width].split(b"\0")[0].decode("latin-1") for i in range(0, len(names), width)]
+        values = list(nested())
         rows = [dict(zip(fields, values[i : i + len(fields)], strict=False)) for i in range(0, len(values), max(1, len(fields)))]
         return name, rows[0] if len(rows) == 1 else rows
-    return name, _numbers(*rest[0], order).astype(float).reshape(dims, order="F") if rest else np.zeros(dims)
+    if f.tell() >= end:
+        return name, Numbers(dims, "f8", end, 0, np.zeros(dims))
+    stored, size, _ = _tag(f, order)
+    found = order + DATA_TYPES[stored]
+    at, count = f.tell(), size // np.dtype(found).itemsize
+    few = np.frombuffer(f.read(size), found).astype(float).reshape(dims, order="F") if size <= SMALL_BYTES else None
+    return name, Numbers(dims, found, at, count, few)
+
+
+def variables(f) -> dict[str, tuple[object, tuple[int, int] | None]]:
+    """Variables of a version 5 file: arrays as :class:`Numbers`, text as str, cells as lists, structures as (lists of) dicts; and the place and size of the compressed element that has it."""
+    order = _order(f)
+    out: dict[str, tuple[object, tuple[int, int] | None]] = {}
+    while (tag := _tag(f, order)) is not None:
+        kind, size, after = tag
+        source, packed, end = f, None, f.tell() + size
+        if kind == COMPRESSED:
+            source, packed = Inflated(f, size), (f.tell(), size)
+            kind, size, _ = _tag(source, order)
+            end = source.tell() + size
+        if kind == MATRIX:
+            name, value = _array(source, order, end)
+            out[name] = value, packed
+        f.seek(after)
+    return out
+
+
+def _order(f) -> str:
+    f.seek(126)
+    return "<" if f.read(2) == b"IM" else ">"
 
 
 def parse(data: bytes) -> dict:
     """Variables of a version 5 file: numbers as arrays, text as str, cells as lists, structures as (lists of) dicts."""
-    order = "<" if data[126:128] == b"IM" else ">"
-    out = {}
-    for kind, content in _elements(data[128:], order):
-        if kind == COMPRESSED:
-            kind, content = next(_elements(zlib.decompress(content), order))
-        if kind == MATRIX:
-            name, value = _array(content, order)
-            out[name] = value
-    return out
+    f = io.BytesIO(data)
+
+    def plain(value, packed: tuple[int, int] | None):
+        if isinstance(value, dict):
+            return {k: plain(v, packed) for k, v in value.items()}
+        if isinstance(value, list):
+            return [plain(v, packed) for v in value]
+        if not isinstance(value, Numbers) or value.values is not None:
+            return value.values if isinstance(value, Numbers) else value
+        return np.concatenate([x for _, x in unpacked(f, value, packed, 0, value.count)]).reshape(value.shape, order="F")
+
+    return {k: plain(v, packed) for k, (v, packed) in variables(f).items()}
+
+
+def unpacked(f, data: Numbers, packed: tuple[int, int] | None, first: int, last: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Positions and values of an array from ``first`` up to ``last``, ``HELD_VALUES`` at a time."""
+    width = np.dtype(data.kind).itemsize
+    f.seek(packed[0] if packed else data.at + first * width)
+    if packed:
+        f = Inflated(f, packed[1])
+        f.seek(data.at + first * width)
+    for k in range(first, last, HELD_VALUES):
+        yield k, np.frombuffer(f.read(width * min(HELD_VALUES, last - k)), data.kind).astype(float)
 
 
 def _number(value) -> float | None:
-    value = np.asarray(value) if not isinstance(value, (str, list, dict)) else None
-    return float(value.ravel()[0]) if value is not None and value.size == 1 else None
+    return float(value.values.ravel()[0]) if isinstance(value, Numbers) and value.values is not None and value.size == 1 else None
 
 
 def _rows(value) -> list:
     return value if isinstance(value, list) else [value] if isinstance(value, dict) else []
 
 
-def _content(found: dict, data_var: str | None, sr_var: str | None, channel_var: str | None, transpose: bool | None) -> tuple[np.ndarray, float | None, list[str], list[tuple]]:
-    """Data (samples by channels), rate, labels and events of a file's variables."""
-    whole = next((v for v in found.values() if isinstance(v, dict) and "data" in v and "srate" in v), None)
+@dataclass(frozen=True)
+class Content:
+    """What a file holds: the array of its values (channels are its rows if ``turned``, else its columns), rate, labels and events."""
+
+    data: Numbers
+    packed: tuple[int, int] | None
+    turned: bool
+    rate: float | None
+    labels: list[str]
+    events: list[tuple]
+
+    def rows(self, f, first: int, last: int) -> Iterator[pd.DataFrame]:
+        names, many = np.array(self.labels, object), max(1, self.data.shape[0])
+        for k, x in unpacked(f, self.data, self.packed, first, last):
+            column, row = np.divmod(np.arange(k, k + x.size), many)
+            channel, sample = (row, column) if self.turned else (column, row)
+            yield pd.DataFrame({"channel": names[channel], "sample": sample + 1, "value": x})
+
+
+def content(f, data_var: str | None, sr_var: str | None, channel_var: str | None, transpose: bool | None) -> Content:
+    """The content of a file; values are left in it."""
+    read = variables(f)
+    found = {k: v for k, (v, _) in read.items()}
+    name = next((k for k, v in found.items() if isinstance(v, dict) and "data" in v and "srate" in v), None)
     events, labels = [], None
-    if whole is not None and data_var is None:
-        data, rate = np.asarray(whole["data"]).T, _number(whole["srate"])
+    if name is not None and data_var is None:
+        whole = found[name]
+        data, rate, turned = whole["data"], _number(whole["srate"]), True
         labels = [str(c.get("labels", f"Ch{i}")) for i, c in enumerate(_rows(whole.get("chanlocs")), 1)] or None
         for e in _rows(whole.get("event")):
-            events.append(((_number(e["latency"]) - 1) / rate, (_number(e.get("duration", np.zeros(1))) or 0.0) / rate, "event", str(e.get("type", ""))))
+            events.append(((_number(e["latency"]) - 1) / rate, (_number(e.get("duration")) or 0.0) / rate, "event", str(_text(e.get("type", "")))))
     else:
-        matrices = {k: v for k, v in found.items() if isinstance(v, np.ndarray) and v.ndim == 2 and v.size > 1}
+        matrices = {k: v for k, v in found.items() if isinstance(v, Numbers) and len(v.shape) == 2 and v.size > 1}
         if data_var is not None and data_var not in matrices:
             raise ValueError(f"no matrix {data_var!r}")
         if not matrices:
             raise ValueError("there is no matrix in the file")
-        data = matrices[data_var or max(matrices, key=lambda k: matrices[k].size)]
-        if transpose or (transpose is None and data.shape[1] > 10 * data.shape[0]):
-            data = data.T
+        name = data_var or max(matrices, key=lambda k: matrices[k].size)
+        data = matrices[name]
+        turned = bool(transpose or (transpose is None and data.shape[1] > 10 * data.shape[0]))
         rates = {k.lower(): _number(v) for k, v in found.items()}
         rate = _number(found[sr_var]) if sr_var else next((rates[n] for n in RATE_NAMES if rates.get(n)), None)
         named = found.get(channel_var or "labels", found.get("channels"))
-        labels = [str(x).strip() for x in named] if isinstance(named, list) else None
-    labels = labels if labels and len(labels) == data.shape[1] else [f"Ch{i + 1}" for i in range(data.shape[1])]
-    return data, rate, labels, events
+        labels = [str(_text(x)).strip() for x in named] if isinstance(named, list) else None
+    if not isinstance(data, Numbers) or len(data.shape) != 2 or data.count != data.size:
+        raise ValueError("the data are not a full matrix")
+    n = data.shape[0] if turned else data.shape[1]
+    labels = labels if labels and len(labels) == n else [f"Ch{i + 1}" for i in range(n)]
+    return Content(data, read[name][1], turned, rate, labels, events)
+
+
+def _text(value):
+    return value.values if isinstance(value, Numbers) else value
 
 
 def read_mat(spark: SparkSession, path: str, data_var: str | None = None, sr_var: str | None = None, channel_var: str | None = None, transpose: bool | None = None) -> Recording:
     """The largest matrix (or ``data_var``) as signals, channels in columns; far more columns than rows are turned.
 
     A structure with ``data`` and ``srate`` is read with its channel labels and events. Its latencies
-    are samples from 1, as they are written. The variables of a file may be compressed as a whole, so a task unpacks a file; its signals and
-    events stay with the tasks, and only its rate reaches the driver.
+    are samples from 1, as they are written. Tasks walk over the heads of the variables, seek to their range of the values and unpack a part of it at a time. A compressed
+    variable can't be entered in the middle, so one task inflates it, piece by piece. In stores that pyarrow cannot seek in a task takes a whole file. Rates and labels reach the driver, events stay with the tasks.
     """
-    source = files(spark, path)
+    options = (data_var, sr_var, channel_var, transpose)
+    sizes = seekable(spark, path)
+    names = [p for p, _ in sizes] if sizes is not None else None
+    source = spark.createDataFrame([(p, None) for p in names], "path string, content binary").repartition(len(names)) if names is not None else files(spark, path)
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
-            for content in batch["content"]:
-                yield _content(parse(bytes(content)), data_var, sr_var, channel_var, transpose)
+            for where, held in zip(batch["path"], batch["content"], strict=True):
+                with open_file(where) if names is not None else io.BytesIO(held) as f:
+                    yield where, f, content(f, *options)
 
-    def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, rate, _, _ in parts(batches):
-            yield pd.DataFrame({"rate": [rate]})
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for where, _, c in opened(batches):
+            yield pd.DataFrame({"path": [where], "shape": [list(c.data.shape)], "kind": [c.data.kind], "at": [c.data.at], "count": [c.data.count], "packed": [c.packed and list(c.packed)], "turned": [c.turned], "rate": [c.rate], "labels": [c.labels]})
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for data, _, labels, _ in parts(batches):
-            for i, label in enumerate(labels):
-                yield pd.DataFrame({"channel": label, "sample": np.arange(1, len(data) + 1), "value": data[:, i].astype(float)})
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, f, c in opened(batches):
+            yield from c.rows(f, 0, c.data.count)
 
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, _, _, events in parts(batches):
-            yield pd.DataFrame(events, columns=["onset", "duration", "type", "value"])
+        for _, _, c in opened(batches):
+            yield pd.DataFrame(c.events, columns=["onset", "duration", "type", "value"])
 
-    rate = source.mapInPandas(rates, "rate double").first()[0]
+    kinds = "channel string, sample long, value double"
+    found = source.mapInPandas(heads, "path string, shape array<long>, kind string, at long, count long, packed array<long>, turned boolean, rate double, labels array<string>").collect()
+    rows = [(r["path"], Content(Numbers(tuple(r["shape"]), r["kind"], r["at"], r["count"], None), r["packed"] and tuple(r["packed"]), r["turned"], r["rate"], r["labels"], [])) for r in found]
     events = source.mapInPandas(marks, "onset double, duration double, type string, value string").orderBy("onset")
-    return Recording(source.mapInPandas(rows, "channel string, sample long, value double"), rate, events=events)
+    if names is None:
+        return Recording(source.mapInPandas(whole, kinds), rows[0][1].rate, events=events)
+    parts = []
+    for i, (_, c) in enumerate(rows):
+        step = max(1, c.data.count if c.packed else RANGE_BYTES // np.dtype(c.data.kind).itemsize)
+        parts += [(i, k, min(k + step, c.data.count)) for k in range(0, c.data.count, step)]
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in batch["id"]:
+                file, first, last = parts[k]
+                with open_file(rows[file][0]) as f:
+                    yield from rows[file][1].rows(f, first, last)
+
+    return Recording(spark.range(0, len(parts), 1, max(1, min(len(parts), 10_000))).mapInPandas(ranges, kinds), rows[0][1].rate, events=events)
 
 
 # ---------------------------------------------------------------- writing

@@ -7,6 +7,7 @@ writes them as part files, and the parts are appended to the header in order by
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Callable, Iterator
 
@@ -26,13 +27,18 @@ SEEKABLE = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
 ROWS = "path string, channel string, sample long, value double, rate double"
 
 
-def read_range(path: str, start: int, length: int) -> bytes:
-    """Bytes of a file in any store that pyarrow can seek in."""
+def open_file(path: str) -> io.BufferedReader:
+    """A file in any store that pyarrow can seek in."""
     from pyarrow import fs
 
     scheme, _, rest = path.partition(":")
     system, name = fs.FileSystem.from_uri(f"{SEEKABLE[scheme]}://{rest.removeprefix('//')}")
-    with system.open_input_file(name) as f:
+    return io.BufferedReader(system.open_input_file(name), 1 << 16)
+
+
+def read_range(path: str, start: int, length: int) -> bytes:
+    """Bytes of a file in any store that pyarrow can seek in."""
+    with open_file(path) as f:
         f.seek(start)
         return f.read(length)
 

@@ -1,7 +1,10 @@
 """Round trips through files, the store, the catalogue and streams."""
 
+import io
 import json
 import os
+import struct
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -233,3 +236,35 @@ def test_a_worker_holds_one_piece(spark, recording, tmp_path, monkeypatch):
     asked = []
     monkeypatch.setattr(records, "read_range", lambda path, start, length, read=records.read_range: asked.append(length) or read(path, start, length))
     assert read().to_numpy().tolist() == whole.to_numpy().tolist() and max(asked) == 250 * 3 * 2
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+def test_matlab_files_are_read_in_parts(spark, tmp_path, monkeypatch, compressed):
+    """Heads are read without the values, and values part by part, of plain and of compressed variables; ranges meet without a gap."""
+    x = np.random.default_rng(3).normal(size=(20_000, 3))
+    parts = [matlab._packed(k, v) for k, v in {"data": x, "small": x[:5], "srate": 250.0, "labels": ["a", "b", "c"]}.items()]
+    if compressed:
+        parts = [struct.pack("<II", matlab.COMPRESSED, len(z)) + z for z in map(zlib.compress, parts)]
+    (tmp_path / "x.mat").write_bytes(b"MATLAB 5.0 MAT-file".ljust(116) + bytes(8) + struct.pack("<H", 0x0100) + b"IM" + b"".join(parts))
+    read = []
+
+    class Counted(io.FileIO):
+        def read(self, size=-1):
+            read.append(size)
+            return super().read(size)
+
+    with Counted(tmp_path / "x.mat") as f:
+        found = matlab.content(f, None, None, None, None)
+        assert found.data.values is None and found.data.shape == x.shape and found.rate == 250.0
+        assert 0 <= min(read) and (compressed or sum(read) < 5000)
+        monkeypatch.setattr(matlab, "HELD_VALUES", 700)
+        read.clear()
+        assert max(map(len, found.rows(f, 0, x.size))) == 700 and 0 <= min(read) and max(read) <= 1 << 16
+    assert (matlab.parse((tmp_path / "x.mat").read_bytes())["data"] == x).all()
+    monkeypatch.setattr(matlab, "RANGE_BYTES", 8 * 7001)
+    back = matlab.read_mat(spark, f"{tmp_path}/x.mat")
+    got = back.signals.toPandas().sort_values(["channel", "sample"])
+    assert back.signals.rdd.getNumPartitions() == (1 if compressed else 9)
+    assert back.sampling_rate == 250.0 and got["channel"].tolist() == [c for c in "abc" for _ in x] and (got["value"].to_numpy() == x.T.ravel()).all()
+    turned = matlab.read_mat(spark, f"{tmp_path}/x.mat", transpose=True).signals.filter("channel = 'Ch2'").orderBy("sample").toPandas()
+    assert (turned["value"].to_numpy() == x[1]).all()

@@ -33,28 +33,31 @@ def covariance(signals: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
     return names, mean, cov
 
 
-def project(signals: DataFrame, names: list, matrix: np.ndarray, out_names: list, means: np.ndarray | None = None, offsets: np.ndarray | None = None) -> DataFrame:
-    """channel, sample, value of ``matrix @ (x - means) + offsets``, for each sample that has all channels."""
-    spark = signals.sparkSession
-    means = np.zeros(len(names)) if means is None else means
-    entries = [(c, o, float(matrix[j, i]), float(means[i]), float(offsets[j]) if offsets is not None else 0.0) for i, c in enumerate(names) for j, o in enumerate(out_names)]
-    kind = signals.schema["channel"].dataType.simpleString()
-    kind_out = "int" if isinstance(out_names[0], int) else "string"
-    table = spark.createDataFrame(entries, f"channel {kind}, target {kind_out}, w double, m double, o double")
-    rows = signals.join(F.broadcast(table), "channel")  # n_channels^2 entries
-    found = rows.groupBy("target", "sample").agg((F.sum(F.col("w") * (F.col("value") - F.col("m"))) + F.first("o")).alias("value"), F.count("value").alias("n"))
-    return found.filter(F.col("n") == len(names)).select(F.col("target").alias("channel"), "sample", "value")
+def project(blocks: SampleBlocks, matrix: np.ndarray, out_names: list, means: np.ndarray, offsets: np.ndarray | None = None) -> DataFrame:
+    """channel, sample, value of ``matrix @ (x - means) + offsets``, for each sample that has all channels, by the tasks that hold the blocks."""
+    kind = "int" if isinstance(out_names[0], int) else blocks.kind
+    names, offsets = np.array(out_names, None if kind == "int" else object), np.zeros(len(out_names)) if offsets is None else offsets
+
+    def run(frames):
+        for frame in frames:
+            for samples, values in zip(frame["samples"], frame["values"], strict=True):
+                if len(samples):
+                    made = (np.reshape(values, (-1, len(means))) - means) @ matrix.T + offsets
+                    yield pd.DataFrame({"channel": np.tile(names, len(made)), "sample": np.repeat(samples, len(names)), "value": made.ravel()})
+
+    return blocks.table.mapInPandas(run, f"channel {kind}, sample long, value double")
 
 
 @dataclass
 class Components:
-    """Sources (channel = component number), with unmixing and mixing matrices over ``names``."""
+    """Sources (channel = component number), with unmixing and mixing matrices over ``names``, the channels of ``blocks``."""
 
     sources: DataFrame
     names: list
     mean: np.ndarray
     unmixing: np.ndarray
     mixing: np.ndarray
+    blocks: SampleBlocks
 
 
 def pca(signals: DataFrame, n: int | None = None) -> tuple[list, np.ndarray, np.ndarray]:
@@ -75,15 +78,14 @@ def pca_table(signals: DataFrame, n: int | None = None) -> DataFrame:
 def ica(signals: DataFrame, n: int | None = None, rounds: int = 200, tolerance: float = 1e-6, seed: int = 1) -> Components:
     """Symmetric FastICA with tanh on whitened data.
 
-    Each round needs two sums over samples; they are taken over the whitened samples of all tasks at
-    once, so no channel is gathered on the driver.
+    Each round needs two sums over samples; tasks take them over stored blocks of samples, so no channel is gathered
+    on the driver and no task holds more than a block.
     """
     names, mean, cov = covariance(signals)
     values, vectors = np.linalg.eigh(cov)
     order = [k for k in values.argsort()[::-1] if values[k] > 1e-12 * max(values.max(), 1e-300)][:n]
     white = (vectors[:, order] / np.sqrt(values[order])).T
-    wide = signals.groupBy("sample").pivot("channel", names).agg(F.first("value")).dropna().drop("sample")
-    wide = wide.persist()
+    blocks = sample_blocks(signals)
     rng = np.random.default_rng(seed)
     w = np.linalg.qr(rng.normal(size=(len(order), len(order))))[0]
     k = len(order)
@@ -94,33 +96,28 @@ def ica(signals: DataFrame, n: int | None = None, rounds: int = 200, tolerance:
 
     for _ in range(rounds):
 
-        def sums(batches, w=w):
-            first, slope, n = np.zeros((k, k)), np.zeros(k), 0
-            for batch in batches:
-                z = white @ (batch.to_numpy(float).T - mean[:, None])
-                g = np.tanh(w @ z)
-                first, slope, n = first + g @ z.T, slope + (1 - g * g).sum(axis=1), n + z.shape[1]
-            yield pd.DataFrame({"first": [first.ravel().tolist()], "slope": [slope.tolist()], "n": [n]})
-
-        parts = wide.mapInPandas(sums, "first array<double>, slope array<double>, n long").collect()  # k^2 numbers per task
-        n_all = max(1, sum(p["n"] for p in parts))
-        first = sum(np.reshape(p["first"], (k, k)) for p in parts) / n_all
-        slope = sum(np.array(p["slope"]) for p in parts) / n_all
+        def sums(x: np.ndarray, w=w) -> np.ndarray:
+            z = white @ (x.T - mean[:, None])
+            g = np.tanh(w @ z)
+            return np.concatenate([(g @ z.T).ravel(), (1 - g * g).sum(axis=1), [z.shape[1]]])
+
+        total = sum(blocks.each(sums), np.zeros(k * k + k + 1))  # k^2 numbers per task
+        n_all = max(1.0, total[-1])
+        first, slope = total[: k * k].reshape(k, k) / n_all, total[k * k : -1] / n_all
         new = orthogonal(first - slope[:, None] * w)
         change = np.abs(np.abs(np.einsum("ij,ij->i", new, w)) - 1).max(initial=0.0)
         w = new
         if change < tolerance:
             break
-    wide.unpersist()
     unmixing = w @ white
-    return Components(project(signals, names, unmixing, list(range(1, k + 1)), mean), names, mean, unmixing, np.linalg.pinv(unmixing))
+    return Components(project(blocks, unmixing, list(range(1, k + 1)), mean), names, mean, unmixing, np.linalg.pinv(unmixing), blocks)
 
 
 def remove_components(model: Components, components: list[int]) -> DataFrame:
     """The signals rebuilt without some components."""
     kept = model.mixing.copy()
     kept[:, [c - 1 for c in components]] = 0.0
-    return project(model.sources, list(range(1, kept.shape[1] + 1)), kept, model.names, offsets=model.mean)
+    return project(model.blocks, kept @ model.unmixing, model.names, model.mean, model.mean)
 
 
 def classify_components(sources: DataFrame, rate: float, kurtosis: float = 3.0, autocorrelation: float = 0.9, high_power: float = 0.5) -> DataFrame:
@@ -170,6 +167,7 @@ class SampleBlocks:
 
     names: list
     table: DataFrame
+    kind: str
 
     def each(self, fn: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
         """One vector from each task: the sum of ``fn`` (samples, channels) over its blocks. Vectors are as long as matrices of channels, never of samples."""
@@ -201,7 +199,7 @@ def sample_blocks(signals: DataFrame) -> SampleBlocks:
         return pd.DataFrame({"samples": [samples[full].tolist()], "values": [x[full].ravel().tolist()]})
 
     blocks = known.groupBy(F.floor((F.col("sample") - 1) / BLOCK)).applyInPandas(run, "samples array<long>, values array<double>")
-    return SampleBlocks(names, stored(blocks, "samples"))
+    return SampleBlocks(names, stored(blocks, "samples"), signals.schema["channel"].dataType.simpleString())
 
 
 def _descend(fitted: np.ndarray, target: np.ndarray, gram: np.ndarray, sweeps: int) -> np.ndarray:

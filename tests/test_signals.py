@@ -308,6 +308,27 @@ def test_decomposition(spark):
     assert decomposition.match_synergies(decomposition.synergy_similarity(table, table)).count() == 2
 
 
+def test_components_come_from_blocks(spark, monkeypatch):
+    """Sources and what is rebuilt from them need no aggregation over samples: a task projects its blocks. Samples that lack a channel are left out."""
+    monkeypatch.setattr(decomposition, "BLOCK", 64)
+    rng = np.random.default_rng(9)
+    x = np.array([[1.0, 0.5, 0.1], [0.3, 1.0, 0.2], [0.2, 0.1, 1.0]]) @ rng.uniform(-1, 1, (3, 500)) + [[5], [0], [-2]]
+    lacking = [*x[1]]
+    lacking[100] = None
+    s = signal(spark, a=x[0], b=lacking, c=x[2])
+    model = decomposition.ica(s)
+    full = np.delete(x, 100, axis=1)
+    for k in (1, 2, 3):
+        assert np.allclose(values(model.sources.withColumn("channel", F.col("channel").cast("string")), str(k)), model.unmixing[k - 1] @ (full - model.mean[:, None]), atol=1e-9)
+    kept = model.mixing.copy()
+    kept[:, 1] = 0
+    rebuilt = decomposition.remove_components(model, [2])
+    assert np.allclose(values(rebuilt, "c"), (kept @ model.unmixing @ (full - model.mean[:, None]) + model.mean[:, None])[2], atol=1e-9)
+    for made in (model.sources, rebuilt):
+        plan = made._jdf.queryExecution().toString()
+        assert "Aggregate" not in plan and "Exchange" not in plan
+
+
 def test_artifacts(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(4, 500))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, worker_cache
+from .common import fresh, give_back, worker_cache
 
 #: Longest n-gram, and bits of a symbol in it; a packed n-gram has 64 bits.
 ORDER, BITS = 4, 16
@@ -33,7 +33,7 @@ FOLD = 5
 #: Nats per character above that mean, and standard errors, before a text is rejected.
 SLACK_NATS, SLACK_SIGMAS = 1.0, 5.0
 #: Characters that are scored at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 UNKNOWN = "und"
 
 
@@ -287,7 +287,10 @@ def fit(docs: DataFrame, train_on: Column, sample_rows: int = SAMPLE_ROWS) -> di
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 texts.setdefault(lang, []).append(text)
-        yield pd.DataFrame({"model": [pickle.dumps(train({k: sorted(v) for k, v in texts.items()}))]})
+        made = pickle.dumps(train({k: sorted(v) for k, v in texts.items()}))
+        texts.clear()
+        give_back()
+        yield pd.DataFrame({"model": [made]})
 
     made = sample.repartition(1).mapInPandas(run, "model binary").first()  # no row where the sample is empty
     return pickle.loads(made[0]) if made else train({})
@@ -308,7 +311,7 @@ def classify(docs: DataFrame, model: dict, name: str) -> DataFrame:
     def language(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(sent.value)
         for part in texts:
-            yield scorer.classify([None if x is None else x for x in part])
+            yield scorer.classify(part)
 
     return docs.withColumn(name, language(F.col("text")))
 

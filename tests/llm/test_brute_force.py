@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,20 @@ def test_scripts_of_thousands_of_letters_are_told_apart():
     assert scorer.classify([EN])["rejected"].all()
 
 
+def test_scoring_holds_a_slice():
+    """Texts of 3 million characters are scored in slices, so what is held beside them is small: workers of an executor share its memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdefgh "), 3000)) for _ in range(1000)]
+    scorer = language_id.Scorer(language_id.train({"a": texts[:5], "b": ["xyz " * 100] * 5, "c": ["uvw " * 100] * 5, "d": ["rst " * 100] * 5}))
+    tracemalloc.start()
+    whole = scorer.classify(pd.Series(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert whole.equals(pd.concat([scorer.classify(texts[:500]), scorer.classify(texts[500:])], ignore_index=True)) and peak < 32 << 20, peak
+
+
 def test_language_column_is_not_overwritten(spark):
     d = spark.createDataFrame([(1, "a", "en")], "doc_id long, text string, Language string")
     with pytest.raises(ValueError, match="language"):
